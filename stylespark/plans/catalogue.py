@@ -1,0 +1,6 @@
+"""Named queries over the provided tables, and DuckDB SQL for the same rows."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE: dict[str, str] = {}
