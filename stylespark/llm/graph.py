@@ -1,0 +1,35 @@
+"""Connected components of a distributed edge list by alternating large and small stars."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from stylespark.llm.common import written
+
+#: Rounds are logarithmic in the length of the longest path; more than this means a fault.
+MOST_ROUNDS = 60
+
+
+def _state(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
+def stars(edges: DataFrame) -> DataFrame:
+    """(u, v): every node but the roots, with the smallest node of its component. edges: u, v long; self-loops and repeats are dropped."""
+    now = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    before = _state(now)
+    if not before[0]:
+        return now
+    for _ in range(MOST_ROUNDS):
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        now = written(small, "edges")
+        after = _state(now)
+        if after == before:
+            return now
+        before = after
+    raise RuntimeError("components did not settle")
