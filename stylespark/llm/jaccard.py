@@ -229,23 +229,38 @@ def _lists(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[np.
 LED = "key long, ent long, size int, pos int, lead long"
 
 
-def _led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries of lists of two sets or more. lead: a set to compare with first, itself for a leader."""
+def _led(spread: np.ndarray):
+    return lambda batches: _lead(batches, spread)
+
+
+def _lead(batches: Iterator[pa.RecordBatch], spread: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Entries of lists of two sets or more, but pairs that can't link. lead: a set to compare with first, or the entry itself."""
     for key, salt, ent, size, pos in _lists(batches, 2):
         new = np.concatenate(([True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1]) | (ent[1:] != ent[:-1]) | (pos[1:] != pos[:-1])))  # one entry per entity
         key, salt, ent, size, pos = (c[new] for c in (key, salt, ent, size, pos))
         kind = size_class(size)
         order = np.lexsort((ent, pos, kind, salt, key))
-        lead = np.empty_like(ent)
         first = np.concatenate(([True], np.any([c[order][1:] != c[order][:-1] for c in (key, salt, kind)], axis=0)))
-        lead[order] = ent[order][np.flatnonzero(first)[np.cumsum(first) - 1]]
-        start = np.concatenate(([True], key[1:] != key[:-1]))
-        many = np.bincount(np.cumsum(start) - 1)
-        keep = (many[np.cumsum(start) - 1] > 1) | (salt > 0)
-        # A salted list may have its other entries in other tasks: salt 0 alone says little there, so keep those too.
+        head = order[np.flatnonzero(first)[np.cumsum(first) - 1]]
+        lead = np.empty_like(ent)
+        lead[order] = np.where(may_link(size[order], pos[order], size[head], pos[head]), ent[head], ent[order])
+        start = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1]))))
+        many = np.diff(np.append(start, len(key)))
+        two = start[many == 2]
+        keep = np.repeat(many > 2, many)
+        keep[two] = keep[two + 1] = may_link(size[two], pos[two], size[two + 1], pos[two + 1])
+        # A salted list has its other entries in other tasks.
+        keep |= spread[(key.view(U) >> U(56)).astype(np.int64)] > 1
         yield batch_of([x.split()[0] for x in LED.split(", ")], *(c[keep] for c in (key, ent, size, pos, lead)))
 
 
+def may_link(sa: np.ndarray, pa_: np.ndarray, sb: np.ndarray, pb: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes that share a shingle at these positions may link."""
+    sa, pa_, sb, pb = (x.astype(np.int64) for x in (sa, pa_, sb, pb))
+    need = needed(sa, sb)
+    return (np.minimum(sa, sb) >= need) & (np.minimum(sa - pa_, sb - pb) >= need)
+
+
 def possible(sa, pa_, sb, pb) -> Column:
     """Whether sets of these sizes that share a shingle at these positions may link."""
     need = F.ceil(F.lit(PERCENT) * (sa + sb) / F.lit(100 + PERCENT))
@@ -314,8 +329,9 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of(["u", "v"], batch.column(0).filter(mask), batch.column(1).filter(mask))
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose whole sets link."""
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose whole sets link. The sets are made anew from the texts: only those of the pairs are shuffled."""
+    sets = sets_of(texts, pairs.select(F.explode(F.array("u", "v")).alias("ent")))
     left = pairs.join(sets.select(F.col("ent").alias("u"), F.col("data").alias("x")), "u")
     both = left.join(sets.select(F.col("ent").alias("v"), F.col("data").alias("y")), "v").select("u", "v", "x", "y")
     return both.mapInArrow(_linked, "u long, v long")
@@ -362,20 +378,22 @@ def entity_links(texts: DataFrame, first: DataFrame) -> DataFrame:
     # Entries of a list are at most the documents; BUCKETS bytes are broadcast.
     shared = spark.sparkContext.broadcast(level)
     postings = texts.select("text").mapInArrow(_postings(shared, salts), POSTINGS)
-    led = written(postings.repartition("key", "salt").sortWithinPartitions("key", "salt", "pos", "ent").mapInArrow(_led, LED), "lists")
+    led = written(postings.repartition("key", "salt").sortWithinPartitions("key", "salt", "pos", "ent").mapInArrow(_led(salts), LED), "lists")
     heads = led.where("ent = lead").groupBy("key").agg(F.min(F.struct("pos", "ent", "size")).alias("h"), F.countDistinct("ent").alias("n")).where("n > 1")
     chief = led.where("ent = lead").join(heads, "key").where(possible(F.col("size"), F.col("pos"), F.col("h.size"), F.col("h.pos")) & (F.col("ent") != F.col("h.ent"))).select(F.col("ent").alias("a"), F.col("h.ent").alias("b"))
     pairs = led.where("ent <> lead").select(F.col("ent").alias("a"), F.col("lead").alias("b")).unionByName(chief)
-    pairs = pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    sets = written(sets_of(texts, led), "sets", "lz4")
-    forest = stars(verified(pairs, sets))
+    pairs = written(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "pairs")
+    forest = stars(verified(pairs, texts))
     rooted = led.select("key", "ent", "size", "pos").join(forest.select(F.col("u").alias("ent"), F.col("v").alias("root")), "ent", "left").withColumn("root", F.coalesce("root", "ent"))
     rooted = written(rooted, "rooted")
     open_lists = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", F.ceil(F.col("n") / LIST).cast("int").alias("s"))
     dealt = rooted.join(open_lists, "key").withColumn("block", F.pmod(F.xxhash64("ent"), F.col("s")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "ent", "size", "pos", "root")
-    rest = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_between, "u long, v long").distinct()
-    more = written(verified(rest, sets), "links")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rest = written(dealt.repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_between, "u long, v long").distinct(), "pairs")
+    if not rest.limit(1).count():
+        return forest
+    more = written(verified(rest, texts), "links")
     return stars(forest.unionByName(more)) if more.limit(1).count() else forest
 
 
