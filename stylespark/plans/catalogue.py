@@ -2,5 +2,482 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from stylespark.functions import text as T
+from stylespark.functions.nfc import with_nfc
+from stylespark.functions.vectors import cosine
+from stylespark.operators import accounting, assemble, deai, dedup, gate, ingest, retrieval, store, stylometry
+from stylespark.plans import proxies as P
+from stylespark.sources import messages
+from stylespark.streaming.limits import limited
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+SEED_ID, SEED_REGISTER, K = 7, "email", 5
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+# Sources.
+
+
+@query("""SELECT 'message-id:' || conv_id || '-' || turn AS source_uri, 'User@example.org' AS author_address, text AS raw_text, CAST(conv_id AS VARCHAR) AS thread_id
+FROM conversations WHERE role = 'user' AND turn % 4 <> 3""")
+def src_own_authorship(spark, d):
+    return messages.mail_units(P.mail(spark, d), "me", ["User@example.org", "USER@EXAMPLE.ORG"]).select("source_uri", "author_address", "raw_text", "thread_id")
+
+
+@query(f"""SELECT 'matrix-event:' || conv_id || '-' || turn AS source_uri, CASE WHEN turn % 3 <> 2 THEN 'c' || conv_id END AS thread_id,
+strftime(epoch_ms({P.EPOCH} + conv_id * {P.STEP} + turn * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') AS timestamp, text AS raw_text FROM conversations WHERE role = 'user' AND turn % 5 <> 4""")
+def src_chat_thread(spark, d):
+    return messages.chat_units(P.chat(spark, d), "me", ["@user"]).select("source_uri", "thread_id", "timestamp", "raw_text")
+
+
+# Cleaning. In the SQL below, lines are told apart by simple tests that hold for the decorated texts.
+
+_BLANK = "regexp_full_match({}, '\\s*')"
+_LINES = "ls AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM p_dirty)"
+_FOREIGN = "(regexp_matches(x, '^\\s*On\\b.*\\bwrote:\\s*$') OR regexp_matches(x, '^\\s*-+\\s*[Ff]orwarded message\\s*-+\\s*$') OR x = '-- ' OR regexp_matches(x, '^\\s*>'))"
+
+
+def _trim_tail(items: str) -> str:
+    """SQL for the list without blank entries at its end."""
+    return f"list_slice({items}, 1, coalesce(list_max(list_transform(range(1, len({items}) + 1), lambda i: CASE WHEN regexp_full_match({items}[i], '\\s*') THEN 0 ELSE i END)), 0))"
+
+
+@query(f"""WITH {P.DIRTY}, {_LINES}, f AS (SELECT doc_id, l, list_position(list_transform(l, lambda x: {_FOREIGN}), true) AS p FROM ls),
+o AS (SELECT doc_id, CASE WHEN p > 0 THEN list_slice(l, 1, p - 1) ELSE l END AS k FROM f)
+SELECT doc_id, coalesce(array_to_string({_trim_tail('k')}, chr(10)), '') AS text FROM o""")
+def clean_email_boundaries(spark, d):
+    return P.dirty(spark, d).select("doc_id", T.strip_email(F.col("text")).alias("text"))
+
+
+@query(f"""WITH {P.DIRTY}, {_LINES}, q AS (SELECT doc_id, l, regexp_matches(l[1], '^\\s*>') AS quoted, list_position(list_transform(l, lambda x: NOT regexp_matches(x, '^\\s*>')), true) AS p FROM ls),
+r AS (SELECT doc_id, l, quoted, CASE WHEN p > 0 THEN list_slice(l, p, len(l)) ELSE CAST([] AS VARCHAR[]) END AS rs FROM q),
+n AS (SELECT doc_id, l, quoted, rs, list_position(list_transform(rs, lambda x: NOT {_BLANK.format('x')}), true) AS p FROM r),
+k AS (SELECT doc_id, l, quoted, CASE WHEN p > 0 THEN list_slice(rs, p, len(rs)) ELSE CAST([] AS VARCHAR[]) END AS k FROM n)
+SELECT doc_id, CASE WHEN NOT quoted THEN array_to_string(l, chr(10)) ELSE coalesce(array_to_string({_trim_tail('k')}, chr(10)), '') END AS text FROM k""")
+def clean_chat_boundaries(spark, d):
+    return P.dirty(spark, d).select("doc_id", T.strip_chat(F.col("text")).alias("text"))
+
+
+@query(f"""WITH {P.DIRTY}, {_LINES}, e AS (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM ls),
+t AS (SELECT *, regexp_matches(x, '^\\s*(```|~~~)') AS fence FROM e), c AS (SELECT *, sum(CASE WHEN fence THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS n, max(fence) OVER (PARTITION BY doc_id) AS any_fence FROM t),
+own AS (SELECT doc_id, x, i, any_fence, regexp_full_match(x, '\\s*') AS blank FROM c WHERE NOT fence AND n % 2 = 0),
+edge AS (SELECT *, lag(blank, 1, true) OVER (PARTITION BY doc_id ORDER BY i) AS before, max(CASE WHEN NOT blank THEN i END) OVER (PARTITION BY doc_id) AS last FROM own),
+kept AS (SELECT * FROM edge WHERE NOT any_fence OR (i <= last AND NOT (blank AND before)))
+SELECT p.doc_id, coalesce(string_agg(x, chr(10) ORDER BY i), '') AS text FROM p_dirty p LEFT JOIN kept USING (doc_id) GROUP BY p.doc_id""")
+def strip_code_fences(spark, d):
+    return P.dirty(spark, d).select("doc_id", T.strip_code(F.col("text")).alias("text"))
+
+
+@query(f"WITH {P.DIRTY} SELECT doc_id, regexp_replace(nfc_normalize(text), '[\\x00-\\x08\\x0b-\\x1f\\x7f-\\x{{9f}}]', '', 'g') AS text FROM p_dirty")
+def normalize_safe(spark, d):
+    return with_nfc(P.dirty(spark, d), "text").select("doc_id", T.drop_controls(F.col("text")).alias("text"))
+
+
+_W = "len(regexp_extract_all({}, '\\S+'))"
+_A = "len(regexp_extract_all({}, '[A-Za-z]+(?:''[A-Za-z]+)?'))"
+_PARA = "len(list_filter(regexp_split_to_array({}, '\\n\\s*\\n'), lambda x: regexp_matches(x, '\\S')))"
+
+
+@query(f"SELECT doc_id, {_W.format('text')} AS words, {_A.format('text')} AS alpha_words, {_PARA.format('text')} AS paragraphs FROM documents")
+def word_counts(spark, d):
+    t = F.col("text")
+    return P.table(spark, d, "documents").select("doc_id", T.count_words(t).alias("words"), T.count_alpha_words(t).alias("alpha_words"), T.count_paragraphs(t).alias("paragraphs"))
+
+
+def _register(medium: str, text: str) -> str:
+    return f"""CASE WHEN {_W.format(text)} >= 120 THEN 'longform' WHEN {_W.format(text)} >= 80 AND {_PARA.format(text)} >= 3 THEN 'longform'
+ WHEN {_W.format(text)} <= 6 AND NOT contains(trim({text}, ' ' || chr(10)), chr(10)) THEN 'chat' ELSE CASE {medium} WHEN 'email' THEN 'email' WHEN 'slack' THEN 'longform' ELSE 'chat' END END"""
+
+
+_SHORT = "CASE WHEN doc_id % 2 = 1 THEN substr(raw_text, 1, 200) ELSE raw_text END"
+
+
+@query(f"WITH {P.UNITS}, s AS (SELECT doc_id, medium, {_SHORT} AS t FROM p_units) SELECT doc_id, {_register('medium', 't')} AS register FROM s")
+def register_classify(spark, d):
+    t = F.when(F.pmod("doc_id", F.lit(2)) == 1, F.substring("raw_text", 1, 200)).otherwise(F.col("raw_text"))
+    return P.units(spark, d).withColumn("t", t).select("doc_id", T.classify_register(F.col("medium"), F.col("t"), T.count_words(F.col("t"))).alias("register"))
+
+
+_ID = "sha256(" + " || '|' || ".join(f"length({c}) || ':' || {c}" for c in ("author_id", "medium", "source_uri", "{}")) + ")"
+
+
+@query(f"WITH {P.UNITS} SELECT doc_id, {_ID.format('raw_text', 'raw_text')} AS id FROM p_units")
+def stable_id(spark, d):
+    return P.units(spark, d).select("doc_id", T.stable_id(*[F.col(c) for c in ("author_id", "medium", "source_uri", "raw_text")]).alias("id"))
+
+
+def _records(spark, d) -> DataFrame:
+    return ingest.collapse(ingest.to_records(P.units(spark, d)))
+
+
+_RECORDS = f"""{P.UNITS}, rec AS (SELECT doc_id, {_ID.format('raw_text', 'raw_text')} AS id, author_id, medium, {_register('medium', 'raw_text')} AS register, {_W.format('raw_text')} AS word_count, timestamp, raw_text AS text_clean, source_uri FROM p_units WHERE {_W.format('raw_text')} > 0)"""
+
+
+@query()
+def ingest_pipeline(spark, d):
+    """Dirty units through the whole pipeline."""
+    own = P.units(spark, d).drop("raw_text").join(P.dirty(spark, d).select("doc_id", F.col("text").alias("raw_text")), "doc_id")
+    return ingest.ingest(own).drop("text_clean")
+
+
+# Near-duplicates.
+
+_SHINGLES = """w AS (SELECT doc_id, regexp_extract_all(lower(text), '\\S+') AS w FROM documents WHERE text IS NOT NULL),
+sh AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) END) AS s FROM w),
+dig AS (SELECT doc_id, md5(string_agg(s, '|' ORDER BY s)) AS digest, count(*) AS n FROM sh GROUP BY doc_id),
+rep AS (SELECT digest, min(doc_id) AS item, any_value(n) AS n FROM dig GROUP BY digest),
+own AS (SELECT item, n, s FROM rep JOIN sh ON sh.doc_id = rep.item),
+prs AS (SELECT x.item AS a, y.item AS b, count(*) / (any_value(x.n) + any_value(y.n) - count(*)) AS jaccard FROM own x JOIN own y ON x.s = y.s AND x.item > y.item GROUP BY x.item, y.item HAVING count(*) / (any_value(x.n) + any_value(y.n) - count(*)) >= 0.75)"""
+
+
+@query(f"WITH {_SHINGLES} SELECT a, b, round(jaccard, 6) AS jaccard FROM prs")
+def dedup_pairs(spark, d):
+    got = dedup.duplicate_pairs(P.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return got.select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+
+
+@query(f"""WITH RECURSIVE {_SHINGLES}, e AS (SELECT a AS x, b AS y FROM prs UNION SELECT b, a FROM prs), reach AS (SELECT item AS node, item AS root FROM rep UNION SELECT e.x, reach.root FROM reach JOIN e ON e.y = reach.node),
+comp AS (SELECT node, min(root) AS root FROM reach GROUP BY node),
+lab AS (SELECT d.doc_id, coalesce(c.root, d.doc_id) AS root FROM documents d LEFT JOIN dig USING (doc_id) LEFT JOIN rep USING (digest) LEFT JOIN comp c ON c.node = rep.item)
+SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY root) AS dedup_cluster_id, doc_id = min(doc_id) OVER (PARTITION BY root) AS is_canonical FROM lab""")
+def dedup_clusters(spark, d):
+    own = P.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.format_string("%012d", "doc_id").alias("timestamp"))
+    return dedup.near_duplicates(own)
+
+
+# Store, volume and directory.
+
+
+@query(f"""WITH {P.UNITS}, b AS (SELECT *, {_ID.format('raw_text', 'raw_text')} AS id FROM p_units) SELECT id, doc_id AS seq FROM b WHERE doc_id % 3 <> 0""")
+def upsert_new_rows(spark, d):
+    own = P.units(spark, d).select(T.stable_id(*[F.col(c) for c in ("author_id", "medium", "source_uri", "raw_text")]).alias("id"), F.col("doc_id").alias("seq"))
+    twice = own.unionByName(own.withColumn("seq", F.col("seq") - 1_000_000_000))
+    return store.new_rows(twice, own.where("seq % 3 = 0"))
+
+
+@query(f"""WITH {_RECORDS} SELECT author_id, register, CAST(sum(word_count) AS BIGINT) AS word_count, count(*) AS sample_count,
+CASE WHEN sum(word_count) >= 100000 OR count(*) >= 100 THEN 'profile-grade' WHEN sum(word_count) >= 1000 THEN 'generation-ready' ELSE 'insufficient' END AS tier FROM rec GROUP BY author_id, register""")
+def volume_accounting(spark, d):
+    return accounting.account_volume(_records(spark, d))
+
+
+_LOG = "lg AS (SELECT DISTINCT author_id, register, CAST(lv AS VARCHAR) AS version, lv AS seq FROM (SELECT author_id, register, word_count % 7 AS lv FROM rec))"
+
+
+def _log(spark, d) -> DataFrame:
+    """A made-up activation log: versions are word counts modulo 7, activated in order."""
+    v = F.col("word_count") % 7
+    return _records(spark, d).select("author_id", "register", v.cast("string").alias("version"), v.cast("long").alias("seq")).distinct()
+
+
+def _profiles(spark, d) -> DataFrame:
+    log = _log(spark, d)
+    return log.select("author_id", "register", "version", F.col("seq").alias("built_at"), (F.col("seq") * 10).cast("int").alias("exemplar_count"))
+
+
+@query(f"WITH {_RECORDS}, {_LOG} SELECT author_id, list_sort(list(DISTINCT register)) AS registers FROM lg GROUP BY author_id")
+def voice_list(spark, d):
+    return store.voices(store.active_profiles(_profiles(spark, d), _log(spark, d)))
+
+
+@query(f"""WITH {_RECORDS}, {_LOG}, act AS (SELECT author_id, register, max(seq) AS seq FROM lg WHERE register <> 'chat' GROUP BY author_id, register),
+cnt AS (SELECT author_id, register, count(*) AS n FROM rec GROUP BY author_id, register), regs AS (SELECT unnest(['chat', 'email', 'longform']) AS register), au AS (SELECT DISTINCT author_id FROM rec)
+SELECT au.author_id, regs.register, coalesce(act.seq * 10, cnt.n, 0) AS exemplars, CASE WHEN act.seq IS NULL THEN 'insufficient' WHEN act.seq * 10 >= 50 THEN 'profile-grade' ELSE 'generation-ready' END AS readiness,
+greatest(0, least(1, coalesce(act.seq * 10, cnt.n, 0) / CAST(50 AS DOUBLE))) AS coverage, act.seq AS last_eval
+FROM au CROSS JOIN regs LEFT JOIN act ON act.author_id = au.author_id AND act.register = regs.register LEFT JOIN cnt ON cnt.author_id = au.author_id AND cnt.register = regs.register""")
+def voice_status(spark, d):
+    own = _records(spark, d)
+    active = store.active_profiles(_profiles(spark, d), _log(spark, d)).where("register <> 'chat'")
+    return store.status(own, active, own)
+
+
+@query(f"WITH {_RECORDS}, {_LOG} SELECT author_id, register, CAST(max(seq) AS VARCHAR) AS version FROM lg GROUP BY author_id, register")
+def active_profile(spark, d):
+    return store.active_profiles(_profiles(spark, d), _log(spark, d)).select("author_id", "register", "version")
+
+
+@query(f"WITH {_RECORDS}, {_LOG} SELECT author_id, register, version, row_number() OVER (PARTITION BY author_id, register ORDER BY seq DESC, version DESC) AS place FROM lg")
+def version_list(spark, d):
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy("author_id", "register").orderBy(F.desc("built_at"), F.desc("version")))
+    return store.versions(_profiles(spark, d)).select("author_id", "register", "version", place.alias("place"))
+
+
+@query(f"""WITH {P.UNITS} SELECT author_id, medium, doc_id FROM p_units QUALIFY row_number() OVER (PARTITION BY author_id, medium ORDER BY timestamp DESC, doc_id) <= 5""")
+def recency_topk(spark, d):
+    return retrieval.recent_per(P.units(spark, d), ["author_id", "medium"], 5, "timestamp", "doc_id").select("author_id", "medium", "doc_id")
+
+
+@query(f"WITH {P.UNITS} SELECT text, origin FROM (SELECT raw_text AS text, 'other' AS origin FROM p_units WHERE author_id <> 'src0' AND medium = 'email' ORDER BY source_uri LIMIT 200) UNION ALL SELECT 'we met at noon and walked home', 'bundled' UNION ALL SELECT 'the train was late so i read', 'bundled'")
+def impostor_union(spark, d):
+    """Bundled impostors and other authors' texts, copies kept."""
+    bundled = spark.createDataFrame([("we met at noon and walked home", "bundled"), ("the train was late so i read", "bundled")], "text string, origin string")
+    rows = P.units(spark, d).select("author_id", F.col("medium").alias("register"), F.lit(True).alias("is_canonical"), F.col("source_uri").alias("id"), F.col("raw_text").alias("text"))
+    return bundled.unionByName(store.other_authors(rows, "src0", "email").select("text", F.lit("other").alias("origin")))
+
+
+# Vectors.
+
+
+def _seed(spark, d, reverse: bool = False) -> list[float]:
+    row = P.table(spark, d, "embeddings").where(F.col("vec_id") == SEED_ID).select("embedding").first()
+    return list(reversed(row[0])) if reverse else list(row[0])
+
+
+_SEED = f"sd AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id = {SEED_ID})"
+
+
+@query(f"WITH {P.VECTORS}, {_SEED} SELECT id, round(list_cosine_distance(s, v), 6) AS distance FROM p_vec, sd WHERE register = '{SEED_REGISTER}' ORDER BY list_cosine_distance(s, v), id LIMIT {K}")
+def knn_style(spark, d):
+    rows = P.vectors(spark, d).where(F.col("register") == SEED_REGISTER)
+    return retrieval.nearest(rows, "style_embedding", _seed(spark, d), K).select("id", F.round("distance", 6).alias("distance"))
+
+
+_FUSED = f"""{P.VECTORS}, {_SEED}, st AS (SELECT id, row_number() OVER (ORDER BY list_cosine_distance(s, v), id) AS r FROM p_vec, sd WHERE register = '{SEED_REGISTER}' QUALIFY r <= {4 * K}),
+co AS (SELECT id, row_number() OVER (ORDER BY list_cosine_distance(c, v), id) AS r FROM p_vec, sd WHERE register = '{SEED_REGISTER}' QUALIFY r <= {4 * K}),
+fu AS (SELECT id, sum(w) AS score FROM (SELECT id, CAST(2 AS DOUBLE) / (60 + r) AS w FROM st UNION ALL SELECT id, CAST(1 AS DOUBLE) / (60 + r) FROM co) GROUP BY id)"""
+
+
+@query(f"WITH {_FUSED} SELECT id, round(score, 9) AS score FROM fu")
+def rrf_fusion(spark, d):
+    rows, seed = P.vectors(spark, d).where(F.col("register") == SEED_REGISTER), _seed(spark, d)
+    pools = [retrieval.ranked(retrieval.nearest(rows, f"{n}_embedding", seed, 4 * K), n, retrieval.WEIGHTS[n]) for n in ("style", "content")]
+    return retrieval.fuse(pools[0].unionByName(pools[1])).select("id", F.round("score", 9).alias("score"))
+
+
+@query(f"WITH {_FUSED} SELECT id, round(score, 9) AS score FROM fu ORDER BY fu.score DESC, id LIMIT {K}")
+def retrieve_end_to_end(spark, d):
+    seed = _seed(spark, d)
+    return retrieval.retrieve(P.vectors(spark, d), SEED_REGISTER, K, seed, seed).select("id", F.round("score", 9).alias("score"))
+
+
+@query("SELECT label, pos - 1 AS pos, round(avg(v), 6) AS m FROM (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY label, pos")
+def centroid(spark, d):
+    got = retrieval.mean_vector(P.table(spark, d, "embeddings"), ["label"], "embedding")
+    return got.select("label", F.posexplode("centroid").alias("pos", "m")).select("label", F.col("pos").cast("long").alias("pos"), F.round("m", 6).alias("m"))
+
+
+@query(f"WITH {P.VECTORS} SELECT id, round(list_cosine_similarity(s, c), 6) AS similarity FROM p_vec")
+def cosine_axes(spark, d):
+    return P.vectors(spark, d).select("id", F.round(cosine(F.col("style_embedding"), F.col("content_embedding")), 6).alias("similarity"))
+
+
+# Stylometry: profiles of source src0 against the other sources, by language.
+
+KEYS = ["lang"]
+_STYLE = """dc AS (SELECT lang, doc_id, text, CASE WHEN source = 'src0' THEN 1 ELSE 0 END AS label FROM documents),
+tk AS (SELECT lang, doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+(?:''[a-z]+)?')) AS word FROM dc), ct AS (SELECT lang, doc_id, word, count(*) AS n FROM tk GROUP BY ALL),
+vo AS (SELECT lang, word, sum(n) AS total, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, word) AS idx FROM ct GROUP BY lang, word QUALIFY idx <= 200),
+sz AS (SELECT lang, doc_id, sum(n) AS size FROM ct GROUP BY ALL),
+dn AS (SELECT d.lang, d.doc_id, d.label, v.word, coalesce(ct.n / CAST(sz.size AS DOUBLE), 0) AS f FROM dc d JOIN vo v ON v.lang = d.lang LEFT JOIN ct ON ct.lang = d.lang AND ct.doc_id = d.doc_id AND ct.word = v.word LEFT JOIN sz ON sz.lang = d.lang AND sz.doc_id = d.doc_id),
+ms AS (SELECT lang, word, avg(f) AS mean, CASE WHEN stddev_pop(f) < 1e-12 THEN 1 ELSE stddev_pop(f) END AS std FROM dn GROUP BY lang, word),
+ce AS (SELECT dn.lang, dn.word, any_value(mean) AS mean, any_value(std) AS std, avg((f - mean) / std) FILTER (WHERE label = 1) AS centroid FROM dn JOIN ms ON ms.lang = dn.lang AND ms.word = dn.word GROUP BY dn.lang, dn.word),
+sc AS (SELECT dn.lang, dn.doc_id, any_value(label) AS label, round(sum((f - mean) / std * centroid) / (sqrt(sum(((f - mean) / std) ** 2)) * sqrt(sum(centroid ** 2))), 6) AS score FROM dn JOIN ce ON ce.lang = dn.lang AND ce.word = dn.word GROUP BY dn.lang, dn.doc_id)"""
+
+
+def _style_docs(spark, d) -> DataFrame:
+    return P.table(spark, d, "documents").select("lang", "doc_id", "text", F.when(F.col("source") == "src0", 1).otherwise(0).alias("label"))
+
+
+def _style(spark, d):
+    docs = _style_docs(spark, d)
+    counts = stylometry.word_counts(docs, KEYS)
+    vocabulary = stylometry.frequent_words(counts, KEYS)
+    return docs, counts, vocabulary, stylometry.relative_frequencies(docs, counts, vocabulary, KEYS)
+
+
+@query(f"WITH {_STYLE} SELECT lang, word, CAST(total AS BIGINT) AS total, idx FROM vo")
+def mfw_vocab(spark, d):
+    return _style(spark, d)[2].select("lang", "word", "total", F.col("idx").cast("long").alias("idx"))
+
+
+@query(f"WITH {_STYLE} SELECT lang, doc_id, word, round(f, 9) AS f FROM dn WHERE f > 0")
+def relative_freqs(spark, d):
+    return _style(spark, d)[3].select("lang", "doc_id", "word", F.round("f", 9).alias("f"))
+
+
+@query(f"WITH {_STYLE} SELECT lang, word, round(mean, 9) AS mean, round(std, 9) AS std FROM ms")
+def zscore_params(spark, d):
+    docs, _, vocabulary, freqs = _style(spark, d)
+    return stylometry.word_stats(docs, freqs, vocabulary, KEYS).select("lang", "word", F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"))
+
+
+@query(f"WITH {_STYLE} SELECT lang, word, round(centroid, 6) AS centroid FROM ce")
+def author_centroid(spark, d):
+    return stylometry.calibrate(_style_docs(spark, d), KEYS)["profile"].select("lang", "word", F.round("centroid", 6).alias("centroid"))
+
+
+def _scores(spark, d) -> DataFrame:
+    return stylometry.calibrate(_style_docs(spark, d), KEYS)["scores"].withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {_STYLE} SELECT lang, doc_id, score FROM sc")
+def cosine_delta(spark, d):
+    return _scores(spark, d).select("lang", "doc_id", "score")
+
+
+_RANKS = "rk AS (SELECT lang, label, score, rank() OVER (PARTITION BY lang ORDER BY score) + (count(*) OVER (PARTITION BY lang, score) - 1) / CAST(2 AS DOUBLE) AS r FROM sc)"
+_AUC = "(sum(CASE WHEN label = 1 THEN r ELSE 0 END) - sum(label) * (sum(label) + 1) / CAST(2 AS DOUBLE)) / (sum(label) * sum(1 - label))"
+
+
+@query(f"WITH {_STYLE}, {_RANKS} SELECT lang, CAST(sum(label) AS BIGINT) AS n_genuine, CAST(sum(1 - label) AS BIGINT) AS n_impostor, round({_AUC}, 4) AS roc_auc, round({_AUC}, 4) < 0.6 AS low_separation FROM rk GROUP BY lang")
+def calibrate(spark, d):
+    auc = F.round("roc_auc", 4)
+    return stylometry.roc_auc(_scores(spark, d), KEYS).select("lang", F.col("n_pos").alias("n_genuine"), F.col("n_neg").alias("n_impostor"), auc.alias("roc_auc"), (auc < stylometry.LOW_SEPARATION).alias("low_separation"))
+
+
+@query("""WITH sc AS (SELECT lang, quality AS label, n_chars AS score FROM documents JOIN labels USING (doc_id)), """ + _RANKS + f""" SELECT lang, CAST(sum(label) AS BIGINT) AS n_pos, CAST(sum(1 - label) AS BIGINT) AS n_neg, round({_AUC}, 9) AS roc_auc FROM rk GROUP BY lang""")
+def roc_auc(spark, d):
+    own = P.table(spark, d, "documents").join(P.table(spark, d, "labels"), "doc_id").select("lang", F.col("quality").cast("long").alias("label"), F.col("n_chars").alias("score"))
+    return stylometry.roc_auc(own, KEYS).withColumn("roc_auc", F.round("roc_auc", 9))
+
+
+@query(f"WITH {_STYLE} SELECT lang, doc_id, round(cume_dist() OVER (PARTITION BY lang ORDER BY score), 9) AS percentile FROM sc")
+def percentile(spark, d):
+    own = _scores(spark, d).persist()
+    return gate.percentiles(own.select("lang", "doc_id", "score"), own, KEYS).select("lang", "doc_id", F.round("percentile", 9).alias("percentile"))
+
+
+@query(f"""WITH {_STYLE}, {_RANKS}, au AS (SELECT lang, round({_AUC}, 4) < 0.6 AS low FROM rk GROUP BY lang), pc AS (SELECT lang, doc_id, cume_dist() OVER (PARTITION BY lang ORDER BY score) AS p FROM sc)
+SELECT pc.lang, pc.doc_id, CASE WHEN {_A.format('text')} < 20 THEN 'REVIEW' WHEN abs(p - CAST(0.4 AS DOUBLE)) <= CAST(0.1 AS DOUBLE) THEN 'REVIEW' WHEN p >= CAST(0.4 AS DOUBLE) THEN CASE WHEN low THEN 'REVIEW' ELSE 'PASS' END ELSE 'FAIL' END AS verdict, {_A.format('text')} < 250 AS abstained
+FROM pc JOIN dc USING (doc_id) JOIN au ON au.lang = pc.lang""")
+def gate_verdict(spark, d):
+    own = _scores(spark, d).persist()
+    low = calibrate(spark, d).select("lang", "low_separation")
+    rows = gate.percentiles(own.select("lang", "doc_id", "score"), own, KEYS).join(low, "lang").join(_style_docs(spark, d).select("doc_id", T.count_alpha_words(F.col("text")).alias("words")), "doc_id")
+    return rows.select("lang", "doc_id", gate.verdict(F.col("percentile"), F.col("words"), F.col("low_separation")).alias("verdict"), gate.gate_b(F.col("words"))["abstained"].alias("abstained"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 5 = 0 AND doc_id % 3 = 0 THEN 'REVIEW' ELSE CASE doc_id % 3 WHEN 0 THEN 'PASS' WHEN 1 THEN 'REVIEW' ELSE 'FAIL' END END AS verdict,
+list_filter([CASE WHEN doc_id % 5 = 0 THEN 'meaning' END, CASE WHEN doc_id % 3 <> 0 THEN 'gate_a' END, CASE WHEN doc_id % 4 = 1 THEN 'gate_b' END, CASE WHEN doc_id % 7 = 0 THEN 'cold_start' END], lambda x: x IS NOT NULL) AS failed,
+CAST(CASE WHEN doc_id % 4 = 1 THEN 0.85 ELSE 0 END AS DOUBLE) AS detector_prob FROM documents""")
+def gate_result_mapping(spark, d):
+    k = F.col("doc_id")
+    v = F.when(k % 3 == 0, "PASS").when(k % 3 == 1, "REVIEW").otherwise("FAIL")
+    extras = F.filter(F.array(F.when(k % 5 == 0, "meaning")), lambda x: x.isNotNull())
+    got = gate.gate_result(v, (k % 100) / F.lit(100.0), F.when(k % 4 == 1, "high").otherwise("none"), k % 7 == 0, extras)
+    return P.table(spark, d, "documents").select("doc_id", got.alias("g")).select("doc_id", "g.verdict", "g.failed", "g.detector_prob")
+
+
+_GRAM = "list_transform(range(1, len(t) - {n} + 2), lambda i: array_to_string(list_slice(t, i, i + {n} - 1), ' '))"
+
+
+@query(f"""WITH t AS (SELECT lang, regexp_extract_all(lower(text), '[a-z]+(?:''[a-z]+)?') AS t FROM documents),
+g AS (SELECT lang, unnest(list_concat(CASE WHEN len(t) >= 2 THEN {_GRAM.format(n=2)} ELSE CAST([] AS VARCHAR[]) END, CASE WHEN len(t) >= 3 THEN {_GRAM.format(n=3)} ELSE CAST([] AS VARCHAR[]) END)) AS gram FROM t)
+SELECT lang, gram, count(*) AS n, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, gram) AS idx FROM g GROUP BY lang, gram HAVING count(*) >= 2 QUALIFY idx <= 8""")
+def signature_ngrams(spark, d):
+    return stylometry.signature_ngrams(P.table(spark, d, "documents"), KEYS).select("lang", "gram", "n", F.col("idx").cast("long").alias("idx"))
+
+
+def _n(pattern: str) -> str:
+    return f"len(regexp_extract_all(text, '{pattern}'))"
+
+
+@query(f"SELECT doc_id, {_A.format('text')} AS n_words, " + ", ".join(f"{_n(p)} AS n_{k}" for k, p in T.PUNCTUATION.items()) + f", {_n(T.CONTRACTION.replace(chr(39), chr(39) * 2))} AS n_contractions, {_n('[\\x{1F300}-\\x{1FAFF}\\x{2600}-\\x{27BF}\\x{1F1E6}-\\x{1F1FF}\\x{2190}-\\x{21FF}]')} AS n_emoji FROM documents")
+def style_counts(spark, d):
+    return stylometry.style_counts(P.table(spark, d, "documents"))
+
+
+@query(f"""WITH s AS (SELECT lang, source, unnest(list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda x: trim(x, ' ' || chr(10))), lambda x: x <> '')) AS s FROM documents),
+n AS (SELECT lang, source, {_A.format('s')} AS n, CASE WHEN substr(s, 1, 1) = lower(substr(s, 1, 1)) AND substr(s, 1, 1) <> upper(substr(s, 1, 1)) THEN 1 ELSE 0 END AS low FROM s)
+SELECT lang, source, count(*) FILTER (WHERE n > 0) AS n_sentences, round(coalesce(avg(n) FILTER (WHERE n > 0), 0), 6) AS sentence_len_mean, round(coalesce(var_pop(n) FILTER (WHERE n > 0), 0), 6) AS sentence_len_variance, round(avg(low), 6) AS lowercase_start_rate FROM n GROUP BY lang, source""")
+def sentence_stats(spark, d):
+    got = stylometry.sentence_stats(P.table(spark, d, "documents"), ["lang", "source"])
+    return got.select("lang", "source", "n_sentences", *[F.round(c, 6).alias(c) for c in ("sentence_len_mean", "sentence_len_variance", "lowercase_start_rate")])
+
+
+@query("""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+(?:''[a-z]+)?') AS t FROM documents)
+SELECT doc_id, round(CASE WHEN len(t) = 0 THEN 0 WHEN len(t) <= 50 THEN len(list_distinct(t)) / CAST(len(t) AS DOUBLE) ELSE list_sum(list_transform(range(1, len(t) - 48), lambda i: len(list_distinct(list_slice(t, i, i + 49))) / CAST(50 AS DOUBLE))) / (len(t) - 49) END, 6) AS mattr FROM t""")
+def mattr(spark, d):
+    return P.table(spark, d, "documents").select("doc_id", F.round(T.mattr(T.style_tokens(F.col("text"))), 6).alias("mattr"))
+
+
+@query()
+def compute_targets(spark, d):
+    """Style targets of each author's most recent 500 texts of a register."""
+    own = retrieval.recent_per(_records(spark, d), ["author_id", "register"], 500, "timestamp")
+    return stylometry.compute_targets(own.withColumnRenamed("text_clean", "text"), ["author_id", "register"], "timestamp")
+
+
+# Formulaic phrasing.
+
+_TELLS = " UNION ALL ".join(
+    f"SELECT doc_id, '{i}' AS id, {n} AS k, len(regexp_extract_all(text, '{p}', 0, 'i')) AS n FROM p_dirty WHERE register IN ({regs})"
+    for n, (i, p, regs) in enumerate(
+        [
+            ("lex.delve", "\\bdelve(s|d|ing)?\\b", "'chat','email','longform'"),
+            ("lex.utilize", "\\butiliz(e|es|ed|ing)\\b", "'chat','email','longform'"),
+            ("stock.testament", "\\b(?:is |stands as )?a testament to\\b", "'chat','email','longform'"),
+            ("scaf.worth_noting", "\\bit[''’]s worth noting that\\s*", "'chat','email','longform'"),
+            ("scaf.in_conclusion", "\\bin (?:conclusion|summary),?\\s*", "'email','longform'"),
+            ("rhet.not_just_but", "\\bnot (?:just|only)\\b[^.!?]{1,60}?\\bbut(?: also)?\\b", "'chat','email','longform'"),
+            ("punct.bold", "\\*\\*([^*\\n]+)\\*\\*", "'chat','email'"),
+            ("punct.em_dash", "\\s—\\s", "'email','longform'"),
+        ]
+    )
+)
+
+
+@query(f"WITH {P.DIRTY}, h AS ({_TELLS}) SELECT doc_id, id, CAST(n AS INTEGER) AS count FROM h WHERE n > 0")
+def tell_hits(spark, d):
+    got = P.dirty(spark, d).select("doc_id", F.explode(deai.hits(F.col("text"), F.col("register"))).alias("h"))
+    return got.select("doc_id", "h.id", "h.count")
+
+
+@query()
+def deai_lexical(spark, d):
+    return deai.lexical_pass(P.dirty(spark, d)).select("doc_id", "text")
+
+
+@query()
+def deai_rhetorical(spark, d):
+    return deai.rhetorical_pass(P.dirty(spark, d)).select("doc_id", "text")
+
+
+@query(f"""WITH {P.DIRTY}, b AS (SELECT doc_id, register, CASE WHEN register IN ('chat', 'email') THEN regexp_replace(text, '\\*\\*([^*\\n]+)\\*\\*', '\\1', 'g') ELSE text END AS t FROM p_dirty),
+p AS (SELECT doc_id, register, t, string_split(t, ' — ') AS s, greatest(1, CAST(floor({_W.format('t')} / CAST(100 AS DOUBLE) * CASE register WHEN 'email' THEN CAST(1 AS DOUBLE) ELSE CAST(1.5 AS DOUBLE) END + 0.5) AS INTEGER)) AS a FROM b)
+SELECT doc_id, CASE WHEN register = 'chat' OR len(s) - 1 <= a THEN t ELSE array_to_string(list_slice(s, 1, a + 1), ' — ') || ', ' || array_to_string(list_slice(s, a + 2, len(s)), ', ') END AS text FROM p""")
+def deai_punctuation(spark, d):
+    return P.dirty(spark, d).select("doc_id", deai.punctuation_pass(F.col("text"), F.col("register")).alias("text"))
+
+
+@query(f"""WITH {P.DIRTY}, x AS (SELECT doc_id, text AS b, replace(replace(text, '42', ''), 'https://a.example/x', '') AS a FROM p_dirty)
+SELECT doc_id, contains(b, '42 things') AS number_lost, contains(b, 'https://') AS url_lost FROM x""")
+def meaning_guard(spark, d):
+    after = F.replace(F.replace("text", F.lit("42"), F.lit("")), F.lit("https://a.example/x"), F.lit(""))
+    lost = P.dirty(spark, d).select("doc_id", deai.breaches(F.col("text"), after).alias("b"))
+    return lost.select("doc_id", F.array_contains("b", "number:42").alias("number_lost"), F.array_contains("b", "url:https://a.example/x").alias("url_lost"))
+
+
+@query()
+def deai_pipeline(spark, d):
+    got = deai.deai(P.dirty(spark, d))
+    return got.select("doc_id", "output", "verdict", F.transform("residual", lambda h: h["id"]).alias("residual"), "breaches", "rolled_back")
+
+
+@query("""SELECT doc_id, 'Real messages from this author — match their voice:' || chr(10) || chr(10) || 'EXAMPLE 1:' || chr(10) || text || chr(10) || chr(10) || '---' || chr(10) || chr(10) || 'TASK:' || chr(10) || 'say hello' || chr(10) || chr(10) || 'Write the message in the author''s voice.' AS prompt FROM documents WHERE text IS NOT NULL""")
+def prompt_assembly(spark, d):
+    null = F.lit(None).cast("string")
+    made = assemble.prompt(null, F.array("text"), F.array().cast("array<string>"), F.lit("say hello"), null)
+    return P.table(spark, d, "documents").where("text is not null").select("doc_id", made.alias("prompt"))
+
+
+@query()
+def rate_limit(spark, d):
+    """Requests of each user over 20 an hour, windows anchored at requests."""
+    e = P.table(spark, d, "events").select("event_id", "user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("at"))
+    return limited(e, "user_id", "at", "event_id", 3_600_000, 20)

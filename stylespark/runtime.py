@@ -1,4 +1,4 @@
-"""Gives Python workers on any executor this package."""
+"""What every operator needs of its session: this package on the workers, and a shared folder."""
 
 from __future__ import annotations
 
@@ -6,10 +6,11 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -29,3 +30,44 @@ def ship(spark: SparkSession) -> SparkSession:
                     out.write(p, p.relative_to(top.parent))
             context.addPyFile(name)
     return spark
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path below spark.checkpoint.dir; where that is unset, below a temporary folder in local mode, else beside the warehouse's tables."""
+    conf = spark.sparkContext.getConf()
+    root = conf.get("spark.checkpoint.dir") or spark.conf.get("stylespark.shared.dir", None)
+    if not root:
+        if conf.get("spark.master", "local").startswith("local[") or conf.get("spark.master", "local") == "local":
+            folder = tempfile.mkdtemp(prefix="stylespark-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            root = f"file://{folder}"
+        else:
+            root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+        spark.conf.set("stylespark.shared.dir", root)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back: cuts the lineage and survives lost executors."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def with_text(df: DataFrame, name: str, inputs: list[str], function) -> DataFrame:
+    """df with a string column computed row by row on Arrow batches: function(*values).
+
+    A step of its own in the plan, so that later expressions may use the column inside lambdas."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    base = ship(df.sparkSession) and df.drop(name)
+    at = [base.columns.index(c) for c in inputs]
+
+    def run(batches):
+        for batch in batches:
+            columns = [batch.column(k).to_pylist() for k in at]
+            new = pa.array([function(*row) for row in zip(*columns, strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, new], names=[*batch.schema.names, name])
+
+    return base.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField(name, T.StringType())]))
