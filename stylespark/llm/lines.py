@@ -40,13 +40,15 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
     """
     prepared(docs.sparkSession)
     found = written(boilerplate(docs, host, text, ratio, least_pages), "boilerplate")
-    lists = found.groupBy(F.col("_host")).agg(F.collect_list("_line").alias("_drop"))
+    lists = found.groupBy("_host").agg(F.collect_list("_line").alias("_drop"))
     lists = F.broadcast(lists) if found.count() <= MOST_LINES else lists
-    lines = F.split(text, "\n")
-    kept = F.filter(lines, lambda x: ~(F.array_contains("_drop", _key(x)) & (F.trim(x) != "")))
     rest = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    joined = docs.select(*rest).join(lists, F.col(host) == F.col("_host"), "left")
-    size = F.coalesce(F.size(lines), F.lit(0)).cast("long")
-    done = joined.withColumn("_lines", F.when(F.col(text).isNull(), None).when(F.col("_drop").isNull(), lines).otherwise(kept)).withColumn("n_lines", F.when(F.col(text).isNull(), F.lit(0).cast("long")).otherwise(size))
-    done = done.withColumn("n_dropped", F.when(F.col(text).isNull(), F.lit(0).cast("long")).otherwise(F.col("n_lines") - F.size("_lines")))
-    return done.select(*[F.when(F.col("n_dropped") > 0, F.array_join("_lines", "\n")).otherwise(F.col(text)).alias(c) if c == text else F.col(c) for c in rest], "n_lines", "n_dropped")
+    row = F.col("_row")  # names of docs stay inside it and can't clash
+    joined = docs.select(F.struct(*rest).alias("_row")).join(lists, row[host] == F.col("_host"), "left")
+    lines = F.split(row[text], "\n")
+    kept = F.filter(lines, lambda x: ~(F.array_contains("_drop", _key(x)) & (F.trim(x) != "")))
+    done = joined.withColumn("_lines", F.when(F.col("_drop").isNull(), lines).otherwise(kept))
+    n = F.when(row[text].isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")
+    dropped = F.when(row[text].isNull(), F.lit(0)).otherwise(F.size(lines) - F.size("_lines")).cast("long")
+    clean = F.when(dropped > 0, F.array_join("_lines", "\n")).otherwise(row[text])
+    return done.select(*[(clean if c == text else row[c]).alias(c) for c in rest], n.alias("n_lines"), dropped.alias("n_dropped"))
