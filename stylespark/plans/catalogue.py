@@ -102,13 +102,10 @@ def _register(medium: str, text: str) -> str:
  WHEN {_W.format(text)} <= 6 AND NOT contains(trim({text}, ' ' || chr(10)), chr(10)) THEN 'chat' ELSE CASE {medium} WHEN 'email' THEN 'email' WHEN 'slack' THEN 'longform' ELSE 'chat' END END"""
 
 
-_SHORT = "CASE WHEN doc_id % 2 = 1 THEN substr(raw_text, 1, 200) ELSE raw_text END"
-
-
-@query(f"WITH {P.UNITS}, s AS (SELECT doc_id, medium, {_SHORT} AS t FROM p_units) SELECT doc_id, {_register('medium', 't')} AS register FROM s")
+@query(f"WITH {P.UNITS} SELECT doc_id, {_register('medium', 'raw_text')} AS register FROM p_units")
 def register_classify(spark, d):
-    t = F.when(F.pmod("doc_id", F.lit(2)) == 1, F.substring("raw_text", 1, 200)).otherwise(F.col("raw_text"))
-    return P.units(spark, d).withColumn("t", t).select("doc_id", T.classify_register(F.col("medium"), F.col("t"), T.count_words(F.col("t"))).alias("register"))
+    t = F.col("raw_text")
+    return P.units(spark, d).select("doc_id", T.classify_register(F.col("medium"), t, T.count_words(t)).alias("register"))
 
 
 _ID = "sha256(" + " || '|' || ".join(f"length({c}) || ':' || {c}" for c in ("author_id", "medium", "source_uri", "{}")) + ")"
