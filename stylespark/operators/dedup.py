@@ -39,9 +39,13 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(common / (F.size(a) + F.size(b) - common))
 
 
+def _bands(sets: DataFrame) -> DataFrame:
+    return settled(sets.select("item", F.explode(band_keys(F.col("sh"))).alias("key")), "bands")
+
+
 def candidate_pairs(sets: DataFrame) -> DataFrame:
     """(a, b): every pair of sets that share a band, a > b. sets: item, sh."""
-    keys = settled(sets.select("item", F.explode(band_keys(F.col("sh"))).alias("key")), "bands")
+    keys = _bands(sets)
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     live = keys.join(shared, "key")
     return live.alias("x").join(live.alias("y"), "key").where("x.item > y.item").select(F.col("x.item").alias("a"), F.col("y.item").alias("b")).distinct()
@@ -53,6 +57,26 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", similarity(F.col("x"), F.col("y")).alias("jaccard")).where(F.col("jaccard") >= threshold)
 
 
+def cluster_roots(sets: DataFrame, threshold: float) -> DataFrame:
+    """node, root: components of the sets that are linked, as if every pair that shares a band had been compared.
+
+    Each set is first compared with the least one of its bands, which links most of a group of near copies. A pair
+    inside one component changes nothing, so what remains are the pairs of a band in different components."""
+    keys = _bands(sets)
+    heads = keys.groupBy("key").agg(F.min("item").alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head")
+    live = keys.join(heads, "key")
+    led = live.where("item <> head").select(F.col("item").alias("a"), F.col("head").alias("b")).distinct()
+    forest = components(confirmed(led, sets, threshold).select("a", "b"))
+    rooted = live.join(forest.withColumnRenamed("node", "item"), "item", "left").select("key", "item", F.coalesce("root", "item").alias("root"))
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    rest = rooted.join(mixed, "key")
+    apart = rest.alias("x").join(rest.alias("y"), "key").where("x.item > y.item and x.root <> y.root").select(F.col("x.item").alias("a"), F.col("y.item").alias("b")).distinct()
+    more = settled(confirmed(apart, sets, threshold).select("a", "b"), "links")
+    if not more.limit(1).count():
+        return forest
+    return components(forest.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+
+
 def _sets(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Items with the least id of equal sets, and the distinct sets that aren't empty."""
     full = items.withColumn("sh", F.sort_array(shingles(F.col("text")))).withColumn("digest", F.when(F.size("sh") > 0, F.xxhash64("sh")))
@@ -70,7 +94,6 @@ def duplicate_pairs(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame
 def near_duplicates(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """id, dedup_cluster_id, is_canonical: clusters are transitive, the earliest timestamp (then least id) names its cluster."""
     own, sets = _sets(items)
-    root = components(confirmed(candidate_pairs(sets), sets, threshold).select("a", "b"))
-    placed = own.join(root.withColumnRenamed("node", "item"), "item", "left").withColumn("root", F.coalesce("root", "item"))
+    placed = own.join(cluster_roots(sets, threshold).withColumnRenamed("node", "item"), "item", "left").withColumn("root", F.coalesce("root", "item"))
     first = placed.groupBy("root").agg(F.min(F.struct("timestamp", "id"))["id"].alias("dedup_cluster_id"))
     return placed.join(first, "root").select("id", "dedup_cluster_id", (F.col("id") == F.col("dedup_cluster_id")).alias("is_canonical"))
