@@ -37,10 +37,10 @@ def gate_b(words: Column) -> Column:
     return F.struct(F.lit("none").alias("flag"), (words < LEAST_WORDS_B).alias("abstained"))
 
 
-def gate_result(verdict_: Column, percentile: Column, flag: Column, cold_start: Column, extras: Column) -> Column:
+def gate_result(verdict_: Column, gate_a: Column, percentile: Column, flag: Column, cold_start: Column, extras: Column) -> Column:
     """The service's answer: extra failures turn PASS to REVIEW; failed lists all that failed in a fixed order."""
     final = F.when((F.size(extras) > 0) & (verdict_ == "PASS"), "REVIEW").otherwise(verdict_)
-    failed = F.concat(extras, F.filter(F.array(F.when(verdict_ != "PASS", "gate_a"), F.when(flag != "none", "gate_b"), F.when(cold_start, "cold_start")), lambda x: x.isNotNull()))
+    failed = F.concat(extras, F.filter(F.array(F.when(~gate_a, "gate_a"), F.when(flag != "none", "gate_b"), F.when(cold_start, "cold_start")), lambda x: x.isNotNull()))
     similarity = F.greatest(F.lit(0.0), F.least(F.lit(1.0), percentile))
     prob = F.coalesce(*[F.when(flag == k, F.lit(v)) for k, v in GATE_B_PROB.items()])
     return F.struct(final.alias("verdict"), (final == "PASS").alias("passed"), similarity.alias("similarity"), similarity.alias("register_fit"), prob.alias("detector_prob"), failed.alias("failed"))

@@ -63,10 +63,12 @@ class Generated:
 
 
 def generate(prompt: Callable[[str | None], str], model: Callable[[str], str], evaluate: Callable[[str], Verdict] | None) -> Generated:
-    """Up to ATTEMPTS drafts, again only while the style gate fails; the best by percentile, the earliest on ties.
+    """Up to ATTEMPTS drafts, until one reaches the style gate's threshold; else the best by percentile, the earliest on ties.
     Without a profile (evaluate is None): one draft, for review."""
     if evaluate is None:
-        return Generated(model(prompt(None)), Verdict("REVIEW", 0.0, False), 1, True)
+        if not (text := model(prompt(None))):
+            raise ValueError("the model gave no text")
+        return Generated(text, Verdict("REVIEW", 0.0, False), 1, True)
     best: Generated | None = None
     for attempt in range(1, ATTEMPTS + 1):
         text = model(prompt(nudge(best.verdict) if best else None))
@@ -75,8 +77,9 @@ def generate(prompt: Callable[[str | None], str], model: Callable[[str], str], e
         got = evaluate(text)
         if best is None or got.percentile > best.verdict.percentile:
             best = Generated(text, got, attempt, False)
-        if got.verdict != "FAIL":
+        if got.gate_a:
             return Generated(text, got, attempt, False)
+    best.attempts = ATTEMPTS
     return best
 
 

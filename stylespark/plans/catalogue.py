@@ -282,7 +282,7 @@ vo AS (SELECT lang, word, sum(n) AS total, row_number() OVER (PARTITION BY lang
 sz AS (SELECT lang, doc_id, sum(n) AS size FROM ct GROUP BY ALL),
 dn AS (SELECT d.lang, d.doc_id, d.label, v.word, coalesce(ct.n / CAST(sz.size AS DOUBLE), 0) AS f FROM dc d JOIN vo v ON v.lang = d.lang LEFT JOIN ct ON ct.lang = d.lang AND ct.doc_id = d.doc_id AND ct.word = v.word LEFT JOIN sz ON sz.lang = d.lang AND sz.doc_id = d.doc_id),
 ms AS (SELECT lang, word, avg(f) AS mean, CASE WHEN stddev_pop(f) < 1e-12 THEN 1 ELSE stddev_pop(f) END AS std FROM dn GROUP BY lang, word),
-ce AS (SELECT dn.lang, dn.word, any_value(mean) AS mean, any_value(std) AS std, avg((f - mean) / std) FILTER (WHERE label = 1) AS centroid FROM dn JOIN ms ON ms.lang = dn.lang AND ms.word = dn.word GROUP BY dn.lang, dn.word),
+ce AS (SELECT dn.lang, dn.word, any_value(mean) AS mean, any_value(std) AS std, avg((f - mean) / std) FILTER (WHERE label = 1) AS centroid FROM dn JOIN ms ON ms.lang = dn.lang AND ms.word = dn.word GROUP BY dn.lang, dn.word HAVING count(*) FILTER (WHERE label = 1) > 0),
 sc AS (SELECT dn.lang, dn.doc_id, any_value(label) AS label, round(sum((f - mean) / std * centroid) / (sqrt(sum(((f - mean) / std) ** 2)) * sqrt(sum(centroid ** 2))), 6) AS score FROM dn JOIN ce ON ce.lang = dn.lang AND ce.word = dn.word GROUP BY dn.lang, dn.doc_id)"""
 
 
@@ -328,7 +328,7 @@ def cosine_delta(spark, d):
 
 
 _RANKS = "rk AS (SELECT lang, label, score, rank() OVER (PARTITION BY lang ORDER BY score) + (count(*) OVER (PARTITION BY lang, score) - 1) / CAST(2 AS DOUBLE) AS r FROM sc)"
-_AUC = "(sum(CASE WHEN label = 1 THEN r ELSE 0 END) - sum(label) * (sum(label) + 1) / CAST(2 AS DOUBLE)) / (sum(label) * sum(1 - label))"
+_AUC = "(sum(CASE WHEN label = 1 THEN r ELSE 0 END) - sum(label) * (sum(label) + 1) / CAST(2 AS DOUBLE)) / nullif(sum(label) * sum(1 - label), 0)"
 
 
 @query(f"WITH {_STYLE}, {_RANKS} SELECT lang, CAST(sum(label) AS BIGINT) AS n_genuine, CAST(sum(1 - label) AS BIGINT) AS n_impostor, round({_AUC}, 4) AS roc_auc, round({_AUC}, 4) < 0.6 AS low_separation FROM rk GROUP BY lang")
@@ -360,13 +360,13 @@ def gate_verdict(spark, d):
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 5 = 0 AND doc_id % 3 = 0 THEN 'REVIEW' ELSE CASE doc_id % 3 WHEN 0 THEN 'PASS' WHEN 1 THEN 'REVIEW' ELSE 'FAIL' END END AS verdict,
-list_filter([CASE WHEN doc_id % 5 = 0 THEN 'meaning' END, CASE WHEN doc_id % 3 <> 0 THEN 'gate_a' END, CASE WHEN doc_id % 4 = 1 THEN 'gate_b' END, CASE WHEN doc_id % 7 = 0 THEN 'cold_start' END], lambda x: x IS NOT NULL) AS failed,
+list_filter([CASE WHEN doc_id % 5 = 0 THEN 'meaning' END, CASE WHEN doc_id % 2 <> 0 THEN 'gate_a' END, CASE WHEN doc_id % 4 = 1 THEN 'gate_b' END, CASE WHEN doc_id % 7 = 0 THEN 'cold_start' END], lambda x: x IS NOT NULL) AS failed,
 CAST(CASE WHEN doc_id % 4 = 1 THEN 0.85 ELSE 0 END AS DOUBLE) AS detector_prob FROM documents""")
 def gate_result_mapping(spark, d):
     k = F.col("doc_id")
     v = F.when(k % 3 == 0, "PASS").when(k % 3 == 1, "REVIEW").otherwise("FAIL")
     extras = F.filter(F.array(F.when(k % 5 == 0, "meaning")), lambda x: x.isNotNull())
-    got = gate.gate_result(v, (k % 100) / F.lit(100.0), F.when(k % 4 == 1, "high").otherwise("none"), k % 7 == 0, extras)
+    got = gate.gate_result(v, k % 2 == 0, (k % 100) / F.lit(100.0), F.when(k % 4 == 1, "high").otherwise("none"), k % 7 == 0, extras)
     return P.table(spark, d, "documents").select("doc_id", got.alias("g")).select("doc_id", "g.verdict", "g.failed", "g.detector_prob")
 
 

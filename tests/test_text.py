@@ -90,7 +90,7 @@ def test_limits():
 def test_generation_and_jobs():
     verdicts = iter([Verdict("FAIL", 0.1, False), Verdict("FAIL", 0.3, False), Verdict("FAIL", 0.3, False)])
     got = generate(lambda n: n or "first", lambda p: p, lambda t: next(verdicts))
-    assert got.attempts == 2
+    assert got.attempts == 3 and got.verdict.percentile == 0.3  # all drafts that were made
     assert generate(lambda n: "x", lambda p: p, None).verdict.verdict == "REVIEW"
     jobs = Jobs()
     name, thread = jobs.start(lambda: 1 / 0)
