@@ -14,6 +14,8 @@ from stylespark.llm.common import prepared, written
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Documents whose best language has a lower score are rejected with those of no language.
 LEAST_LANGUAGE_SCORE = 0.34
+#: Near copies share this part of their shingles of so many words. op5_ngram_jaccard_join has values of its own.
+NEAR_SHINGLE, NEAR_PERCENT = 5, 80
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +37,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones, that of the smallest doc_id. Rows without a doc_id stay."""
-    rest = written(jaccard.jaccard_join(docs).where("component_id <> doc_id").select("doc_id").distinct(), "duplicates")
+    rest = written(jaccard.jaccard_join(docs, shingle=NEAR_SHINGLE, percent=NEAR_PERCENT).where("component_id <> doc_id").select("doc_id").distinct(), "duplicates")
     return docs.join(rest, "doc_id", "left_anti").select(*COLUMNS)
 
 

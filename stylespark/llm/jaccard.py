@@ -3,7 +3,7 @@
 The join is a prefix-filtered index join that skips by set relations, at two levels:
 
 * Index level. The shingles of a set are put in one global order, rare ones first. A set is listed under its
-  first n - ceil(0.85 n) + 1 shingles, with its size and the shingle's position. Entries of a list fall
+  first n - ceil(t n) + 1 shingles (t is the threshold), with its size and the shingle's position. Entries of a list fall
   into blocks of equal size and position. Whole pairs of blocks are skipped where the size
   or the position rules out enough common shingles.
 * Answer level. In each list the set with the lowest position is a leader. Every other set of the list is
@@ -30,9 +30,8 @@ from pyspark.sql import functions as F
 from stylespark.llm.common import prepared, slices, written
 from stylespark.llm.graph import stars
 
-SHINGLE = 4
-#: Two sets link when 100 * |intersection| >= PERCENT * |union|.
-PERCENT = 85
+#: Words of a shingle and threshold of the op5 query: two sets link when 100 * |intersection| >= PERCENT * |union|.
+SHINGLE, PERCENT = 4, 85
 BUCKETS = 1 << 20
 CHUNK = 1 << 14
 #: Bits of the filter of sets that are to be compared. When it fills up, sets pass that aren't needed.
@@ -72,8 +71,8 @@ class Powers:
 POWERS = Powers()
 
 
-def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text: every run of four words, or all words where there are fewer."""
+def shingle_sets(texts: list[str | None], shingle: int) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of each text: every run of `shingle` words, or all words where there are fewer."""
     raw = [(t or "").encode("utf-8", "replace").translate(FOLD) for t in texts]
     for a, b in slices([len(r) for r in raw]):
         joined = b" " + b" ".join(raw[a:b]) + b" "
@@ -87,16 +86,16 @@ def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
         at = np.concatenate(([1], 1 + np.cumsum([len(r) + 1 for r in raw[a:b]])))
         first = np.searchsorted(begin, at)
         grams = words[:0]
-        if len(words) >= SHINGLE:
-            n = len(words) - SHINGLE + 1
+        if len(words) >= shingle:
+            n = len(words) - shingle + 1
             grams = words[:n].copy()
-            for k in range(1, SHINGLE):
+            for k in range(1, shingle):
                 grams = grams * MIX[3] + words[k : n + k]
             grams = mixed(grams)
         for i in range(b - a):
             lo, hi = first[i], first[i + 1]
-            if hi - lo >= SHINGLE:
-                yield np.unique(grams[lo : hi - SHINGLE + 1])
+            if hi - lo >= shingle:
+                yield np.unique(grams[lo : hi - shingle + 1])
             elif hi > lo:
                 own = U(hi - lo)
                 for w in words[lo:hi]:
@@ -112,19 +111,19 @@ def entity(own: np.ndarray) -> int:
     return int(mixed(total * MIX[3] + U(len(own)))[0] ^ mixed(total)[1]) - (1 << 63)
 
 
-def needed(sizes: np.ndarray, others: np.ndarray) -> np.ndarray:
+def needed(sizes: np.ndarray, others: np.ndarray, percent: int) -> np.ndarray:
     """The least intersection of sets of these sizes that link."""
-    return -(-PERCENT * (sizes + others) // (100 + PERCENT))
+    return -(-percent * (sizes + others) // (100 + percent))
 
 
-def listed(n: int) -> int:
+def listed(n: int, percent: int) -> int:
     """How many shingles of a set of n are listed."""
-    return n - -(-PERCENT * n // 100) + 1
+    return n - -(-percent * n // 100) + 1
 
 
-def size_class(n: np.ndarray) -> np.ndarray:
+def size_class(n: np.ndarray, percent: int) -> np.ndarray:
     """Sets of one class differ in size by less than the threshold allows."""
-    return np.floor(np.log(np.maximum(n, 1)) / np.log(100 / PERCENT)).astype(np.int32)
+    return np.floor(np.log(np.maximum(n, 1)) / np.log(100 / percent)).astype(np.int32)
 
 
 def batch_of(names: list[str], *columns) -> pa.RecordBatch:
@@ -160,37 +159,41 @@ def merged(parts: DataFrame, size: int) -> np.ndarray:
 FIRST = "doc_id long, n_shingles long, ent long, chunk int, data binary"
 
 
-def _first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _first(shingle: int):
     """Each document's set size and entity; then the partition's counters."""
-    seen = np.zeros(BUCKETS, np.uint32)
-    names = [x.split()[0] for x in FIRST.split(", ")]
-    for batch in batches:
-        size, ent = [], []
-        for own in shingle_sets(batch.column(1).to_pylist()):
-            size.append(len(own))
-            ent.append(entity(own) if len(own) else None)
-            np.add.at(seen, (own >> U(44)).astype(np.int64), np.uint32(1))
-        n = len(size)
-        yield batch_of(names, batch.column(0), pa.array(size, pa.int64()), pa.array(ent, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()))
-    got = list(chunks(seen))
-    yield batch_of(names, *(pa.nulls(len(got), pa.int64()) for _ in range(3)), pa.array([k for k, _ in got], pa.int32()), pa.array([d for _, d in got], pa.binary()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(BUCKETS, np.uint32)
+        names = [x.split()[0] for x in FIRST.split(", ")]
+        for batch in batches:
+            size, ent = [], []
+            for own in shingle_sets(batch.column(1).to_pylist(), shingle):
+                size.append(len(own))
+                ent.append(entity(own) if len(own) else None)
+                np.add.at(seen, (own >> U(44)).astype(np.int64), np.uint32(1))
+            n = len(size)
+            yield batch_of(names, batch.column(0), pa.array(size, pa.int64()), pa.array(ent, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()))
+        got = list(chunks(seen))
+        yield batch_of(names, *(pa.nulls(len(got), pa.int64()) for _ in range(3)), pa.array([k for k, _ in got], pa.int32()), pa.array([d for _, d in got], pa.binary()))
+
+    return run
 
 
 POSTINGS = "key long, salt int, ent long, size int, pos int"
 
 
-def _postings(levels, salts):
+def _postings(levels, salts, shingle: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, salt = levels.value, salts
         seen: set[int] = set()
         for batch in batches:
             key, ent, size, pos = [], [], [], []
-            for own in shingle_sets(batch.column(0).to_pylist()):
+            for own in shingle_sets(batch.column(0).to_pylist(), shingle):
                 if not len(own) or (e := entity(own)) in seen:
                     continue
                 if len(seen) < SEEN:
                     seen.add(e)
-                n, many = len(own), listed(len(own))
+                n, many = len(own), listed(len(own), percent)
                 order = level[(own >> U(44)).astype(np.int64)].astype(U) << U(56) | own >> U(8)
                 if many < n:
                     order = np.partition(order, many - 1)[:many]
@@ -229,41 +232,41 @@ def _lists(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[np.
 LED = "key long, ent long, size int, pos int, lead long"
 
 
-def _led(spread: np.ndarray):
-    return lambda batches: _lead(batches, spread)
+def _led(spread: np.ndarray, percent: int):
+    return lambda batches: _lead(batches, spread, percent)
 
 
-def _lead(batches: Iterator[pa.RecordBatch], spread: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _lead(batches: Iterator[pa.RecordBatch], spread: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
     """Entries of lists of two sets or more, but pairs that can't link. lead: a set to compare with first, or the entry itself."""
     for key, salt, ent, size, pos in _lists(batches, 2):
         new = np.concatenate(([True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1]) | (ent[1:] != ent[:-1]) | (pos[1:] != pos[:-1])))  # one entry per entity
         key, salt, ent, size, pos = (c[new] for c in (key, salt, ent, size, pos))
-        kind = size_class(size)
+        kind = size_class(size, percent)
         order = np.lexsort((ent, pos, kind, salt, key))
         first = np.concatenate(([True], np.any([c[order][1:] != c[order][:-1] for c in (key, salt, kind)], axis=0)))
         head = order[np.flatnonzero(first)[np.cumsum(first) - 1]]
         lead = np.empty_like(ent)
-        lead[order] = np.where(may_link(size[order], pos[order], size[head], pos[head]), ent[head], ent[order])
+        lead[order] = np.where(may_link(size[order], pos[order], size[head], pos[head], percent), ent[head], ent[order])
         start = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1]))))
         many = np.diff(np.append(start, len(key)))
         two = start[many == 2]
         keep = np.repeat(many > 2, many)
-        keep[two] = keep[two + 1] = may_link(size[two], pos[two], size[two + 1], pos[two + 1])
+        keep[two] = keep[two + 1] = may_link(size[two], pos[two], size[two + 1], pos[two + 1], percent)
         # A salted list has its other entries in other tasks.
         keep |= spread[(key.view(U) >> U(56)).astype(np.int64)] > 1
         yield batch_of([x.split()[0] for x in LED.split(", ")], *(c[keep] for c in (key, ent, size, pos, lead)))
 
 
-def may_link(sa: np.ndarray, pa_: np.ndarray, sb: np.ndarray, pb: np.ndarray) -> np.ndarray:
+def may_link(sa: np.ndarray, pa_: np.ndarray, sb: np.ndarray, pb: np.ndarray, percent: int) -> np.ndarray:
     """Whether sets of these sizes that share a shingle at these positions may link."""
     sa, pa_, sb, pb = (x.astype(np.int64) for x in (sa, pa_, sb, pb))
-    need = needed(sa, sb)
+    need = needed(sa, sb, percent)
     return (np.minimum(sa, sb) >= need) & (np.minimum(sa - pa_, sb - pb) >= need)
 
 
-def possible(sa, pa_, sb, pb) -> Column:
+def possible(sa, pa_, sb, pb, percent: int) -> Column:
     """Whether sets of these sizes that share a shingle at these positions may link."""
-    need = F.ceil(F.lit(PERCENT) * (sa + sb) / F.lit(100 + PERCENT))
+    need = F.ceil(F.lit(percent) * (sa + sb) / F.lit(100 + percent))
     return (F.least(sa, sb) >= need) & (F.least(sa - pa_, sb - pb) >= need)
 
 
@@ -285,12 +288,12 @@ def _any(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield batch_of(["chunk", "data"], pa.array(list(total), pa.int32()), pa.array([zlib.compress(v.tobytes(), 1) for v in total.values()], pa.binary()))
 
 
-def _members(shared):
+def _members(shared, shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = shared.value, set()
         for batch in batches:
             ent, data = [], []
-            for own in shingle_sets(batch.column(0).to_pylist()):
+            for own in shingle_sets(batch.column(0).to_pylist(), shingle):
                 if not len(own):
                     continue
                 e = entity(own)
@@ -305,71 +308,78 @@ def _members(shared):
     return run
 
 
-def sets_of(texts: DataFrame, ents: DataFrame) -> DataFrame:
+def sets_of(texts: DataFrame, ents: DataFrame, shingle: int) -> DataFrame:
     """ent, data (its shingles) of the entities in ents, and perhaps of others; each once."""
     parts = ents.select("ent").mapInArrow(_bits, "chunk int, data binary")
     bits = np.zeros((FILTER_BITS // 32 // CHUNK, CHUNK), np.uint32)
     for r in parts.repartition(8, "chunk").mapInArrow(_any, "chunk int, data binary").collect():  # FILTER_BITS bits
         bits[r.chunk] = np.frombuffer(zlib.decompress(r.data), np.uint32)
     shared = texts.sparkSession.sparkContext.broadcast(bits.ravel())
-    return texts.select("text").mapInArrow(_members(shared), "ent long, data binary").groupBy("ent").agg(F.first("data").alias("data"))
+    return texts.select("text").mapInArrow(_members(shared, shingle), "ent long, data binary").groupBy("ent").agg(F.first("data").alias("data"))
 
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep, common = [], []
-        for x, y in zip(batch.column(2), batch.column(3), strict=True):
-            x, y = (np.frombuffer(v.as_buffer(), U) for v in (x, y))
-            both = np.concatenate((x, y))
-            both.sort()
-            n = int(np.count_nonzero(both[1:] == both[:-1]))
-            keep.append(100 * n >= PERCENT * (len(both) - n))
-            common.append(n)
-        mask = pa.array(keep, pa.bool_())
-        yield batch_of(["u", "v"], batch.column(0).filter(mask), batch.column(1).filter(mask))
-
-
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _linked(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep, common = [], []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), U) for v in (x, y))
+                both = np.concatenate((x, y))
+                both.sort()
+                n = int(np.count_nonzero(both[1:] == both[:-1]))
+                keep.append(100 * n >= percent * (len(both) - n))
+                common.append(n)
+            mask = pa.array(keep, pa.bool_())
+            yield batch_of(["u", "v"], batch.column(0).filter(mask), batch.column(1).filter(mask))
+
+    return run
+
+
+def verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (u, v) whose whole sets link. The sets are made anew from the texts: only those of the pairs are shuffled."""
-    sets = sets_of(texts, pairs.select(F.explode(F.array("u", "v")).alias("ent")))
+    sets = sets_of(texts, pairs.select(F.explode(F.array("u", "v")).alias("ent")), shingle)
     left = pairs.join(sets.select(F.col("ent").alias("u"), F.col("data").alias("x")), "u")
     both = left.join(sets.select(F.col("ent").alias("v"), F.col("data").alias("y")), "v").select("u", "v", "x", "y")
-    return both.mapInArrow(_linked, "u long, v long")
+    return both.mapInArrow(_linked(percent), "u long, v long")
 
 
-def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _between(percent: int):
     """Pairs of a list in different components that may link, by blocks of equal size and position."""
-    for rows in _lists(batches, 3):
-        key, i, j, block, ent, size, pos, root = rows
-        start = np.flatnonzero(np.concatenate(([True], np.any([c[1:] != c[:-1] for c in (key, i, j)], axis=0))))
-        for a, b in zip(start, np.append(start[1:], len(key)), strict=True):
-            if b - a < 2:
-                continue
-            order = a + np.lexsort((pos[a:b], size[a:b]))
-            e, s, p, r, own = ent[order], size[order].astype(np.int64), pos[order].astype(np.int64), root[order], block[order]
-            cell = np.flatnonzero(np.concatenate(([True], (s[1:] != s[:-1]) | (p[1:] != p[:-1]))))
-            ends = np.append(cell[1:], len(s))
-            cs, cp = s[cell], p[cell]
-            cross = i[a] != j[a]
-            for c in range(len(cell)):
-                far = np.searchsorted(cs, cs[c] * 100 // PERCENT, side="right")  # larger sizes can't link
-                need = needed(cs[c], cs[c:far])
-                ok = np.flatnonzero((np.minimum(cs[c] - cp[c], cs[c:far] - cp[c:far]) >= need) & (cs[c] >= need)) + c
-                for d in ok:
-                    for f in range(cell[c], ends[c], max(1, GRID // (ends[d] - cell[d]))):
-                        x = np.arange(f, min(ends[c], f + max(1, GRID // (ends[d] - cell[d]))))
-                        y = np.arange(cell[d], ends[d])
-                        hit = r[x][:, None] != r[y][None, :]
-                        if c == d:
-                            hit &= x[:, None] < y[None, :]
-                        if cross:
-                            hit &= own[x][:, None] != own[y][None, :]
-                        u, v = np.nonzero(hit)
-                        if len(u):
-                            yield batch_of(["u", "v"], np.maximum(e[x][u], e[y][v]), np.minimum(e[x][u], e[y][v]))
-
-
-def entity_links(texts: DataFrame, first: DataFrame) -> DataFrame:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _lists(batches, 3):
+            key, i, j, block, ent, size, pos, root = rows
+            start = np.flatnonzero(np.concatenate(([True], np.any([c[1:] != c[:-1] for c in (key, i, j)], axis=0))))
+            for a, b in zip(start, np.append(start[1:], len(key)), strict=True):
+                if b - a < 2:
+                    continue
+                order = a + np.lexsort((pos[a:b], size[a:b]))
+                e, s, p, r, own = ent[order], size[order].astype(np.int64), pos[order].astype(np.int64), root[order], block[order]
+                cell = np.flatnonzero(np.concatenate(([True], (s[1:] != s[:-1]) | (p[1:] != p[:-1]))))
+                ends = np.append(cell[1:], len(s))
+                cs, cp = s[cell], p[cell]
+                cross = i[a] != j[a]
+                for c in range(len(cell)):
+                    far = np.searchsorted(cs, cs[c] * 100 // percent, side="right")  # larger sizes can't link
+                    need = needed(cs[c], cs[c:far], percent)
+                    ok = np.flatnonzero((np.minimum(cs[c] - cp[c], cs[c:far] - cp[c:far]) >= need) & (cs[c] >= need)) + c
+                    for d in ok:
+                        for f in range(cell[c], ends[c], max(1, GRID // (ends[d] - cell[d]))):
+                            x = np.arange(f, min(ends[c], f + max(1, GRID // (ends[d] - cell[d]))))
+                            y = np.arange(cell[d], ends[d])
+                            hit = r[x][:, None] != r[y][None, :]
+                            if c == d:
+                                hit &= x[:, None] < y[None, :]
+                            if cross:
+                                hit &= own[x][:, None] != own[y][None, :]
+                            u, v = np.nonzero(hit)
+                            if len(u):
+                                yield batch_of(["u", "v"], np.maximum(e[x][u], e[y][v]), np.minimum(e[x][u], e[y][v]))
+
+    return run
+
+
+def entity_links(texts: DataFrame, first: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(u, v): each entity that is linked with others, but the smallest, and its component's smallest entity."""
     spark = texts.sparkSession
     counts = merged(first.where("chunk is not null"), BUCKETS)
@@ -377,38 +387,38 @@ def entity_links(texts: DataFrame, first: DataFrame) -> DataFrame:
     salts = np.maximum(1, np.ceil(2 ** (np.arange(256) / 8) / LIST)).astype(np.int64)
     # Entries of a list are at most the documents; BUCKETS bytes are broadcast.
     shared = spark.sparkContext.broadcast(level)
-    postings = texts.select("text").mapInArrow(_postings(shared, salts), POSTINGS)
-    led = written(postings.repartition("key", "salt").sortWithinPartitions("key", "salt", "pos", "ent").mapInArrow(_led(salts), LED), "lists")
+    postings = texts.select("text").mapInArrow(_postings(shared, salts, shingle, percent), POSTINGS)
+    led = written(postings.repartition("key", "salt").sortWithinPartitions("key", "salt", "pos", "ent").mapInArrow(_led(salts, percent), LED), "lists")
     heads = led.where("ent = lead").groupBy("key").agg(F.min(F.struct("pos", "ent", "size")).alias("h"), F.countDistinct("ent").alias("n")).where("n > 1")
-    chief = led.where("ent = lead").join(heads, "key").where(possible(F.col("size"), F.col("pos"), F.col("h.size"), F.col("h.pos")) & (F.col("ent") != F.col("h.ent"))).select(F.col("ent").alias("a"), F.col("h.ent").alias("b"))
+    chief = led.where("ent = lead").join(heads, "key").where(possible(F.col("size"), F.col("pos"), F.col("h.size"), F.col("h.pos"), percent) & (F.col("ent") != F.col("h.ent"))).select(F.col("ent").alias("a"), F.col("h.ent").alias("b"))
     pairs = led.where("ent <> lead").select(F.col("ent").alias("a"), F.col("lead").alias("b")).unionByName(chief)
     pairs = written(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "pairs")
-    forest = stars(verified(pairs, texts))
+    forest = stars(verified(pairs, texts, shingle, percent))
     rooted = led.select("key", "ent", "size", "pos").join(forest.select(F.col("u").alias("ent"), F.col("v").alias("root")), "ent", "left").withColumn("root", F.coalesce("root", "ent"))
     rooted = written(rooted, "rooted")
     open_lists = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", F.ceil(F.col("n") / LIST).cast("int").alias("s"))
     dealt = rooted.join(open_lists, "key").withColumn("block", F.pmod(F.xxhash64("ent"), F.col("s")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "ent", "size", "pos", "root")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rest = written(dealt.repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_between, "u long, v long").distinct(), "pairs")
+    rest = written(dealt.repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_between(percent), "u long, v long").distinct(), "pairs")
     if not rest.limit(1).count():
         return forest
-    more = written(verified(rest, texts), "links")
+    more = written(verified(rest, texts, shingle, percent), "links")
     return stars(forest.unionByName(more)) if more.limit(1).count() else forest
 
 
-def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links); one row per row.
 
     Words are maximal runs of characters other than space and U+0009 to U+000D, with A-Z lowered. Null or empty
-    texts have the empty set and are linked with nothing, not even each other. Texts of fewer than four
-    words have one shingle. Equal sets are linked. Repeated rows are kept, with equal values. Null doc_ids
+    texts have the empty set and are linked with nothing, not even each other. Texts of fewer than `shingle`
+    words have one shingle. Sets link when 100 * |intersection| >= percent * |union|. Equal sets are linked. Repeated rows are kept, with equal values. Null doc_ids
     take part but never are a component's id unless it has no other. Further columns are ignored.
     """
     prepared(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    first = written(rows.mapInArrow(_first, FIRST), "sizes")
-    links = entity_links(rows, first)
+    first = written(rows.mapInArrow(_first(shingle), FIRST), "sizes")
+    links = entity_links(rows, first, shingle, percent)
     sized = first.where("chunk is null").select("doc_id", "n_shingles", "ent")
     rooted = sized.join(links.select(F.col("u").alias("ent"), F.col("v").alias("root")), "ent", "left").withColumn("root", F.coalesce("root", "ent"))
     least = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
