@@ -46,3 +46,13 @@ def test_near_duplicate_stage_takes_five_words_and_four_fifths(spark):
     got = {r.doc_id for r in stage(spark, "ngram_jaccard_join", [(k, t, "en", "s", 0) for k, t in rows])}
     want = brute_kept(rows, 5, 80)
     assert got == want and want != brute_kept(rows, 4, 85)
+
+
+def test_line_stage_leaves_copies_whole(spark):
+    """A group of copies on a third of a site's pages keeps its own lines, and one of it survives the next stage."""
+    copy = "menu\nfirst line of the copy\nsecond line of the copy"
+    rows = [(k, copy if k < 10 else f"menu\nown text {k}", "en", "s", 0) for k in range(30)]
+    done = stage(spark, "line_dedup", rows)
+    got = {r.doc_id: r.text for r in done}
+    assert got == {k: "first line of the copy\nsecond line of the copy" if k < 10 else f"own text {k}" for k in range(30)}
+    assert {r.doc_id for r in stage(spark, "ngram_jaccard_join", done)} == {0, *range(10, 30)}
