@@ -31,11 +31,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their sites' boilerplate lines; n_chars follows the text. Those left empty stay.
+    """Documents without their sites' boilerplate lines, on sites of any size; n_chars follows the text. Those left empty stay.
 
     Copies count as one page: they are left to the next stage, and make no line boilerplate.
     """
-    return lines.drop_boilerplate(docs, distinct=True).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return lines.drop_boilerplate(docs, least_pages=1, distinct=True).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

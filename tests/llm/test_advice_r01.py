@@ -48,6 +48,12 @@ def test_near_duplicate_stage_takes_five_words_and_four_fifths(spark):
     assert got == want and want != brute_kept(rows, 4, 85)
 
 
+def test_line_stage_cleans_small_sites(spark):
+    rows = [(k, f"menu\nown {k}", "en", f"s{k // 3}", 0) for k in range(9)] + [(9, "menu\nown 9", "en", "single", 0), (10, "menu\nown 10", "en", None, 0)]
+    got = {r.doc_id: r.text for r in stage(spark, "line_dedup", rows)}
+    assert got == {k: f"own {k}" for k in range(9)} | {9: "menu\nown 9", 10: "menu\nown 10"}
+
+
 def test_line_stage_leaves_copies_whole(spark):
     """A group of copies on a third of a site's pages keeps its own lines, and one of it survives the next stage."""
     copy = "menu\nfirst line of the copy\nsecond line of the copy"
