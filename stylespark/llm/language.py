@@ -24,8 +24,10 @@ from stylespark.llm.common import prepared, slices
 
 N = (2, 3, 4)
 DIM = 1 << 14
-#: Bounds of the sample: landmarks and training documents of a language, and languages (the most frequent).
-LANDMARKS, TRAIN, LANGUAGES = 64, 800, 64
+#: Bounds of the sample: landmarks and training documents of a language. Every language is learnt.
+LANDMARKS, TRAIN = 64, 800
+#: With more languages than MANY each has fewer, so that the sample doesn't grow, but no fewer than these.
+MANY, LEAST_LANDMARKS, LEAST_TRAIN = 64, 4, 50
 RIDGE = 1e-3
 #: Documents of a matrix product.
 BLOCK = 256
@@ -64,13 +66,20 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return x / np.sqrt(np.maximum(1.0, x.sum(1, keepdims=True)))
 
 
+def bound(most: int, least: int, languages: int) -> int:
+    """Landmarks or training documents of each of so many languages."""
+    return max(least, min(most, most * MANY // max(1, languages)))
+
+
 def fit(rows: np.ndarray, languages: list[str]) -> tuple[list[str], np.ndarray]:
-    """Names and the DIM x languages matrix, from presence rows and their languages. The first LANDMARKS rows of a language are landmarks."""
+    """Names and the DIM x languages matrix, from presence rows and their languages. The first LANDMARKS rows of a language (fewer where there are many languages) are landmarks."""
     names = sorted(set(languages))
-    y = np.array([names.index(v) for v in languages], np.int64)
+    place = {v: k for k, v in enumerate(names)}
+    y = np.array([place[v] for v in languages], np.int64)
     if not names:
         return [], np.zeros((DIM, 0), np.float32)
-    marks = np.concatenate([np.flatnonzero(y == k)[:LANDMARKS] for k in range(len(names))])
+    most = bound(LANDMARKS, LEAST_LANDMARKS, len(names))
+    marks = np.concatenate([np.flatnonzero(y == k)[:most] for k in range(len(names))])
     z = unit(rows[marks])
     values, vectors = np.linalg.eigh(z.astype(np.float64) @ z.T)
     keep = values > 1e-6 * values.max()
@@ -82,7 +91,7 @@ def fit(rows: np.ndarray, languages: list[str]) -> tuple[list[str], np.ndarray]:
         phi = (unit(rows[a : a + BLOCK]) @ z.T).astype(np.float64) @ root
         weight = (len(y) / len(names) / sizes[own])[:, None]
         gram += phi.T @ (phi * weight)
-        right += (phi * weight).T @ (2.0 * np.eye(len(names))[own] - 1)
+        right += (phi * weight).T @ (2.0 * (own[:, None] == np.arange(len(names))) - 1)
     solved = np.linalg.solve(gram + RIDGE * len(y) * np.eye(len(gram)), right)
     return names, (z.T.astype(np.float64) @ (root @ solved)).astype(np.float32)
 
@@ -115,14 +124,15 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
-    """Fit on a bounded sample of the documents that aren't held out, at most about TRAIN + 4 sqrt(TRAIN) a language."""
+    """Fit on a bounded sample of the documents that aren't held out, at most about TRAIN + 4 sqrt(TRAIN) of each language."""
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.coalesce(fold(doc_id), F.lit(1)) != 0)).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = rows.groupBy("lang").count().collect()  # one row per language
     if not counts:
         return fit(np.zeros((0, DIM), bool), [])
-    rate = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, TRAIN / r["count"]))])
+    most = bound(TRAIN, LEAST_TRAIN, len(counts))
+    rates = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, most / r["count"])) for r in counts], "lang string, rate double")
     place = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.where(place < rate[F.col("lang")]).mapInArrow(_features, "doc_id long, lang string, bits binary").collect()
+    sample = rows.join(F.broadcast(rates), "lang").where(place < F.col("rate")).select("doc_id", "lang", "text").mapInArrow(_features, "doc_id long, lang string, bits binary").collect()
     sample.sort(key=lambda r: (r.doc_id is None, r.doc_id or 0, r.lang, bytes(r.bits)))
     bits = np.frombuffer(b"".join(bytes(r.bits) for r in sample), np.uint8).reshape(len(sample), -1)
     return fit(np.unpackbits(bits, axis=1).astype(bool), [r.lang for r in sample])
@@ -136,7 +146,7 @@ def language_id(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lan
     order. Repeated rows are kept. lang, source and doc_id aren't read for a prediction.
     """
     spark = prepared(docs.sparkSession)
-    shared = spark.sparkContext.broadcast(model or train(docs, doc_id, text, lang))  # at most DIM x LANGUAGES floats
+    shared = spark.sparkContext.broadcast(model or train(docs, doc_id, text, lang))  # DIM floats a language
     kept = [c for c in docs.columns if c not in ("held_out", "lang_pred", "score")]
     base = docs.select(*kept, F.coalesce(fold(doc_id) == 0, F.lit(False)).alias("held_out"))
     at = base.columns.index(text)

@@ -62,3 +62,18 @@ def test_line_stage_leaves_copies_whole(spark):
     got = {r.doc_id: r.text for r in done}
     assert got == {k: "first line of the copy\nsecond line of the copy" if k < 10 else f"own text {k}" for k in range(30)}
     assert {r.doc_id for r in stage(spark, "ngram_jaccard_join", done)} == {0, *range(10, 30)}
+
+
+def test_every_language_is_learnt(spark):
+    """70 languages of own words; the rarest ones are among them."""
+    from stylespark.llm import language
+
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(70):
+        words = ["".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(3, 8))) for _ in range(30)]
+        rows += [(1000 * k + i, " ".join(rng.choice(words, 60)), f"l{k:02d}") for i in range(20 if k < 64 else 12)]
+    got = language.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert {r.lang_pred for r in got} == {f"l{k:02d}" for k in range(70)}
+    assert np.mean([r.lang_pred == r.lang for r in got if r.held_out]) >= 0.97
+    print("least score", min(r.score for r in got))
