@@ -39,9 +39,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones, that of the smallest doc_id. Rows without a doc_id stay."""
-    rest = written(jaccard.jaccard_join(docs, shingle=NEAR_SHINGLE, percent=NEAR_PERCENT).where("component_id <> doc_id").select("doc_id").distinct(), "duplicates")
-    return docs.join(rest, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each group of linked ones, that of the smallest doc_id (nulls last). Rows of empty texts stay."""
+    rows = written(docs.select(F.monotonically_increasing_id().alias("_row"), *COLUMNS), "rows")
+    groups = written(jaccard.jaccard_join(rows, "_row", shingle=NEAR_SHINGLE, percent=NEAR_PERCENT).select(F.col("doc_id").alias("_row"), "n_shingles", "component_id"), "groups")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    first = groups.where("n_shingles > 0").join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(order).alias("first"))
+    stay = first.select("first._row").unionByName(groups.where("n_shingles = 0").select("_row"))
+    return rows.join(stay, "_row", "left_semi").select(*COLUMNS)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

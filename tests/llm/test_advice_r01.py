@@ -77,3 +77,11 @@ def test_every_language_is_learnt(spark):
     assert {r.lang_pred for r in got} == {f"l{k:02d}" for k in range(70)}
     assert np.mean([r.lang_pred == r.lang for r in got if r.held_out]) >= 0.97
     print("least score", min(r.score for r in got))
+
+
+def test_near_duplicate_stage_drops_rows_not_ids(spark):
+    """Repeated rows and copies without a doc_id leave one row; a text that shares a duplicate's doc_id stays."""
+    near, other = " ".join(f"n{i}" for i in range(100)), " ".join(f"o{i}" for i in range(100))
+    rows = [(2, near), (2, near), (1, near + " tail"), (None, near), (2, other), (None, "x y z"), (None, "x y z"), (5, ""), (5, ""), (6, None)]
+    got = stage(spark, "ngram_jaccard_join", [(k, t, "en", "s", 0) for k, t in rows])
+    assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted([(1, near + " tail"), (2, other), (None, "x y z"), (5, ""), (5, ""), (6, None)], key=repr)
