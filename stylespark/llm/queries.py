@@ -17,7 +17,7 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_columns(documents(spark, sf_dir)).drop("tile")
+    return media.media_columns(documents(spark, sf_dir))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,3 +85,21 @@ def test_near_duplicate_stage_drops_rows_not_ids(spark):
     rows = [(2, near), (2, near), (1, near + " tail"), (None, near), (2, other), (None, "x y z"), (None, "x y z"), (5, ""), (5, ""), (6, None)]
     got = stage(spark, "ngram_jaccard_join", [(k, t, "en", "s", 0) for k, t in rows])
     assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted([(1, near + " tail"), (2, other), (None, "x y z"), (5, ""), (5, ""), (6, None)], key=repr)
+
+
+def test_media_query_returns_tiles(spark):
+    """A tile is an NPY of the mean over each cell of the text's image, cells cut at fractions of rows and columns."""
+    import io
+
+    from stylespark.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = queries.op2_media_columns(spark, sf).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        raw = (texts[r.doc_id] or "").encode()
+        gray = np.frombuffer(raw + bytes(-len(raw) % 64 or (0 if raw else 64)), np.uint8).reshape(-1, 64)
+        means = np.repeat(gray, 16, 0).reshape(16, len(gray), 16, 4).mean((1, 3))
+        tile = np.load(io.BytesIO(r.tile), allow_pickle=False)
+        assert tile.shape == (16, 16) and tile.dtype == np.uint8 and np.abs(tile - means).max() <= 0.5 + 1e-6
