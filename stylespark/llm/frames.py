@@ -24,7 +24,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stylespark.llm.common import prepared, shared_dir, slices, written
+from stylespark.llm.common import prepared, shared_dir, written
 from stylespark.llm.encoders import word_bpe
 
 SKIPPABLE, SEEK_FRAME, SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
@@ -122,15 +122,14 @@ def _write(folder: str):
         end = np.array([END_ID], np.uint32)
         for batch in batches:
             shards, keys, texts = (batch.column(k).to_pylist() for k in range(3))
-            for a, b in slices([len(t or "") for t in texts]):
-                for k, own in zip(keys[a:b], tool.encode(texts[a:b]), strict=True):
-                    if writer is None:
-                        file, shard = opened(name, "w"), shards[a]
-                        writer = Writer(file)
-                    writer.add(k, np.concatenate((own, end)).astype("<u4").tobytes())
-                    ids += len(own) + 1
-                    if k is not None:
-                        ends = [k if ends[0] is None else ends[0], k]
+            for k, own in zip(keys, tool.encode(texts), strict=True):
+                if writer is None:
+                    file, shard = opened(name, "w"), shards[0]
+                    writer = Writer(file)
+                writer.add(k, np.concatenate((own, end)).astype("<u4", copy=False).tobytes())
+                ids += len(own) + 1
+                if k is not None:
+                    ends = [k if ends[0] is None else ends[0], k]
         if writer is not None:
             size = writer.close()
             file.close()

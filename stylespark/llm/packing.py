@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stylespark.llm.common import prepared, slices, written
+from stylespark.llm.common import prepared, written
 from stylespark.llm.encoders import byte_bpe
 
 CAPACITY = 2048
@@ -145,10 +145,10 @@ def _pieces(capacity: int):
         end = np.zeros(1, np.uint32)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo, hi in slices([len(t or "") for t in texts]):
+            for lo, hi, found, edges in tool.encoded(texts):
                 out: list[tuple] = []
-                for doc, own in zip(ids[lo:hi], tool.encode(texts[lo:hi]), strict=True):
-                    own = np.concatenate((own, end)).astype("<u4")
+                for doc, x, y in zip(ids[lo:hi], edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                    own = np.concatenate((found[x:y], end)).astype("<u4", copy=False)
                     n, head = len(own), len(own) % capacity or capacity
                     a = 0
                     for piece, b in enumerate(range(head, n + 1, capacity)):

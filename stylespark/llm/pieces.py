@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,25 +18,49 @@ END_ID = 2
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _ended(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, list[str]]]:
+    """For runs of texts: all ids with each text's end id, the edges of each text's ids, and the decoded texts."""
     tool = piece_bpe()
+    for a, b, ids, edges in tool.encoded(texts):
+        ids = np.insert(ids.astype(np.int32), edges[1:], END_ID)
+        edges = edges + np.arange(b - a + 1)
+        yield ids, edges, [tool.model.decode(ids[lo : hi - 1]) for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
+
+
+@cache
+def _decimals(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The digits of the numbers below n, a space after them, as rows of bytes; and which bytes count."""
+    table = np.array([f"{i} " for i in range(n)], "S").view(np.uint8).reshape(n, -1)
+    return table, table > 0
+
+
+def decimals(ids: np.ndarray, edges: np.ndarray, n: int) -> Iterator[memoryview]:
+    """For each run of ids between edges: their decimals joined by one space."""
+    table, used = _decimals(n)
+    here = used[ids]
+    ends = np.concatenate(([0], np.cumsum(here.sum(1, dtype=np.int64))))[edges]
+    text = memoryview(table[ids][here])
+    for lo, hi in zip(ends[:-1], ends[1:], strict=True):
+        yield text[lo : hi - 1]
+
+
+def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, text = [], []
-        for own, _, back in tool.encode_decode(batch.column(1).to_pylist()):
-            ids.append(np.append(own, END_ID).astype(np.int32))
-            text.append(back)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(text, pa.string())], names=["doc_id", "ids", "decoded"])
+        at = 0
+        for ids, edges, back in _ended(batch.column(1).to_pylist()):
+            n = len(back)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids)), pa.array(back, pa.string())], names=["doc_id", "ids", "decoded"])
+            at += n
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tool = piece_bpe()
     for batch in batches:
-        n, ids, back = [], [], []
-        for own, decimal, text in tool.encode_decode(batch.column(1).to_pylist()):
-            n.append(len(own) + 1)
-            ids.append(hashlib.sha256(f"{decimal}{END_ID}".encode()).hexdigest())
-            back.append(hashlib.sha256(text.encode()).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        n, own, back = [], [], []
+        for ids, edges, texts in _ended(batch.column(1).to_pylist()):
+            n += np.diff(edges).tolist()
+            own += [hashlib.sha256(d).hexdigest() for d in decimals(ids, edges, len(piece_bpe().model))]
+            back += [hashlib.sha256(t.encode()).hexdigest() for t in texts]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(own, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
 def _columns(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
