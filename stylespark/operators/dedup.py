@@ -1,36 +1,71 @@
 """Near-duplicates of a batch: MinHash bands for candidates, exact Jaccard to confirm, components, earliest member.
 
-Equal shingle sets are one item until the end, so exact copies make no pairs.
+Equal shingle sets are one class, so exact copies make no pairs of their own: a class stands for its members, and a
+pair of classes for all pairs between theirs.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from stylespark.functions.text import WS, let, trim
+from stylespark.functions.text import WS
 from stylespark.operators.components import components
-from stylespark.runtime import settled
+from stylespark.runtime import looked_up, settled, ship
 
 # Fixed values.
 SHINGLE, BANDS, ROWS, THRESHOLD = 5, 32, 4, 0.75
+#: Shingles that are permuted at a time.
+PART = 4096
+#: Members of a band that one task compares with as many others.
+BLOCK = 2048
+
+_words = re.compile(f"[^{WS[1:-1]}]+").findall
+_draw = np.random.default_rng(12345)
+_FACTORS = _draw.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+_SHIFTS = _draw.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
+
 
+def shingle_hashes(text: str | None) -> np.ndarray:
+    """Sorted hashes of the distinct five-word runs of a lower-cased text; of all its words where they are fewer; none without words."""
+    import xxhash
 
-def shingles(text: Column) -> Column:
-    """Hashes of the distinct five-word runs; of the whole text where it is shorter; none without words."""
+    words = _words(text or "")
+    runs = [" ".join(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))] if words else []
+    return np.unique(np.array([xxhash.xxh3_64_intdigest(r) for r in runs], np.uint64).view(np.int64))
 
-    def body(w: Column) -> Column:
-        n = F.size(w)
-        runs = F.transform(F.sequence(F.lit(1), F.greatest(n - (SHINGLE - 1), F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, SHINGLE), " ")))
-        return F.when((n == 1) & (w[0] == ""), F.array().cast("array<bigint>")).otherwise(F.array_distinct(runs))
 
-    return let(F.split(trim(F.lower(text)), f"{WS}+"), body)
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """BANDS keys of ROWS minimum hashes each, from permutations of the hashes by multiplying and adding."""
+    own, least = hashes.view(np.uint64), np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for a in range(0, len(own), PART):
+        least = np.minimum(least, (own[a : a + PART, None] * _FACTORS + _SHIFTS).min(0))
+    least = (least ^ least >> np.uint64(31)) * _FACTORS  # mixed with its place, so that a key names its band
+    return (least ^ least >> np.uint64(29)).reshape(BANDS, ROWS).sum(1, dtype=np.uint64).view(np.int64)
 
 
-def band_keys(sh: Column) -> Column:
-    """BANDS keys of ROWS minimum hashes each."""
-    least = lambda i: F.array_min(F.transform(sh, lambda x: F.xxhash64(x, i)))
-    return let(F.transform(F.sequence(F.lit(0), F.lit(BANDS * ROWS - 1)), least), lambda m: F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.slice(m, b * ROWS + 1, ROWS))))
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a in range(0, batch.num_rows, 100):
+            part = batch.slice(a, 100)
+            sets = [shingle_hashes(t) for t in part.column(0).to_pylist()]
+            keys = [band_keys(s) if len(s) else [] for s in sets]
+            kind = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(sets, kind), pa.array(keys, kind)], names=[*part.schema.names[1:], "sh", "bands"])
+
+
+def with_shingles(items: DataFrame) -> DataFrame:
+    """items (text and others) with sh and bands in place of text."""
+    ship(items.sparkSession)
+    rest = [c for c in items.columns if c != "text"]
+    kinds = T.StructType([*[items.schema[c] for c in rest], T.StructField("sh", T.ArrayType(T.LongType())), T.StructField("bands", T.ArrayType(T.LongType()))])
+    return items.select(F.lower("text").alias("text"), *rest).mapInArrow(_hashed, kinds)
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -40,15 +75,26 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def _bands(sets: DataFrame) -> DataFrame:
-    return settled(sets.select("item", F.explode(band_keys(F.col("sh"))).alias("key")), "bands")
+    """item, key of the bands of two sets or more, and many, how many those are."""
+    keys = settled(sets.select("item", F.explode("bands").alias("key")), "bands")
+    shared = keys.groupBy("key").agg(F.count("*").alias("many"), F.count("*").alias("n"), F.min("item").alias("head")).where("many > 1")
+    return settled(looked_up(keys, "key", shared).where("n is not null"), "shared-bands")
+
+
+def _within(rows: DataFrame, apart: bool = False) -> DataFrame:
+    """(a, b), a > b: pairs of items of a band; only those of different roots if apart. A band is dealt over tasks by blocks of its members."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("item"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    x, y = (dealt.select("key", "i", "j", *[F.col(c).alias(f"{n}_{c}") for c in ("item", "block", *(["root"] if apart else []))]) for n in "xy")
+    pairs = x.join(y, ["key", "i", "j"]).where("x_item > y_item and (i = j or x_block <> y_block)")
+    pairs = pairs.where("x_root <> y_root") if apart else pairs
+    return pairs.select(F.col("x_item").alias("a"), F.col("y_item").alias("b")).distinct()
 
 
 def candidate_pairs(sets: DataFrame) -> DataFrame:
-    """(a, b): every pair of sets that share a band, a > b. sets: item, sh."""
-    keys = _bands(sets)
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    live = keys.join(shared, "key")
-    return live.alias("x").join(live.alias("y"), "key").where("x.item > y.item").select(F.col("x.item").alias("a"), F.col("y.item").alias("b")).distinct()
+    """(a, b): every pair of sets that share a band, a > b. sets: item, sh, bands."""
+    return _within(_bands(sets))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -62,38 +108,58 @@ def cluster_roots(sets: DataFrame, threshold: float) -> DataFrame:
 
     Each set is first compared with the least one of its bands, which links most of a group of near copies. A pair
     inside one component changes nothing, so what remains are the pairs of a band in different components."""
-    keys = _bands(sets)
-    heads = keys.groupBy("key").agg(F.min("item").alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head")
-    live = keys.join(heads, "key")
+    live = _bands(sets)
     led = live.where("item <> head").select(F.col("item").alias("a"), F.col("head").alias("b")).distinct()
     forest = components(confirmed(led, sets, threshold).select("a", "b"))
-    rooted = live.join(forest.withColumnRenamed("node", "item"), "item", "left").select("key", "item", F.coalesce("root", "item").alias("root"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    rest = rooted.join(mixed, "key")
-    apart = rest.alias("x").join(rest.alias("y"), "key").where("x.item > y.item and x.root <> y.root").select(F.col("x.item").alias("a"), F.col("y.item").alias("b")).distinct()
-    more = settled(confirmed(apart, sets, threshold).select("a", "b"), "links")
+    rooted = live.join(forest.withColumnRenamed("node", "item"), "item", "left").select("key", "item", "n", F.coalesce("root", "item").alias("root"))
+    rooted = settled(rooted, "rooted")
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("many")).where("lo <> hi").select("key", "many", F.lit(True).alias("mixed"))
+    rest = looked_up(rooted, "key", mixed).where("mixed")
+    more = settled(confirmed(_within(rest, apart=True), sets, threshold).select("a", "b"), "links")
     if not more.limit(1).count():
         return forest
     return components(forest.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
 
 def _sets(items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Items with the least id of equal sets, and the distinct sets that aren't empty."""
-    full = items.withColumn("sh", F.sort_array(shingles(F.col("text")))).withColumn("digest", F.when(F.size("sh") > 0, F.xxhash64("sh")))
-    own = settled(full.select("id", "digest", *[c for c in items.columns if c not in ("id", "text")]), "items")
-    sets = settled(full.where("digest is not null").groupBy("digest").agg(F.min("id").alias("item"), F.first("sh").alias("sh")), "sets")
-    return own.join(sets.select("digest", "item"), "digest", "left").withColumn("item", F.coalesce("item", "id")), sets.select("item", "sh")
+    """Each item with its class, the least id of equal sets (its own where the set is empty); and the classes with members, shingles and bands."""
+    full = settled(with_shingles(items), "shingles").withColumn("digest", F.when(F.size("sh") > 0, F.xxhash64("sh")))
+    sets = settled(full.where("digest is not null").groupBy("digest").agg(F.min("id").alias("item"), F.count("*").alias("many"), F.first("sh").alias("sh"), F.first("bands").alias("bands")), "sets")
+    rest = [c for c in items.columns if c != "text"]
+    own = looked_up(full.select(*rest, "digest"), "digest", sets.select("digest", "many", "item")).select(*rest, F.coalesce("item", "id").alias("item"))
+    return own, sets.select("item", "many", "sh", "bands")
 
 
 def duplicate_pairs(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """a, b, jaccard: pairs of distinct sets, by the least id of each, that reach the threshold. items: id, text."""
+    """a, b, jaccard, links: pairs of classes, a >= b, that reach the threshold, by the least id of each. items: id, text.
+
+    links is how many pairs of items a row stands for: all between two classes, or all within one (a = b, of two members or more)."""
     _, sets = _sets(items)
-    return confirmed(candidate_pairs(sets), sets, threshold)
+    size = sets.select("item", "many")
+    found = confirmed(candidate_pairs(sets), sets, threshold)
+    between = found.join(size.toDF("a", "x"), "a").join(size.toDF("b", "y"), "b").select("a", "b", "jaccard", (F.col("x") * F.col("y")).alias("links"))
+    n = F.col("many")
+    within = size.where("many > 1").select(F.col("item").alias("a"), F.col("item").alias("b"), F.lit(1.0).alias("jaccard"), (n * (n - 1) / 2).cast("long").alias("links"))
+    return between.unionByName(within)
+
+
+def duplicate_links(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """id, class_id (the least id of equal sets), links (how many other items reach the threshold with it); one row per item."""
+    own, sets = _sets(items)
+    size = sets.select("item", "many")
+    pairs = settled(confirmed(candidate_pairs(sets), sets, threshold).select("a", "b"), "pairs")
+    ends = pairs.toDF("item", "to").unionByName(pairs.select(F.col("b").alias("item"), F.col("a").alias("to")))
+    far = ends.join(size.toDF("to", "x"), "to").groupBy("item").agg(F.sum("x").alias("far"))
+    links = size.join(far, "item", "left").select("item", "many", (F.coalesce("far", F.lit(0)) + F.col("many") - 1).alias("links"))
+    return looked_up(own, "item", links).select("id", F.col("item").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def near_duplicates(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """id, dedup_cluster_id, is_canonical: clusters are transitive, the earliest timestamp (then least id) names its cluster."""
+    """id, dedup_cluster_id, is_canonical: clusters are transitive, the earliest timestamp (then least id) names its cluster. items: id, text, timestamp."""
     own, sets = _sets(items)
-    placed = own.join(cluster_roots(sets, threshold).withColumnRenamed("node", "item"), "item", "left").withColumn("root", F.coalesce("root", "item"))
-    first = placed.groupBy("root").agg(F.min(F.struct("timestamp", "id"))["id"].alias("dedup_cluster_id"))
-    return placed.join(first, "root").select("id", "dedup_cluster_id", (F.col("id") == F.col("dedup_cluster_id")).alias("is_canonical"))
+    roots = cluster_roots(sets, threshold)
+    firsts = own.groupBy("item").agg(F.min(F.struct("timestamp", "id")).alias("first"), F.count("*").alias("many"))
+    rooted = settled(firsts.join(roots.withColumnRenamed("node", "item"), "item", "left").withColumn("root", F.coalesce("root", "item")).withColumnRenamed("many", "copies"), "classes")
+    earliest = rooted.groupBy("root").agg(F.min("first")["id"].alias("dedup_cluster_id"), F.count("*").alias("many"))
+    named = settled(looked_up(rooted.select("item", "root", "copies"), "root", earliest).select("item", "dedup_cluster_id", F.col("copies").alias("many")), "named")
+    return looked_up(own, "item", named).select("id", "dedup_cluster_id", (F.col("id") == F.col("dedup_cluster_id")).alias("is_canonical"))

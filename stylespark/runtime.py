@@ -1,4 +1,4 @@
-"""What every operator needs of its session: this package on the workers, and a shared folder."""
+"""What every operator needs of its session: this package on the workers, a shared folder, and joins that hot keys don't hold up."""
 
 from __future__ import annotations
 
@@ -11,13 +11,20 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Keys that are looked up by broadcast: at most this many can hold more than 1 / MOST_HOT of all rows, or more than COLD rows.
+MOST_HOT, COLD = 100_000, 1000
+#: Characters of a plan that the driver keeps: iterations make many and long ones.
+PLAN_CHARS = 20_000
 
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Add this package to the session's Python files, once per application."""
+    """Add this package to the session's Python files, once per application, and keep plans short in the driver's history of queries."""
     context = spark.sparkContext
+    spark.conf.set("spark.sql.maxPlanStringLength", str(PLAN_CHARS))
     if context.applicationId not in _shipped:
         _shipped.add(context.applicationId)
         top = Path(__file__).resolve().parent
@@ -47,27 +54,60 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def settled(df: DataFrame, name: str) -> DataFrame:
+def settled(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """df written to the shared folder and read back: cuts the lineage and survives lost executors."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def with_text(df: DataFrame, name: str, inputs: list[str], function) -> DataFrame:
-    """df with a string column computed row by row on Arrow batches: function(*values).
+    df.write.option("compression", compression).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.settled_at = path
+    return back
+
+
+def release(df: DataFrame) -> None:
+    """Delete what settled() wrote for df, once nothing will read it again."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(df.settled_at)
+    path.getFileSystem(conf).delete(path, True)
+
+
+def looked_up(rows: DataFrame, key: str, table: DataFrame, total: int | None = None) -> DataFrame:
+    """rows left-joined with table on key. table: key (each once), many (how many rows have it, one at least) and values.
+
+    No task gets a hot key's rows: keys of more rows than COLD and than total / MOST_HOT are joined by broadcast, of
+    which there are at most MOST_HOT; all others by shuffling. Rows without a key go round both. Of MOST_HOT rows or fewer
+    the whole table, which can't have more, is broadcast. total: the number of rows, counted if not given."""
+    total = rows.count() if total is None else total
+    values = [c for c in table.columns if c not in (key, "many")]
+    out = [*rows.columns, *values]
+    if total <= MOST_HOT:
+        return rows.join(F.broadcast(table.drop("many")), key, "left").select(*out)
+    least = max(COLD, total // MOST_HOT)
+    hot = table.where(F.col("many") > least).select(key, F.struct(*values).alias("_hot"))
+    first = rows.join(F.broadcast(hot), key, "left")
+    by_hot = first.where("_hot is not null").select(*rows.columns, *[F.col(f"_hot.{v}").alias(v) for v in values])
+    cold = first.where(F.col("_hot").isNull() & F.col(key).isNotNull()).select(*rows.columns).join(table.where(F.col("many") <= least).drop("many"), key, "left").select(*out)
+    types = dict(table.dtypes)
+    none = rows.where(F.col(key).isNull()).select(*rows.columns, *[F.lit(None).cast(types[v]).alias(v) for v in values])
+    return by_hot.unionByName(cold).unionByName(none)
+
+
+def with_text(df: DataFrame, name: str, inputs: list[str], function, kind: str = "string") -> DataFrame:
+    """df with a column (text, unless its kind is given) computed row by row on Arrow batches: function(*values).
 
     A step of its own in the plan, so that later expressions may use the column inside lambdas."""
     import pyarrow as pa
     from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_type
 
     base = ship(df.sparkSession) and df.drop(name)
     at = [base.columns.index(c) for c in inputs]
+    field = T.StructType.fromDDL(f"value {kind}")[0].dataType
+    arrow = to_arrow_type(field)
 
     def run(batches):
         for batch in batches:
             columns = [batch.column(k).to_pylist() for k in at]
-            new = pa.array([function(*row) for row in zip(*columns, strict=True)], pa.string())
+            new = pa.array([function(*row) for row in zip(*columns, strict=True)], arrow)
             yield pa.RecordBatch.from_arrays([*batch.columns, new], names=[*batch.schema.names, name])
 
-    return base.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField(name, T.StringType())]))
+    return base.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField(name, field)]))

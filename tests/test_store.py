@@ -1,4 +1,8 @@
+import uuid
+
 import pytest
+from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from stylespark.operators.ingest import ingest
 from stylespark.operators.service import hashed_embedder
@@ -54,3 +58,28 @@ def test_corpus_file(spark, tmp_path):
     bad.write_text('[{"medium": "email", "source_uri": "s", "timestamp": "2024-01-01T00:00:00Z", "text": "hi"}]')
     with pytest.raises(Exception, match="bad corpus row"):
         corpus_file(spark, str(bad), "v").collect()
+
+
+@pytest.mark.parametrize("most", [100_000, 20])
+def test_lookups_of_hot_and_cold_keys(spark, monkeypatch, most):
+    """Broadcast whole, or hot keys by broadcast, cold ones by shuffling and null ones round both: the same rows."""
+    from stylespark import runtime
+
+    monkeypatch.setattr(runtime, "MOST_HOT", most)
+    monkeypatch.setattr(runtime, "COLD", 5)
+    rows = [("hot", i) for i in range(200)] + [(f"k{i % 30}", i) for i in range(60)] + [(None, 7), ("lone", 1)]
+    d = spark.createDataFrame(rows, "key string, n long")
+    table = d.where("key is not null and key <> 'lone'").groupBy("key").agg(F.count("*").alias("many"), F.max("n").alias("top"))
+    got = runtime.looked_up(d, "key", table).collect()
+    top = {k: max(n for x, n in rows if x == k) for k, _ in rows if k not in (None, "lone")}
+    assert sorted(map(repr, got)) == sorted(repr(Row(key=k, n=n, top=top.get(k))) for k, n in rows)
+
+
+def test_finished_rounds_leave_no_files(spark, tmp_path, monkeypatch):
+    from stylespark import runtime
+    from stylespark.operators.components import components
+
+    monkeypatch.setattr(runtime, "shared_path", lambda s, name: f"file://{tmp_path}/{name}-{uuid.uuid4().hex}")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
+    assert {r.root for r in components(edges).collect()} == {0, 100}
+    assert len(list(tmp_path.iterdir())) == 1
