@@ -96,14 +96,9 @@ def strip_chat(text: Column) -> Column:
 
 def strip_code(text: Column) -> Column:
     """Without fenced blocks; where one was removed, blank lines are tidied. An open fence runs to the end."""
-    fence = lambda x: x.rlike(rf"^{WS}*(```|~~~)")
-
-    def body(ls: Column) -> Column:
-        start = F.struct(F.lit(False).alias("code"), F.array().cast("array<string>").alias("kept"))
-        step = lambda acc, x: F.when(fence(x), F.struct((~acc["code"]).alias("code"), acc["kept"].alias("kept"))).when(acc["code"], acc).otherwise(F.struct(acc["code"].alias("code"), F.concat(acc["kept"], F.array(x)).alias("kept")))
-        return F.array_join(let(F.aggregate(ls, start, step)["kept"], tidy_gaps), "\n")
-
-    return F.when(text.rlike(rf"(?m)^{WS}*(```|~~~)"), let(lines(text), body)).otherwise(text)
+    fence = rf"^[{WS_CHARS.replace(chr(92) + 'n', '')}]*(?:```|~~~)[^\n]*(?:\n|\z)"
+    kept = F.regexp_replace(text, rf"(?dm){fence}(?s:.*?)(?:{fence}|\z)", "")
+    return F.when(text.rlike(f"(?dm){fence}"), F.array_join(tidy_gaps(lines(kept)), "\n")).otherwise(text)
 
 
 def tidy_gaps(items: Column) -> Column:

@@ -7,13 +7,14 @@ match's capital need a function per match, so each pass of them maps Arrow batch
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stylespark.functions.text import WS, let
 from stylespark.functions.vectors import cosine
-from stylespark.operators.tells import PUNCT, SCAFFOLD, STOCK, TELLS, WORD_, compiled, tells_for
+from stylespark.operators.tells import PUNCT, REGISTRY_VERSION, SCAFFOLD, STEMS, STOCK, TELLS, WORD_, compiled, tells_for
 from stylespark.runtime import with_text
 
 # Fixed values.
@@ -27,20 +28,27 @@ KEPT = {
     "email": r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_.-]+",
     "entity": r"(?<![A-Za-z0-9_])[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+(?![A-Za-z0-9_])",
 }
+_KEPT = {label: re.compile(pattern.replace(r"\s+", f"{WS}+").replace(r"[^\s)]", f"[^){WS[1:-1]}]"), re.ASCII).findall for label, pattern in KEPT.items()}
+#: What every such item holds, as a test that costs little.
+SIGNS = {"number": re.compile("[0-9]").search, "url": re.compile("://").search, "email": re.compile("@").search, "entity": re.compile("[A-Z]").search}
 
 
 def hits(text: Column, register: Column) -> Column:
-    """[(id, category, count)] of the register's tells that occur, in the registry's order."""
-    found = [F.when(register.isin(*t[4]), F.struct(F.lit(t[0]).alias("id"), F.lit(t[1]).alias("category"), F.regexp_count(text, F.lit(compiled(t[2]))).alias("count"))) for t in TELLS]
-    return F.filter(F.array(*found), lambda h: h.isNotNull() & (h["count"] > 0))
+    """[(id, category, count)] of the register's tells that occur, in the registry's order. Only texts that hold a tell's stem are searched for it."""
+
+    def found(low: Column) -> Column:
+        each = [F.when(register.isin(*t[4]) & F.contains(low, F.lit(STEMS[t[0]])), F.struct(F.lit(t[0]).alias("id"), F.lit(t[1]).alias("category"), F.regexp_count(text, F.lit(compiled(t[2]))).alias("count"))) for t in TELLS]
+        return F.filter(F.array(*each), lambda h: h.isNotNull() & (h["count"] > 0))
+
+    return let(F.lower(text), found)
 
 
 def replaced(text: str, register: str, categories: tuple[str, ...]) -> str:
     """The register's replacements of some categories, one tell after another."""
-    changed = False
+    changed, low = False, text.lower()
     for category in categories:
-        for _, kind, pattern, new, _ in tells_for(register):
-            if kind != category or new is None:
+        for name, kind, pattern, new, _ in tells_for(register):
+            if kind != category or new is None or STEMS[name] not in low:
                 continue
 
             def swap(m: re.Match, new: str = new) -> str:
@@ -48,8 +56,9 @@ def replaced(text: str, register: str, categories: tuple[str, ...]) -> str:
                     return m[1]
                 return new[:1].upper() + new[1:] if "A" <= m[0][:1] <= "Z" and "a" <= new[:1] <= "z" else new
 
-            text, n = re.subn(compiled(pattern), swap, text)
-            changed |= n > 0
+            text, n = re.subn(compiled(pattern), swap, text, flags=re.ASCII)
+            if n:
+                changed, low = True, text.lower()
     if changed and SCAFFOLD in categories:
         text = re.sub(" {2,}", " ", text).lstrip(" ")
     return text
@@ -63,6 +72,18 @@ def rhetorical(text: str | None, register: str | None) -> str | None:
     return None if text is None or register is None else replaced(text, register, CATEGORIES["rhetorical"])
 
 
+def forgiving(function):
+    """function(text, register), but null where it fails: a pass that fails leaves its text alone."""
+
+    def run(text: str | None, register: str | None) -> str | None:
+        try:
+            return function(text, register)
+        except Exception:  # noqa: BLE001
+            return None
+
+    return run
+
+
 def _pass(df: DataFrame, text: str, out: str, function) -> DataFrame:
     got = with_text(df.withColumnRenamed(text, "_in"), out, ["_in", "register"], function)
     return got.drop("_in") if out == text else got.withColumnRenamed("_in", text)
@@ -98,41 +119,52 @@ def punctuation_pass(text: Column, register: Column) -> Column:
     return let(plain, lambda t: thin_dashes(t, register))
 
 
-def breaches(before: Column, after: Column, similarity: Column | None = None, least: float = LEAST_SIMILARITY) -> Column:
-    """`label:item` for each item that occurs less often afterwards; additions are fine."""
-    count = lambda a, x: F.size(F.filter(a, lambda y: y == x))
+def lost(before: str | None, after: str | None) -> list[str] | None:
+    """`label:item` for each distinct item of a text that occurs less often in another, in the order of their first occurrence."""
+    if before is None or after is None:
+        return None
+    out: list[str] = []
+    if before != after:
+        for label, pattern in _KEPT.items():
+            if SIGNS[label](before):
+                own = Counter(pattern(before))
+                out += [f"{label}:{x}" for x in own - Counter(pattern(after))]
+    return out
+
+
+def _semantic(similarity: Column, least: float = LEAST_SIMILARITY) -> Column:
+    return F.when(similarity < least, F.array(F.concat(F.lit("semantic:"), F.format_number(similarity, "0.000")))).otherwise(F.array().cast("array<string>"))
+
 
-    def lost(label: str, pattern: str) -> Column:
-        take = lambda t: F.regexp_extract_all(t, F.lit(f"({pattern})"), F.lit(0))
-        gone = lambda b, a: F.filter(F.array_distinct(b), lambda x: count(a, x) < count(b, x))
-        return let(take(before), lambda b: let(take(after), lambda a: F.transform(gone(b, a), lambda x: F.concat(F.lit(f"{label}:"), x))))
+def with_breaches(df: DataFrame, out: str, before: str, after: str, likeness=None) -> DataFrame:
+    """df with `label:item` for each item of one text that occurs less often in another; additions are fine, equal texts lose nothing.
 
-    found = [lost(label, pattern) for label, pattern in KEPT.items()]
-    if similarity is not None:
-        found.append(F.when(similarity < least, F.array(F.concat(F.lit("semantic:"), F.format_number(similarity, "0.000")))).otherwise(F.array().cast("array<string>")))
-    return F.concat(*found)
+    An Arrow step: counting items is a matter of hash tables, which columns lack. likeness(before, after) is an optional column function."""
+    found = with_text(df, out, [before, after], lost, "array<string>")
+    return found if likeness is None else found.withColumn(out, F.when(F.col(before) == F.col(after), F.col(out)).otherwise(F.concat(out, _semantic(likeness(F.col(before), F.col(after))))))
 
 
 def deai(texts: DataFrame, strictness: str = "standard", rhythm=None, embed=None) -> DataFrame:
-    """Adds output, residual, breaches, rolled_back and verdict. texts: text, register and any others.
+    """Adds output, changed, residual, breaches, rolled_back, verdict and registry_version. texts: text, register and any others.
 
-    Each pass is kept only if it changes the text and loses nothing; otherwise its input goes on. PASS needs
-    no loss overall, no pass rolled back and no tell left. rhythm(text, register) is an optional column function.
+    Each pass is kept only if it neither fails nor loses anything; otherwise its input goes on. PASS needs
+    no loss overall, no pass rolled back and no tell left. rhythm(text, register) is an optional function of strings.
     """
-    columns = {"punctuation": punctuation_pass, "rhythm": rhythm}
-    frames = {"lexical": lexical_pass, "rhetorical": rhetorical_pass}
-    likeness = lambda a, b: cosine(embed(a), embed(b)) if embed else None
+    rows = {"lexical": lexical, "rhetorical": rhetorical, "rhythm": rhythm}
+    likeness = (lambda a, b: cosine(embed(a), embed(b))) if embed else None
     now = texts.withColumn("output", F.col("text")).withColumn("rolled_back", F.array().cast("array<string>"))
     for name in PASSES[strictness]:
-        if name in frames:
-            now = frames[name](now, "output", "_new")
-        elif columns[name] is None:
+        if name == "punctuation":
+            now = now.withColumn("_new", punctuation_pass(F.col("output"), F.col("register")))
+        elif rows[name] is None:
             continue
         else:
-            now = now.withColumn("_new", columns[name](F.col("output"), F.col("register")))
-        now = now.withColumn("_bad", (F.col("_new") != F.col("output")) & (F.size(breaches(F.col("output"), F.col("_new"), likeness(F.col("output"), F.col("_new")))) > 0))
-        now = now.withColumn("rolled_back", F.when(F.col("_bad"), F.concat("rolled_back", F.array(F.lit(name)))).otherwise(F.col("rolled_back")))
-        now = now.withColumn("output", F.when(F.col("_bad"), F.col("output")).otherwise(F.col("_new"))).drop("_new", "_bad")
-    done = now.withColumn("residual", hits(F.col("output"), F.col("register"))).withColumn("breaches", breaches(F.col("text"), F.col("output"), likeness(F.col("text"), F.col("output"))))
+            now = _pass(now, "output", "_new", forgiving(rows[name]))
+        now = with_breaches(now, "_lost", "output", "_new", likeness)
+        failed = F.col("_new").isNull() & F.col("output").isNotNull() & F.col("register").isNotNull()
+        bad = failed | F.coalesce(F.size("_lost") > 0, F.lit(False))
+        now = now.withColumn("rolled_back", F.when(bad, F.concat("rolled_back", F.array(F.lit(name)))).otherwise(F.col("rolled_back")))
+        now = now.withColumn("output", F.when(bad, F.col("output")).otherwise(F.col("_new"))).drop("_new", "_lost")
+    done = with_breaches(now, "breaches", "text", "output", likeness).withColumn("residual", hits(F.col("output"), F.col("register")))
     clean = (F.size("breaches") == 0) & (F.size("rolled_back") == 0) & (F.size("residual") == 0)
-    return done.withColumn("verdict", F.when(clean, "PASS").otherwise("REVIEW"))
+    return done.withColumn("verdict", F.when(clean, "PASS").otherwise("REVIEW")).withColumn("changed", F.col("output") != F.col("text")).withColumn("registry_version", F.lit(REGISTRY_VERSION))

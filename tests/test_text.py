@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,7 +66,8 @@ def test_deai(spark):
 
 
 def test_meaning_guard(spark):
-    b = spark.createDataFrame([("pay 40 to Jane Doe at a@b.co", "pay to jane")], "b string, a string").select(deai.breaches(F.col("b"), F.col("a"))).first()[0]
+    b = spark.createDataFrame([("pay 40 to Jane Doe at a@b.co", "pay to jane")], "b string, a string")
+    b = deai.with_breaches(b, "lost", "b", "a").first().lost
     assert set(b) == {"number:40", "entity:Jane Doe", "email:a@b.co"}
 
 
@@ -97,3 +100,49 @@ def test_generation_and_jobs():
     thread.join()
     assert name == "job_1" and jobs.get(name)["status"] == "failed" and jobs.get("job_9") is None
     assert build_registers({"chat": 9, "email": 2}, lambda r: None) == (["chat"], ["email"])
+
+
+def test_long_texts_take_linear_time(spark):
+    """100,000 lines with fences, and as many numbers, are done in seconds."""
+    import time
+
+    text = "\n".join(f"line {i}" if i % 10 else "```" for i in range(100_000))
+    row = spark.createDataFrame([(text, text.replace("line 7", "line"))], "a string, b string")
+    start = time.time()
+    assert row.select(F.length(T.strip_code(F.col("a")))).first()[0] > 100_000
+    assert "number:70001" in deai.with_breaches(row, "lost", "a", "b").first().lost
+    assert time.time() - start < 30
+
+
+def test_a_failing_pass_is_rolled_back(spark):
+    def broken(text, register):
+        raise RuntimeError("down")
+
+    rows = spark.createDataFrame([("We delve into tea", "chat"), ("fine", "email")], "text string, register string")
+    got = deai.deai(rows, "strict", rhythm=broken).collect()
+    assert [(r.output, list(r.rolled_back), r.verdict, r.changed) for r in got] == [("We look into tea", ["rhythm"], "REVIEW", True), ("fine", ["rhythm"], "REVIEW", False)]
+    louder = deai.deai(rows, "strict", rhythm=lambda t, r: t + "!").collect()
+    assert [r.output for r in louder] == ["We look into tea!", "fine!"] and {r.registry_version for r in louder} == {"2026-06-26.1"}
+
+
+def test_meaning_guard_counts_repeats(spark):
+    rows = [("7 and 7 and 8", "8 and 7"), ("3 2 1", "1"), ("same 5", "same 5"), ("", "1"), ("a@b.co a@b.co", "a@b.co x")]
+    got = [list(r.lost) for r in deai.with_breaches(spark.createDataFrame(rows, "b string, a string"), "lost", "b", "a").collect()]
+    assert got == [["number:7"], ["number:3", "number:2"], [], [], ["email:a@b.co"]]
+
+
+def test_tell_stems():
+    from stylespark.operators.tells import STEMS, TELLS
+
+    for name, _, pattern, _, _ in TELLS:
+        for text in SAMPLES[name]:
+            assert re.search(pattern, text, re.IGNORECASE) and STEMS[name] in text.lower(), name
+    assert sum(bool(s) for s in STEMS.values()) == 17
+
+
+SAMPLES = {
+    "lex.delve": ["Delves"], "lex.intricate": ["intricately"], "lex.underscore": ["underscored"], "lex.tapestry": ["tapestries"], "lex.utilize": ["UTILIZING"], "lex.myriad": ["myriad"],
+    "stock.testament": ["stands as a testament to", "A testament to"], "stock.vital_role": ["play an key role in", "Plays a vital role in"], "stock.when_it_comes_to": ["when it comes to"], "stock.in_the_realm_of": ["In the realm of"],
+    "scaf.worth_noting": ["it’s worth noting that "], "scaf.important_to_note": ["it's important to note that"], "scaf.in_conclusion": ["in summary, "], "scaf.happy_to_help": ["id be happy to assist", "I’d be happy to help you."],
+    "scaf.certainly_opener": ["Great question! "], "rhet.not_just_but": ["not only x but also"], "punct.bold": ["**b**"], "punct.em_dash": ["a — b"],
+}
