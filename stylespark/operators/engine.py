@@ -13,6 +13,7 @@ from bisect import bisect_right
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,8 +22,10 @@ from stylespark.functions.text import WORD
 from stylespark.operators import assemble, deai, gate, retrieval, stylometry
 from stylespark.operators.accounting import PROFILE_EXEMPLARS
 from stylespark.operators.ingest import ingest
-from stylespark.operators.service import EXEMPLARS_SHOWN, FACTS_SHOWN, LEAST_EXEMPLARS, MOST_PULLED, InsufficientCorpusError, Jobs, Verdict, build_registers, checked_input, generate
+from stylespark.operators.service import EXEMPLARS_SHOWN, FACTS_SHOWN, LEAST_EXEMPLARS, MOST_PULLED, InsufficientCorpusError, Jobs, Verdict, build_registers, generate
 from stylespark.operators.store import Store, other_authors, status, voices
+from stylespark.operators.tools import MOST_ID, MOST_TEXT, many, record
+from stylespark.operators.tools import text as text_of
 from stylespark.runtime import settled
 
 PROSE_SHOWN = 8
@@ -43,6 +46,26 @@ BUNDLED = (
 )
 
 
+_number = {"sentence_len_mean", "sentence_len_variance", "contraction_rate", "emoji_rate", "lowercase_start_rate"}
+
+
+def _real(v: object) -> float:
+    if isinstance(v, bool) or not isinstance(v, (int, float)):
+        raise ValueError("a number is needed")
+    return v
+
+
+#: What a stored style card must hold; a card that doesn't raises when it is read.
+_card = record({"targets": record({**dict.fromkeys(sorted(_number), _real), "signature_ngrams": many(text_of())}), "prose": record({"voice_summary": text_of(), "habits": many(text_of()), "do_more_of": many(text_of())})})
+
+
+def checked_input(text: str | None = None, voice_id: str | None = None) -> None:
+    """Caps of the engine's inputs."""
+    for value, most in ((text, MOST_TEXT), (voice_id, MOST_ID)):
+        if value is not None:
+            text_of(1, most)(value)
+
+
 def prose_of(texts: list[str], model: Callable[[str], str]) -> dict:
     """The model's description of a style as voice_summary, habits and do_more_of; anything else fails."""
     shown = "\n\n".join(f"EXAMPLE {i}:\n{t}" for i, t in enumerate(texts, 1))
@@ -84,7 +107,6 @@ def build_profile(store: Store, author: str, register: str, version: str, built_
         raise ValueError("calibration needs texts of the author and of others")
     words = got["profile"].orderBy("word").collect()
     targets = stylometry.compute_targets(pulled, ["author_id", "register"], "authored_at").drop("author_id", "register").first().asDict(recursive=True)
-    targets["signature_ngrams"] = [r.gram for r in stylometry.signature_ngrams(pulled, ["register"]).orderBy("idx").collect()]
     blob = {
         "register": register,
         "words": [[r.word, r.mean, r.std, r.centroid] for r in words],
@@ -130,6 +152,9 @@ class Engine:
     dim: int = 768
     detector: Callable[[str], float] | None = None
     meaning: Callable[[Column], Column] | None = None
+    rhythm: Callable[[str, str], str] | None = None
+    #: (voice_id, sources, corpus_ref) to the units that voice_add builds from.
+    corpora: Callable[[str, list[str], str | None], DataFrame] | None = None
     jobs: Jobs = field(default_factory=Jobs)
 
     def _own(self, voice: str, register: str) -> DataFrame:
@@ -140,7 +165,9 @@ class Engine:
         return [r.text for r in retrieval.retrieve(self._own(voice, register), register, k).select("text").collect()]
 
     def facts(self, voice: str, register: str, about: str, k: int = FACTS_SHOWN) -> list[str]:
-        """The k texts of a voice whose content is nearest to a question."""
+        """The k texts of a voice whose content is nearest to a question; none without an embedder."""
+        if self.embed is None:
+            return []
         seed = list(self.store.spark.createDataFrame([(about,)], "text string").select(self.embed(F.col("text"))).first()[0])
         return [r.text for r in retrieval.retrieve(self._own(voice, register), register, k, content=seed).collect()]
 
@@ -149,6 +176,7 @@ class Engine:
         row = self.store.active().where((F.col("author_id") == voice) & (F.col("register") == retrieval.checked_register(register))).first()
         if row is None:
             return None
+        _card(json.loads(row.style_card))
         grade = "profile-grade" if row.exemplar_count >= PROFILE_EXEMPLARS else "generation-ready"
         return {"version": row.version, "style_card": row.style_card, "blob": json.loads(row.stylometric_vector), "exemplar_pool_ref": f"{voice}:{register}", "centroid_ref": f"{voice}:{register}:{row.version}", "readiness": grade}
 
@@ -160,8 +188,8 @@ class Engine:
 
     def _breaches(self, before: str, after: str) -> list[str]:
         row = self.store.spark.createDataFrame([(before, after)], "b string, a string")
-        like = deai.cosine(self.meaning(F.col("b")), self.meaning(F.col("a"))) if self.meaning else None
-        return row.select(deai.breaches(F.col("b"), F.col("a"), like)).first()[0]
+        like = (lambda x, y: deai.cosine(self.meaning(x), self.meaning(y))) if self.meaning else None
+        return list(deai.with_breaches(row, "lost", "b", "a", like).first().lost)
 
     def _draft(self, voice: str, register: str, task: str, strictness: str | None = None, about: str | None = None, source: str | None = None) -> dict:
         profile = self.profile(voice, register)
@@ -193,7 +221,7 @@ class Engine:
         """One text through the repairs, with the detector's view of it before and after."""
         checked_input(text)
         row = self.store.spark.createDataFrame([(text, retrieval.checked_register(register))], "text string, register string")
-        r = deai.deai(row, strictness, embed=self.meaning).first()
+        r = deai.deai(row, strictness, rhythm=self.rhythm, embed=self.meaning).first()
         before, after = (min(1.0, max(0.0, self.detector(t))) if self.detector else 0.0 for t in (text, r.output))
         failed = [h.id for h in r.residual] + ["meaning"] * len(r.breaches)
         scores = {"stylometric_similarity": 0.0, "ai_detector_prob": after, "register_fit": 1.0}
@@ -213,6 +241,13 @@ class Engine:
         checked_input(voice_id=voice_id)
         return self.jobs.start(lambda: self.build_voice(voice_id, units, version, built_at))[0]
 
+    def add_from(self, voice_id: str, sources: list[str], corpus_ref: str | None = None) -> str:
+        """add_voice from what the injected corpora give, versions and time by the clock."""
+        if self.corpora is None:
+            raise RuntimeError("no corpora are connected")
+        now = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%S.%fZ")
+        return self.add_voice(voice_id, self.corpora(voice_id, sources, corpus_ref), lambda register: f"{register}-{now}", now)
+
     def list_voices(self) -> DataFrame:
         return voices(self.store.active())
 

@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 # Fixed values.
 ATTEMPTS, EXEMPLARS_SHOWN, FACTS_SHOWN, LEAST_EXEMPLARS, MOST_PULLED = 3, 3, 3, 5, 500
-MOST_TEXT, MOST_ID, MOST_SOURCES = 100_000, 256, 16
 
 
 class InsufficientCorpusError(ValueError):
@@ -51,7 +50,7 @@ class Verdict:
 
 def nudge(best: Verdict) -> str:
     """What to say before a retry: how near the best attempt was, in positive words."""
-    return f"The last draft matched about {floor(100 * best.percentile + 0.5)}% of this author's own range; lean further into their rhythm and phrasing."
+    return f"The best draft so far scores {floor(100 * best.percentile + 0.5)} of 100 for likeness. Come closer: sentence lengths, openings and habitual words as in the samples."
 
 
 @dataclass
@@ -123,13 +122,3 @@ def build_registers(counts: dict[str, int], build: Callable[[str], None]) -> tup
         except InsufficientCorpusError:
             skipped.append(register)
     return built, skipped
-
-
-def checked_input(text: str | None = None, voice_id: str | None = None, sources: list | None = None) -> None:
-    """Caps of the tools' inputs."""
-    if text is not None and not 1 <= len(text) <= MOST_TEXT:
-        raise ValueError("text must have 1 to 100000 characters")
-    if voice_id is not None and not 1 <= len(voice_id) <= MOST_ID:
-        raise ValueError("voice_id must have 1 to 256 characters")
-    if sources is not None and len(sources) > MOST_SOURCES:
-        raise ValueError("at most 16 sources")

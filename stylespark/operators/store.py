@@ -15,9 +15,9 @@ ACTIVATIONS = "author_id string, register string, version string, seq long"
 
 
 def last_of(batch: DataFrame, key: str, order: str) -> DataFrame:
-    """One row per key, the last in order."""
-    n = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))
-    return batch.withColumn("_n", n).where("_n = 1").drop("_n")
+    """One row per key, the last in order; of rows that tie, the one with the greatest hash of its values. A partial aggregate: a hot key isn't sorted."""
+    row = F.struct(F.col(order), F.xxhash64(*batch.columns).alias("_tie"), F.struct(*batch.columns).alias("_row"))
+    return batch.groupBy(key).agg(F.max_by(row["_row"], F.struct(row[order], row["_tie"])).alias("_row")).select("_row.*")
 
 
 def new_rows(batch: DataFrame, stored: DataFrame, key: str = "id", order: str = "seq") -> DataFrame:
@@ -70,12 +70,15 @@ class Store:
 
     def activate(self, author: str, register: str, version: str) -> None:
         """Make a version the active one; an unknown version fails and changes nothing."""
-        same = (F.col("author_id") == author) & (F.col("register") == register)
-        if not self.profiles().where(same & (F.col("version") == version)).limit(1).count():
+        if not self.profile(author, register, version).limit(1).count():
             raise KeyError(f"no profile {author}/{register}/{version}")
         seq = (self.activations().agg(F.max("seq")).first()[0] or 0) + 1
         self.spark.createDataFrame([(author, register, version, seq)], ACTIVATIONS).write.mode("append").parquet(f"{self.path}/activations")
 
+    def profile(self, author: str, register: str, version: str) -> DataFrame:
+        """One version of a profile, active or not."""
+        return self.profiles().where((F.col("author_id") == author) & (F.col("register") == register) & (F.col("version") == version))
+
     def active(self) -> DataFrame:
         return active_profiles(self.profiles(), self.activations())
 

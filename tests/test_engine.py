@@ -1,11 +1,14 @@
 import json
+import time
 from bisect import bisect_right
 
 import pytest
+from pyspark.sql import functions as F
 
 from stylespark.operators.engine import BUNDLED, Engine, judged, prose_of
 from stylespark.operators.service import hashed_embedder
 from stylespark.operators.store import Store
+from stylespark.operators.tools import call
 from stylespark.sources.messages import UNIT
 
 PROSE = json.dumps({"voice_summary": "plain", "habits": ["short words", "never shouts"], "do_more_of": ["questions"]})
@@ -81,3 +84,59 @@ def test_directory(engine):
 def test_broken_prose(reply):
     with pytest.raises(ValueError):
         prose_of(["a"], lambda p: reply)
+
+
+def test_tools_check_and_strip(engine):
+    got = call(engine, "voice_generate", {"brief": "say hello", "voice_id": "me", "register": "chat", "knobs": {"grounding_query": "the boat", "other": 1}})
+    assert set(got) == {"text", "verdict", "scores", "gate", "register", "voice_id"} and set(got["gate"]) == {"passed", "failed_checks"}
+    assert set(call(engine, "voice_deai", {"text": "We delve.", "register": "chat", "strictness": "strict"})) == set(got) | {"ai_detector_prob_before", "ai_detector_prob_after"}
+    assert call(engine, "voice_transform", {"text": "pay 40 to Jane Doe", "to_voice": "me", "register": "chat"})["gate"]["failed_checks"][0] == "meaning"
+    assert call(engine, "voice_list", {}) == {"voices": [{"voice_id": "me", "registers_ready": ["chat"]}]}
+    told = call(engine, "voice_status", {"voice_id": "me"})
+    assert [set(r) for r in told["registers"]] == [{"register", "readiness", "coverage", "last_eval"}] * 3
+
+
+@pytest.mark.parametrize(
+    ("tool", "payload"),
+    [
+        ("voice_generate", {"brief": "", "voice_id": "me", "register": "chat"}),
+        ("voice_generate", {"brief": "x" * 100_001, "voice_id": "me", "register": "chat"}),
+        ("voice_generate", {"brief": "x", "voice_id": "me", "register": "letter"}),
+        ("voice_generate", {"brief": "x", "voice_id": "m" * 257, "register": "chat"}),
+        ("voice_rewrite", {"text": "x", "register": "chat"}),
+        ("voice_rewrite", {"text": "x", "voice_id": "me", "register": "chat", "strictness": "normal"}),
+        ("voice_add", {"voice_id": "me", "sources": []}),
+        ("voice_add", {"voice_id": "me", "sources": ["email"] * 17}),
+        ("voice_add", {"voice_id": "me", "sources": ["paper"]}),
+        ("voice_status", "me"),
+    ],
+)
+def test_tools_refuse_bad_input(tool, payload):
+    with pytest.raises(ValueError):
+        call(None, tool, payload)  # the engine isn't asked
+    with pytest.raises(KeyError):
+        call(None, "voice_remove", {})
+
+
+def test_add_voice_by_the_tool(engine, spark):
+    engine.corpora = lambda voice, sources, ref: spark.createDataFrame([(voice, "x@x", "email", "one", None, "2024-01-01T00:00:00Z", "hello there")], UNIT)
+    job = call(engine, "voice_add", {"voice_id": "new", "sources": ["email"], "corpus_ref": "r"})["job_id"]
+    for _ in range(600):
+        if engine.jobs.get(job)["status"] != "running":
+            break
+        time.sleep(0.1)
+    assert engine.jobs.get(job) == {"status": "succeeded", "result": {"ingested": 1, "built_registers": [], "skipped_registers": ["chat"]}}
+
+
+def test_profiles_by_version_and_broken_cards(engine, spark):
+    assert engine.store.profile("me", "chat", "chat-1").count() == 1 and engine.store.profile("me", "chat", "chat-2").count() == 0
+    row = engine.store.profile("me", "chat", "chat-1").drop("author_id", "style_card").withColumns({"author_id": F.lit("odd"), "style_card": F.lit('{"targets": {}, "prose": {}}')})
+    engine.store.write_profile(row)
+    engine.store.activate("odd", "chat", "chat-1")
+    with pytest.raises(ValueError):
+        engine.profile("odd", "chat")
+
+
+def test_facts_need_an_embedder(engine):
+    bare = Engine(engine.store, model)
+    assert bare.facts("me", "chat", "the boat") == []
