@@ -14,6 +14,8 @@ from stylespark.functions import text as T
 
 # Fixed values.
 VOCABULARY, NGRAMS, NGRAM_LEAST, LOW_SEPARATION = 200, 8, 2, 0.6
+#: A norm below this is what rounding leaves of zero, as in a group without other authors, whose centroid is nil.
+NOTHING = 1e-9
 
 
 def word_counts(docs: DataFrame, keys: list[str]) -> DataFrame:
@@ -38,6 +40,11 @@ def relative_frequencies(docs: DataFrame, counts: DataFrame, vocabulary: DataFra
     return counts.join(vocabulary.select(*keys, "word"), [*keys, "word"]).join(sizes, [*keys, "doc_id"]).select(*keys, "doc_id", "word", (F.col("n") / F.col("size")).alias("f"))
 
 
+def with_absent(docs: DataFrame, freqs: DataFrame, vocabulary: DataFrame, keys: list[str]) -> DataFrame:
+    """freqs for all of each document's vocabulary, words that it lacks as 0."""
+    return docs.select(*keys, "doc_id").join(vocabulary.select(*keys, "word"), keys).join(freqs, [*keys, "doc_id", "word"], "left").withColumn("f", F.coalesce("f", F.lit(0.0)))
+
+
 def word_stats(docs: DataFrame, freqs: DataFrame, vocabulary: DataFrame, keys: list[str]) -> DataFrame:
     """keys, word, mean, std (population, 1 where it is 0), over all documents of a group, absent words as 0."""
     n = docs.groupBy(*keys).agg(F.count("*").alias("docs"))
@@ -69,7 +76,7 @@ def delta_scores(docs: DataFrame, freqs: DataFrame, profile: DataFrame, keys: li
     base = base.join(whole, keys) if keys else base.crossJoin(whole)
     full = base.join(fixes, [*keys, "doc_id"], "left").fillna(0.0, ["zc1", "zz1"])
     norm = F.sqrt(F.greatest(F.lit(0.0), F.col("zz0") + F.col("zz1"))) * F.sqrt("cc")
-    return full.select(*keys, "doc_id", F.when(norm == 0, F.lit(0.0)).otherwise((F.col("zc0") + F.col("zc1")) / norm).alias("score"))
+    return full.select(*keys, "doc_id", F.when(norm < NOTHING, F.lit(0.0)).otherwise((F.col("zc0") + F.col("zc1")) / norm).alias("score"))
 
 
 def roc_auc(scores: DataFrame, keys: list[str]) -> DataFrame:
@@ -92,18 +99,25 @@ def calibrate(docs: DataFrame, keys: list[str], top: int = VOCABULARY) -> dict[s
     stats = word_stats(docs, freqs, vocabulary, keys)
     profile = centroids(docs.where("label = 1"), freqs, stats, keys)
     scores = delta_scores(docs, freqs, profile, keys).join(docs.select(*keys, "doc_id", "label"), [*keys, "doc_id"])
-    auc = F.round("roc_auc", 4)
+    auc = F.bround("roc_auc", 4)  # half to even, as Python rounds
     metrics = roc_auc(scores, keys).select(*keys, F.col("n_pos").alias("n_genuine"), F.col("n_neg").alias("n_impostor"), auc.alias("roc_auc"), (auc < LOW_SEPARATION).alias("low_separation"))
     return {"profile": profile, "scores": scores, "metrics": metrics}
 
 
 def signature_ngrams(docs: DataFrame, keys: list[str], top: int = NGRAMS, least: int = NGRAM_LEAST) -> DataFrame:
-    """keys, gram, n, idx: a group's most repeated two- and three-word runs, never across texts."""
-    runs = lambda t, n: F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.array_join(F.slice(t, i, n), " "))).otherwise(F.array().cast("array<string>"))
-    grams = docs.select(*keys, F.explode(T.let(F.transform(T.alpha_words(F.col("text")), F.lower), lambda t: F.concat(runs(t, 2), runs(t, 3)))).alias("gram"))
-    counted = grams.groupBy(*keys, "gram").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    """keys, gram, n, idx: a group's most repeated two- and three-word runs, never across texts.
+
+    Runs are counted by their 64-bit hashes, with one of the places where each stands; only runs that
+    occur often enough to be among the first, ties included, are spelled."""
+    words = docs.select(*keys, T.let(F.transform(T.alpha_words(F.col("text")), F.lower), lambda t: t).alias("t"))
+    run = lambda i, n: F.struct(F.xxhash64(*[F.get(F.col("t"), i + k) for k in range(n)]).alias("h"), F.lit(n).alias("len"), F.get(F.col("t"), i).alias("a"), F.get(F.col("t"), i + 1).alias("b"), (F.get(F.col("t"), i + 2) if n == 3 else F.lit(None).cast("string")).alias("c"))
+    runs = lambda n: F.when(F.size("t") >= n, F.transform(F.sequence(F.lit(0), F.size("t") - n), lambda i: run(i, n)))
+    none = runs(2).cast("array<struct<h:bigint,len:int,a:string,b:string,c:string>>")
+    each = words.select(*keys, F.explode(F.concat(F.coalesce(none, F.array()), F.coalesce(runs(3), F.array()))).alias("r")).select(*keys, "r.*")
+    counted = each.groupBy(*keys, "h", "len").agg(F.count("*").alias("n"), F.first(F.struct("a", "b", "c")).alias("w")).where(F.col("n") >= least)
+    spelled = counted.withColumn("gram", F.concat_ws(" ", "w.a", "w.b", "w.c"))
     order = Window.partitionBy(*keys).orderBy(F.desc("n"), "gram")
-    return counted.withColumn("idx", F.row_number().over(order)).where(F.col("idx") <= top)
+    return spelled.withColumn("idx", F.row_number().over(order)).where(F.col("idx") <= top).select(*keys, "gram", "n", "idx")
 
 
 def style_counts(docs: DataFrame) -> DataFrame:
@@ -125,8 +139,9 @@ def sentence_stats(docs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def compute_targets(docs: DataFrame, keys: list[str], order: str = "seq", most_docs: int = 500) -> DataFrame:
-    """Style targets of each group's texts joined by line feeds in order, as one text: sentences and windows may span them.
+    """Style targets of each group's texts joined by line feeds in order, as one text: sentences and windows may span them; signature_ngrams may not.
 
+    Rounded half to even, as Python rounds.
     A group is a bounded pull of exemplars; one of more than most_docs texts fails rather than gather in one task."""
     gathered = docs.groupBy(*keys).agg(F.count("*").alias("sample_count"), F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), "text"))).alias("all"))
     bounded = F.when(F.col("sample_count") <= most_docs, F.col("all")).otherwise(F.raise_error(F.lit(f"more than {most_docs} texts in a group")).cast(gathered.schema["all"].dataType))
@@ -137,10 +152,17 @@ def compute_targets(docs: DataFrame, keys: list[str], order: str = "seq", most_d
     size = F.size("lens")
     mean = F.aggregate("lens", F.lit(0.0), lambda a, x: a + x) / size
     var = F.aggregate("lens", F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / size
-    rate = lambda c, d=5: F.round(c / F.col("word_count"), d)
+    rate = lambda c, d=5: F.bround(c / F.col("word_count"), d)
     low = F.size(F.filter("sents", T.starts_lowercase)) / F.size("sents")
-    return lengths.select(
-        *keys, F.when(size == 0, 0.0).otherwise(F.round(mean, 3)).alias("sentence_len_mean"), F.when(size < 2, 0.0).otherwise(F.round(var, 3)).alias("sentence_len_variance"),
-        F.round(T.mattr(F.transform("words", F.lower)), 4).alias("mattr"), F.create_map(*[x for k, c in T.punctuation_counts(t).items() for x in (F.lit(k), rate(c))]).alias("punctuation_profile"),
-        rate(F.regexp_count(t, F.lit(T.CONTRACTION))).alias("contraction_rate"), rate(F.regexp_count(t, F.lit(T.EMOJI))).alias("emoji_rate"), F.when(F.size("sents") == 0, 0.0).otherwise(F.round(low, 4)).alias("lowercase_start_rate"), "word_count", "sample_count",
+    grams = signature_ngrams(docs, keys).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "gram"))), lambda g: g["gram"]).alias("signature_ngrams"))  # NGRAMS a group
+    done = lengths.select(
+        *keys, F.when(size == 0, 0.0).otherwise(F.bround(mean, 3)).alias("sentence_len_mean"), F.when(size < 2, 0.0).otherwise(F.bround(var, 3)).alias("sentence_len_variance"),
+        F.bround(T.mattr(F.transform("words", F.lower)), 4).alias("mattr"), F.create_map(*[x for k, c in T.punctuation_counts(t).items() for x in (F.lit(k), rate(c))]).alias("punctuation_profile"),
+        rate(F.regexp_count(t, F.lit(T.CONTRACTION))).alias("contraction_rate"), rate(F.regexp_count(t, F.lit(T.EMOJI))).alias("emoji_rate"), F.when(F.size("sents") == 0, 0.0).otherwise(F.bround(low, 4)).alias("lowercase_start_rate"), "word_count", "sample_count",
     )
+    return done.join(grams, keys, "left").withColumn("signature_ngrams", F.coalesce("signature_ngrams", F.array().cast("array<string>")))
+
+
+def text_features(texts: DataFrame) -> DataFrame:
+    """doc_id and the targets of each text alone. texts: doc_id, text."""
+    return compute_targets(texts, ["doc_id"], "doc_id")

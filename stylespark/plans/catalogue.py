@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from stylespark.functions import text as T
 from stylespark.functions.nfc import with_nfc
 from stylespark.functions.vectors import cosine
-from stylespark.operators import accounting, assemble, deai, dedup, gate, ingest, retrieval, store, stylometry
+from stylespark.operators import accounting, assemble, deai, dedup, gate, ingest, retrieval, store, stylometry, tells
 from stylespark.plans import proxies as P
 from stylespark.sources import messages
+from stylespark.runtime import settled
 from stylespark.streaming.limits import limited
 
 QUERIES: dict = {}
@@ -46,7 +47,6 @@ def src_chat_thread(spark, d):
 # Cleaning. In the SQL below, lines are told apart by simple tests that hold for the decorated texts.
 
 _BLANK = "regexp_full_match({}, '\\s*')"
-_LINES = "ls AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM p_dirty)"
 _FOREIGN = "(regexp_matches(x, '^\\s*On\\b.*\\bwrote:\\s*$') OR regexp_matches(x, '^\\s*-+\\s*[Ff]orwarded message\\s*-+\\s*$') OR x = '-- ' OR regexp_matches(x, '^\\s*>'))"
 
 
@@ -55,33 +55,50 @@ def _trim_tail(items: str) -> str:
     return f"list_slice({items}, 1, coalesce(list_max(list_transform(range(1, len({items}) + 1), lambda i: CASE WHEN regexp_full_match({items}[i], '\\s*') THEN 0 ELSE i END)), 0))"
 
 
-@query(f"""WITH {P.DIRTY}, {_LINES}, f AS (SELECT doc_id, l, list_position(list_transform(l, lambda x: {_FOREIGN}), true) AS p FROM ls),
-o AS (SELECT doc_id, CASE WHEN p > 0 THEN list_slice(l, 1, p - 1) ELSE l END AS k FROM f)
-SELECT doc_id, coalesce(array_to_string({_trim_tail('k')}, chr(10)), '') AS text FROM o""")
+def _email(src: str, out: str) -> str:
+    """SQL for `out`: the texts of `src` (doc_id, text) before the first foreign line."""
+    return f"""{out}_f AS (SELECT doc_id, l, list_position(list_transform(l, lambda x: {_FOREIGN}), true) AS p FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM {src})),
+{out} AS (SELECT doc_id, coalesce(array_to_string({_trim_tail('k')}, chr(10)), '') AS text FROM (SELECT doc_id, CASE WHEN p > 0 THEN list_slice(l, 1, p - 1) ELSE l END AS k FROM {out}_f))"""
+
+
+def _chat(src: str, out: str) -> str:
+    """SQL for `out`: the texts of `src` without a quote at the top."""
+    return f"""{out}_q AS (SELECT doc_id, l, regexp_matches(l[1], '^\\s*>') AS quoted, list_position(list_transform(l, lambda x: NOT regexp_matches(x, '^\\s*>')), true) AS p FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM {src})),
+{out}_r AS (SELECT doc_id, l, quoted, CASE WHEN p > 0 THEN list_slice(l, p, len(l)) ELSE CAST([] AS VARCHAR[]) END AS rs FROM {out}_q),
+{out}_n AS (SELECT doc_id, l, quoted, rs, list_position(list_transform(rs, lambda x: NOT {_BLANK.format('x')}), true) AS p FROM {out}_r),
+{out}_k AS (SELECT doc_id, l, quoted, CASE WHEN p > 0 THEN list_slice(rs, p, len(rs)) ELSE CAST([] AS VARCHAR[]) END AS k FROM {out}_n),
+{out} AS (SELECT doc_id, CASE WHEN NOT quoted THEN array_to_string(l, chr(10)) ELSE coalesce(array_to_string({_trim_tail('k')}, chr(10)), '') END AS text FROM {out}_k)"""
+
+
+def _code(src: str, out: str) -> str:
+    """SQL for `out`: the texts of `src` without fenced blocks."""
+    return f"""{out}_t AS (SELECT *, regexp_matches(x, '^\\s*(```|~~~)') AS fence FROM (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM {src}))),
+{out}_c AS (SELECT *, sum(CASE WHEN fence THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS n, max(fence) OVER (PARTITION BY doc_id) AS any_fence FROM {out}_t),
+{out}_o AS (SELECT doc_id, x, i, any_fence, regexp_full_match(x, '\\s*') AS blank FROM {out}_c WHERE NOT fence AND n % 2 = 0),
+{out}_e AS (SELECT *, lag(blank, 1, true) OVER (PARTITION BY doc_id ORDER BY i) AS before, max(CASE WHEN NOT blank THEN i END) OVER (PARTITION BY doc_id) AS last FROM {out}_o),
+{out}_k AS (SELECT * FROM {out}_e WHERE NOT any_fence OR (i <= last AND NOT (blank AND before))),
+{out} AS (SELECT s.doc_id, coalesce(string_agg(x, chr(10) ORDER BY i), '') AS text FROM {src} s LEFT JOIN {out}_k USING (doc_id) GROUP BY s.doc_id)"""
+
+
+_SAFE = "regexp_replace(nfc_normalize(text), '[\\x00-\\x08\\x0b-\\x1f\\x7f-\\x{9f}]', '', 'g')"
+
+
+@query(f"WITH {P.DIRTY}, {_email('p_dirty', 'c')} SELECT doc_id, text FROM c")
 def clean_email_boundaries(spark, d):
     return P.dirty(spark, d).select("doc_id", T.strip_email(F.col("text")).alias("text"))
 
 
-@query(f"""WITH {P.DIRTY}, {_LINES}, q AS (SELECT doc_id, l, regexp_matches(l[1], '^\\s*>') AS quoted, list_position(list_transform(l, lambda x: NOT regexp_matches(x, '^\\s*>')), true) AS p FROM ls),
-r AS (SELECT doc_id, l, quoted, CASE WHEN p > 0 THEN list_slice(l, p, len(l)) ELSE CAST([] AS VARCHAR[]) END AS rs FROM q),
-n AS (SELECT doc_id, l, quoted, rs, list_position(list_transform(rs, lambda x: NOT {_BLANK.format('x')}), true) AS p FROM r),
-k AS (SELECT doc_id, l, quoted, CASE WHEN p > 0 THEN list_slice(rs, p, len(rs)) ELSE CAST([] AS VARCHAR[]) END AS k FROM n)
-SELECT doc_id, CASE WHEN NOT quoted THEN array_to_string(l, chr(10)) ELSE coalesce(array_to_string({_trim_tail('k')}, chr(10)), '') END AS text FROM k""")
+@query(f"WITH {P.DIRTY}, {_chat('p_dirty', 'c')} SELECT doc_id, text FROM c")
 def clean_chat_boundaries(spark, d):
     return P.dirty(spark, d).select("doc_id", T.strip_chat(F.col("text")).alias("text"))
 
 
-@query(f"""WITH {P.DIRTY}, {_LINES}, e AS (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM ls),
-t AS (SELECT *, regexp_matches(x, '^\\s*(```|~~~)') AS fence FROM e), c AS (SELECT *, sum(CASE WHEN fence THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS n, max(fence) OVER (PARTITION BY doc_id) AS any_fence FROM t),
-own AS (SELECT doc_id, x, i, any_fence, regexp_full_match(x, '\\s*') AS blank FROM c WHERE NOT fence AND n % 2 = 0),
-edge AS (SELECT *, lag(blank, 1, true) OVER (PARTITION BY doc_id ORDER BY i) AS before, max(CASE WHEN NOT blank THEN i END) OVER (PARTITION BY doc_id) AS last FROM own),
-kept AS (SELECT * FROM edge WHERE NOT any_fence OR (i <= last AND NOT (blank AND before)))
-SELECT p.doc_id, coalesce(string_agg(x, chr(10) ORDER BY i), '') AS text FROM p_dirty p LEFT JOIN kept USING (doc_id) GROUP BY p.doc_id""")
+@query(f"WITH {P.DIRTY}, {_code('p_dirty', 'c')} SELECT doc_id, text FROM c")
 def strip_code_fences(spark, d):
     return P.dirty(spark, d).select("doc_id", T.strip_code(F.col("text")).alias("text"))
 
 
-@query(f"WITH {P.DIRTY} SELECT doc_id, regexp_replace(nfc_normalize(text), '[\\x00-\\x08\\x0b-\\x1f\\x7f-\\x{{9f}}]', '', 'g') AS text FROM p_dirty")
+@query(f"WITH {P.DIRTY} SELECT doc_id, {_SAFE} AS text FROM p_dirty")
 def normalize_safe(spark, d):
     return with_nfc(P.dirty(spark, d), "text").select("doc_id", T.drop_controls(F.col("text")).alias("text"))
 
@@ -123,38 +140,59 @@ def _records(spark, d) -> DataFrame:
 _RECORDS = f"""{P.UNITS}, rec AS (SELECT doc_id, {_ID.format('raw_text', 'raw_text')} AS id, author_id, medium, {_register('medium', 'raw_text')} AS register, {_W.format('raw_text')} AS word_count, timestamp, raw_text AS text_clean, source_uri FROM p_units WHERE {_W.format('raw_text')} > 0)"""
 
 
-@query()
-def ingest_pipeline(spark, d):
-    """Dirty units through the whole pipeline."""
-    own = P.units(spark, d).drop("raw_text").join(P.dirty(spark, d).select("doc_id", F.col("text").alias("raw_text")), "doc_id")
-    return ingest.ingest(own).drop("text_clean")
+# Near-duplicates. The SQL compares all documents, copies too.
+
+def _near(table: str, key: str, text: str) -> str:
+    """SQL for prs (a, b, jaccard): all pairs of the table's rows whose five-word shingles agree by 0.75 or more, a > b."""
+    return f"""w AS (SELECT {key} AS k, regexp_extract_all(lower({text}), '\\S+') AS w FROM {table} WHERE {text} IS NOT NULL),
+sh AS (SELECT DISTINCT k, unnest(CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) END) AS s FROM w),
+n AS (SELECT k, count(*) AS n FROM sh GROUP BY k),
+prs AS (SELECT c.a, c.b, c.c / (x.n + y.n - c.c) AS jaccard FROM (SELECT x.k AS a, y.k AS b, count(*) AS c FROM sh x JOIN sh y ON x.s = y.s AND x.k > y.k GROUP BY x.k, y.k) c JOIN n x ON x.k = c.a JOIN n y ON y.k = c.b WHERE c.c / (x.n + y.n - c.c) >= 0.75),
+e AS (SELECT a AS x, b AS y FROM prs UNION SELECT b, a FROM prs), reach AS (SELECT {key} AS node, {key} AS root FROM {table} UNION SELECT e.x, reach.root FROM reach JOIN e ON e.y = reach.node),
+lab AS (SELECT node AS k, min(root) AS root FROM reach GROUP BY node)"""
 
 
-# Near-duplicates.
+_DOCS = f"{_near('documents', 'doc_id', 'text')}, cl AS (SELECT d.doc_id, coalesce(min(p.b), d.doc_id) AS class_id FROM documents d LEFT JOIN prs p ON p.a = d.doc_id AND p.jaccard = 1 GROUP BY d.doc_id)"
 
-_SHINGLES = """w AS (SELECT doc_id, regexp_extract_all(lower(text), '\\S+') AS w FROM documents WHERE text IS NOT NULL),
-sh AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) END) AS s FROM w),
-dig AS (SELECT doc_id, md5(string_agg(s, '|' ORDER BY s)) AS digest, count(*) AS n FROM sh GROUP BY doc_id),
-rep AS (SELECT digest, min(doc_id) AS item, any_value(n) AS n FROM dig GROUP BY digest),
-own AS (SELECT item, n, s FROM rep JOIN sh ON sh.doc_id = rep.item),
-prs AS (SELECT x.item AS a, y.item AS b, count(*) / (any_value(x.n) + any_value(y.n) - count(*)) AS jaccard FROM own x JOIN own y ON x.s = y.s AND x.item > y.item GROUP BY x.item, y.item HAVING count(*) / (any_value(x.n) + any_value(y.n) - count(*)) >= 0.75)"""
 
+def _items(spark, d) -> DataFrame:
+    return P.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
 
-@query(f"WITH {_SHINGLES} SELECT a, b, round(jaccard, 6) AS jaccard FROM prs")
+
+@query(f"""WITH RECURSIVE {_DOCS} SELECT greatest(x.class_id, y.class_id) AS a, least(x.class_id, y.class_id) AS b, round(any_value(jaccard), 6) AS jaccard, count(*) AS links
+FROM prs JOIN cl x ON x.doc_id = prs.a JOIN cl y ON y.doc_id = prs.b GROUP BY 1, 2""")
 def dedup_pairs(spark, d):
-    got = dedup.duplicate_pairs(P.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
-    return got.select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+    """Pairs of classes of equal shingle sets; links counts the pairs of documents that a row stands for."""
+    return dedup.duplicate_pairs(_items(spark, d)).select("a", "b", F.round("jaccard", 6).alias("jaccard"), "links")
+
 
+@query(f"""WITH RECURSIVE {_DOCS} SELECT cl.doc_id AS id, cl.class_id, (SELECT count(*) FROM prs WHERE prs.a = cl.doc_id OR prs.b = cl.doc_id) AS links FROM cl""")
+def dedup_links(spark, d):
+    """Each document's class and the number of its near-duplicates."""
+    return dedup.duplicate_links(_items(spark, d))
 
-@query(f"""WITH RECURSIVE {_SHINGLES}, e AS (SELECT a AS x, b AS y FROM prs UNION SELECT b, a FROM prs), reach AS (SELECT item AS node, item AS root FROM rep UNION SELECT e.x, reach.root FROM reach JOIN e ON e.y = reach.node),
-comp AS (SELECT node, min(root) AS root FROM reach GROUP BY node),
-lab AS (SELECT d.doc_id, coalesce(c.root, d.doc_id) AS root FROM documents d LEFT JOIN dig USING (doc_id) LEFT JOIN rep USING (digest) LEFT JOIN comp c ON c.node = rep.item)
-SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY root) AS dedup_cluster_id, doc_id = min(doc_id) OVER (PARTITION BY root) AS is_canonical FROM lab""")
+
+@query(f"WITH RECURSIVE {_DOCS} SELECT k AS id, root AS dedup_cluster_id, k = root AS is_canonical FROM lab")
 def dedup_clusters(spark, d):
     own = P.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.format_string("%012d", "doc_id").alias("timestamp"))
     return dedup.near_duplicates(own)
 
 
+_CLEAN = f"""{P.DIRTY}, {P.UNITS}, raw AS (SELECT doc_id, medium, text FROM p_dirty JOIN p_units USING (doc_id)),
+mail AS (SELECT * FROM raw WHERE medium = 'email'), {_email('mail', 'c_mail')}, room AS (SELECT * FROM raw WHERE medium = 'matrix'), {_chat('room', 'c_room')},
+own AS (SELECT * FROM c_mail UNION ALL SELECT * FROM c_room UNION ALL SELECT doc_id, text FROM raw WHERE medium IN ('slack', 'claude')), {_code('own', 'c_own')}, tc AS (SELECT doc_id, {_SAFE} AS text_clean FROM c_own)"""
+
+
+@query(f"""WITH RECURSIVE {_CLEAN}, every AS (SELECT {_ID.format('text_clean', 'text_clean')} AS id, author_id, medium, {_register('medium', 'text_clean')} AS register, source_uri, thread_id, timestamp, text_clean, CAST({_W.format('text_clean')} AS INTEGER) AS word_count FROM tc JOIN p_units USING (doc_id)),
+once AS (SELECT * FROM every WHERE word_count > 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY timestamp, source_uri) = 1), {_near('once', 'id', 'text_clean')},
+firsts AS (SELECT o.*, first_value(o.id) OVER (PARTITION BY root ORDER BY timestamp, o.id) AS dedup_cluster_id FROM once o JOIN lab ON lab.k = o.id)
+SELECT id, author_id, medium, register, source_uri, thread_id, timestamp, word_count, dedup_cluster_id, id = dedup_cluster_id AS is_canonical, '1' AS ingest_version FROM firsts""")
+def ingest_pipeline(spark, d):
+    """Dirty units through the whole pipeline."""
+    own = P.units(spark, d).drop("raw_text").join(P.dirty(spark, d).select("doc_id", F.col("text").alias("raw_text")), "doc_id")
+    return ingest.ingest(own).drop("text_clean")
+
+
 # Store, volume and directory.
 
 
@@ -273,21 +311,29 @@ def cosine_axes(spark, d):
     return P.vectors(spark, d).select("id", F.round(cosine(F.col("style_embedding"), F.col("content_embedding")), 6).alias("similarity"))
 
 
-# Stylometry: profiles of source src0 against the other sources, by language.
+# Stylometry: a profile of every source and language. Each source's texts are told from those of the source after it.
 
-KEYS = ["lang"]
-_STYLE = """dc AS (SELECT lang, doc_id, text, CASE WHEN source = 'src0' THEN 1 ELSE 0 END AS label FROM documents),
-tk AS (SELECT lang, doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+(?:''[a-z]+)?')) AS word FROM dc), ct AS (SELECT lang, doc_id, word, count(*) AS n FROM tk GROUP BY ALL),
-vo AS (SELECT lang, word, sum(n) AS total, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, word) AS idx FROM ct GROUP BY lang, word QUALIFY idx <= 200),
-sz AS (SELECT lang, doc_id, sum(n) AS size FROM ct GROUP BY ALL),
-dn AS (SELECT d.lang, d.doc_id, d.label, v.word, coalesce(ct.n / CAST(sz.size AS DOUBLE), 0) AS f FROM dc d JOIN vo v ON v.lang = d.lang LEFT JOIN ct ON ct.lang = d.lang AND ct.doc_id = d.doc_id AND ct.word = v.word LEFT JOIN sz ON sz.lang = d.lang AND sz.doc_id = d.doc_id),
-ms AS (SELECT lang, word, avg(f) AS mean, CASE WHEN stddev_pop(f) < 1e-12 THEN 1 ELSE stddev_pop(f) END AS std FROM dn GROUP BY lang, word),
-ce AS (SELECT dn.lang, dn.word, any_value(mean) AS mean, any_value(std) AS std, avg((f - mean) / std) FILTER (WHERE label = 1) AS centroid FROM dn JOIN ms ON ms.lang = dn.lang AND ms.word = dn.word GROUP BY dn.lang, dn.word HAVING count(*) FILTER (WHERE label = 1) > 0),
-sc AS (SELECT dn.lang, dn.doc_id, any_value(label) AS label, round(sum((f - mean) / std * centroid) / (sqrt(sum(((f - mean) / std) ** 2)) * sqrt(sum(centroid ** 2))), 6) AS score FROM dn JOIN ce ON ce.lang = dn.lang AND ce.word = dn.word GROUP BY dn.lang, dn.doc_id)"""
+KEYS = ["author", "lang"]
+_STYLE = """au AS (SELECT source AS author, coalesce(lead(source) OVER (ORDER BY source), min(source) OVER ()) AS other FROM (SELECT DISTINCT source FROM documents)),
+dc AS (SELECT author, lang, doc_id, text, CASE WHEN source = author THEN 1 ELSE 0 END AS label FROM documents JOIN au ON source = author OR source = other),
+tk AS (SELECT author, lang, doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+(?:''[a-z]+)?')) AS word FROM dc), ct AS (SELECT author, lang, doc_id, word, count(*) AS n FROM tk GROUP BY ALL),
+vo AS (SELECT author, lang, word, sum(n) AS total, row_number() OVER (PARTITION BY author, lang ORDER BY sum(n) DESC, word) AS idx FROM ct GROUP BY author, lang, word QUALIFY idx <= 200),
+sz AS (SELECT author, lang, doc_id, sum(n) AS size FROM ct GROUP BY ALL),
+dn AS (SELECT d.author, d.lang, d.doc_id, d.label, v.word, coalesce(ct.n / CAST(sz.size AS DOUBLE), 0) AS f FROM dc d JOIN vo v USING (author, lang) LEFT JOIN ct USING (author, lang, doc_id, word) LEFT JOIN sz USING (author, lang, doc_id)),
+ms AS (SELECT author, lang, word, avg(f) AS mean, CASE WHEN stddev_pop(f) < 1e-12 THEN 1 ELSE stddev_pop(f) END AS std FROM dn GROUP BY author, lang, word),
+ce AS (SELECT author, lang, word, any_value(mean) AS mean, any_value(std) AS std, avg((f - mean) / std) FILTER (WHERE label = 1) AS centroid FROM dn JOIN ms USING (author, lang, word) GROUP BY author, lang, word HAVING count(*) FILTER (WHERE label = 1) > 0),
+sc AS (SELECT author, lang, doc_id, any_value(label) AS label, round(CASE WHEN sqrt(sum(((f - mean) / std) ** 2)) * sqrt(sum(centroid ** 2)) < 1e-9 THEN 0 ELSE sum((f - mean) / std * centroid) / (sqrt(sum(((f - mean) / std) ** 2)) * sqrt(sum(centroid ** 2))) END, 6) AS score FROM dn JOIN ce USING (author, lang, word) GROUP BY author, lang, doc_id)"""
 
 
 def _style_docs(spark, d) -> DataFrame:
-    return P.table(spark, d, "documents").select("lang", "doc_id", "text", F.when(F.col("source") == "src0", 1).otherwise(0).alias("label"))
+    from pyspark.sql import Window
+
+    docs = P.table(spark, d, "documents")
+    authors = docs.select("source").distinct()  # few; the window is over them
+    order = Window.orderBy("source")
+    ring = authors.select(F.col("source").alias("author"), F.coalesce(F.lead("source").over(order), F.first("source").over(order)).alias("other"))
+    roles = ring.select("author", F.explode(F.array_distinct(F.array("author", "other"))).alias("source"))
+    return docs.join(roles, "source").select("author", "lang", "doc_id", "text", F.when(F.col("source") == F.col("author"), 1).otherwise(0).alias("label"))
 
 
 def _style(spark, d):
@@ -297,66 +343,81 @@ def _style(spark, d):
     return docs, counts, vocabulary, stylometry.relative_frequencies(docs, counts, vocabulary, KEYS)
 
 
-@query(f"WITH {_STYLE} SELECT lang, word, CAST(total AS BIGINT) AS total, idx FROM vo")
+@query(f"WITH {_STYLE} SELECT author, lang, word, CAST(total AS BIGINT) AS total, idx FROM vo")
 def mfw_vocab(spark, d):
-    return _style(spark, d)[2].select("lang", "word", "total", F.col("idx").cast("long").alias("idx"))
+    return _style(spark, d)[2].select(*KEYS, "word", "total", F.col("idx").cast("long").alias("idx"))
 
 
-@query(f"WITH {_STYLE} SELECT lang, doc_id, word, round(f, 9) AS f FROM dn WHERE f > 0")
+@query(f"WITH {_STYLE} SELECT author, lang, doc_id, word, round(f, 9) AS f FROM dn")
 def relative_freqs(spark, d):
-    return _style(spark, d)[3].select("lang", "doc_id", "word", F.round("f", 9).alias("f"))
+    docs, _, vocabulary, freqs = _style(spark, d)
+    return stylometry.with_absent(docs, freqs, vocabulary, KEYS).select(*KEYS, "doc_id", "word", F.round("f", 9).alias("f"))
 
 
-@query(f"WITH {_STYLE} SELECT lang, word, round(mean, 9) AS mean, round(std, 9) AS std FROM ms")
+@query(f"WITH {_STYLE} SELECT author, lang, word, round(mean, 9) AS mean, round(std, 9) AS std FROM ms")
 def zscore_params(spark, d):
     docs, _, vocabulary, freqs = _style(spark, d)
-    return stylometry.word_stats(docs, freqs, vocabulary, KEYS).select("lang", "word", F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"))
+    return stylometry.word_stats(docs, freqs, vocabulary, KEYS).select(*KEYS, "word", F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"))
 
 
-@query(f"WITH {_STYLE} SELECT lang, word, round(centroid, 6) AS centroid FROM ce")
+@query(f"WITH {_STYLE} SELECT author, lang, word, round(centroid, 6) AS centroid FROM ce")
 def author_centroid(spark, d):
-    return stylometry.calibrate(_style_docs(spark, d), KEYS)["profile"].select("lang", "word", F.round("centroid", 6).alias("centroid"))
+    return stylometry.calibrate(_style_docs(spark, d), KEYS)["profile"].select(*KEYS, "word", F.round("centroid", 6).alias("centroid"))
 
 
 def _scores(spark, d) -> DataFrame:
-    return stylometry.calibrate(_style_docs(spark, d), KEYS)["scores"].withColumn("score", F.round("score", 6))
+    return settled(stylometry.calibrate(_style_docs(spark, d), KEYS)["scores"].withColumn("score", F.round("score", 6)), "scores")
 
 
-@query(f"WITH {_STYLE} SELECT lang, doc_id, score FROM sc")
+@query(f"WITH {_STYLE} SELECT author, lang, doc_id, score FROM sc")
 def cosine_delta(spark, d):
-    return _scores(spark, d).select("lang", "doc_id", "score")
+    return _scores(spark, d).select(*KEYS, "doc_id", "score")
 
 
-_RANKS = "rk AS (SELECT lang, label, score, rank() OVER (PARTITION BY lang ORDER BY score) + (count(*) OVER (PARTITION BY lang, score) - 1) / CAST(2 AS DOUBLE) AS r FROM sc)"
+_RANKS = "rk AS (SELECT {k}, label, score, rank() OVER (PARTITION BY {k} ORDER BY score) + (count(*) OVER (PARTITION BY {k}, score) - 1) / CAST(2 AS DOUBLE) AS r FROM sc)"
 _AUC = "(sum(CASE WHEN label = 1 THEN r ELSE 0 END) - sum(label) * (sum(label) + 1) / CAST(2 AS DOUBLE)) / nullif(sum(label) * sum(1 - label), 0)"
+_METRICS = _RANKS.format(k="author, lang") + f", me AS (SELECT author, lang, CAST(sum(label) AS BIGINT) AS n_genuine, CAST(sum(1 - label) AS BIGINT) AS n_impostor, round_even({_AUC}, 4) AS roc_auc, round_even({_AUC}, 4) < 0.6 AS low_separation FROM rk GROUP BY author, lang)"
+
 
+def _metrics(scores: DataFrame) -> DataFrame:
+    auc = F.bround("roc_auc", 4)
+    return stylometry.roc_auc(scores, KEYS).select(*KEYS, F.col("n_pos").alias("n_genuine"), F.col("n_neg").alias("n_impostor"), auc.alias("roc_auc"), (auc < stylometry.LOW_SEPARATION).alias("low_separation"))
 
-@query(f"WITH {_STYLE}, {_RANKS} SELECT lang, CAST(sum(label) AS BIGINT) AS n_genuine, CAST(sum(1 - label) AS BIGINT) AS n_impostor, round({_AUC}, 4) AS roc_auc, round({_AUC}, 4) < 0.6 AS low_separation FROM rk GROUP BY lang")
+
+@query(f"WITH {_STYLE}, {_METRICS} SELECT * FROM me")
 def calibrate(spark, d):
-    auc = F.round("roc_auc", 4)
-    return stylometry.roc_auc(_scores(spark, d), KEYS).select("lang", F.col("n_pos").alias("n_genuine"), F.col("n_neg").alias("n_impostor"), auc.alias("roc_auc"), (auc < stylometry.LOW_SEPARATION).alias("low_separation"))
+    return _metrics(_scores(spark, d))
 
 
-@query("""WITH sc AS (SELECT lang, quality AS label, n_chars AS score FROM documents JOIN labels USING (doc_id)), """ + _RANKS + f""" SELECT lang, CAST(sum(label) AS BIGINT) AS n_pos, CAST(sum(1 - label) AS BIGINT) AS n_neg, round({_AUC}, 9) AS roc_auc FROM rk GROUP BY lang""")
+@query("WITH sc AS (SELECT lang, quality AS label, n_chars AS score FROM documents JOIN labels USING (doc_id)), " + _RANKS.format(k="lang") + f" SELECT lang, CAST(sum(label) AS BIGINT) AS n_pos, CAST(sum(1 - label) AS BIGINT) AS n_neg, round({_AUC}, 9) AS roc_auc FROM rk GROUP BY lang")
 def roc_auc(spark, d):
     own = P.table(spark, d, "documents").join(P.table(spark, d, "labels"), "doc_id").select("lang", F.col("quality").cast("long").alias("label"), F.col("n_chars").alias("score"))
-    return stylometry.roc_auc(own, KEYS).withColumn("roc_auc", F.round("roc_auc", 9))
+    return stylometry.roc_auc(own, ["lang"]).withColumn("roc_auc", F.round("roc_auc", 9))
 
 
-@query(f"WITH {_STYLE} SELECT lang, doc_id, round(cume_dist() OVER (PARTITION BY lang ORDER BY score), 9) AS percentile FROM sc")
+@query(f"WITH {_STYLE} SELECT author, lang, doc_id, round(cume_dist() OVER (PARTITION BY author, lang ORDER BY score), 9) AS percentile FROM sc")
 def percentile(spark, d):
-    own = _scores(spark, d).persist()
-    return gate.percentiles(own.select("lang", "doc_id", "score"), own, KEYS).select("lang", "doc_id", F.round("percentile", 9).alias("percentile"))
+    own = _scores(spark, d)
+    return gate.percentiles(own.select(*KEYS, "doc_id", "score"), own, KEYS).select(*KEYS, "doc_id", F.round("percentile", 9).alias("percentile"))
+
 
+#: Each document is judged at one of the strictness levels, by its id.
+_LEVELS = {0: "lenient", 1: "normal", 2: "strict"}
+_LIMIT = "CAST(CASE doc_id % 3 WHEN 0 THEN 0.25 WHEN 1 THEN 0.4 ELSE 0.6 END AS DOUBLE)"
 
-@query(f"""WITH {_STYLE}, {_RANKS}, au AS (SELECT lang, round({_AUC}, 4) < 0.6 AS low FROM rk GROUP BY lang), pc AS (SELECT lang, doc_id, cume_dist() OVER (PARTITION BY lang ORDER BY score) AS p FROM sc)
-SELECT pc.lang, pc.doc_id, CASE WHEN {_A.format('text')} < 20 THEN 'REVIEW' WHEN abs(p - CAST(0.4 AS DOUBLE)) <= CAST(0.1 AS DOUBLE) THEN 'REVIEW' WHEN p >= CAST(0.4 AS DOUBLE) THEN CASE WHEN low THEN 'REVIEW' ELSE 'PASS' END ELSE 'FAIL' END AS verdict, {_A.format('text')} < 250 AS abstained
-FROM pc JOIN dc USING (doc_id) JOIN au ON au.lang = pc.lang""")
+
+@query(f"""WITH {_STYLE}, {_METRICS}, pc AS (SELECT author, lang, doc_id, cume_dist() OVER (PARTITION BY author, lang ORDER BY score) AS p, {_LIMIT} AS lim FROM sc)
+SELECT dc.author, dc.lang, dc.doc_id, CASE WHEN p IS NULL THEN NULL WHEN {_A.format('text')} < 20 THEN 'REVIEW' WHEN abs(p - lim) <= CAST(0.1 AS DOUBLE) THEN 'REVIEW' WHEN p >= lim THEN CASE WHEN low_separation THEN 'REVIEW' ELSE 'PASS' END ELSE 'FAIL' END AS verdict, {_A.format('text')} < 250 AS abstained
+FROM dc LEFT JOIN pc USING (author, lang, doc_id) LEFT JOIN me USING (author, lang)""")
 def gate_verdict(spark, d):
-    own = _scores(spark, d).persist()
-    low = calibrate(spark, d).select("lang", "low_separation")
-    rows = gate.percentiles(own.select("lang", "doc_id", "score"), own, KEYS).join(low, "lang").join(_style_docs(spark, d).select("doc_id", T.count_alpha_words(F.col("text")).alias("words")), "doc_id")
-    return rows.select("lang", "doc_id", gate.verdict(F.col("percentile"), F.col("words"), F.col("low_separation")).alias("verdict"), gate.gate_b(F.col("words"))["abstained"].alias("abstained"))
+    """The verdict on each document by its group's profile; null where the group has none."""
+    own = _scores(spark, d)
+    rows = gate.percentiles(own.select(*KEYS, "doc_id", "score"), own, KEYS).join(_metrics(own).select(*KEYS, "low_separation"), KEYS)
+    words = _style_docs(spark, d).select(*KEYS, "doc_id", T.count_alpha_words(F.col("text")).alias("words"))
+    judged = words.join(rows, [*KEYS, "doc_id"], "left")
+    by = F.pmod("doc_id", F.lit(len(_LEVELS)))
+    verdict = F.coalesce(*[F.when(by == k, gate.verdict(F.col("percentile"), F.col("words"), F.col("low_separation"), v)) for k, v in _LEVELS.items()])
+    return judged.select(*KEYS, "doc_id", F.when(F.col("percentile").isNotNull(), verdict).alias("verdict"), gate.gate_b(F.col("words"))["abstained"].alias("abstained"))
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 5 = 0 AND doc_id % 3 = 0 THEN 'REVIEW' ELSE CASE doc_id % 3 WHEN 0 THEN 'PASS' WHEN 1 THEN 'REVIEW' ELSE 'FAIL' END END AS verdict,
@@ -377,14 +438,17 @@ _GRAM = "list_transform(range(1, len(t) - {n} + 2), lambda i: array_to_string(li
 g AS (SELECT lang, unnest(list_concat(CASE WHEN len(t) >= 2 THEN {_GRAM.format(n=2)} ELSE CAST([] AS VARCHAR[]) END, CASE WHEN len(t) >= 3 THEN {_GRAM.format(n=3)} ELSE CAST([] AS VARCHAR[]) END)) AS gram FROM t)
 SELECT lang, gram, count(*) AS n, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, gram) AS idx FROM g GROUP BY lang, gram HAVING count(*) >= 2 QUALIFY idx <= 8""")
 def signature_ngrams(spark, d):
-    return stylometry.signature_ngrams(P.table(spark, d, "documents"), KEYS).select("lang", "gram", "n", F.col("idx").cast("long").alias("idx"))
+    return stylometry.signature_ngrams(P.table(spark, d, "documents"), ["lang"]).select("lang", "gram", "n", F.col("idx").cast("long").alias("idx"))
+
+
+_EMOJI = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{1F1E6}-\x{1F1FF}\x{2190}-\x{21FF}]"
 
 
 def _n(pattern: str) -> str:
     return f"len(regexp_extract_all(text, '{pattern}'))"
 
 
-@query(f"SELECT doc_id, {_A.format('text')} AS n_words, " + ", ".join(f"{_n(p)} AS n_{k}" for k, p in T.PUNCTUATION.items()) + f", {_n(T.CONTRACTION.replace(chr(39), chr(39) * 2))} AS n_contractions, {_n('[\\x{1F300}-\\x{1FAFF}\\x{2600}-\\x{27BF}\\x{1F1E6}-\\x{1F1FF}\\x{2190}-\\x{21FF}]')} AS n_emoji FROM documents")
+@query(f"SELECT doc_id, {_A.format('text')} AS n_words, " + ", ".join(f"{_n(p)} AS n_{k}" for k, p in T.PUNCTUATION.items()) + f", {_n(T.CONTRACTION.replace(chr(39), chr(39) * 2))} AS n_contractions, {_n(_EMOJI)} AS n_emoji FROM documents")
 def style_counts(spark, d):
     return stylometry.style_counts(P.table(spark, d, "documents"))
 
@@ -403,30 +467,38 @@ def mattr(spark, d):
     return P.table(spark, d, "documents").select("doc_id", F.round(T.mattr(T.style_tokens(F.col("text"))), 6).alias("mattr"))
 
 
-@query()
+_RATE = "round_even({} / CAST(greatest(len(w), 1) AS DOUBLE), 5)"
+_TARGETS = f"""WITH {_RECORDS}, pulled AS (SELECT *, row_number() OVER (PARTITION BY author_id, register ORDER BY timestamp DESC, id) AS r FROM rec QUALIFY r <= 500),
+jt AS (SELECT author_id, register, count(*) AS sample_count, string_agg(text_clean, chr(10) ORDER BY timestamp) AS text FROM pulled GROUP BY author_id, register),
+ws AS (SELECT *, regexp_extract_all(text, '[A-Za-z]+(?:''[A-Za-z]+)?') AS w, list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda x: trim(x, ' ' || chr(10))), lambda x: x <> '') AS s FROM jt),
+ls AS (SELECT *, list_filter(list_transform(s, lambda x: {_A.format('x')}), lambda x: x > 0) AS lens, list_transform(w, lambda x: lower(x)) AS t FROM ws),
+tw AS (SELECT author_id, register, list_transform(regexp_extract_all(text_clean, '[A-Za-z]+(?:''[A-Za-z]+)?'), lambda x: lower(x)) AS t FROM pulled),
+gr AS (SELECT author_id, register, gram FROM (SELECT author_id, register, unnest(list_concat(CASE WHEN len(t) >= 2 THEN {_GRAM.format(n=2)} ELSE CAST([] AS VARCHAR[]) END, CASE WHEN len(t) >= 3 THEN {_GRAM.format(n=3)} ELSE CAST([] AS VARCHAR[]) END)) AS gram FROM tw)),
+top AS (SELECT author_id, register, gram, row_number() OVER (PARTITION BY author_id, register ORDER BY count(*) DESC, gram) AS idx FROM gr GROUP BY author_id, register, gram HAVING count(*) >= 2 QUALIFY idx <= 8),
+sg AS (SELECT author_id, register, list(gram ORDER BY idx) AS grams FROM top GROUP BY author_id, register)
+SELECT author_id, register, round_even(coalesce(list_avg(lens), 0), 3) AS sentence_len_mean, round_even(CASE WHEN len(lens) < 2 THEN 0 ELSE coalesce(list_var_pop(lens), 0) END, 3) AS sentence_len_variance,
+round_even(CASE WHEN len(t) = 0 THEN 0 WHEN len(t) <= 50 THEN len(list_distinct(t)) / CAST(len(t) AS DOUBLE) ELSE list_sum(list_transform(range(1, len(t) - 48), lambda i: len(list_distinct(list_slice(t, i, i + 49))) / CAST(50 AS DOUBLE))) / (len(t) - 49) END, 4) AS mattr,
+""" + ", ".join(f"{_RATE.format(_n(p))} AS p_{k}" for k, p in T.PUNCTUATION.items()) + f""", {_RATE.format(_n(T.CONTRACTION.replace(chr(39), chr(39) * 2)))} AS contraction_rate, {_RATE.format(_n(_EMOJI))} AS emoji_rate,
+round_even(CASE WHEN len(s) = 0 THEN 0 ELSE len(list_filter(s, lambda x: substr(x, 1, 1) = lower(substr(x, 1, 1)) AND substr(x, 1, 1) <> upper(substr(x, 1, 1)))) / CAST(len(s) AS DOUBLE) END, 4) AS lowercase_start_rate,
+CAST(greatest(len(w), 1) AS INTEGER) AS word_count, sample_count, coalesce(array_to_string(grams, '|'), '') AS signature_ngrams FROM ls LEFT JOIN sg USING (author_id, register)"""
+
+
+@query(_TARGETS.replace("list_var_pop(lens)", "list_aggregate(lens, 'var_pop')"))
 def compute_targets(spark, d):
     """Style targets of each author's most recent 500 texts of a register."""
     own = retrieval.recent_per(_records(spark, d), ["author_id", "register"], 500, "timestamp")
-    return stylometry.compute_targets(own.withColumnRenamed("text_clean", "text"), ["author_id", "register"], "timestamp")
+    got = stylometry.compute_targets(own.withColumnRenamed("text_clean", "text"), ["author_id", "register"], "timestamp")
+    marks = [F.col("punctuation_profile")[k].alias(f"p_{k}") for k in T.PUNCTUATION]
+    return got.select("author_id", "register", "sentence_len_mean", "sentence_len_variance", "mattr", *marks, "contraction_rate", "emoji_rate", "lowercase_start_rate", "word_count", "sample_count", F.array_join("signature_ngrams", "|").alias("signature_ngrams"))
 
 
 # Formulaic phrasing.
 
-_TELLS = " UNION ALL ".join(
-    f"SELECT doc_id, '{i}' AS id, {n} AS k, len(regexp_extract_all(text, '{p}', 0, 'i')) AS n FROM p_dirty WHERE register IN ({regs})"
-    for n, (i, p, regs) in enumerate(
-        [
-            ("lex.delve", "\\bdelve(s|d|ing)?\\b", "'chat','email','longform'"),
-            ("lex.utilize", "\\butiliz(e|es|ed|ing)\\b", "'chat','email','longform'"),
-            ("stock.testament", "\\b(?:is |stands as )?a testament to\\b", "'chat','email','longform'"),
-            ("scaf.worth_noting", "\\bit[''’]s worth noting that\\s*", "'chat','email','longform'"),
-            ("scaf.in_conclusion", "\\bin (?:conclusion|summary),?\\s*", "'email','longform'"),
-            ("rhet.not_just_but", "\\bnot (?:just|only)\\b[^.!?]{1,60}?\\bbut(?: also)?\\b", "'chat','email','longform'"),
-            ("punct.bold", "\\*\\*([^*\\n]+)\\*\\*", "'chat','email'"),
-            ("punct.em_dash", "\\s—\\s", "'email','longform'"),
-        ]
-    )
-)
+def _quoted(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+_TELLS = " UNION ALL ".join(f"SELECT doc_id, '{t[0]}' AS id, len(regexp_extract_all(text, '{_quoted(t[2])}', 0, 'i')) AS n FROM p_dirty WHERE register IN {t[4]}" for t in tells.TELLS)
 
 
 @query(f"WITH {P.DIRTY}, h AS ({_TELLS}) SELECT doc_id, id, CAST(n AS INTEGER) AS count FROM h WHERE n > 0")
@@ -435,12 +507,36 @@ def tell_hits(spark, d):
     return got.select("doc_id", "h.id", "h.count")
 
 
-@query()
+def _swaps(categories: tuple[str, ...]) -> list[tuple[str, str, tuple]]:
+    """(pattern, replacement, registers) one after another, where a match that begins with a capital has a line of its own."""
+    out = []
+    for category in categories:
+        for _, kind, pattern, new, registers in tells.TELLS:
+            if kind != category or new is None:
+                continue
+            own = [pattern]
+            if pattern == r"\b(?:is |stands as )?a testament to\b":  # the longer ones first
+                own = [r"\bis a testament to\b", r"\bstands as a testament to\b", r"\ba testament to\b"]
+            for p in own:
+                if new:
+                    out.append((p.replace(p[2], f"(?-i:{p[2].upper()})", 1), new.capitalize(), registers))
+                out.append((p, new, registers))
+    return out
+
+
+def _replaced(categories: tuple[str, ...]) -> str:
+    text = "text"
+    for pattern, new, registers in _swaps(categories):
+        text = f"CASE WHEN register IN {registers} THEN regexp_replace({text}, '{_quoted(pattern)}', '{new}', 'gi') ELSE {text} END" if len(registers) < 3 else f"regexp_replace({text}, '{_quoted(pattern)}', '{new}', 'gi')"
+    return text
+
+
+@query(f"WITH {P.DIRTY} SELECT doc_id, {_replaced(deai.CATEGORIES['lexical'])} AS text FROM p_dirty")
 def deai_lexical(spark, d):
     return deai.lexical_pass(P.dirty(spark, d)).select("doc_id", "text")
 
 
-@query()
+@query(f"WITH {P.DIRTY}, r AS (SELECT doc_id, text, {_replaced(deai.CATEGORIES['rhetorical'])} AS t FROM p_dirty) SELECT doc_id, CASE WHEN t = text THEN t ELSE ltrim(regexp_replace(t, ' {{2,}}', ' ', 'g'), ' ') END AS text FROM r")
 def deai_rhetorical(spark, d):
     return deai.rhetorical_pass(P.dirty(spark, d)).select("doc_id", "text")
 
@@ -452,12 +548,17 @@ def deai_punctuation(spark, d):
     return P.dirty(spark, d).select("doc_id", deai.punctuation_pass(F.col("text"), F.col("register")).alias("text"))
 
 
-@query(f"""WITH {P.DIRTY}, x AS (SELECT doc_id, text AS b, replace(replace(text, '42', ''), 'https://a.example/x', '') AS a FROM p_dirty)
-SELECT doc_id, contains(b, '42 things') AS number_lost, contains(b, 'https://') AS url_lost FROM x""")
+_GONE = ("42", "https://a.example/x", "a@b.example", "Jane Doe")
+
+
+@query(f"""WITH {P.DIRTY}, x AS (SELECT doc_id, text AS b, replace(replace(replace(replace(text, '42', ''), 'https://a.example/x', ''), 'a@b.example', ''), 'Jane Doe', '') AS a FROM p_dirty)
+SELECT doc_id, contains(b, '42 things') AS number_lost, contains(b, 'https://') AS url_lost, contains(b, 'a@b.example') AS email_lost, contains(b, 'Jane Doe') AS entity_lost FROM x""")
 def meaning_guard(spark, d):
-    after = F.replace(F.replace("text", F.lit("42"), F.lit("")), F.lit("https://a.example/x"), F.lit(""))
-    lost = P.dirty(spark, d).select("doc_id", deai.breaches(F.col("text"), after).alias("b"))
-    return lost.select("doc_id", F.array_contains("b", "number:42").alias("number_lost"), F.array_contains("b", "url:https://a.example/x").alias("url_lost"))
+    after = F.col("text")
+    for item in _GONE:
+        after = F.replace(after, F.lit(item), F.lit(""))
+    lost = deai.with_breaches(P.dirty(spark, d).withColumn("after", after), "b", "text", "after")
+    return lost.select("doc_id", *[F.array_contains("b", f"{label}:{item}").alias(f"{label}_lost") for label, item in zip(("number", "url", "email", "entity"), _GONE, strict=True)])
 
 
 @query()
@@ -466,14 +567,39 @@ def deai_pipeline(spark, d):
     return got.select("doc_id", "output", "verdict", F.transform("residual", lambda h: h["id"]).alias("residual"), "breaches", "rolled_back")
 
 
-@query("""SELECT doc_id, 'Real messages from this author — match their voice:' || chr(10) || chr(10) || 'EXAMPLE 1:' || chr(10) || text || chr(10) || chr(10) || '---' || chr(10) || chr(10) || 'TASK:' || chr(10) || 'say hello' || chr(10) || chr(10) || 'Write the message in the author''s voice.' AS prompt FROM documents WHERE text IS NOT NULL""")
-def prompt_assembly(spark, d):
-    null = F.lit(None).cast("string")
-    made = assemble.prompt(null, F.array("text"), F.array().cast("array<string>"), F.lit("say hello"), null)
-    return P.table(spark, d, "documents").where("text is not null").select("doc_id", made.alias("prompt"))
+_NL, _RULE = "chr(10)", "chr(10) || chr(10) || '---' || chr(10) || chr(10)"
 
 
-@query()
+def _sql_text(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+@query(f"""WITH k AS (SELECT doc_id, text, doc_id % 23 AS m, doc_id % 31 AS v, (doc_id % 7) / CAST(100 AS DOUBLE) AS c, doc_id % 2 AS e, (doc_id % 10) / CAST(10 AS DOUBLE) AS l, doc_id % 4 AS g FROM documents WHERE text IS NOT NULL),
+card AS (SELECT *, array_to_string(list_filter([{_sql_text(assemble.HEAD)}, 'voice ' || doc_id, '- short words', CASE WHEN doc_id % 3 = 0 THEN '- asks often' ELSE NULL END, '- more of this: questions',
+array_to_string(list_filter(['Aim for sentences of some ' || CAST(m AS VARCHAR) || ' words', CASE WHEN v > m THEN 'let short and long ones alternate' END, CASE WHEN c > 0.01 THEN 'contractions are at home here' END, CASE WHEN e > 0 THEN 'an emoji is welcome now and then' END,
+CASE WHEN l > 0.3 THEN 'sentences may begin in lower case' END, CASE WHEN g > 0 THEN 'favoured turns: ' || array_to_string(list_slice(['a b', 'c d', 'e f'], 1, g), ', ') END], lambda x: x IS NOT NULL), '; ') || '.'], lambda x: x IS NOT NULL), {_NL}) AS card FROM k)
+SELECT doc_id, array_to_string(list_filter([CASE WHEN doc_id % 5 <> 0 THEN card END, CASE WHEN doc_id % 6 <> 0 THEN {_sql_text(assemble.EXEMPLARS_HEAD)} || {_NL} || {_NL} || 'EXAMPLE 1:' || {_NL} || text || {_NL} || {_NL} || 'EXAMPLE 2:' || {_NL} || 'second' END,
+CASE WHEN doc_id % 4 = 0 THEN {_sql_text(assemble.FACTS_HEAD)} || {_NL} || 'one fact' || {_NL} || 'and another' END, 'TASK:' || {_NL} || 'say hello' || CASE WHEN doc_id % 9 = 0 THEN {_NL} || {_NL} || 'closer' ELSE '' END || {_NL} || {_NL} || {_sql_text(assemble.CLOSE)}], lambda x: x IS NOT NULL), {_RULE}) AS prompt FROM card""")
+def prompt_assembly(spark, d):
+    """Prompts with and without a card, exemplars, facts and a nudge. Negative habits are left out of the card."""
+    k = F.col("doc_id")
+    none = F.array().cast("array<string>")
+    grams = F.slice(F.array(F.lit("a b"), F.lit("c d"), F.lit("e f")), F.lit(1), (k % 4).cast("int"))
+    targets = F.struct((k % 23).cast("double").alias("sentence_len_mean"), (k % 31).cast("double").alias("sentence_len_variance"), (k % 7 / F.lit(100.0)).alias("contraction_rate"), (k % 2).cast("double").alias("emoji_rate"), (k % 10 / F.lit(10.0)).alias("lowercase_start_rate"), grams.alias("signature_ngrams"))
+    habits = F.when(k % 3 == 0, F.array(F.lit("short words"), F.lit("asks often"), F.lit("never shouts"))).otherwise(F.array(F.lit("Don't ramble"), F.lit("short words")))
+    prose = F.struct(F.concat(F.lit("voice "), k.cast("string")).alias("voice_summary"), habits.alias("habits"), F.array(F.lit("questions"), F.lit("stop early")).alias("do_more_of"))
+    rows = P.table(spark, d, "documents").where("text is not null").select("doc_id", "text", targets.alias("targets"), prose.alias("prose"))
+    card = F.when(k % 5 != 0, assemble.style_card(F.col("targets"), F.col("prose")))
+    shown = F.when(k % 6 != 0, F.array(F.col("text"), F.lit("second"))).otherwise(none)
+    facts = F.when(k % 4 == 0, F.array(F.lit("one fact"), F.lit("and another"))).otherwise(none)
+    return rows.select("doc_id", assemble.prompt(card, shown, facts, F.lit("say hello"), F.when(k % 9 == 0, "closer").otherwise("")).alias("prompt"))
+
+
+@query("""WITH RECURSIVE ev AS (SELECT CAST(user_id AS VARCHAR) AS key, epoch_us(CAST(ts AS TIMESTAMP)) // 1000 AS ms, CAST(event_id AS BIGINT) AS tie FROM events),
+ord AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ms, tie) AS i FROM ev),
+fold AS (SELECT key, ms, tie, i, ms AS since, CAST(1 AS BIGINT) AS n FROM ord WHERE i = 1
+UNION ALL SELECT o.key, o.ms, o.tie, o.i, CASE WHEN o.ms - f.since < 3600000 THEN f.since ELSE o.ms END, CASE WHEN o.ms - f.since < 3600000 THEN f.n + 1 ELSE 1 END FROM fold f JOIN ord o ON o.key = f.key AND o.i = f.i + 1)
+SELECT key, ms AS "at", tie, n > 20 AS limited FROM fold""")
 def rate_limit(spark, d):
     """Requests of each user over 20 an hour, windows anchored at requests."""
     e = P.table(spark, d, "events").select("event_id", "user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("at"))

@@ -24,7 +24,7 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
 UNITS = f"""p_units AS (SELECT doc_id, source AS author_id, source AS author_address, CASE lang WHEN 'en' THEN 'email' WHEN 'de' THEN 'matrix' WHEN 'fr' THEN 'slack' ELSE 'claude' END AS medium,
  'doc:' || doc_id AS source_uri, CAST(NULL AS VARCHAR) AS thread_id, strftime(epoch_ms({EPOCH} + {STEP} * doc_id), '%Y-%m-%dT%H:%M:%S.%gZ') AS timestamp, text AS raw_text FROM documents)"""
 
-#: doc_id % 8 -> what stands before and after the text.
+#: doc_id modulo their number -> what stands before and after the text.
 DIRT = {
     0: ("", "\n\nOn Tue, a friend wrote:\n> old words\n> and more"),
     1: ("", "\n\n-- \nsent from a train"),
@@ -34,13 +34,18 @@ DIRT = {
     5: ("**bold** words. ", " in conclusion, we utilize https://a.example/x not just once but twice"),
     6: ("", "\aé\r\nend"),
     7: ("", ""),
+    8: ("Of course! ", " The Intricate plan underscores a tapestry; Myriad ways. It’s important to note that all is well. I'd be happy to help you. So. Write to a@b.example, Jane Doe"),
+    9: ("Certainly, ", " it plays a vital role in life. When it comes to that, in the realm of tea. I’d be happy to assist. They Play a key role in x, intricately tapestries Underscored"),
+    10: (" It’s worth noting that ", " In summary, not only this but also that. DELVING and Utilizes it, a@b.example"),
+    11: ("Absolutely. ", " stands as a testament to it, A testament to us and great question! yes"),
+    12: ("Great question. ", " DELVE on; **more** — x — y"),
 }
 
 
 def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, register, text: documents with quotes, signatures, fences, tells and controls around their texts."""
     d = table(spark, sf_dir, "documents")
-    k = F.pmod("doc_id", F.lit(8))
+    k = F.pmod("doc_id", F.lit(len(DIRT)))
     text = F.coalesce(*[F.when(k == n, F.concat(F.lit(a), "text", F.lit(b))) for n, (a, b) in DIRT.items()])
     register = F.coalesce(*[F.when(F.pmod("doc_id", F.lit(3)) == n, F.lit(r)) for n, r in enumerate(("chat", "email", "longform"))])
     return d.select("doc_id", register.alias("register"), text.alias("text"))
@@ -53,7 +58,7 @@ def _sql(text: str) -> str:
     return out
 
 
-DIRTY = "p_dirty AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'chat' WHEN 1 THEN 'email' ELSE 'longform' END AS register, CASE doc_id % 8 " + " ".join(f"WHEN {n} THEN {_sql(a)} || text || {_sql(b)}" for n, (a, b) in DIRT.items()) + " END AS text FROM documents)"
+DIRTY = "p_dirty AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'chat' WHEN 1 THEN 'email' ELSE 'longform' END AS register, CASE doc_id % " + str(len(DIRT)) + " " + " ".join(f"WHEN {n} THEN {_sql(a)} || text || {_sql(b)}" for n, (a, b) in DIRT.items()) + " END AS text FROM documents)"
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stylespark.runtime import ship
+from stylespark.runtime import looked_up, ship
 
 # Fixed values.
 MOST, WINDOW_MS = 120, 60_000
@@ -20,22 +20,35 @@ def is_limited(state: tuple[int, int] | None, now: int, window_ms: int = WINDOW_
     return (start, count + 1), count + 1 > most
 
 
+def _chains(rows: DataFrame, window_ms: int) -> DataFrame:
+    """slot (key and window-long slice of time), many, chain: slices of a key without an empty slice between them.
+
+    Two requests with an empty slice between them are over a window apart, so the later one always starts anew."""
+    slots = rows.groupBy("slot").agg(F.count("*").alias("many"))
+    by = Window.partitionBy("slot.key").orderBy("slot.at")
+    new = (F.col("slot.at") - F.lag("slot.at").over(by)).isNull() | (F.col("slot.at") - F.lag("slot.at").over(by) > 1)
+    return slots.withColumn("new", new.cast("int")).withColumn("chain", F.sum("new").over(by)).drop("new")
+
+
 def limited(requests: DataFrame, key: str, at_ms: str, tie: str, window_ms: int = WINDOW_MS, most: int = MOST) -> DataFrame:
     """key, at, tie, limited: every request with the window's verdict.
 
-    Requests of a key are sorted on disk where they are many and folded as a stream: a task keeps one window at a time."""
+    A key's requests are cut where a pause makes the window begin anew, so that a hot key's chains go to several tasks.
+    Each chain is sorted on disk where it is long and folded as a stream: a task keeps one window at a time."""
     ship(requests.sparkSession)
     rows = requests.select(F.col(key).cast("string").alias("key"), F.col(at_ms).cast("long").alias("at"), F.col(tie).cast("long").alias("tie"))
+    rows = rows.withColumn("slot", F.struct(F.coalesce("key", F.lit("")).alias("key"), F.floor(F.col("at") / F.lit(window_ms)).alias("at")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, state = object(), None
         for batch in batches:
             out = []
-            for k, now in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if k != last:
-                    last, state = k, None
+            for k, now, chain in zip(*(batch.column(c).to_pylist() for c in ("key", "at", "chain")), strict=True):
+                if (k, chain) != last:
+                    last, state = (k, chain), None
                 state, over = is_limited(state, now, window_ms, most)
                 out.append(over)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.bool_())], names=["key", "at", "tie", "limited"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.bool_())], names=["key", "at", "tie", "limited"])
 
-    return rows.repartition("key").sortWithinPartitions("key", "at", "tie").mapInArrow(run, "key string, at long, tie long, limited boolean")
+    chained = looked_up(rows, "slot", _chains(rows, window_ms)).select("key", "at", "tie", "chain")
+    return chained.repartition("key", "chain").sortWithinPartitions("key", "chain", "at", "tie").mapInArrow(run, "key string, at long, tie long, limited boolean")
