@@ -1,52 +1,44 @@
-"""Session settings, the shared folder and small helpers for the operators of this subpackage."""
+"""Settings and small helpers for the operators of this subpackage."""
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
-import tempfile
-import uuid
+import re
 from collections.abc import Iterator
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
-from stylespark.runtime import ship
+from stylespark.runtime import looked_up, release, ship
+from stylespark.runtime import settled as written
+from stylespark.runtime import shared_path as shared_dir
+
+__all__ = ["documents", "looked_up", "opened", "prepared", "release", "shared_dir", "slices", "tokenizer_path", "written"]
 
 #: Rows of an Arrow batch to a Python worker: a batch of long documents must fit a small executor.
 ARROW_ROWS = 1000
+#: Bytes of one, but for a single longer row.
+ARROW_BYTES = 16 << 20
 #: Characters that a worker splits into words at a time.
 SLICE_CHARS = 2_000_000
 
 
 def prepared(spark: SparkSession) -> SparkSession:
-    """Hold Arrow batches to ARROW_ROWS rows (larger settings of the session are lowered) and ship this package to the workers."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
+    """Hold Arrow batches to ARROW_ROWS rows and ARROW_BYTES bytes (larger settings of the session are lowered) and ship this package to the workers."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        now = re.fullmatch(r"(\d+)b?", spark.conf.get(key))
+        if now is None or not 0 < int(now[1]) <= most:
+            spark.conf.set(key, str(most))
     return ship(spark)
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir. Where that is unset: a temporary folder in local mode, else a folder beside the warehouse's tables."""
-    conf = spark.sparkContext.getConf()
-    root = conf.get("spark.checkpoint.dir") or spark.conf.get("stylespark.shared.dir", None)
-    if not root:
-        if conf.get("spark.master", "").startswith("local[") or conf.get("spark.master") == "local":
-            root = tempfile.mkdtemp(prefix="stylespark-")
-            atexit.register(shutil.rmtree, root, ignore_errors=True)
-            root = f"file://{root}"
-        else:
-            root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-        spark.conf.set("stylespark.shared.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def opened(path: str, mode: str):
+    """A file of the shared folder, by any file system that pyarrow knows."""
+    fs, at = pafs.FileSystem.from_uri(path)
+    if mode == "w":
+        fs.create_dir(at.rpartition("/")[0], recursive=True)
+        return fs.open_output_stream(at, compression=None)
+    return fs.open_input_file(at)
 
 
 def slices(sizes: list[int], limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:

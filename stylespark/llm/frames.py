@@ -20,18 +20,18 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stylespark.llm.common import prepared, shared_dir, written
+from stylespark.llm.common import opened, prepared, shared_dir, written
 from stylespark.llm.encoders import word_bpe
 
 SKIPPABLE, SEEK_FRAME, SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 END_ID = 1
 LEVEL = 3
-#: Bytes of text for a file, about.
-FILE_BYTES = 16 << 20
+#: Bytes of text for a file, about; of more than MOST_FILES files' worth, files grow.
+FILE_BYTES, MOST_FILES = 16 << 20, 100_000
 MANIFEST = "shard int, path string, frames long, ids long, file_bytes long, first_id long, last_id long"
 RESULT = "shard int, doc_id long, before long, n_tokens long, ids_crc32 long"
 
@@ -107,24 +107,15 @@ class Reader:
                 yield k, self.frame(i)
 
 
-def opened(path: str, mode: str):
-    """A file of the shared folder, by any file system that pyarrow knows."""
-    fs, at = pafs.FileSystem.from_uri(path)
-    if mode == "w":
-        fs.create_dir(at.rpartition("/")[0], recursive=True)
-        return fs.open_output_stream(at, compression=None)
-    return fs.open_input_file(at)
-
-
 def _write(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool, name, writer, ids, ends, shard = word_bpe(), f"{folder}/{uuid.uuid4().hex}.zst", None, 0, [None, None], None
+        tool, name, writer, ids, ends = word_bpe(), f"{folder}/{uuid.uuid4().hex}.zst", None, 0, [None, None]
         end = np.array([END_ID], np.uint32)
         for batch in batches:
-            shards, keys, texts = (batch.column(k).to_pylist() for k in range(3))
+            keys, texts = (batch.column(k).to_pylist() for k in range(2))
             for k, own in zip(keys, tool.encode(texts), strict=True):
                 if writer is None:
-                    file, shard = opened(name, "w"), shards[0]
+                    file = opened(name, "w")
                     writer = Writer(file)
                 writer.add(k, np.concatenate((own, end)).astype("<u4", copy=False).tobytes())
                 ids += len(own) + 1
@@ -133,7 +124,7 @@ def _write(folder: str):
         if writer is not None:
             size = writer.close()
             file.close()
-            yield pa.RecordBatch.from_pylist([dict(shard=shard, path=name, frames=len(writer.keys), ids=ids, file_bytes=size, first_id=ends[0], last_id=ends[1])], schema=pa.schema([("shard", pa.int32()), ("path", pa.string()), ("frames", pa.int64()), ("ids", pa.int64()), ("file_bytes", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64())]))
+            yield pa.RecordBatch.from_pylist([dict(shard=TaskContext.get().partitionId(), path=name, frames=len(writer.keys), ids=ids, file_bytes=size, first_id=ends[0], last_id=ends[1])], schema=pa.schema([("shard", pa.int32()), ("path", pa.string()), ("frames", pa.int64()), ("ids", pa.int64()), ("file_bytes", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64())]))
 
     return run
 
@@ -141,19 +132,18 @@ def _write(folder: str):
 def write_token_files(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folder: str | None = None, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Encode every document and write the files, in ascending doc_id order over the files (null first).
 
-    Returns the manifest, a row per file. Documents are dealt by ranges of doc_id, whose bounds come from
-    quantiles of doc_id alone; repeated doc_ids stay together. An empty table gives no file.
+    Returns the manifest, a row per file. Documents are dealt by ranges of doc_id, a hash of the text and the row's place, so
+    that neither a repeated doc_id nor repeated rows gather in a task. An empty table gives no file.
     """
     spark = prepared(docs.sparkSession)
     folder = folder or shared_dir(spark, "token-files")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text")), F.count("*")).first()
-    n = max(1, -(-((size[0] or 0) + 16 * size[1]) // file_bytes))
-    cuts = rows.select(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 10_000)).first()[0] if n > 1 else []
-    edges = F.array(*[F.lit(int(c)) for c in sorted(set(cuts or []))]) if cuts else F.array().cast("array<bigint>")
-    shard = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.size(F.filter(edges, lambda e: e < F.col("doc_id"))))
-    dealt = rows.select(shard.cast("int").alias("shard"), "doc_id", "text").repartitionById(len(set(cuts or [])) + 1, F.col("shard"))
-    return written(dealt.sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "text").mapInArrow(_write(folder), MANIFEST), "manifest")
+    n = max(1, min(MOST_FILES, -(-((size[0] or 0) + 16 * size[1]) // file_bytes)))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("_hash").asc(), F.col("_place").asc()]
+    dealt = rows.select("doc_id", "text", F.xxhash64("text").alias("_hash"), F.monotonically_increasing_id().alias("_place"))
+    dealt = dealt.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
+    return written(dealt.mapInArrow(_write(folder), MANIFEST), "manifest")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +163,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
     """Every document from the files: doc_id, start, n_tokens, ids_crc32. Checks each frame's checksum."""
-    ahead = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
+    ahead = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row per file, at most MOST_FILES
     base = manifest.select("shard", F.coalesce(F.sum("ids").over(ahead), F.lit(0)).alias("base"))
     rows = manifest.repartitionById(max(1, manifest.count()), F.col("shard")).mapInArrow(_read, RESULT)  # a task per file
     return rows.join(base, "shard").select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
@@ -198,6 +188,7 @@ def token_files(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """Write all documents and read them back.
 
     Null or empty texts hold the end id alone; repeated rows and repeated doc_ids are kept, each with a
-    frame of its own, in the order of their texts; null doc_ids come first. Further columns are ignored.
+    frame of its own; null doc_ids come first. A very long text is one frame, encoded by slices of its chunks. An empty table
+    gives no rows. Further columns are ignored, whatever their names.
     """
     return read_token_files(write_token_files(docs, doc_id, text))

@@ -1,6 +1,7 @@
 """Media columns: Netpbm and BMP bytes to numpy arrays, area resize by integral images, NPY tiles, difference hashes.
 
-All functions work on whole images in memory; a document of n bytes makes an image of about n bytes.
+All functions work on whole images in memory, one at a time; a document of n bytes makes an image of about n bytes. Tiles
+are written as sheets: NPY files of the tiles of one batch, which the rows name by path and place.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ import hashlib
 import io
 import re
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -17,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stylespark.llm.common import prepared, written
+from stylespark.llm.common import opened, prepared, shared_dir, written
 
 WIDTH = 64
 TILE = 16
-FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile binary"
+#: Rows whose images are made before they are handed on.
+STORED_ROWS = 100
+FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, media_kind string, feature string, sheet string, place int"
 
 
 def decode_netpbm(data: bytes) -> np.ndarray:
@@ -54,9 +58,10 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     return out.reshape((height, width, 3) if depth == 3 else (height, width))
 
 
-def encode_pgm(gray: np.ndarray) -> bytes:
-    height, width = gray.shape
-    return b"P5\n%d %d\n255\n" % (width, height) + gray.astype(np.uint8, copy=False).tobytes()
+def encode_netpbm(image: np.ndarray) -> bytes:
+    """(height, width) as P5, (height, width, 3) as P6, of 8 bits."""
+    height, width = image.shape[:2]
+    return b"%s\n%d %d\n255\n" % (b"P6" if image.ndim == 3 else b"P5", width, height) + image.astype(np.uint8, copy=False).tobytes()
 
 
 def decode_bmp(data: bytes) -> np.ndarray:
@@ -122,7 +127,7 @@ def area_resize(gray: np.ndarray, height: int, width: int) -> np.ndarray:
 
 def difference_hash(gray: np.ndarray) -> str:
     """64 bits as 16 hex digits: whether each cell of an 8 x 9 resize is darker than its right neighbour."""
-    small = np.rint(area_resize(gray, 8, 9) * 256)
+    small = np.rint(area_resize(gray, 8, 9) * 256)  # so that rounding of sums doesn't decide ties
     return np.packbits(small[:, :-1] < small[:, 1:]).tobytes().hex()
 
 
@@ -138,48 +143,80 @@ def payload(text: str | None) -> tuple[int, bytes]:
     return len(raw), raw + bytes(-len(raw) % WIDTH or (0 if raw else WIDTH))
 
 
-def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n, media = [], []
-        for t in batch.column(1).to_pylist():
-            size, body = payload(t)
-            n.append(size)
-            media.append(encode_pgm(np.frombuffer(body, np.uint8).reshape(-1, WIDTH)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
+def stored(body: bytes) -> bytes:
+    """A payload as a gray image WIDTH wide: BMP or Netpbm by its checksum."""
+    return (encode_bmp if zlib.crc32(body) & 1 else encode_netpbm)(np.frombuffer(body, np.uint8).reshape(-1, WIDTH))
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for k, n, media in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            gray = decode(media)
-            if gray.ndim == 3:
-                gray = gray.mean(2)
-            body = gray.astype(np.uint8, copy=False).tobytes()
-            tile = npy(np.rint(area_resize(gray, TILE, TILE)).astype(np.uint8))
-            rows.append((k, n, len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-64:]), len(media), hashlib.sha256(media).hexdigest(), difference_hash(gray), tile))
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-        columns = list(zip(*rows, strict=True)) or [()] * 9
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in FEATURES.split(", ")])
+        for a in range(0, batch.num_rows, STORED_ROWS):  # a payload and its image are held for a few rows only
+            part = batch.slice(a, STORED_ROWS)
+            n, media = [], []
+            for t in part.column(1):
+                size, body = payload(t.as_py())
+                n.append(size)
+                media.append(stored(body))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
+
+
+def _features(folder: str):
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, tiles, sheet = [], [], f"{folder}/{uuid.uuid4().hex}.npy"
+            for k, n, cell in zip(*(batch.column(i) for i in range(3)), strict=True):
+                media = cell.as_py()
+                image = decode(media)
+                body = image.astype(np.uint8, copy=False).tobytes()
+                gray = image.mean(2) if image.ndim == 3 else image
+                rows.append((k.as_py(), n.as_py(), len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-64:]), len(media), hashlib.sha256(media).hexdigest(), media[:2].decode(), difference_hash(gray), sheet, len(tiles)))
+                tiles.append(np.rint(area_resize(gray, TILE, TILE)).astype(np.uint8))
+            if tiles:
+                with opened(sheet, "w") as out:
+                    out.write(npy(np.stack(tiles)))
+            columns = list(zip(*rows, strict=True)) or [()] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in FEATURES.split(", ")])
+
+    return run
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    path = sheet = None
+    for batch in batches:
+        own = []
+        for name, place in zip(batch.column("sheet").to_pylist(), batch.column("place").to_pylist(), strict=True):
+            if name != path:
+                with opened(name, "r") as file:
+                    path, sheet = name, np.load(io.BytesIO(file.read()), allow_pickle=False)
+            own.append(npy(sheet[place]))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.binary())], names=[*batch.schema.names, "tile"])
 
 
 def text_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Store each text's bytes as a graymap WIDTH samples wide: doc_id, n_bytes, media."""
+    """Store each text's bytes as an image WIDTH samples wide: doc_id, n_bytes, media."""
     prepared(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return written(rows.mapInArrow(_store, "doc_id long, n_bytes long, media binary"), "media")
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """Decode stored images (doc_id, n_bytes, media) and give their digests, difference hash and NPY tile."""
-    prepared(media.sparkSession)
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(_features, FEATURES)
+    """Decode stored images (doc_id, n_bytes, media), give their digests and difference hashes, and write their tiles: each row names its sheet and its place there."""
+    spark = prepared(media.sparkSession)
+    return written(media.select("doc_id", "n_bytes", "media").mapInArrow(_features(shared_dir(spark, "tiles")), FEATURES), "features")
+
+
+def with_tiles(features: DataFrame) -> DataFrame:
+    """features with the tile (NPY bytes) that its sheet holds."""
+    return features.mapInArrow(_tiles, f"{FEATURES}, tile binary")
 
 
 def media_columns(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Write the texts as images in the shared folder, read the images back and compute features.
+    """Write the texts as images and their tiles as NPY sheets in the shared folder, read both back and return what they hold.
 
-    Null or empty texts are one row of zeros. Equal texts give equal values. Repeated rows and null ids are
-    kept; further columns are ignored; an empty table gives no rows. Images that can't be decoded raise.
+    Null or empty texts are one row of zeros. Equal texts give equal values but for sheet and place. Repeated rows and null ids are
+    kept; a very long text is one image, decoded whole; further columns are ignored; an empty table gives no rows. Images that can't
+    be decoded raise.
     """
-    return media_features(text_media(docs, doc_id, text))
+    return with_tiles(media_features(text_media(docs, doc_id, text)))
