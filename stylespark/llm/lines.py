@@ -1,6 +1,8 @@
 """Line dedup by site-relative frequency: a line that stands on more than a given share of its site's pages is boilerplate.
 
-Lines are compared without surrounding spaces, by 64-bit hashes; blank lines are neither counted nor dropped.
+Lines are compared without surrounding spaces, by 64-bit hashes; blank lines are neither counted nor dropped. Pages of
+equal text count once, in the pages that hold a line and in the site's total: copies are not for this operator to find, and a group of them
+makes none of its lines boilerplate. The same rule holds for sites of any size.
 A site's boilerplate has at most (lines per page) / ratio entries, whatever the site's size, so the sites' lists go
 to the pages in one join.
 """
@@ -12,8 +14,7 @@ from pyspark.sql import functions as F
 
 from stylespark.llm.common import prepared, written
 
-#: LEAST_PAGES is op4_line_dedup's, as in its SQL.
-RATIO, LEAST_PAGES = 0.05, 20
+RATIO = 0.05
 #: Boilerplate lists of at most this many lines are broadcast (8 bytes each); longer ones are joined by shuffling.
 MOST_LINES = 500_000
 
@@ -22,28 +23,27 @@ def _key(line: Column) -> Column:
     return F.xxhash64(F.trim(line))
 
 
-def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, distinct: bool = False) -> DataFrame:
-    """_host, _line (hash), _with (pages that hold the line), _pages: lines above the ratio, on sites of least_pages pages or more. distinct: a site's pages of equal text count once."""
+def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO) -> DataFrame:
+    """_host, _line (hash), _with (distinct pages that hold the line), _pages: lines of two distinct pages or more, above the ratio."""
     pages = docs.where(F.col(host).isNotNull()).select(F.col(host).alias("_host"), F.col(text).alias("_text"), F.xxhash64(text).alias("_page"))
     own = F.array_distinct(F.transform(F.filter(F.split("_text", "\n"), lambda x: F.trim(x) != ""), _key))
-    stands = pages.select("_host", F.explode(own).alias("_line"), "_page")
-    if distinct:
-        stands, pages = stands.distinct(), pages.select("_host", "_page").distinct()
+    stands = pages.select("_host", F.explode(own).alias("_line"), "_page").distinct()
     counted = stands.groupBy("_host", "_line").agg(F.count("*").alias("_with")).where("_with > 1")
-    totals = pages.groupBy("_host").agg(F.count("*").alias("_pages")).where(F.col("_pages") >= least_pages)
+    totals = pages.select("_host", "_page").distinct().groupBy("_host").agg(F.count("*").alias("_pages"))
     few = totals.count()
     return counted.join(F.broadcast(totals) if few <= MOST_LINES else totals, "_host").where(F.col("_with") > F.lit(ratio) * F.col("_pages"))
 
 
-def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, distinct: bool = False) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO) -> DataFrame:
     """docs with its boilerplate lines dropped from text, and n_lines, n_dropped; one row per row.
 
-    Null texts stay null with no lines. Pages without a host, and those of small sites, keep all lines. A line at
-    exactly the ratio stays. Every copy of a dropped line on a page goes; a page may become empty. Repeated
-    rows and copies are pages of their own, or with distinct one page of their site. Columns named n_lines or n_dropped are replaced, all others kept.
+    Null texts stay null with no lines. Pages without a host keep all lines. A line at exactly the ratio stays, and
+    so does a line of one distinct page. Every copy of a dropped line on a page goes; a page may become empty. Repeated rows and
+    copies count as one page and lose the same lines. Very long texts are taken whole; an empty table gives no rows.
+    Columns named n_lines or n_dropped are replaced, all others kept.
     """
     prepared(docs.sparkSession)
-    found = written(boilerplate(docs, host, text, ratio, least_pages, distinct), "boilerplate")
+    found = written(boilerplate(docs, host, text, ratio), "boilerplate")
     lists = found.groupBy("_host").agg(F.collect_list("_line").alias("_drop"))
     lists = F.broadcast(lists) if found.count() <= MOST_LINES else lists
     rest = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]

@@ -62,11 +62,12 @@ QUERIES = {
 _LINE_DEDUP = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, text, CASE WHEN text IS NULL THEN CAST([] AS VARCHAR[]) ELSE string_split(text, chr(10)) END AS ls FROM documents),
 lines AS (SELECT rid, source, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM d),
-pages AS (SELECT source, count(*) AS pages FROM d WHERE source IS NOT NULL GROUP BY source),
+page AS (SELECT rid, source, dense_rank() OVER (ORDER BY text) AS page FROM d WHERE source IS NOT NULL),
+pages AS (SELECT source, count(DISTINCT page) AS pages FROM page GROUP BY source),
 boiler AS (
-  SELECT source, key FROM (SELECT DISTINCT rid, source, trim(line, ' ') AS key FROM lines WHERE trim(line, ' ') <> '' AND source IS NOT NULL)
+  SELECT source, key FROM (SELECT DISTINCT page.page, lines.source, trim(line, ' ') AS key FROM lines JOIN page USING (rid) WHERE trim(line, ' ') <> '')
   JOIN pages USING (source) GROUP BY source, key, pages
-  HAVING count(*) > 1 AND pages >= {lines.LEAST_PAGES} AND count(*) > CAST({lines.RATIO} AS DOUBLE) * pages),
+  HAVING count(*) > 1 AND count(*) > CAST({lines.RATIO} AS DOUBLE) * pages),
 kept AS (
   SELECT l.rid, string_agg(CASE WHEN b.key IS NULL THEN l.line END, chr(10) ORDER BY l.pos) AS text, count(*) AS n_lines, count(b.key) AS n_dropped
   FROM lines l LEFT JOIN boiler b ON l.source = b.source AND trim(l.line, ' ') = b.key GROUP BY l.rid)

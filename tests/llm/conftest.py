@@ -20,3 +20,20 @@ def none(odd):
 @pytest.fixture(scope="session")
 def labels(spark):
     return spark.createDataFrame([(1, 1, 0), (3, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+
+
+@pytest.fixture(scope="session")
+def oracle():
+    """The rows of DuckDB SQL over the tables of a folder, counted."""
+    from collections import Counter
+    from pathlib import Path
+
+    import duckdb
+
+    def run(where, sql, columns):
+        with duckdb.connect() as db:
+            for f in Path(where).glob("*.parquet"):
+                db.execute(f"CREATE VIEW {f.stem} AS SELECT * FROM read_parquet('{f}')")
+            return Counter(db.execute(f"SELECT {columns} FROM ({sql})").fetchall())
+
+    return run
