@@ -7,13 +7,14 @@ The join is a prefix-filtered index join that skips by set relations, at two lev
   into blocks of equal size and position. Whole pairs of blocks are skipped where the size
   or the position rules out enough common shingles.
 * Answer level. In each list the set with the lowest position is a leader. Every other set of the list is
-  compared with it first: most sets of a group of near copies get their answer from it. A set that is linked
-  has its leader's component for its answer, and so pairs inside a component need no comparison: only pairs of
-  a list that lie in different components are looked at, which completes the answer exactly.
+  compared with it first, and the size of their intersection is kept as the leader's answer. The answers of the others are derived
+  from it: two sets of the list share at least common(x, leader) + common(y, leader) - size(leader) shingles, and
+  at most min(common) + min(size - common). Pairs that the first proves are links, pairs that the second rules out are skipped, and pairs inside a
+  component need no answer; only what is left is compared, which completes the answer exactly.
 
 Equal sets are one entity (the 64-bit hash of the set), so exact copies cost nothing beyond their first pass.
 The global order is by counts of all shingles of all documents, kept in BUCKETS hashed counters of fixed
-size; it decides what is compared, never what is found. Lists that are expected to be long are dealt over
+size, which partitions sum up as a tree; it decides what is compared, never what is found. Lists that are expected to be long are dealt over
 several tasks by salt, and compared block against block. No list is gathered on the driver.
 """
 
@@ -24,20 +25,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stylespark.llm.common import prepared, slices, written
-from stylespark.llm.graph import stars
+from stylespark.llm.common import looked_up, prepared, slices, written
+from stylespark.operators.components import stars
 
 #: Words of a shingle and threshold of the op5 query: two sets link when 100 * |intersection| >= PERCENT * |union|.
 SHINGLE, PERCENT = 4, 85
-BUCKETS = 1 << 20
+BUCKETS = 1 << 22
+#: Bits of a shingle hash that are not its bucket.
+BELOW = 64 - 22
+#: Partitions whose counters one task sums up.
+FAN = 32
 CHUNK = 1 << 14
 #: Bits of the filter of sets that are to be compared. When it fills up, sets pass that aren't needed.
 FILTER_BITS = 1 << 24
 #: Entries of a list that go to one task.
-LIST = 4096
+LIST = 1024
 #: Equal sets that a task remembers, to list them once.
 SEEN = 300_000
 #: Pairs of a block that are formed at a time.
@@ -139,24 +145,43 @@ def chunks(dense: np.ndarray) -> Iterator[tuple[int, bytes]]:
             yield k, zlib.compress(part.tobytes(), 1)
 
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own = np.frombuffer(zlib.decompress(data), np.uint32)
-            total[k] = total[k] + own if k in total else own
-    yield batch_of(["chunk", "data"], pa.array(list(total), pa.int32()), pa.array([zlib.compress(v.astype(np.uint32).tobytes(), 1) for v in total.values()], pa.binary()))
+def _parts(got: list[tuple[int, bytes]]) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """chunk, part (this partition) and data."""
+    part = TaskContext.get().partitionId()
+    return pa.array([k for k, _ in got], pa.int32()), pa.array([part] * len(got), pa.int32()), pa.array([d for _, d in got], pa.binary())
+
+
+def _summed(combine):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for k, part, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = np.frombuffer(zlib.decompress(data), np.uint32)
+                at = (k, part // FAN)
+                total[at] = combine(total[at], own) if at in total else own
+        yield batch_of(["chunk", "part", "data"], pa.array([k for k, _ in total], pa.int32()), pa.array([p for _, p in total], pa.int32()), pa.array([zlib.compress(v.astype(np.uint32).tobytes(), 1) for v in total.values()], pa.binary()))
+
+    return run
+
 
+def merged(parts: DataFrame, size: int, combine=np.add) -> np.ndarray:
+    """Dense uint32 arrays given as (chunk, part, data), combined over all parts; `size` numbers come to the driver.
 
-def merged(parts: DataFrame, size: int) -> np.ndarray:
-    """The sum of dense uint32 arrays given as (chunk, data); `size` numbers come to the driver."""
+    Chunks of FAN parts at a time meet in a task, level after level, so that no task reads more than a few chunks of FAN parts."""
     out = np.zeros((size // CHUNK, CHUNK), np.uint32)
-    for r in parts.select("chunk", "data").repartition(8, "chunk").mapInArrow(_merged, "chunk int, data binary").collect():
-        out[r.chunk] = np.frombuffer(zlib.decompress(r.data), np.uint32)
+    now = parts.select("chunk", "part", "data")
+    left = 1 + (now.agg(F.max("part")).first()[0] or 0)
+    while left > 1:
+        left = -(-left // FAN)
+        tasks = max(1, min(left * len(out), int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+        now = written(now.repartition(tasks, "chunk", F.floor(F.col("part") / FAN)).mapInArrow(_summed(combine), "chunk int, part int, data binary"), "counters")
+    for r in now.groupBy("chunk").agg(F.collect_list("data").alias("data")).toLocalIterator():
+        for data in r.data:  # one: a single part is left
+            out[r.chunk] = combine(out[r.chunk], np.frombuffer(zlib.decompress(data), np.uint32))
     return out.ravel()
 
 
-FIRST = "doc_id long, n_shingles long, ent long, chunk int, data binary"
+FIRST = "doc_id long, n_shingles long, ent long, chunk int, part int, data binary"
 
 
 def _first(shingle: int):
@@ -170,11 +195,11 @@ def _first(shingle: int):
             for own in shingle_sets(batch.column(1).to_pylist(), shingle):
                 size.append(len(own))
                 ent.append(entity(own) if len(own) else None)
-                np.add.at(seen, (own >> U(44)).astype(np.int64), np.uint32(1))
+                np.add.at(seen, (own >> U(BELOW)).astype(np.int64), np.uint32(1))
             n = len(size)
-            yield batch_of(names, batch.column(0), pa.array(size, pa.int64()), pa.array(ent, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()))
+            yield batch_of(names, batch.column(0), pa.array(size, pa.int64()), pa.array(ent, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()))
         got = list(chunks(seen))
-        yield batch_of(names, *(pa.nulls(len(got), pa.int64()) for _ in range(3)), pa.array([k for k, _ in got], pa.int32()), pa.array([d for _, d in got], pa.binary()))
+        yield batch_of(names, *(pa.nulls(len(got), pa.int64()) for _ in range(3)), *_parts(got))
 
     return run
 
@@ -194,7 +219,7 @@ def _postings(levels, salts, shingle: int, percent: int):
                 if len(seen) < SEEN:
                     seen.add(e)
                 n, many = len(own), listed(len(own), percent)
-                order = level[(own >> U(44)).astype(np.int64)].astype(U) << U(56) | own >> U(8)
+                order = level[(own >> U(BELOW)).astype(np.int64)].astype(U) << U(56) | own >> U(8)
                 if many < n:
                     order = np.partition(order, many - 1)[:many]
                 order.sort()
@@ -229,7 +254,7 @@ def _lists(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[np.
         yield kept
 
 
-LED = "key long, ent long, size int, pos int, lead long"
+LED = "key long, ent long, size int, pos int, lead long, lead_size int"
 
 
 def _led(spread: np.ndarray, percent: int):
@@ -245,8 +270,9 @@ def _lead(batches: Iterator[pa.RecordBatch], spread: np.ndarray, percent: int) -
         order = np.lexsort((ent, pos, kind, salt, key))
         first = np.concatenate(([True], np.any([c[order][1:] != c[order][:-1] for c in (key, salt, kind)], axis=0)))
         head = order[np.flatnonzero(first)[np.cumsum(first) - 1]]
-        lead = np.empty_like(ent)
-        lead[order] = np.where(may_link(size[order], pos[order], size[head], pos[head], percent), ent[head], ent[order])
+        lead, lead_size = np.empty_like(ent), np.empty_like(size)
+        led = may_link(size[order], pos[order], size[head], pos[head], percent)
+        lead[order], lead_size[order] = np.where(led, ent[head], ent[order]), np.where(led, size[head], size[order])
         start = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1]))))
         many = np.diff(np.append(start, len(key)))
         two = start[many == 2]
@@ -254,7 +280,7 @@ def _lead(batches: Iterator[pa.RecordBatch], spread: np.ndarray, percent: int) -
         keep[two] = keep[two + 1] = may_link(size[two], pos[two], size[two + 1], pos[two + 1], percent)
         # A salted list has its other entries in other tasks.
         keep |= spread[(key.view(U) >> U(56)).astype(np.int64)] > 1
-        yield batch_of([x.split()[0] for x in LED.split(", ")], *(c[keep] for c in (key, ent, size, pos, lead)))
+        yield batch_of([x.split()[0] for x in LED.split(", ")], *(c[keep] for c in (key, ent, size, pos, lead, lead_size)))
 
 
 def may_link(sa: np.ndarray, pa_: np.ndarray, sb: np.ndarray, pb: np.ndarray, percent: int) -> np.ndarray:
@@ -275,17 +301,7 @@ def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         own = batch.column(0).to_numpy().view(U) >> U(40)
         np.bitwise_or.at(bits, (own >> U(5)).astype(np.int64), (U(1) << (own & U(31))).astype(np.uint32))
-    got = list(chunks(bits))
-    yield batch_of(["chunk", "data"], pa.array([k for k, _ in got], pa.int32()), pa.array([d for _, d in got], pa.binary()))
-
-
-def _any(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own = np.frombuffer(zlib.decompress(data), np.uint32)
-            total[k] = total[k] | own if k in total else own
-    yield batch_of(["chunk", "data"], pa.array(list(total), pa.int32()), pa.array([zlib.compress(v.tobytes(), 1) for v in total.values()], pa.binary()))
+    yield batch_of(["chunk", "part", "data"], *_parts(list(chunks(bits))))
 
 
 def _members(shared, shingle: int):
@@ -310,51 +326,48 @@ def _members(shared, shingle: int):
 
 def sets_of(texts: DataFrame, ents: DataFrame, shingle: int) -> DataFrame:
     """ent, data (its shingles) of the entities in ents, and perhaps of others; each once."""
-    parts = ents.select("ent").mapInArrow(_bits, "chunk int, data binary")
-    bits = np.zeros((FILTER_BITS // 32 // CHUNK, CHUNK), np.uint32)
-    for r in parts.repartition(8, "chunk").mapInArrow(_any, "chunk int, data binary").collect():  # FILTER_BITS bits
-        bits[r.chunk] = np.frombuffer(zlib.decompress(r.data), np.uint32)
-    shared = texts.sparkSession.sparkContext.broadcast(bits.ravel())
+    bits = merged(written(ents.select("ent").mapInArrow(_bits, "chunk int, part int, data binary"), "bits"), FILTER_BITS // 32, np.bitwise_or)
+    shared = texts.sparkSession.sparkContext.broadcast(bits)  # FILTER_BITS bits
     return texts.select("text").mapInArrow(_members(shared, shingle), "ent long, data binary").groupBy("ent").agg(F.first("data").alias("data"))
 
 
-def _linked(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep, common = [], []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), U) for v in (x, y))
-                both = np.concatenate((x, y))
-                both.sort()
-                n = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(100 * n >= percent * (len(both) - n))
-                common.append(n)
-            mask = pa.array(keep, pa.bool_())
-            yield batch_of(["u", "v"], batch.column(0).filter(mask), batch.column(1).filter(mask))
-
-    return run
-
-
-def verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose whole sets link. The sets are made anew from the texts: only those of the pairs are shuffled."""
+def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        common, total = [], []
+        for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            x, y = (np.frombuffer(v.as_buffer(), U) for v in (x, y))
+            both = np.concatenate((x, y))
+            both.sort()
+            common.append(int(np.count_nonzero(both[1:] == both[:-1])))
+            total.append(len(both))
+        yield batch_of(["u", "v", "common", "total"], batch.column(0), batch.column(1), pa.array(common, pa.int32()), pa.array(total, pa.int32()))
+
+
+def overlaps(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """The pairs (u, v) with common, their sets' intersection, and total, the sum of their sizes. The sets are made anew from the texts: only those of the pairs are shuffled."""
     sets = sets_of(texts, pairs.select(F.explode(F.array("u", "v")).alias("ent")), shingle)
     left = pairs.join(sets.select(F.col("ent").alias("u"), F.col("data").alias("x")), "u")
     both = left.join(sets.select(F.col("ent").alias("v"), F.col("data").alias("y")), "v").select("u", "v", "x", "y")
-    return both.mapInArrow(_linked(percent), "u long, v long")
+    return both.mapInArrow(_common, "u long, v long, common int, total int")
+
+
+def linked(percent: int) -> Column:
+    return F.lit(100) * F.col("common") >= F.lit(percent) * (F.col("total") - F.col("common"))
 
 
 def _between(percent: int):
-    """Pairs of a list in different components that may link, by blocks of equal size and position."""
+    """Pairs of a list in different components that may link, by blocks of equal size and position; sure: their leader's answers prove it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _lists(batches, 3):
-            key, i, j, block, ent, size, pos, root = rows
+            key, i, j, block, ent, size, pos, root, lead, lead_size, common = rows
             start = np.flatnonzero(np.concatenate(([True], np.any([c[1:] != c[:-1] for c in (key, i, j)], axis=0))))
             for a, b in zip(start, np.append(start[1:], len(key)), strict=True):
                 if b - a < 2:
                     continue
                 order = a + np.lexsort((pos[a:b], size[a:b]))
                 e, s, p, r, own = ent[order], size[order].astype(np.int64), pos[order].astype(np.int64), root[order], block[order]
+                head, head_size, m = lead[order], lead_size[order].astype(np.int64), common[order].astype(np.int64)
                 cell = np.flatnonzero(np.concatenate(([True], (s[1:] != s[:-1]) | (p[1:] != p[:-1]))))
                 ends = np.append(cell[1:], len(s))
                 cs, cp = s[cell], p[cell]
@@ -373,8 +386,15 @@ def _between(percent: int):
                             if cross:
                                 hit &= own[x][:, None] != own[y][None, :]
                             u, v = np.nonzero(hit)
-                            if len(u):
-                                yield batch_of(["u", "v"], np.maximum(e[x][u], e[y][v]), np.minimum(e[x][u], e[y][v]))
+                            u, v = x[u], y[v]
+                            # What two sets share, bounded by what they share with the same leader (m < 0: not known).
+                            same = (head[u] == head[v]) & (m[u] >= 0) & (m[v] >= 0)
+                            least, most = np.where(same, m[u] + m[v] - head_size[u], 0), np.where(same, np.minimum(m[u], m[v]) + np.minimum(s[u] - m[u], s[v] - m[v]), s[u])
+                            enough = needed(s[u], s[v], percent)
+                            open_ = most >= enough
+                            if open_.any():
+                                u, v, sure = u[open_], v[open_], (least >= enough)[open_]
+                                yield batch_of(["u", "v", "sure"], np.maximum(e[u], e[v]), np.minimum(e[u], e[v]), sure)
 
     return run
 
@@ -383,43 +403,60 @@ def entity_links(texts: DataFrame, first: DataFrame, shingle: int, percent: int)
     """(u, v): each entity that is linked with others, but the smallest, and its component's smallest entity."""
     spark = texts.sparkSession
     counts = merged(first.where("chunk is not null"), BUCKETS)
-    level = np.minimum(255, np.floor(8 * np.log2(counts.astype(np.float64) + 1))).astype(np.uint8)
+    level = np.concatenate([np.minimum(255, np.floor(8 * np.log2(part.astype(np.float64) + 1))).astype(np.uint8) for part in counts.reshape(-1, CHUNK)])
+    del counts
     salts = np.maximum(1, np.ceil(2 ** (np.arange(256) / 8) / LIST)).astype(np.int64)
     # Entries of a list are at most the documents; BUCKETS bytes are broadcast.
     shared = spark.sparkContext.broadcast(level)
     postings = texts.select("text").mapInArrow(_postings(shared, salts, shingle, percent), POSTINGS)
     led = written(postings.repartition("key", "salt").sortWithinPartitions("key", "salt", "pos", "ent").mapInArrow(_led(salts, percent), LED), "lists")
-    heads = led.where("ent = lead").groupBy("key").agg(F.min(F.struct("pos", "ent", "size")).alias("h"), F.countDistinct("ent").alias("n")).where("n > 1")
-    chief = led.where("ent = lead").join(heads, "key").where(possible(F.col("size"), F.col("pos"), F.col("h.size"), F.col("h.pos"), percent) & (F.col("ent") != F.col("h.ent"))).select(F.col("ent").alias("a"), F.col("h.ent").alias("b"))
+    leads = led.where("ent = lead").select("key", "ent", "size", "pos")
+    heads = leads.groupBy("key").agg(F.min(F.struct("pos", "ent", "size")).alias("h"), F.countDistinct("ent").alias("n"), F.count("*").alias("many")).where("n > 1").drop("n")
+    chief = looked_up(leads, "key", heads).where(F.col("h").isNotNull() & possible(F.col("size"), F.col("pos"), F.col("h.size"), F.col("h.pos"), percent) & (F.col("ent") != F.col("h.ent"))).select(F.col("ent").alias("a"), F.col("h.ent").alias("b"))
     pairs = led.where("ent <> lead").select(F.col("ent").alias("a"), F.col("lead").alias("b")).unionByName(chief)
     pairs = written(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "pairs")
-    forest = stars(verified(pairs, texts, shingle, percent))
-    rooted = led.select("key", "ent", "size", "pos").join(forest.select(F.col("u").alias("ent"), F.col("v").alias("root")), "ent", "left").withColumn("root", F.coalesce("root", "ent"))
+    answers = written(overlaps(pairs, texts, shingle), "answers")
+    forest = stars(answers.where(linked(percent)).select("u", "v"))
+    rooted = led.join(forest.select(F.col("u").alias("ent"), F.col("v").alias("root")), "ent", "left").withColumn("root", F.coalesce("root", "ent"))
     rooted = written(rooted, "rooted")
-    open_lists = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", F.ceil(F.col("n") / LIST).cast("int").alias("s"))
-    dealt = rooted.join(open_lists, "key").withColumn("block", F.pmod(F.xxhash64("ent"), F.col("s")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "ent", "size", "pos", "root")
+    lists = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("many")).where("lo <> hi").select("key", "many", F.ceil(F.col("many") / LIST).cast("int").alias("s"))
+    opened = looked_up(rooted, "key", lists).where("s is not null")
+    opened = opened.withColumn("u", F.greatest("ent", "lead")).withColumn("v", F.least("ent", "lead")).join(answers.select("u", "v", "common"), ["u", "v"], "left")
+    opened = opened.withColumn("common", F.when(F.col("ent") == F.col("lead"), F.col("size")).otherwise(F.coalesce("common", F.lit(-1))))
+    dealt = opened.withColumn("block", F.pmod(F.xxhash64("ent"), F.col("s")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
+    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "ent", "size", "pos", "root", "lead", "lead_size", "common")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rest = written(dealt.repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_between(percent), "u long, v long").distinct(), "pairs")
+    between = dealt.repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_between(percent), "u long, v long, sure boolean")
+    rest = written(between.groupBy("u", "v").agg(F.max("sure").alias("sure")), "pairs")
     if not rest.limit(1).count():
         return forest
-    more = written(verified(rest, texts, shingle, percent), "links")
+    proven = rest.where("sure").select("u", "v")
+    more = written(proven.unionByName(overlaps(rest.where("not sure").select("u", "v"), texts, shingle).where(linked(percent)).select("u", "v")), "links")
     return stars(forest.unionByName(more)) if more.limit(1).count() else forest
 
 
+def components(sized: DataFrame, links: DataFrame) -> DataFrame:
+    """sized (doc_id, n_shingles, ent) with component_id: the smallest doc_id of all documents of all linked entities.
+
+    Documents are reduced to entities and entities to components by partial aggregates; what comes back to a large group of either goes by broadcast."""
+    ents = written(sized.where("ent is not null").groupBy("ent").agg(F.min("doc_id").alias("first"), F.count("*").alias("many")), "entities")
+    rooted = written(ents.join(links.select(F.col("u").alias("ent"), F.col("v").alias("root")), "ent", "left").withColumn("root", F.coalesce("root", "ent")), "rooted")
+    least = rooted.groupBy("root").agg(F.min("first").alias("least"), F.count("*").alias("many"))
+    labels = written(looked_up(rooted.select("ent", "root", F.col("many").alias("copies")), "root", least).select("ent", "least", F.col("copies").alias("many")), "labels")
+    return looked_up(sized, "ent", labels).select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+
+
 def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links); one row per row.
 
     Words are maximal runs of characters other than space and U+0009 to U+000D, with A-Z lowered. Null or empty
     texts have the empty set and are linked with nothing, not even each other. Texts of fewer than `shingle`
     words have one shingle. Sets link when 100 * |intersection| >= percent * |union|. Equal sets are linked. Repeated rows are kept, with equal values. Null doc_ids
-    take part but never are a component's id unless it has no other. Further columns are ignored.
+    take part but never are a component's id unless it has no other. Very long texts are taken whole, a document
+    at a time. An empty table gives no rows. Further columns are ignored, whatever their names.
     """
     prepared(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     first = written(rows.mapInArrow(_first(shingle), FIRST), "sizes")
     links = entity_links(rows, first, shingle, percent)
-    sized = first.where("chunk is null").select("doc_id", "n_shingles", "ent")
-    rooted = sized.join(links.select(F.col("u").alias("ent"), F.col("v").alias("root")), "ent", "left").withColumn("root", F.coalesce("root", "ent"))
-    least = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return rooted.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    return components(first.where("chunk is null").select("doc_id", "n_shingles", "ent"), links)
