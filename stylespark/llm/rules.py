@@ -1,18 +1,16 @@
 """Quality rules with risk-controlled cutoffs, in DataFrame functions only.
 
-Each document gets counts (words, symbols, repeated lines, repeated three-word windows). The method adds
-one cutoff per rule and stratum: along a fixed grid from loose to tight, a cutoff is certified while an
-exact binomial test on the labelled good documents of the stratum rejects "this rule rejects more than
-ALPHA / rules of the good documents" at level DELTA / (strata x rules), the grid being a fixed sequence and
-Bonferroni's correction covering strata and rules. The tightest certified cutoff is used; where none is
-certified the rule rejects nothing. With probability 1 - DELTA at least, no stratum loses more than ALPHA of its good
-documents to the rules.
+Each document gets counts (words, symbols, repeated lines, repeated three-word windows). The method adds one ladder of
+cutoffs: every step tightens one rule, in turn, and keeps what the steps before it reject, so that a step stands for all rules together.
+In each stratum a step is certified while an exact binomial test on the labelled good documents of the stratum rejects
+"the rules of this step reject more than ALPHA of the good documents" at level DELTA / strata. The ladder is a fixed sequence, which
+needs no correction for its steps as it ends at the first step that isn't certified; Bonferroni's correction covers the strata. Cutoffs
+are fixed values that no label has shaped, so all labelled rows are the holdout. With probability 1 - DELTA at least, no stratum loses more than
+ALPHA of its good documents to the rules; where not even the first step is certified the rules reject nothing.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +26,8 @@ RULES = {
 }
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
+#: The ladder: (rule, cutoff) step by step.
+STEPS = [(rule, grid[i]) for i in range(8) for rule, (_, _, grid) in RULES.items()]
 #: A table of cutoffs of at most this many strata is broadcast; a larger one is joined by shuffling.
 MOST_STRATA = 10_000
 
@@ -43,8 +43,8 @@ def tokens(text: Column) -> Column:
 
 
 def repeated_words(words: Column) -> Column:
-    """Words within three-word windows that occur twice or more. Windows are compared by two 64-bit hashes packed in one
-    sort key, so that equal windows are neighbours; places covered by repeated windows count once."""
+    """Words within three-word windows that occur twice or more. Windows are compared by their 64-bit hashes, sorted
+    so that equal ones are neighbours; places covered by repeated windows count once."""
 
     def windows(w: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.xxhash64(w[i], w[i + 1], w[i + 2]).alias("h"), i.alias("i")))
@@ -105,35 +105,45 @@ def binomial_cdf(k: Column, n: Column, p: float) -> Column:
     return F.aggregate(F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>")), F.struct(first.alias("log"), F.exp(first).alias("sum")), step)["sum"]
 
 
+def first_step(steps: list[tuple[str, float]] = STEPS) -> Column:
+    """The first step that rejects the row; null if none does."""
+    chains = []
+    for rule in dict.fromkeys(r for r, _ in steps):
+        own = [(j, cut) for j, (r, cut) in enumerate(steps) if r == rule]
+        chain = F.when(ratio(rule) > own[0][1], own[0][0])
+        for j, cut in own[1:]:
+            chain = chain.when(ratio(rule) > cut, j)
+        chains.append(chain)
+    return F.least(*chains) if len(chains) > 1 else chains[0]  # nulls are skipped
+
+
 def cutoffs(rows: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """stratum, n_good and a cutoff for each rule (null: none certified), from base rows and labels (doc_id, quality)."""
+    """stratum, n_good, level (how many steps are certified) and each rule's cutoff (null: none), from base rows and labels (doc_id, quality)."""
     known = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
-    good = rows.where(~F.col("base_failed")).join(known, "doc_id", "left_semi")
-    tests = [(r, c) for r, (_, _, grid) in RULES.items() for c in grid]
-    each = [F.sum(F.when(ratio(r) > c, 1).otherwise(0)).alias(f"_{i}") for i, (r, c) in enumerate(tests)]
-    wide = good.groupBy("stratum").agg(F.count("*").alias("n_good"), *each)
+    good = rows.where(~F.col("base_failed")).withColumn("step", first_step()).join(known, "doc_id", "left_semi")
+    rejected = F.array(*[F.sum(F.when(F.col("step") <= j, 1).otherwise(0)) for j in range(len(STEPS))])
+    wide = good.groupBy("stratum").agg(F.count("*").alias("n_good"), rejected.alias("k"))
     n_tests = wide.agg(F.count("*").alias("strata"))
-    share = alpha / len(RULES)
-    long = wide.crossJoin(n_tests).select(  # n_tests is one row
-        "stratum", "n_good", "strata", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cut"), F.col(f"_{i}").alias("k")) for i, (r, c) in enumerate(tests)])).alias("t")
-    ).select("stratum", "n_good", "strata", "t.*")
-    level = F.lit(delta) / (F.col("strata") * len(RULES))
-    ok = F.when(F.col("k") >= F.col("n_good") * share, F.lit(False)).otherwise(binomial_cdf(F.col("k"), F.col("n_good"), share) <= level)
-    chosen = long.withColumn("ok", ok).groupBy("stratum", "n_good", "rule").agg(F.max(F.when(~F.col("ok"), F.col("cut"))).alias("stop"), F.collect_list("cut").alias("cuts"))
-    best = chosen.select("stratum", "n_good", "rule", F.array_min(F.filter("cuts", lambda c: F.col("stop").isNull() | (c > F.col("stop")))).alias("cut"))
-    return best.groupBy("stratum").agg(F.first("n_good").alias("n_good"), *[F.max(F.when(F.col("rule") == r, F.col("cut"))).alias(f"cut_{r}") for r in RULES])
+    level = F.lit(delta) / F.col("strata")
+    # A step beyond ALPHA as it stands can't be certified; its sum is left out.
+    ok = F.transform("k", lambda k: F.when(k >= F.col("n_good") * alpha, F.lit(False)).otherwise(binomial_cdf(k, F.col("n_good"), alpha) <= level))
+    stop = F.array_position(ok, F.lit(False))
+    found = wide.crossJoin(n_tests).select("stratum", "n_good", F.when(stop == 0, len(STEPS)).otherwise(stop - 1).cast("int").alias("level"))  # n_tests is one row
+    cut = lambda rule: F.array_min(F.filter(F.array(*[F.when(F.col("level") > j, F.lit(c)) for j, (r, c) in enumerate(STEPS) if r == rule]), lambda c: c.isNotNull()))
+    return found.select("stratum", "n_good", "level", *[cut(r).alias(f"cut_{r}") for r in RULES])
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """One row per document: counts, base_failed, kept and the cutoffs used.
+    """One row per document: counts, base_failed, kept, and its stratum's n_good, level and cutoffs.
 
     Null or empty texts have no words and fail the base. A null stratum is a stratum of its own; strata without
     labels get no cutoffs. A doc_id with several labels counts as good only if all are 1. Ties with a
-    cutoff are kept. Repeated rows and null ids are kept; further columns of docs are ignored.
+    cutoff are kept. Repeated rows and null ids are kept; very long texts are taken whole. An empty table gives no
+    rows, and without labels the base alone decides. Further columns of docs are ignored.
     """
     prepared(docs.sparkSession)
     rows = written(base(docs, doc_id, text, stratum), "rule-counts")
     found = written(cutoffs(rows, labels, alpha, delta), "cutoffs")
     found = F.broadcast(found) if found.count() <= MOST_STRATA else found
-    rejects = reduce(lambda a, b: a | b, [F.coalesce(ratio(r) > F.col(f"cut_{r}"), F.lit(False)) for r in RULES])
+    rejects = F.coalesce(first_step() < F.col("level"), F.lit(False))
     return rows.join(found, "stratum", "left").withColumn("kept", ~F.col("base_failed") & ~rejects)
