@@ -22,18 +22,23 @@ from stylespark.llm.common import prepared
 
 #: The base: phrase -> label.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: label -> template. Our own list; further ones are a parameter.
+#: label -> template: notices of several mandatory passages, and whole license texts, with their lists, names and clauses
+#: that may vary or be left out. Our own markup; further ones are a parameter.
 TEMPLATES = {
-    "all-rights-notice": "<<optional>>copyright<</optional>> <<optional>>c<</optional>> <<var 6>> all rights reserved",
-    "apache-header": "licensed under the apache license version 2 0 <<optional>>the license<</optional>>",
-    "bsd-conditions": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "cc-by-notice": "<<optional>>this <<var 2>> is<</optional>> licensed under <<optional>>a<</optional>> <<optional>>the<</optional>> <<optional>>creative commons<</optional>> cc by <<optional>>sa<</optional>> <<optional>>nc<</optional>> <<optional>>nd<</optional>> <<var 2>>",
-    "copyright-line": "copyright <<optional>>c<</optional>> <<var 3>> all rights reserved",
-    "gpl-notice": "<<optional>>under the terms of<</optional>> <<optional>>the<</optional>> <<optional>>gnu<</optional>> general public license <<optional>>version <<var 2>><</optional>>",
-    "gpl-redistribute": "you can redistribute it and or modify it under the terms of the gnu <<optional>>lesser<</optional>> <<optional>>affero<</optional>> general public license as published by the free software foundation",
-    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
-    "mit": "permission is hereby granted free of charge to any person obtaining a copy of this <<var 8>> to deal in the <<var 8>> without restriction",
-    "mpl-header": "this source code form is subject to the terms of the mozilla public license v 2 0",
+    "apache-2.0-notice": "licensed under the apache license version 2 0 <<optional>>the license<</optional>> <<optional>>you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0<</optional>>",
+    "apache-2.0-header": "licensed under the apache license version 2 0 the license you may not use this <<var 2>> except in compliance with the license <<optional>>you may obtain a copy of the license at <<var 10>><</optional>> unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+    "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<optional>>1<</optional>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer <<optional>>2<</optional>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution <<optional>><<optional>>3<</optional>> neither the name of <<var 12>> nor the names of <<var 4>> contributors may be used to endorse or promote products derived from this software without specific prior written permission<</optional>> this software is provided by <<var 12>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    "cc-by-notice": "<<optional>>this <<var 3>> is<</optional>> licensed under <<optional>>a<</optional>> <<optional>>the<</optional>> <<optional>>creative commons<</optional>> cc by <<optional>>sa<</optional>> <<optional>>nc<</optional>> <<optional>>nd<</optional>> <<optional>><<var 1>> 0<</optional>> <<optional>>international<</optional>> <<optional>>license<</optional>>",
+    "cc-by-deed": "this <<var 3>> is licensed under <<optional>>a<</optional>> <<optional>>the<</optional>> creative commons attribution <<optional>>noncommercial<</optional>> <<optional>>noderivatives<</optional>> <<optional>>sharealike<</optional>> <<var 2>> <<optional>>international<</optional>> license",
+    "copyright-line": "copyright <<optional>>c<</optional>> <<var 8>> all rights reserved",
+    "gpl-notice": "<<optional>>this <<var 3>> is<</optional>> licensed under <<optional>>the terms of<</optional>> the gnu <<optional>>lesser<</optional>> <<optional>>affero<</optional>> general public license <<optional>>version <<var 1>><</optional>> <<optional>>or later<</optional>>",
+    "gpl-header": "<<var 6>> is free software you can redistribute it and or modify it under the terms of the gnu <<optional>>lesser<</optional>> <<optional>>affero<</optional>> general public license as published by the free software foundation either version <<var 2>> of the license or <<optional>>at your option<</optional>> any later version <<var 6>> is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu <<optional>>lesser<</optional>> <<optional>>affero<</optional>> general public license for more details",
+    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and <<var 6>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall <<var 6>> be liable for any special direct indirect or consequential damages",
+    "mit": "<<optional>>copyright <<optional>>c<</optional>> <<var 12>><</optional>> permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice <<optional>>including the next paragraph<</optional>> shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall <<var 12>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    "mit-notice": "released under the <<optional>>terms of the<</optional>> mit license",
+    "mpl-2.0-header": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at <<var 8>>",
+    "unlicense": "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    "zlib": "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
 }
 MARKUP = re.compile(r"<<(/?optional|var \d+)>>|([^\s<]+)")
 LOWERED = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -200,8 +205,9 @@ def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ph
 
     n_base counts all places of the phrases; first_word and last_word are their smallest and largest start,
     else null. labels holds the phrases' and the templates'. score: half for a phrase, a quarter to a half for a
-    template by the share of words it covers. Null or empty texts have no words and no labels. Repeated
-    rows and null ids are kept; further columns are ignored.
+    template by the share of words it covers. Of places where a template can match, the first is taken, with its longest
+    match, and the next one after its end. Null or empty texts have no words and no labels. Very long texts are scanned whole.
+    Repeated rows and null ids are kept; an empty table gives no rows; further columns are ignored, whatever their names.
     """
     prepared(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
