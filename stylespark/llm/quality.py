@@ -28,6 +28,8 @@ ROUNDS, CONFIDENT, SURE = 4, 200, 0.95
 FALSE_REJECTION = 0.005
 SOURCES, LANGS = 64, 16
 CLASSES = 128
+#: Rows that fitting widens at a time.
+ROWS = 2048
 TEXT_DIM, META_DIM = 256 + 10, SOURCES + LANGS + 8
 
 
@@ -66,16 +68,18 @@ def meta_features(sources: list, langs: list, lengths: list) -> np.ndarray:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, steps: int = 15) -> np.ndarray:
-    """Weights with the intercept last, by Newton's method; classes weigh alike."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+    """Weights with the intercept last, by Newton's method; classes weigh alike. Rows are widened to float64 a block at a time."""
     share = np.array([weight[y == c].sum() for c in (0, 1)])
     weight = weight * np.where(y == 1, 0.5 / share[1], 0.5 / share[0]) * len(y)
-    w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge * len(y) / 100)
+    w, penalty = np.zeros(x.shape[1] + 1), np.full(x.shape[1] + 1, ridge * len(y) / 100)
     penalty[-1] = 1e-6
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (weight * (p - y)) + penalty * w
-        hessian = (x * (weight * np.maximum(p * (1 - p), 1e-4))[:, None]).T @ x + np.diag(penalty)
+        gradient, hessian = penalty * w, np.diag(penalty)
+        for a in range(0, len(y), ROWS):
+            own, k = np.hstack([x[a : a + ROWS].astype(np.float64), np.ones((len(x[a : a + ROWS]), 1))]), weight[a : a + ROWS]
+            p = 1 / (1 + np.exp(-np.clip(own @ w, -30, 30)))
+            gradient += own.T @ (k * (p - y[a : a + ROWS]))
+            hessian += (own * (k * np.maximum(p * (1 - p), 1e-4))[:, None]).T @ own
         step = np.linalg.solve(hessian, gradient)
         w -= step
         if np.abs(step).max() < 1e-5:
@@ -174,28 +178,32 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model | Non
     chosen = known.where(place < min(1.0, LABELLED / max(1, n_known)))
     pool = rows.select("doc_id").where(place < min(1.0, POOL / max(1, n_docs))).distinct().join(known, "doc_id", "left_anti").select("doc_id", F.lit(None).cast("int").alias("quality"))
     # At most LABELLED + POOL ids and a few standard deviations more, so their size is bounded.
-    sample = rows.join(F.broadcast(chosen.unionByName(pool)), "doc_id")
+    named = rows.join(F.broadcast(chosen.unionByName(pool)), "doc_id")
+    # One row of a repeated doc_id, so that rows are bounded too: that of the least hash.
+    one = F.struct("quality", "text", "source", "lang", "n_chars")
+    sample = named.groupBy("doc_id").agg(F.min_by(one, F.xxhash64("text", "source", "lang", "n_chars")).alias("r")).select("doc_id", "r.*")
     got = sample.select("doc_id", "quality", "text", "source", "lang", "n_chars").mapInArrow(_sampled, "doc_id long, quality int, x binary").collect()
     if not got:
         return None
     got.sort(key=lambda r: (r.doc_id, bytes(r.x)))
-    x = np.frombuffer(b"".join(bytes(r.x) for r in got), "<f4").reshape(len(got), -1).astype(np.float64)
+    x = np.stack([np.frombuffer(r.x, "<f4") for r in got])
     y = np.array([-1 if r.quality is None else r.quality for r in got])
     aside = np.array([zlib.crc32(str(r.doc_id).encode()) % 4 == 0 for r in got])
+    del got
     has = y >= 0
     return co_train(x[has, :TEXT_DIM], x[has, TEXT_DIM:], y[has], aside[has], x[~has, :TEXT_DIM], x[~has, TEXT_DIM:])
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, text: str = "text", model: Model | None = None) -> DataFrame:
-    """Adds quality_score (0 to 1) and kept to all columns of docs but those of these names; one row per row, no shuffle of texts.
+    """Adds quality_score (0 to 1) and kept to all columns of docs but those of these names in any case; one row per row, no shuffle of texts.
 
     Without labels of both classes every document has score 1 and is kept. Null texts count as empty, nulls in
     source, lang and n_chars as values of their own, missing columns as null. Repeated rows are kept; a
-    doc_id with both labels counts as bad.
+    doc_id with both labels counts as bad. A score at the cutoff is kept. Very long texts are taken whole; an empty table gives no rows.
     """
     spark = prepared(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model or train(docs, labels, text))
-    kept = [c for c in docs.columns if c not in ("quality_score", "kept")]
+    kept = [c for c in docs.columns if c.lower() not in ("quality_score", "kept")]
     base = docs.select(*kept)
     at = {c: base.columns.index(c) for c in [text, *COLUMNS] if c in base.columns}
 
