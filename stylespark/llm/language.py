@@ -31,6 +31,8 @@ MANY, LEAST_LANDMARKS, LEAST_TRAIN = 64, 4, 50
 RIDGE = 1e-3
 #: Documents of a matrix product.
 BLOCK = 256
+#: Characters of a text that are looked at together: a longer one has the mean of its parts' values, as presence fills up with length.
+PART = 20_000
 #: Softmax sharpness of the score.
 SHARP = 6.0
 UND = "und"
@@ -96,18 +98,29 @@ def fit(rows: np.ndarray, languages: list[str]) -> tuple[list[str], np.ndarray]:
     return names, (z.T.astype(np.float64) @ (root @ solved)).astype(np.float32)
 
 
+def _values(parts: list[str | None], matrix: np.ndarray) -> np.ndarray:
+    out = []
+    for a in range(0, len(parts), BLOCK):
+        rows = presence(parts[a : a + BLOCK])
+        out.append(rows.astype(np.float32) @ matrix / np.sqrt(np.maximum(1, np.count_nonzero(rows, axis=1)))[:, None])
+    return np.concatenate(out)
+
+
 def scores(texts: list[str | None], names: list[str], matrix: np.ndarray) -> Iterator[tuple[str, float]]:
     """(language, score in 0..1) of each text."""
     for a in range(0, len(texts), BLOCK):
-        part = texts[a : a + BLOCK]
+        own = texts[a : a + BLOCK]
         if not names:
-            yield from ((UND, 0.0) for _ in part)
+            yield from ((UND, 0.0) for _ in own)
             continue
-        rows = presence(part)
-        value = rows.astype(np.float32) @ matrix / np.sqrt(np.maximum(1, np.count_nonzero(rows, axis=1)))[:, None]
+        cuts = [range(0, max(1, len(t or "")), PART) for t in own]
+        parts = [(t or "")[k : k + PART] for t, cut in zip(own, cuts, strict=True) for k in cut]
+        sizes = np.array([len(p) for p in parts], np.float32)[:, None] + 1
+        first = np.cumsum([0, *map(len, cuts)])[:-1]
+        value = np.add.reduceat(_values(parts, matrix) * sizes, first) / np.add.reduceat(sizes, first)
         power = np.exp(SHARP * (value - value.max(1, keepdims=True)))
         top, best = value.argmax(1), power.max(1) / power.sum(1)
-        for t, k, s in zip(part, top, best, strict=True):
+        for t, k, s in zip(own, top, best, strict=True):
             yield (names[k], float(s)) if has_letter(t) else (UND, 0.0)
 
 
@@ -139,15 +152,16 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 
 
 def language_id(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", model: tuple | None = None) -> DataFrame:
-    """Adds held_out, lang_pred and score to all columns of docs but those of these names; one row per row, no shuffle.
+    """Adds held_out, lang_pred and score to all columns of docs but those of these names in any case; one row per row, no shuffle.
 
     Null texts and texts without a letter are `und` with score 0, as is every text where nothing was
     learnt. Null doc_ids are not held out; null languages aren't learnt from. Ties go to the first name in
-    order. Repeated rows are kept. lang, source and doc_id aren't read for a prediction.
+    order. Repeated rows are kept. Very long texts are taken whole, in parts of PART characters. An empty table gives no rows.
+    lang, source and doc_id aren't read for a prediction.
     """
     spark = prepared(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model or train(docs, doc_id, text, lang))  # DIM floats a language
-    kept = [c for c in docs.columns if c not in ("held_out", "lang_pred", "score")]
+    kept = [c for c in docs.columns if c.lower() not in ("held_out", "lang_pred", "score")]
     base = docs.select(*kept, F.coalesce(fold(doc_id) == 0, F.lit(False)).alias("held_out"))
     at = base.columns.index(text)
 

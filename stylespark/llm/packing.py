@@ -200,8 +200,8 @@ def best_fit_packing(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """Pack every document into sequences of at most `capacity` tokens.
 
     A document is its token ids and the end id 0. Longer ones are cut; the first piece takes the remainder.
-    Null or empty texts are the end id alone. Repeated rows are packed each. An empty table gives no rows.
-    Further columns of docs are ignored; doc_id may be null. Ties in length are broken by file order.
+    Null or empty texts are the end id alone. Repeated rows are packed each. Very long texts are encoded whole, one
+    at a time. An empty table gives no rows. Further columns of docs are ignored, whatever their names; doc_id may be null. Ties in length are broken by file order.
     """
     return packed(pieces(docs, doc_id, text, capacity), capacity)
 
