@@ -43,6 +43,8 @@ BUNDLED = (
     "Peel the potatoes, cut them in halves, and let them boil in salted water until soft.",
     "The bus to the station leaves from the other side of the square while the road is being mended.",
     "All parcels that arrive after four are put on the shelf and given out the next day.",
+    "Tickets are sold at the counter near the gate until a quarter of an hour before the start.",
+    "Water the plants by the window twice a week, and turn the pots so that they grow straight.",
 )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stylespark.functions.vectors import checked
 from stylespark.operators.accounting import coverage, readiness
 from stylespark.operators.retrieval import REGISTERS
+from stylespark.sources.messages import iso_millis
 
 EXEMPLARS = "id string, author_id string, medium string, source_uri string, thread_id string, authored_at timestamp, ingested_at timestamp, text string, word_count int, dedup_cluster_id string, is_canonical boolean, ingest_version string, content_embedding array<float>, style_embedding array<float>, profile_version string, register string"
 PROFILES = "author_id string, register string, version string, style_card string, stylometric_vector string, style_centroid array<float>, built_at timestamp, exemplar_count int"
@@ -58,6 +59,11 @@ class Store:
         rows.write.mode("append").partitionBy("register").parquet(f"{self.path}/exemplars")
         return self.exemplars().count() - before
 
+    def records(self) -> DataFrame:
+        """Exemplars as they are handed out: times as ISO-8601 in UTC, without vectors."""
+        iso = lambda c: F.when(F.col(c).isNotNull(), iso_millis(F.unix_millis(c))).alias(c)
+        return self.exemplars().select(*[iso(c) if c in ("authored_at", "ingested_at") else c for c in self.exemplars().columns if not c.endswith("_embedding")])
+
     def by_id(self, key: str) -> DataFrame:
         return self.exemplars().where(F.col("id") == key)
 

@@ -468,28 +468,41 @@ def mattr(spark, d):
 
 
 _RATE = "round_even({} / CAST(greatest(len(w), 1) AS DOUBLE), 5)"
-_TARGETS = f"""WITH {_RECORDS}, pulled AS (SELECT *, row_number() OVER (PARTITION BY author_id, register ORDER BY timestamp DESC, id) AS r FROM rec QUALIFY r <= 500),
-jt AS (SELECT author_id, register, count(*) AS sample_count, string_agg(text_clean, chr(10) ORDER BY timestamp) AS text FROM pulled GROUP BY author_id, register),
+
+
+def _targets(pulled: str, keys: str) -> str:
+    """SQL for the style targets of each group of `pulled` (keys, timestamp, text_clean)."""
+    return f"""{pulled},
+jt AS (SELECT {keys}, count(*) AS sample_count, string_agg(text_clean, chr(10) ORDER BY timestamp) AS text FROM pulled GROUP BY {keys}),
 ws AS (SELECT *, regexp_extract_all(text, '[A-Za-z]+(?:''[A-Za-z]+)?') AS w, list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda x: trim(x, ' ' || chr(10))), lambda x: x <> '') AS s FROM jt),
 ls AS (SELECT *, list_filter(list_transform(s, lambda x: {_A.format('x')}), lambda x: x > 0) AS lens, list_transform(w, lambda x: lower(x)) AS t FROM ws),
-tw AS (SELECT author_id, register, list_transform(regexp_extract_all(text_clean, '[A-Za-z]+(?:''[A-Za-z]+)?'), lambda x: lower(x)) AS t FROM pulled),
-gr AS (SELECT author_id, register, gram FROM (SELECT author_id, register, unnest(list_concat(CASE WHEN len(t) >= 2 THEN {_GRAM.format(n=2)} ELSE CAST([] AS VARCHAR[]) END, CASE WHEN len(t) >= 3 THEN {_GRAM.format(n=3)} ELSE CAST([] AS VARCHAR[]) END)) AS gram FROM tw)),
-top AS (SELECT author_id, register, gram, row_number() OVER (PARTITION BY author_id, register ORDER BY count(*) DESC, gram) AS idx FROM gr GROUP BY author_id, register, gram HAVING count(*) >= 2 QUALIFY idx <= 8),
-sg AS (SELECT author_id, register, list(gram ORDER BY idx) AS grams FROM top GROUP BY author_id, register)
-SELECT author_id, register, round_even(coalesce(list_avg(lens), 0), 3) AS sentence_len_mean, round_even(CASE WHEN len(lens) < 2 THEN 0 ELSE coalesce(list_var_pop(lens), 0) END, 3) AS sentence_len_variance,
+tw AS (SELECT {keys}, list_transform(regexp_extract_all(text_clean, '[A-Za-z]+(?:''[A-Za-z]+)?'), lambda x: lower(x)) AS t FROM pulled),
+gr AS (SELECT {keys}, gram FROM (SELECT {keys}, unnest(list_concat(CASE WHEN len(t) >= 2 THEN {_GRAM.format(n=2)} ELSE CAST([] AS VARCHAR[]) END, CASE WHEN len(t) >= 3 THEN {_GRAM.format(n=3)} ELSE CAST([] AS VARCHAR[]) END)) AS gram FROM tw)),
+top AS (SELECT {keys}, gram, row_number() OVER (PARTITION BY {keys} ORDER BY count(*) DESC, gram) AS idx FROM gr GROUP BY {keys}, gram HAVING count(*) >= 2 QUALIFY idx <= 8),
+sg AS (SELECT {keys}, list(gram ORDER BY idx) AS grams FROM top GROUP BY {keys})
+SELECT {keys}, round_even(coalesce(list_avg(lens), 0), 3) AS sentence_len_mean, round_even(CASE WHEN len(lens) < 2 THEN 0 ELSE coalesce(list_aggregate(lens, 'var_pop'), 0) END, 3) AS sentence_len_variance,
 round_even(CASE WHEN len(t) = 0 THEN 0 WHEN len(t) <= 50 THEN len(list_distinct(t)) / CAST(len(t) AS DOUBLE) ELSE list_sum(list_transform(range(1, len(t) - 48), lambda i: len(list_distinct(list_slice(t, i, i + 49))) / CAST(50 AS DOUBLE))) / (len(t) - 49) END, 4) AS mattr,
 """ + ", ".join(f"{_RATE.format(_n(p))} AS p_{k}" for k, p in T.PUNCTUATION.items()) + f""", {_RATE.format(_n(T.CONTRACTION.replace(chr(39), chr(39) * 2)))} AS contraction_rate, {_RATE.format(_n(_EMOJI))} AS emoji_rate,
 round_even(CASE WHEN len(s) = 0 THEN 0 ELSE len(list_filter(s, lambda x: substr(x, 1, 1) = lower(substr(x, 1, 1)) AND substr(x, 1, 1) <> upper(substr(x, 1, 1)))) / CAST(len(s) AS DOUBLE) END, 4) AS lowercase_start_rate,
-CAST(greatest(len(w), 1) AS INTEGER) AS word_count, sample_count, coalesce(array_to_string(grams, '|'), '') AS signature_ngrams FROM ls LEFT JOIN sg USING (author_id, register)"""
+CAST(greatest(len(w), 1) AS INTEGER) AS word_count, sample_count, coalesce(array_to_string(grams, '|'), '') AS signature_ngrams FROM ls LEFT JOIN sg USING ({keys})"""
 
 
-@query(_TARGETS.replace("list_var_pop(lens)", "list_aggregate(lens, 'var_pop')"))
+@query(_targets(f"WITH {_RECORDS}, pulled AS (SELECT *, row_number() OVER (PARTITION BY author_id, register ORDER BY timestamp DESC, id) AS r FROM rec QUALIFY r <= 500)", "author_id, register"))
 def compute_targets(spark, d):
     """Style targets of each author's most recent 500 texts of a register."""
     own = retrieval.recent_per(_records(spark, d), ["author_id", "register"], 500, "timestamp")
-    got = stylometry.compute_targets(own.withColumnRenamed("text_clean", "text"), ["author_id", "register"], "timestamp")
+    return _flat(stylometry.compute_targets(own.withColumnRenamed("text_clean", "text"), ["author_id", "register"], "timestamp"), ["author_id", "register"])
+
+
+def _flat(targets: DataFrame, keys: list[str]) -> DataFrame:
     marks = [F.col("punctuation_profile")[k].alias(f"p_{k}") for k in T.PUNCTUATION]
-    return got.select("author_id", "register", "sentence_len_mean", "sentence_len_variance", "mattr", *marks, "contraction_rate", "emoji_rate", "lowercase_start_rate", "word_count", "sample_count", F.array_join("signature_ngrams", "|").alias("signature_ngrams"))
+    return targets.select(*keys, "sentence_len_mean", "sentence_len_variance", "mattr", *marks, "contraction_rate", "emoji_rate", "lowercase_start_rate", "word_count", "sample_count", F.array_join("signature_ngrams", "|").alias("signature_ngrams"))
+
+
+@query(_targets("WITH pulled AS (SELECT doc_id, doc_id AS timestamp, text AS text_clean FROM documents WHERE text IS NOT NULL)", "doc_id"))
+def text_features(spark, d):
+    """The style features of each document alone."""
+    return _flat(stylometry.text_features(P.table(spark, d, "documents").where("text is not null").select("doc_id", "text")), ["doc_id"])
 
 
 # Formulaic phrasing.

@@ -70,18 +70,18 @@ def release(df: DataFrame) -> None:
     path.getFileSystem(conf).delete(path, True)
 
 
-def looked_up(rows: DataFrame, key: str, table: DataFrame, total: int | None = None) -> DataFrame:
+def looked_up(rows: DataFrame, key: str, table: DataFrame, total: int | None = None, most: int | None = None) -> DataFrame:
     """rows left-joined with table on key. table: key (each once), many (how many rows have it, one at least) and values.
 
-    No task gets a hot key's rows: keys of more rows than COLD and than total / MOST_HOT are joined by broadcast, of
-    which there are at most MOST_HOT; all others by shuffling. Rows without a key go round both. Of MOST_HOT rows or fewer
-    the whole table, which can't have more, is broadcast. total: the number of rows, counted if not given."""
-    total = rows.count() if total is None else total
+    No task gets a hot key's rows: keys of more rows than COLD and than total / most are joined by broadcast, of
+    which there are at most `most` (MOST_HOT; fewer where values are large); all others by shuffling. Rows without a key go
+    round both. Of `most` rows or fewer the whole table, which can't have more, is broadcast. total: the number of rows, counted if not given."""
+    total, most = rows.count() if total is None else total, most or MOST_HOT
     values = [c for c in table.columns if c not in (key, "many")]
     out = [*rows.columns, *values]
-    if total <= MOST_HOT:
+    if total <= most:
         return rows.join(F.broadcast(table.drop("many")), key, "left").select(*out)
-    least = max(COLD, total // MOST_HOT)
+    least = max(COLD, total // most)
     hot = table.where(F.col("many") > least).select(key, F.struct(*values).alias("_hot"))
     first = rows.join(F.broadcast(hot), key, "left")
     by_hot = first.where("_hot is not null").select(*rows.columns, *[F.col(f"_hot.{v}").alias(v) for v in values])

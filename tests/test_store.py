@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from stylespark.operators.ingest import ingest
 from stylespark.operators.service import hashed_embedder
-from stylespark.operators.store import Store, voices
+from stylespark.operators.store import Store, new_rows, voices
 from stylespark.sources.messages import UNIT, corpus_file
 
 
@@ -83,3 +83,21 @@ def test_finished_rounds_leave_no_files(spark, tmp_path, monkeypatch):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     assert {r.root for r in components(edges).collect()} == {0, 100}
     assert len(list(tmp_path.iterdir())) == 1
+
+
+def test_lookups_by_id_and_records(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    store.migrate()
+    store.upsert(ingest(units(spark, [("slack", u, f"2024-01-0{i}T00:00:00Z", f"text {u} here") for i, u in enumerate("abc", 1)])), hashed_embedder(8), 8)
+    ids = {r.source_uri: r.id for r in store.exemplars().collect()}
+    assert [r.source_uri for r in store.by_id(ids["a"]).collect()] == ["a"] and store.by_id("none").count() == 0
+    asked = spark.createDataFrame([(ids["a"],), (ids["c"],), (ids["c"],), ("none",)], "id string")
+    assert sorted(r.source_uri for r in store.by_ids(asked).collect()) == ["a", "c"]
+    got = {r.source_uri: r for r in store.records().collect()}
+    assert got["b"].authored_at == "2024-01-02T00:00:00.000Z" and "style_embedding" not in store.records().columns
+
+
+def test_ties_of_a_batch_are_settled_alike(spark):
+    rows = [("k", 1, f"t{i}") for i in range(20)] + [("k", 0, "old"), ("m", 5, "x")]
+    pick = lambda r: {x.id: x.text for x in new_rows(spark.createDataFrame(r, "id string, seq long, text string"), spark.createDataFrame([], "id string")).collect()}
+    assert pick(rows) == pick(rows[::-1]) and pick(rows)["m"] == "x" and pick(rows)["k"] != "old"

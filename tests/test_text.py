@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stylespark.functions import text as T
+from stylespark.functions import vectors
 from stylespark.operators import deai, gate
 from stylespark.operators.retrieval import fuse
 from stylespark.operators.service import Jobs, Verdict, build_registers, generate
@@ -146,3 +147,20 @@ SAMPLES = {
     "scaf.worth_noting": ["it’s worth noting that "], "scaf.important_to_note": ["it's important to note that"], "scaf.in_conclusion": ["in summary, "], "scaf.happy_to_help": ["id be happy to assist", "I’d be happy to help you."],
     "scaf.certainly_opener": ["Great question! "], "rhet.not_just_but": ["not only x but also"], "punct.bold": ["**b**"], "punct.em_dash": ["a — b"],
 }
+
+
+def test_vectors(spark):
+    rows = spark.createDataFrame([("[1,2.5,-3]",), (None,)], "v string")
+    assert [r[0] for r in rows.select(vectors.parse(F.col("v"))).collect()] == [[1.0, 2.5, -3.0], None]
+    for bad in ([1.0], [1.0, float("nan")], [1.0, float("inf")], [1.0, None]):
+        with pytest.raises(Exception, match="finite numbers"):
+            spark.createDataFrame([(bad,)], "v array<float>").select(vectors.checked(F.col("v"), 2)).collect()
+    assert spark.createDataFrame([([1.0, 2.0],)], "v array<float>").select(vectors.checked(F.col("v"), 2)).first()[0] == [1.0, 2.0]
+
+
+def test_small_names(spark):
+    rows = spark.createDataFrame([("standard",), (None,), ("strict",), ("lenient",)], "s string")
+    assert [r[0] for r in rows.select(gate.strictness_of(F.col("s"))).collect()] == ["normal", "normal", "strict", "lenient"]
+    texts = ["Do not shout", "never mind", "nonstop", "avoids", "keep on", "please STOP"]
+    assert [one(spark, t, T.has_negative_directive) for t in texts] == [True, True, False, False, False, True]
+    assert one(spark, "```json\n{}\n```", T.strip_json_fence) == "{}" and one(spark, " x ", T.strip_json_fence) == "x"
