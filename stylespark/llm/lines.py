@@ -12,11 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stylespark.llm.common import prepared, written
+from stylespark.llm.common import looked_up, prepared, written
 
 RATIO = 0.05
-#: Boilerplate lists of at most this many lines are broadcast (8 bytes each); longer ones are joined by shuffling.
-MOST_LINES = 500_000
+#: Boilerplate lists of at most this many lines are broadcast (8 bytes each). Longer ones are joined by shuffling, but
+#: those of the sites of more than one in HOT_SITES of all pages, each of (lines per page) / ratio entries at most.
+MOST_LINES, HOT_SITES = 500_000, 500
 
 
 def _key(line: Column) -> Column:
@@ -45,10 +46,13 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
     prepared(docs.sparkSession)
     found = written(boilerplate(docs, host, text, ratio), "boilerplate")
     lists = found.groupBy("_host").agg(F.collect_list("_line").alias("_drop"))
-    lists = F.broadcast(lists) if found.count() <= MOST_LINES else lists
     rest = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     row = F.col("_row")  # names of docs stay inside it and can't clash
-    joined = docs.select(F.struct(*rest).alias("_row")).join(lists, row[host] == F.col("_host"), "left")
+    rows = docs.select(F.struct(*rest).alias("_row"), F.col(host).alias("_host"))
+    if found.count() <= MOST_LINES:
+        joined = rows.join(F.broadcast(lists), "_host", "left")
+    else:
+        joined = looked_up(rows, "_host", lists.join(rows.groupBy("_host").agg(F.count("*").alias("many")), "_host"), most=HOT_SITES)
     lines = F.split(row[text], "\n")
     kept = F.filter(lines, lambda x: ~(F.array_contains("_drop", _key(x)) & (F.trim(x) != "")))
     done = joined.withColumn("_lines", F.when(F.col("_drop").isNull(), lines).otherwise(kept))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stylespark.llm.common import prepared, written
+from stylespark.llm.common import looked_up, prepared, written
 
 #: Share of good documents that all rules together may reject in a stratum, and the chance that it is exceeded anywhere.
 ALPHA, DELTA = 0.03, 0.05
@@ -28,7 +28,7 @@ SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 #: The ladder: (rule, cutoff) step by step.
 STEPS = [(rule, grid[i]) for i in range(8) for rule, (_, _, grid) in RULES.items()]
-#: A table of cutoffs of at most this many strata is broadcast; a larger one is joined by shuffling.
+#: A table of cutoffs of at most this many strata is broadcast; of a larger one those of hot strata, the others are joined by shuffling.
 MOST_STRATA = 10_000
 
 
@@ -144,6 +144,9 @@ def quality_rules(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     prepared(docs.sparkSession)
     rows = written(base(docs, doc_id, text, stratum), "rule-counts")
     found = written(cutoffs(rows, labels, alpha, delta), "cutoffs")
-    found = F.broadcast(found) if found.count() <= MOST_STRATA else found
     rejects = F.coalesce(first_step() < F.col("level"), F.lit(False))
-    return rows.join(found, "stratum", "left").withColumn("kept", ~F.col("base_failed") & ~rejects)
+    if found.count() <= MOST_STRATA:
+        judged = rows.join(F.broadcast(found), "stratum", "left")
+    else:
+        judged = looked_up(rows, "stratum", found.join(rows.groupBy("stratum").agg(F.count("*").alias("many")), "stratum"))
+    return judged.withColumn("kept", ~F.col("base_failed") & ~rejects)
