@@ -178,9 +178,24 @@ def _lookup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def lookup(manifest: DataFrame, keys: DataFrame) -> DataFrame:
-    """The ids of the documents in keys (doc_id), decompressing only their frames."""
+    """The ids of the documents in keys (doc_id), decompressing only their frames.
+
+    Files hold ranges in ascending order, so a key's files are found by two binary searches; of repeated doc_ids there may be several."""
+    spark = prepared(keys.sparkSession)
+    files = manifest.where("first_id is not null").orderBy("shard").select("path", "file_bytes", "first_id", "last_id").collect()  # at most MOST_FILES
+    shared = spark.sparkContext.broadcast((np.array([f.first_id for f in files], np.int64), np.array([f.last_id for f in files], np.int64), [f.path for f in files], [f.file_bytes for f in files]))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, last, path, size = shared.value
+        for batch in batches:
+            asked = batch.column(0).to_numpy()
+            lo, hi = np.searchsorted(last, asked, "left"), np.searchsorted(first, asked, "right")
+            n = np.maximum(0, hi - lo)
+            at = (np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array([path[i] for i in at], pa.string()), pa.array([size[i] for i in at], pa.int64()), pa.array(np.repeat(asked, n))], names=["path", "file_bytes", "doc_id"])
+
     asked = keys.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    hit = asked.join(manifest, (F.col("doc_id") >= F.col("first_id")) & (F.col("doc_id") <= F.col("last_id")))
+    hit = asked.mapInArrow(find, "path string, file_bytes long, doc_id long")
     return hit.groupBy("path", "file_bytes").agg(F.collect_set("doc_id").alias("keys")).mapInArrow(_lookup, "doc_id long, ids array<long>")
 
 
