@@ -518,3 +518,108 @@ def test_pipeline_stages(spark):
             assert {r.doc_id for r in after} == want
         d = spark.createDataFrame(after, d.schema)
     assert {r.doc_id for r in p.STAGES[-1][1](spark, d, SF).collect()} == {r.doc_id for r in after}
+
+
+def test_quality_on_labels_not_used(spark):
+    """Labels of one document in five are kept from training; the classifier tells them apart all the same."""
+    d, y = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    held = "crc32(cast(doc_id as string)) % 5 = 0"
+    got = quality.quality_scores(d, y.where(f"not ({held})")).join(y.where(held), "doc_id").select("quality", "kept").collect()
+    assert np.mean([r.kept for r in got if r.quality == 1]) >= 0.98
+    assert np.mean([r.kept == (r.quality == 1) for r in got]) >= 0.95
+
+
+def test_quality_samples_one_row_of_a_repeated_id(spark, monkeypatch):
+    good, bad = "a plain line of quiet words about the sea", "$$$ ### buy buy buy now"
+    rows = [(i, f"{good} {i}" if i % 2 else f"{bad} {i}", "s", "en", 40) for i in range(400)] + [(1, f"{good} 1", "s", "en", 40)] * 3000
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
+    seen = []
+    monkeypatch.setattr(quality, "co_train", lambda text, *rest: seen.append(len(text)))
+    quality.train(d, d.selectExpr("doc_id", "cast(doc_id % 2 as int) quality").distinct())
+    assert seen == [400]
+
+
+def test_language_equals_brute_force_kernels():
+    """Scores from hashed presence and one matrix product against plain sets of n-grams, Nystroem features and ridge regression."""
+    rng = np.random.default_rng(12)
+    stocks = {v: ["".join(rng.choice(list(letters), rng.integers(3, 8))) for _ in range(40)] for v, letters in (("x", "abcdefg"), ("y", "efghijkl"), ("z", "aeioumnp"))}
+    make = lambda v: " ".join(rng.choice(stocks[v], 12))
+    names = [v for _ in range(20) for v in "xyz"]
+    texts = [make(v) for v in names]
+    own = [make(v) for v in "xyz" * 10]
+    found, matrix = language.fit(language.presence(texts), names)
+
+    def grams(t):
+        b = b" " + t.encode() + b" "
+        return {b[i : i + n] for n in language.N for i in range(len(b) - n + 1)}
+
+    kernel = lambda a, b: np.array([[len(x & y) / np.sqrt(len(x) * len(y)) for y in b] for x in a])
+    sets = list(map(grams, texts))
+    k = kernel(sets, sets)  # all are landmarks, so Nystroem is exact
+    values, vectors = np.linalg.eigh(k)
+    keep = values > 1e-6 * values.max()
+    root = vectors[:, keep] / np.sqrt(values[keep])
+    phi = k @ root
+    target = 2.0 * (np.array(names)[:, None] == np.array(found)) - 1
+    weights = np.linalg.solve(phi.T @ phi + language.RIDGE * len(names) * np.eye(phi.shape[1]), phi.T @ target)
+    want = kernel(list(map(grams, own)), sets) @ root @ weights
+    rows = language.presence(own)
+    got = rows.astype(float) @ matrix / np.sqrt(np.count_nonzero(rows, axis=1))[:, None]
+    assert found == ["x", "y", "z"] and np.abs(got - want).max() < 0.05 and (got.argmax(1) == want.argmax(1)).all()
+
+
+def test_long_texts_keep_their_language_score(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.train(docs)
+    text = " ".join(r.text for r in docs.where("lang = 'de' and n_chars > 200").orderBy("doc_id").limit(400).collect())
+    assert len(text) > 300_000
+    (short, a), (long, b) = language.scores([text[:5000], text], *model)
+    assert short == long == "de" and b > a - 0.05
+
+
+def test_every_pipeline_stage_takes_odd_rows(spark, odd, none):
+    """Nulls in any column, empty, very long, repeated and tied rows, clashing names, empty tables: rows of documents go in and come out."""
+    import corpus_pipeline as p
+
+    before = Counter((r.doc_id, r.text) for r in odd.collect())
+    for name, stage in p.STAGES:
+        got = stage(spark, odd, SF)
+        assert stage(spark, none, SF).count() == 0
+        if name == "best_fit_packing":
+            assert {r.doc_id for r in got.collect()} == {k for k, _ in before}
+            continue
+        assert got.columns == p.COLUMNS
+        rows = got.collect()
+        after = Counter((r.doc_id, r.text) for r in rows)
+        if name == "line_dedup":
+            assert Counter(r.doc_id for r in rows) == Counter(k for k, _ in before.elements())
+            assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in rows)
+        else:
+            assert not after - before
+        if name == "language_id":
+            assert {k for k, _ in after} >= {1, 2, 3} and not {k for k, _ in after} & {4, 5, 8, 9}
+        if name == "ngram_jaccard_join":
+            near = " ".join(f"n{i}" for i in range(100))
+            assert sum(n for (_, t), n in after.items() if t and t.startswith(near)) == 1 and after[(4, None)] == after[(5, "")] == 1
+
+
+def test_large_tables_take_the_other_way(spark, docs, labels, monkeypatch):
+    """Boilerplate lists and cutoffs that are too large to broadcast whole: the same rows."""
+    from stylespark import runtime
+
+    key = lambda rows: Counter(map(repr, rows.collect()))
+    known = docs.selectExpr("doc_id", "1 quality")
+    one = key(lines.drop_boilerplate(docs)), key(rules.quality_rules(docs, known).select("doc_id", "kept", "level", "n_words"))
+    for module, name, value in ((lines, "MOST_LINES", 0), (lines, "HOT_SITES", 10), (rules, "MOST_STRATA", 0), (runtime, "MOST_HOT", 10), (runtime, "COLD", 12)):
+        monkeypatch.setattr(module, name, value)
+    assert (key(lines.drop_boilerplate(docs)), key(rules.quality_rules(docs, known).select("doc_id", "kept", "level", "n_words"))) == one
+
+
+def test_repeated_ids_are_found_in_all_their_files(spark):
+    rows = [(i // 300, f"words of row {i} " * 20) for i in range(1200)] + [(None, "none")]
+    manifest = frames.write_token_files(spark.createDataFrame(rows, "doc_id long, text string"), file_bytes=20_000)
+    assert manifest.count() > 8
+    got = Counter(r.doc_id for r in frames.lookup(manifest, spark.createDataFrame([(0,), (3,), (9,)], "doc_id long")).collect())
+    assert got == {0: 300, 3: 300}
+    starts = sorted((r.start, r.n_tokens) for r in frames.read_token_files(manifest).collect())
+    assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:], strict=False)) and len(starts) == 1201
