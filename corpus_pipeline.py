@@ -1,6 +1,8 @@
 """Documents to packed training sequences: quality, language, boilerplate lines, near-duplicates, packing.
 
-Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept.
+Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All of them take nulls in any column, empty
+and very long texts, repeated rows and further columns of any name, which only COLUMNS outlive; an empty table stays empty. What becomes of such
+rows, each stage states.
 """
 
 from __future__ import annotations
@@ -19,19 +21,19 @@ NEAR_SHINGLE, NEAR_PERCENT = 5, 80
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier keeps."""
+    """Documents that the co-trained classifier keeps; null texts count as empty ones. Without labels of both classes all stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.quality_scores(docs, labels).where("kept").select(*COLUMNS)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; lang becomes the predicted one."""
+    """Documents with a language; lang becomes the predicted one. Texts that are null or have no letter go."""
     found = language.language_id(docs).where((F.col("lang_pred") != language.UND) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
     return found.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their sites' boilerplate lines, on sites of any size; n_chars follows the text. Those left empty stay.
+    """Documents without their sites' boilerplate lines, on sites of any size; n_chars follows the text. Those left empty stay, as do null texts (n_chars null) and documents without a source.
 
     Copies count as one page: they are left to the next stage, and make no line boilerplate.
     """
@@ -49,7 +51,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's pieces and their places in sequences."""
+    """Every document's pieces and their places in sequences; null and empty texts are one token."""
     return packing.best_fit_packing(docs)
 
 
