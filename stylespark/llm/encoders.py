@@ -23,7 +23,7 @@ BARE, END, SEP = "\x01", "\x01", "\x02"
 #: Characters of texts whose chunks are looked up together.
 RUN_CHARS = 500_000
 #: Distinct chunks and ids that a worker's table holds before those that came up once are dropped.
-MOST_CHUNKS, MOST_IDS = 500_000, 8_000_000
+MOST_CHUNKS, MOST_IDS = 250_000, 4_000_000
 #: Longer chunks are encoded but not kept.
 LONGEST_KEPT = 64
 

@@ -166,7 +166,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
     ahead = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row per file, at most MOST_FILES
     base = manifest.select("shard", F.coalesce(F.sum("ids").over(ahead), F.lit(0)).alias("base"))
     rows = manifest.repartitionById(max(1, manifest.count()), F.col("shard")).mapInArrow(_read, RESULT)  # a task per file
-    return rows.join(base, "shard").select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    return rows.join(F.broadcast(base), "shard").select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def _lookup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
