@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stylespark.llm import frames, jaccard, language, licenses, lines, media, packing, pieces, quality, rules
+from stylespark.llm import audit, frames, jaccard, language, licenses, lines, media, mixing, packing, periodic, pieces, quality, rules
 from stylespark.llm.common import documents
 
 
@@ -54,9 +54,21 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_digests(documents(spark, sf_dir))
 
 
+def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.periodic_runs(documents(spark, sf_dir), plant=True)
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op2_media_columns, op3_quality_rules, op4_line_dedup, op5_ngram_jaccard_join, op6_license_scan, op7_quality_classifier, op8_token_files, op9_language_id, op10_piece_codec)
+    for f in (op1_best_fit_packing, op2_media_columns, op3_quality_rules, op4_line_dedup, op5_ngram_jaccard_join, op6_license_scan, op7_quality_classifier, op8_token_files, op9_language_id, op10_piece_codec, op11_source_mixing, op12_periodic_runs, op13_filter_audit)
 }
 
 _LINE_DEDUP = f"""
@@ -76,4 +88,4 @@ SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL WHEN k.n_dropped = 0 THEN d.
 FROM d LEFT JOIN kept k USING (rid)
 """
 
-ORACLE = {"op4_line_dedup": _LINE_DEDUP}
+ORACLE = {"op4_line_dedup": _LINE_DEDUP, "op11_source_mixing": mixing.SQL, "op13_filter_audit": audit.SQL}
