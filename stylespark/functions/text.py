@@ -185,12 +185,24 @@ def strip_json_fence(text: Column) -> Column:
 
 
 def mattr(tokens: Column, window: int = 50) -> Column:
-    """Mean share of distinct tokens over all windows; of all tokens where there are fewer than a window."""
+    """Mean share of distinct tokens over all windows; of all tokens where there are fewer than a window.
+
+    A token counts in the windows that it stands in first: those that begin behind its last occurrence. Sorting tokens with
+    their places puts last occurrences side by side, so the sum over all windows takes one sort and one pass."""
+
+    def total(placed: Column, windows: Column) -> Column:
+        def first_in(x: Column, k: Column) -> Column:
+            before = F.get(placed, k - 1)
+            last = F.when(before["w"] == x["w"], before["i"]).otherwise(F.lit(-1))
+            return F.greatest(F.lit(0), F.least(x["i"], windows - 1) - F.greatest(F.lit(0), x["i"] - (window - 1), last + 1) + 1).cast("long")
+
+        return F.aggregate(F.transform(placed, first_in), F.lit(0).cast("long"), lambda a, x: a + x)
 
     def body(t: Column) -> Column:
         n = F.size(t)
-        span = F.aggregate(F.sequence(F.lit(1), F.greatest(n - window + 1, F.lit(1))), F.lit(0.0), lambda a, i: a + F.size(F.array_distinct(F.slice(t, i, window))) / F.lit(float(window)))
-        return F.when(n == 0, F.lit(0.0)).when(n <= window, F.size(F.array_distinct(t)) / n).otherwise(span / (n - window + 1))
+        placed = F.sort_array(F.transform(t, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+        spans = let(placed, lambda p: total(p, F.size(p) - (window - 1))) / (F.lit(float(window)) * (n - window + 1))
+        return F.when(n == 0, F.lit(0.0)).when(n <= window, F.size(F.array_distinct(t)) / n).otherwise(spans)
 
     return let(tokens, body)
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stylespark.operators.ranks import running
+from stylespark.runtime import looked_up, settled
+
 # Fixed values.
 THRESHOLD = {"lenient": 0.25, "normal": 0.40, "strict": 0.60}
 BAND, LEAST_WORDS, LEAST_WORDS_B = 0.10, 20, 250
@@ -18,13 +21,19 @@ def strictness_of(name: Column) -> Column:
 def percentiles(candidates: DataFrame, scores: DataFrame, keys: list[str]) -> DataFrame:
     """candidates with percentile: the share of a group's scores at or below theirs; 0 for a group without scores.
 
-    Both sides are ranked in one sort by distinct values: no candidate meets every score."""
-    rows = candidates.select(*keys, "score").groupBy(*keys, "score").agg(F.lit(0).cast("long").alias("n")).unionByName(scores.groupBy(*keys, "score").agg(F.count("*").alias("n")))
-    each = rows.groupBy(*keys, "score").agg(F.sum("n").alias("n"))
-    upto = Window.partitionBy(*keys).orderBy("score").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = Window.partitionBy(*keys)
-    ranked = each.select(*keys, "score", (F.sum("n").over(upto) / F.nullif(F.sum("n").over(total), F.lit(0))).alias("percentile"))
-    return candidates.join(ranked, [*keys, "score"], "left").withColumn("percentile", F.coalesce("percentile", F.lit(0.0)))
+    Both sides are counted by distinct score and ranked in one order that is dealt to tasks by ranges. Candidates of one score meet
+    its rank by a lookup that keeps hot scores out of the shuffle; no candidate meets every score."""
+    given = [f"_k{i}" for i in range(len(keys))]
+    by = F.struct(*[F.col(k).alias(g) for k, g in zip(keys, given, strict=True)], F.col("score").alias("_score"))
+    own = settled(candidates.withColumn("_at", F.when(F.col("score").isNotNull(), by)), "candidates")
+    rows = own.select("_at", F.lit(1).cast("long").alias("c"), F.lit(0).cast("long").alias("n"))
+    counted = rows.unionByName(scores.select(by.alias("_at"), F.lit(0).cast("long").alias("c"), F.lit(1).cast("long").alias("n")))
+    each = counted.where("_at is not null").groupBy("_at").agg(F.sum("c").alias("many"), F.sum("n").alias("n")).select("_at.*", "many", "n")
+    total = scores.groupBy(*[F.col(k).alias(f"_t{i}") for i, k in enumerate(keys)]).agg(F.count("*").alias("total"))
+    same = [F.col(g).eqNullSafe(F.col(f"_t{i}")) for i, g in enumerate(given)]
+    ranked = running(each, given, ["_score"], {"before": "n"}).join(total, same or F.lit(True)).where("many > 0")  # without keys, one row
+    table = ranked.select(F.struct(*given, "_score").alias("_at"), "many", ((F.col("before") + F.col("n")) / F.col("total")).alias("percentile"))
+    return looked_up(own, "_at", settled(table, "ranks")).drop("_at").withColumn("percentile", F.coalesce("percentile", F.lit(0.0)))
 
 
 def verdict(percentile: Column, words: Column, low_separation: Column, strictness: str = "normal") -> Column:

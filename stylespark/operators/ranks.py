@@ -20,11 +20,11 @@ def running(rows: DataFrame, keys: list[str], order: list[str], sums: dict[str,
     (keys, order) must be unique: rows that tie would meet in one task, so aggregate them first. Nulls come first and are a value of their own;
     empty tables stay empty. parts: tasks, spark.sql.shuffle.partitions if not given."""
     parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = settled(rows.repartitionByRange(parts, *keys, *order).withColumn("_part", F.spark_partition_id()), "ranges")
-    held = dealt.groupBy("_part", *keys).agg(*[F.sum(c).alias(f"_own_{name}") for name, c in sums.items()])
-    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a task and group
-    before = held.select(F.col("_part").alias("_p"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[F.coalesce(F.sum(f"_own_{name}").over(earlier), F.lit(0)).alias(f"_before_{name}") for name in sums])
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], F.col("_part") == F.col("_p"))
-    inside = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    local = dealt.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_inside_{name}") for name, c in sums.items()])
-    return local.join(before, same).select(*rows.columns, *[(F.col(f"_before_{name}") + F.col(f"_inside_{name}")).alias(name) for name in sums])
+    dealt = settled(rows.repartitionByRange(parts, *keys, *order).withColumn("_rank_part", F.spark_partition_id()), "ranges")
+    held = dealt.groupBy("_rank_part", *keys).agg(*[F.sum(c).alias(f"_rank_own_{name}") for name, c in sums.items()])
+    earlier = Window.partitionBy(*keys).orderBy("_rank_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a task and group
+    before = held.select(F.col("_rank_part").alias("_rank_at"), *[F.col(k).alias(f"_rank_key{i}") for i, k in enumerate(keys)], *[F.coalesce(F.sum(f"_rank_own_{name}").over(earlier), F.lit(0)).alias(f"_rank_before_{name}") for name in sums])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_rank_key{i}")) for i, k in enumerate(keys)], F.col("_rank_part") == F.col("_rank_at"))
+    inside = Window.partitionBy("_rank_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = dealt.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_rank_inside_{name}") for name, c in sums.items()])
+    return local.join(before, same).select(*rows.columns, *[(F.col(f"_rank_before_{name}") + F.col(f"_rank_inside_{name}")).alias(name) for name in sums])

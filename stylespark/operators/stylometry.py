@@ -7,10 +7,15 @@ document plus corrections for the words that are present.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stylespark.functions import text as T
+from stylespark.functions.numbers import round_binary
+from stylespark.operators import frequent, summary
+from stylespark.operators.ranks import running
 
 # Fixed values.
 VOCABULARY, NGRAMS, NGRAM_LEAST, LOW_SEPARATION = 200, 8, 2, 0.6
@@ -82,35 +87,34 @@ def delta_scores(docs: DataFrame, freqs: DataFrame, profile: DataFrame, keys: li
 def roc_auc(scores: DataFrame, keys: list[str]) -> DataFrame:
     """keys, n_pos, n_neg, roc_auc: tied scores share their average rank; null where a class is empty. scores: score, label 0/1.
 
-    Ranks come from counts of distinct scores, so only those are sorted, not all rows."""
-    each = scores.groupBy(*keys, "score").agg(F.sum("label").alias("p"), F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = each.withColumn("rank", before + (F.col("n") + 1) / F.lit(2.0))
+    Ranks come from counts of distinct scores, dealt to tasks by ranges: a group of any size spreads over all of them."""
+    each = scores.groupBy(*keys, "score").agg(F.sum(F.col("label").cast("long")).alias("p"), F.count("*").alias("n"))
+    ranked = running(each, keys, ["score"], {"before": "n"}).withColumn("rank", F.col("before") + (F.col("n") + 1) / F.lit(2.0))
     got = ranked.groupBy(*keys).agg(F.sum("p").alias("n_pos"), F.sum(F.col("n") - F.col("p")).alias("n_neg"), F.sum(F.col("p") * F.col("rank")).alias("r"))
     auc = (F.col("r") - F.col("n_pos") * (F.col("n_pos") + 1) / F.lit(2.0)) / (F.col("n_pos") * F.col("n_neg"))
     return got.select(*keys, "n_pos", "n_neg", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), auc).alias("roc_auc"))
 
 
-def calibrate(docs: DataFrame, keys: list[str], top: int = VOCABULARY) -> dict[str, DataFrame]:
-    """profile, scores and metrics of every group at once. docs: keys, doc_id, text, label (1 genuine, 0 impostor)."""
-    counts = word_counts(docs, keys)
+def metrics_of(scores: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n_genuine, n_impostor, roc_auc (rounded as Python rounds), low_separation. scores: score, label."""
+    auc = round_binary(F.col("roc_auc"), 4)
+    return roc_auc(scores, keys).select(*keys, F.col("n_pos").alias("n_genuine"), F.col("n_neg").alias("n_impostor"), auc.alias("roc_auc"), (auc < LOW_SEPARATION).alias("low_separation"))
+
+
+def calibrate(docs: DataFrame, keys: list[str], top: int = VOCABULARY, counts: DataFrame | None = None) -> dict[str, DataFrame]:
+    """profile, scores and metrics of every group at once. docs: keys, doc_id, label (1 genuine, 0 impostor), and text unless counts (keys, doc_id, word, n) are given."""
+    counts = word_counts(docs, keys) if counts is None else counts
     vocabulary = frequent_words(counts, keys, top)
     freqs = relative_frequencies(docs, counts, vocabulary, keys)
     stats = word_stats(docs, freqs, vocabulary, keys)
     profile = centroids(docs.where("label = 1"), freqs, stats, keys)
     scores = delta_scores(docs, freqs, profile, keys).join(docs.select(*keys, "doc_id", "label"), [*keys, "doc_id"])
-    auc = F.bround("roc_auc", 4)  # half to even, as Python rounds
-    metrics = roc_auc(scores, keys).select(*keys, F.col("n_pos").alias("n_genuine"), F.col("n_neg").alias("n_impostor"), auc.alias("roc_auc"), (auc < LOW_SEPARATION).alias("low_separation"))
-    return {"profile": profile, "scores": scores, "metrics": metrics}
+    return {"profile": profile, "scores": scores, "metrics": metrics_of(scores, keys)}
 
 
 def signature_ngrams(docs: DataFrame, keys: list[str], top: int = NGRAMS, least: int = NGRAM_LEAST) -> DataFrame:
-    """keys, gram, n, idx: a group's most repeated two- and three-word runs, never across texts."""
-    runs = lambda t, n: F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.array_join(F.slice(t, i, n), " "))).otherwise(F.array().cast("array<string>"))
-    grams = docs.select(*keys, F.explode(T.let(F.transform(T.alpha_words(F.col("text")), F.lower), lambda t: F.concat(runs(t, 2), runs(t, 3)))).alias("gram"))
-    counted = grams.groupBy(*keys, "gram").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    order = Window.partitionBy(*keys).orderBy(F.desc("n"), "gram")
-    return counted.withColumn("idx", F.row_number().over(order)).where(F.col("idx") <= top)
+    """keys, gram, n, idx: a group's most repeated two- and three-word runs, never across texts; exact, by frequent-items summaries."""
+    return frequent.top_runs(docs, keys, top, least)
 
 
 def style_counts(docs: DataFrame) -> DataFrame:
@@ -120,42 +124,25 @@ def style_counts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", T.count_alpha_words(t).alias("n_words"), *[c.alias(k) for k, c in own.items()], F.regexp_count(t, F.lit(T.CONTRACTION)).alias("n_contractions"), F.regexp_count(t, F.lit(T.EMOJI)).alias("n_emoji"))
 
 
-def sentence_stats(docs: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, n_sentences, mean, variance (population, 0 below two), lowercase share. Sentences don't span documents here."""
-    each = docs.select(*keys, F.explode(T.sentences(F.col("text"))).alias("s"))
-    counted = each.select(*keys, T.count_alpha_words(F.col("s")).alias("n"), T.starts_lowercase(F.col("s")).alias("low"))
-    real = F.when(F.col("n") > 0, F.col("n"))
-    n = F.count(real)
-    return counted.groupBy(*keys).agg(
-        n.alias("n_sentences"), F.coalesce(F.avg(real), F.lit(0.0)).alias("sentence_len_mean"), F.when(n < 2, F.lit(0.0)).otherwise(F.var_pop(real)).alias("sentence_len_variance"), F.avg(F.col("low").cast("double")).alias("lowercase_start_rate")
-    )
+def sentence_stats(docs: DataFrame, keys: list[str], order: str = "doc_id") -> DataFrame:
+    """keys, n_sentences, mean, variance (population, 0 below two), lowercase share, of each group's texts joined by line feeds in order: sentences may span them."""
+    got = summary.sentence_columns()
+    folded = summary.folded(docs, keys, order)
+    return folded.select(*keys, *[got[c].alias(c) for c in ("n_sentences", "sentence_len_mean", "sentence_len_variance", "lowercase_start_rate")])
 
 
-def compute_targets(docs: DataFrame, keys: list[str], order: str = "seq", most_docs: int = 500) -> DataFrame:
+def compute_targets(docs: DataFrame, keys: list[str], order: str = "seq", rounded: bool = True) -> DataFrame:
     """Style targets of each group's texts joined by line feeds in order, as one text: sentences and windows may span them; signature_ngrams may not.
 
-    Rounded half to even, as Python rounds.
-    A group is a bounded pull of exemplars; one of more than most_docs texts fails rather than gather in one task."""
-    gathered = docs.groupBy(*keys).agg(F.count("*").alias("sample_count"), F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), "text"))).alias("all"))
-    bounded = F.when(F.col("sample_count") <= most_docs, F.col("all")).otherwise(F.raise_error(F.lit(f"more than {most_docs} texts in a group")).cast(gathered.schema["all"].dataType))
-    joined = gathered.withColumn("text", F.array_join(F.transform(bounded, lambda x: x["text"]), "\n"))
-    t = F.col("text")
-    words = joined.withColumn("words", T.alpha_words(t)).withColumn("sents", T.sentences(t))
-    lengths = words.withColumn("lens", F.filter(F.transform("sents", T.count_alpha_words), lambda n: n > 0)).withColumn("word_count", F.greatest(F.size("words"), F.lit(1)))
-    size = F.size("lens")
-    mean = F.aggregate("lens", F.lit(0.0), lambda a, x: a + x) / size
-    var = F.aggregate("lens", F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / size
-    rate = lambda c, d=5: F.bround(c / F.col("word_count"), d)
-    low = F.size(F.filter("sents", T.starts_lowercase)) / F.size("sents")
+    Rounded as Python rounds, or not at all. Groups may have any number of texts: they are folded as summaries. Null texts are empty."""
+    done = summary.targets(summary.folded(docs, keys, order), keys, rounded)
     grams = signature_ngrams(docs, keys).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "gram"))), lambda g: g["gram"]).alias("signature_ngrams"))  # NGRAMS a group
-    done = lengths.select(
-        *keys, F.when(size == 0, 0.0).otherwise(F.bround(mean, 3)).alias("sentence_len_mean"), F.when(size < 2, 0.0).otherwise(F.bround(var, 3)).alias("sentence_len_variance"),
-        F.bround(T.mattr(F.transform("words", F.lower)), 4).alias("mattr"), F.create_map(*[x for k, c in T.punctuation_counts(t).items() for x in (F.lit(k), rate(c))]).alias("punctuation_profile"),
-        rate(F.regexp_count(t, F.lit(T.CONTRACTION))).alias("contraction_rate"), rate(F.regexp_count(t, F.lit(T.EMOJI))).alias("emoji_rate"), F.when(F.size("sents") == 0, 0.0).otherwise(F.bround(low, 4)).alias("lowercase_start_rate"), "word_count", "sample_count",
-    )
-    return done.join(grams, keys, "left").withColumn("signature_ngrams", F.coalesce("signature_ngrams", F.array().cast("array<string>")))
+    named = grams.select(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)], "signature_ngrams")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_g{i}")) for i, k in enumerate(keys)])
+    return done.join(named, same, "left").select(*done.columns, F.coalesce("signature_ngrams", F.array().cast("array<string>")).alias("signature_ngrams"))
 
 
-def text_features(texts: DataFrame) -> DataFrame:
-    """doc_id and the targets of each text alone. texts: doc_id, text."""
-    return compute_targets(texts, ["doc_id"], "doc_id")
+def text_features(texts: DataFrame, rounded: bool = True) -> DataFrame:
+    """doc_id and the targets of each text alone, row by row. texts: doc_id, text (null: empty)."""
+    each = summary.summaries(texts, ["doc_id"], grams=(NGRAMS, NGRAM_LEAST))
+    return summary.targets(each, ["doc_id", "signature_ngrams"], rounded)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stylespark.functions import text as T
 from stylespark.functions.nfc import with_nfc
+from stylespark.functions.numbers import round_binary
 from stylespark.functions.vectors import cosine
 from stylespark.operators import accounting, assemble, deai, dedup, gate, ingest, retrieval, store, stylometry, tells
 from stylespark.plans import proxies as P
@@ -325,24 +326,43 @@ ce AS (SELECT author, lang, word, any_value(mean) AS mean, any_value(std) AS std
 sc AS (SELECT author, lang, doc_id, any_value(label) AS label, round(CASE WHEN sqrt(sum(((f - mean) / std) ** 2)) * sqrt(sum(centroid ** 2)) < 1e-9 THEN 0 ELSE sum((f - mean) / std * centroid) / (sqrt(sum(((f - mean) / std) ** 2)) * sqrt(sum(centroid ** 2))) END, 6) AS score FROM dn JOIN ce USING (author, lang, word) GROUP BY author, lang, doc_id)"""
 
 
-def _style_docs(spark, d) -> DataFrame:
-    from pyspark.sql import Window
+def _roles(spark, d) -> DataFrame:
+    """author, source, label: each author's own source, and that of the author after it as the other one."""
+    from stylespark.operators.ranks import running
 
-    docs = P.table(spark, d, "documents")
-    authors = docs.select("source").distinct()  # few; the window is over them
-    order = Window.orderBy("source")
-    ring = authors.select(F.col("source").alias("author"), F.coalesce(F.lead("source").over(order), F.first("source").over(order)).alias("other"))
+    authors = P.table(spark, d, "documents").where("source is not null").select("source").distinct()
+    placed = settled(running(authors.withColumn("one", F.lit(1).cast("long")), [], ["source"], {"place": "one"}), "authors")
+    n = placed.count()
+    after = placed.select(F.pmod(F.col("place") - 1, F.lit(max(n, 1))).alias("place"), F.col("source").alias("other"))
+    ring = placed.select(F.col("source").alias("author"), "place").join(after, "place")
     roles = ring.select("author", F.explode(F.array_distinct(F.array("author", "other"))).alias("source"))
-    return docs.join(roles, "source").select("author", "lang", "doc_id", "text", F.when(F.col("source") == F.col("author"), 1).otherwise(0).alias("label"))
+    return settled(roles.withColumn("label", F.when(F.col("source") == F.col("author"), 1).otherwise(0)), "roles")
+
+
+def _style_docs(spark, d, *more) -> DataFrame:
+    """Documents in each of their roles: author, lang, doc_id, label and further columns."""
+    return P.table(spark, d, "documents").select("source", "lang", "doc_id", *more).join(_roles(spark, d), "source").drop("source")
+
+
+def _style_counts(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Documents by role, and their word counts. Each text is split into tokens once; roles are joined to counts."""
+    roles = _roles(spark, d)
+    counts = settled(stylometry.word_counts(P.table(spark, d, "documents"), ["source", "lang"]), "counts")
+    docs = P.table(spark, d, "documents").select("source", "lang", "doc_id").join(roles, "source").drop("source")
+    return docs, counts.join(roles.select("author", "source"), "source").select(*KEYS, "doc_id", "word", "n")
 
 
 def _style(spark, d):
-    docs = _style_docs(spark, d)
-    counts = stylometry.word_counts(docs, KEYS)
-    vocabulary = stylometry.frequent_words(counts, KEYS)
+    docs, counts = _style_counts(spark, d)
+    vocabulary = settled(stylometry.frequent_words(counts, KEYS), "vocabulary")
     return docs, counts, vocabulary, stylometry.relative_frequencies(docs, counts, vocabulary, KEYS)
 
 
+def _calibrated(spark, d) -> dict[str, DataFrame]:
+    docs, counts = _style_counts(spark, d)
+    return stylometry.calibrate(docs, KEYS, counts=counts)
+
+
 @query(f"WITH {_STYLE} SELECT author, lang, word, CAST(total AS BIGINT) AS total, idx FROM vo")
 def mfw_vocab(spark, d):
     return _style(spark, d)[2].select(*KEYS, "word", "total", F.col("idx").cast("long").alias("idx"))
@@ -362,11 +382,11 @@ def zscore_params(spark, d):
 
 @query(f"WITH {_STYLE} SELECT author, lang, word, round(centroid, 6) AS centroid FROM ce")
 def author_centroid(spark, d):
-    return stylometry.calibrate(_style_docs(spark, d), KEYS)["profile"].select(*KEYS, "word", F.round("centroid", 6).alias("centroid"))
+    return _calibrated(spark, d)["profile"].select(*KEYS, "word", F.round("centroid", 6).alias("centroid"))
 
 
 def _scores(spark, d) -> DataFrame:
-    return settled(stylometry.calibrate(_style_docs(spark, d), KEYS)["scores"].withColumn("score", F.round("score", 6)), "scores")
+    return settled(_calibrated(spark, d)["scores"].withColumn("score", F.round("score", 6)), "scores")
 
 
 @query(f"WITH {_STYLE} SELECT author, lang, doc_id, score FROM sc")
@@ -376,12 +396,13 @@ def cosine_delta(spark, d):
 
 _RANKS = "rk AS (SELECT {k}, label, score, rank() OVER (PARTITION BY {k} ORDER BY score) + (count(*) OVER (PARTITION BY {k}, score) - 1) / CAST(2 AS DOUBLE) AS r FROM sc)"
 _AUC = "(sum(CASE WHEN label = 1 THEN r ELSE 0 END) - sum(label) * (sum(label) + 1) / CAST(2 AS DOUBLE)) / nullif(sum(label) * sum(1 - label), 0)"
-_METRICS = _RANKS.format(k="author, lang") + f", me AS (SELECT author, lang, CAST(sum(label) AS BIGINT) AS n_genuine, CAST(sum(1 - label) AS BIGINT) AS n_impostor, round_even({_AUC}, 4) AS roc_auc, round_even({_AUC}, 4) < 0.6 AS low_separation FROM rk GROUP BY author, lang)"
+_METRICS = _RANKS.format(k="author, lang") + f", me AS (SELECT author, lang, CAST(sum(label) AS BIGINT) AS n_genuine, CAST(sum(1 - label) AS BIGINT) AS n_impostor, {_AUC} AS roc_auc, round_even({_AUC}, 4) < 0.6 AS low_separation FROM rk GROUP BY author, lang)"
 
 
 def _metrics(scores: DataFrame) -> DataFrame:
-    auc = F.bround("roc_auc", 4)
-    return stylometry.roc_auc(scores, KEYS).select(*KEYS, F.col("n_pos").alias("n_genuine"), F.col("n_neg").alias("n_impostor"), auc.alias("roc_auc"), (auc < stylometry.LOW_SEPARATION).alias("low_separation"))
+    """The metrics with the AUC as it is: SQL doesn't round by the binary value."""
+    exact = stylometry.roc_auc(scores, KEYS).select(*KEYS, F.col("n_pos").alias("n_genuine"), F.col("n_neg").alias("n_impostor"), "roc_auc")
+    return exact.withColumn("low_separation", round_binary(F.col("roc_auc"), 4) < stylometry.LOW_SEPARATION)
 
 
 @query(f"WITH {_STYLE}, {_METRICS} SELECT * FROM me")
@@ -413,7 +434,7 @@ def gate_verdict(spark, d):
     """The verdict on each document by its group's profile; null where the group has none."""
     own = _scores(spark, d)
     rows = gate.percentiles(own.select(*KEYS, "doc_id", "score"), own, KEYS).join(_metrics(own).select(*KEYS, "low_separation"), KEYS)
-    words = _style_docs(spark, d).select(*KEYS, "doc_id", T.count_alpha_words(F.col("text")).alias("words"))
+    words = _style_docs(spark, d, T.count_alpha_words(F.col("text")).alias("words")).select(*KEYS, "doc_id", "words")
     judged = words.join(rows, [*KEYS, "doc_id"], "left")
     by = F.pmod("doc_id", F.lit(len(_LEVELS)))
     verdict = F.coalesce(*[F.when(by == k, gate.verdict(F.col("percentile"), F.col("words"), F.col("low_separation"), v)) for k, v in _LEVELS.items()])
@@ -453,45 +474,51 @@ def style_counts(spark, d):
     return stylometry.style_counts(P.table(spark, d, "documents"))
 
 
-@query(f"""WITH s AS (SELECT lang, source, unnest(list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda x: trim(x, ' ' || chr(10))), lambda x: x <> '')) AS s FROM documents),
-n AS (SELECT lang, source, {_A.format('s')} AS n, CASE WHEN substr(s, 1, 1) = lower(substr(s, 1, 1)) AND substr(s, 1, 1) <> upper(substr(s, 1, 1)) THEN 1 ELSE 0 END AS low FROM s)
-SELECT lang, source, count(*) FILTER (WHERE n > 0) AS n_sentences, round(coalesce(avg(n) FILTER (WHERE n > 0), 0), 6) AS sentence_len_mean, round(coalesce(var_pop(n) FILTER (WHERE n > 0), 0), 6) AS sentence_len_variance, round(avg(low), 6) AS lowercase_start_rate FROM n GROUP BY lang, source""")
+_VARIANCE = "CASE WHEN len({0}) < 2 THEN 0 ELSE CAST(len({0}) * list_sum(list_transform({0}, lambda x: x * x)) - list_sum({0}) * list_sum({0}) AS DOUBLE) / CAST(len({0}) * len({0}) AS DOUBLE) END"
+_MEAN = "CASE WHEN len({0}) = 0 THEN 0 ELSE CAST(list_sum({0}) AS DOUBLE) / CAST(len({0}) AS DOUBLE) END"
+_LOWS = "CASE WHEN len(s) = 0 THEN 0 ELSE len(list_filter(s, lambda x: substr(x, 1, 1) = lower(substr(x, 1, 1)) AND substr(x, 1, 1) <> upper(substr(x, 1, 1)))) / CAST(len(s) AS DOUBLE) END"
+_SENTENCES = "list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda x: trim(x, ' ' || chr(10))), lambda x: x <> '')"
+
+
+@query(f"""WITH j AS (SELECT lang, source, string_agg(text, chr(10) ORDER BY doc_id) AS text FROM documents GROUP BY lang, source), s AS (SELECT lang, source, {_SENTENCES} AS s FROM j),
+n AS (SELECT lang, source, s, list_filter(list_transform(s, lambda x: {_A.format('x')}), lambda x: x > 0) AS n FROM s)
+SELECT lang, source, len(n) AS n_sentences, {_MEAN.format('n')} AS sentence_len_mean, {_VARIANCE.format('n')} AS sentence_len_variance, {_LOWS} AS lowercase_start_rate FROM n""")
 def sentence_stats(spark, d):
-    got = stylometry.sentence_stats(P.table(spark, d, "documents"), ["lang", "source"])
-    return got.select("lang", "source", "n_sentences", *[F.round(c, 6).alias(c) for c in ("sentence_len_mean", "sentence_len_variance", "lowercase_start_rate")])
+    """Sentences of each group's texts, joined by line feeds: they may span texts."""
+    return stylometry.sentence_stats(P.table(spark, d, "documents"), ["lang", "source"])
 
 
 @query("""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+(?:''[a-z]+)?') AS t FROM documents)
-SELECT doc_id, round(CASE WHEN len(t) = 0 THEN 0 WHEN len(t) <= 50 THEN len(list_distinct(t)) / CAST(len(t) AS DOUBLE) ELSE list_sum(list_transform(range(1, len(t) - 48), lambda i: len(list_distinct(list_slice(t, i, i + 49))) / CAST(50 AS DOUBLE))) / (len(t) - 49) END, 6) AS mattr FROM t""")
+SELECT doc_id, CASE WHEN len(t) = 0 THEN 0 WHEN len(t) <= 50 THEN len(list_distinct(t)) / CAST(len(t) AS DOUBLE) ELSE CAST(list_sum(list_transform(range(1, len(t) - 48), lambda i: len(list_distinct(list_slice(t, i, i + 49))))) AS DOUBLE) / CAST(50 * (len(t) - 49) AS DOUBLE) END AS mattr FROM t""")
 def mattr(spark, d):
-    return P.table(spark, d, "documents").select("doc_id", F.round(T.mattr(T.style_tokens(F.col("text"))), 6).alias("mattr"))
+    return P.table(spark, d, "documents").select("doc_id", T.mattr(T.style_tokens(F.col("text"))).alias("mattr"))
 
 
-_RATE = "round_even({} / CAST(greatest(len(w), 1) AS DOUBLE), 5)"
+_RATE = "{} / CAST(greatest(len(w), 1) AS DOUBLE)"
 
 
 def _targets(pulled: str, keys: str) -> str:
     """SQL for the style targets of each group of `pulled` (keys, timestamp, text_clean)."""
     return f"""{pulled},
 jt AS (SELECT {keys}, count(*) AS sample_count, string_agg(text_clean, chr(10) ORDER BY timestamp) AS text FROM pulled GROUP BY {keys}),
-ws AS (SELECT *, regexp_extract_all(text, '[A-Za-z]+(?:''[A-Za-z]+)?') AS w, list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda x: trim(x, ' ' || chr(10))), lambda x: x <> '') AS s FROM jt),
+ws AS (SELECT *, regexp_extract_all(text, '[A-Za-z]+(?:''[A-Za-z]+)?') AS w, {_SENTENCES} AS s FROM jt),
 ls AS (SELECT *, list_filter(list_transform(s, lambda x: {_A.format('x')}), lambda x: x > 0) AS lens, list_transform(w, lambda x: lower(x)) AS t FROM ws),
 tw AS (SELECT {keys}, list_transform(regexp_extract_all(text_clean, '[A-Za-z]+(?:''[A-Za-z]+)?'), lambda x: lower(x)) AS t FROM pulled),
 gr AS (SELECT {keys}, gram FROM (SELECT {keys}, unnest(list_concat(CASE WHEN len(t) >= 2 THEN {_GRAM.format(n=2)} ELSE CAST([] AS VARCHAR[]) END, CASE WHEN len(t) >= 3 THEN {_GRAM.format(n=3)} ELSE CAST([] AS VARCHAR[]) END)) AS gram FROM tw)),
 top AS (SELECT {keys}, gram, row_number() OVER (PARTITION BY {keys} ORDER BY count(*) DESC, gram) AS idx FROM gr GROUP BY {keys}, gram HAVING count(*) >= 2 QUALIFY idx <= 8),
 sg AS (SELECT {keys}, list(gram ORDER BY idx) AS grams FROM top GROUP BY {keys})
-SELECT {keys}, round_even(coalesce(list_avg(lens), 0), 3) AS sentence_len_mean, round_even(CASE WHEN len(lens) < 2 THEN 0 ELSE coalesce(list_aggregate(lens, 'var_pop'), 0) END, 3) AS sentence_len_variance,
-round_even(CASE WHEN len(t) = 0 THEN 0 WHEN len(t) <= 50 THEN len(list_distinct(t)) / CAST(len(t) AS DOUBLE) ELSE list_sum(list_transform(range(1, len(t) - 48), lambda i: len(list_distinct(list_slice(t, i, i + 49))) / CAST(50 AS DOUBLE))) / (len(t) - 49) END, 4) AS mattr,
+SELECT {keys}, {_MEAN.format('lens')} AS sentence_len_mean, {_VARIANCE.format('lens')} AS sentence_len_variance,
+CASE WHEN len(t) = 0 THEN 0 WHEN len(t) < 50 THEN len(list_distinct(t)) / CAST(len(t) AS DOUBLE) ELSE CAST(list_sum(list_transform(range(1, len(t) - 48), lambda i: len(list_distinct(list_slice(t, i, i + 49))))) AS DOUBLE) / CAST(50 * (len(t) - 49) AS DOUBLE) END AS mattr,
 """ + ", ".join(f"{_RATE.format(_n(p))} AS p_{k}" for k, p in T.PUNCTUATION.items()) + f""", {_RATE.format(_n(T.CONTRACTION.replace(chr(39), chr(39) * 2)))} AS contraction_rate, {_RATE.format(_n(_EMOJI))} AS emoji_rate,
-round_even(CASE WHEN len(s) = 0 THEN 0 ELSE len(list_filter(s, lambda x: substr(x, 1, 1) = lower(substr(x, 1, 1)) AND substr(x, 1, 1) <> upper(substr(x, 1, 1)))) / CAST(len(s) AS DOUBLE) END, 4) AS lowercase_start_rate,
+{_LOWS} AS lowercase_start_rate,
 CAST(greatest(len(w), 1) AS INTEGER) AS word_count, sample_count, coalesce(array_to_string(grams, '|'), '') AS signature_ngrams FROM ls LEFT JOIN sg USING ({keys})"""
 
 
 @query(_targets(f"WITH {_RECORDS}, pulled AS (SELECT *, row_number() OVER (PARTITION BY author_id, register ORDER BY timestamp DESC, id) AS r FROM rec QUALIFY r <= 500)", "author_id, register"))
 def compute_targets(spark, d):
-    """Style targets of each author's most recent 500 texts of a register."""
+    """Style targets of each author's most recent 500 texts of a register, unrounded."""
     own = retrieval.recent_per(_records(spark, d), ["author_id", "register"], 500, "timestamp")
-    return _flat(stylometry.compute_targets(own.withColumnRenamed("text_clean", "text"), ["author_id", "register"], "timestamp"), ["author_id", "register"])
+    return _flat(stylometry.compute_targets(own.withColumnRenamed("text_clean", "text"), ["author_id", "register"], "timestamp", rounded=False), ["author_id", "register"])
 
 
 def _flat(targets: DataFrame, keys: list[str]) -> DataFrame:
@@ -501,8 +528,8 @@ def _flat(targets: DataFrame, keys: list[str]) -> DataFrame:
 
 @query(_targets("WITH pulled AS (SELECT doc_id, doc_id AS timestamp, text AS text_clean FROM documents WHERE text IS NOT NULL)", "doc_id"))
 def text_features(spark, d):
-    """The style features of each document alone."""
-    return _flat(stylometry.text_features(P.table(spark, d, "documents").where("text is not null").select("doc_id", "text")), ["doc_id"])
+    """The style features of each document alone, unrounded."""
+    return _flat(stylometry.text_features(P.table(spark, d, "documents").where("text is not null").select("doc_id", "text"), rounded=False), ["doc_id"])
 
 
 # Formulaic phrasing.
