@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from stylespark.runtime import looked_up, release, ship
 from stylespark.runtime import settled as written
 from stylespark.runtime import shared_path as shared_dir
 
-__all__ = ["documents", "looked_up", "opened", "prepared", "release", "shared_dir", "slices", "tokenizer_path", "written"]
+__all__ = ["documents", "looked_up", "opened", "prepared", "quoted", "release", "shared_dir", "slices", "tokenizer_path", "widened", "written"]
 
 #: Rows of an Arrow batch to a Python worker: a batch of long documents must fit a small executor.
 ARROW_ROWS = 1000
@@ -53,6 +55,23 @@ def slices(sizes: list[int], limit: int = SLICE_CHARS) -> Iterator[tuple[int, in
         yield a, len(sizes)
 
 
+def quoted(name: str) -> str:
+    """A column's name that may hold dots."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def widened(docs: DataFrame, function: Callable[[pa.RecordBatch], list[pa.Array]], added: list[T.StructField]) -> DataFrame:
+    """docs with further columns that function gives for each of its batches. Columns have plain names meanwhile, so those of docs may hold dots or differ in case only."""
+    plain = [f"c{k}" for k in range(len(docs.columns) + len(added))]
+    fields = [T.StructField(n, f.dataType) for n, f in zip(plain, [*docs.schema.fields, *added], strict=True)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, *function(batch)], names=plain)
+
+    return docs.toDF(*plain[: len(docs.columns)]).mapInArrow(run, T.StructType(fields)).toDF(*docs.columns, *[f.name for f in added])
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepared(spark).read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stylespark.llm.common import prepared, slices
+from stylespark.llm.common import prepared, quoted, slices, widened
 
 #: Bounds of the samples to fit on.
 LABELLED, POOL = 12_000, 8_000
@@ -108,12 +108,16 @@ def platt(odds: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     target = np.where(y == 1, (good + 1) / (good + 2), 1 / (bad + 2))
     x = np.stack([odds, np.ones_like(odds)], 1)
     w = np.array([1.0, 0.0])
-    for _ in range(50):
+    loss = lambda v: float(np.sum(np.logaddexp(0, x @ v) - target * (x @ v)))
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hessian = (x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x + 1e-3 * np.eye(2)
-        step = np.linalg.solve(hessian, x.T @ (p - target))
-        w = w - step
-        if np.abs(step).max() < 1e-8:
+        hessian = (x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x + 1e-9 * np.eye(2)
+        gradient = x.T @ (p - target)
+        step, size = np.linalg.solve(hessian, gradient), 1.0
+        while size > 1e-9 and loss(w - size * step) > loss(w) - 1e-4 * size * float(gradient @ step):  # a whole step may leap over the minimum
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-8:
             break
     return max(0.0, float(w[0])), float(w[1]) if w[0] > 0 else float(np.log((good + 1) / (bad + 1)))
 
@@ -166,7 +170,7 @@ def _narrow(docs: DataFrame, text: str) -> DataFrame:
     """doc_id, text and the metadata, null where a column is missing."""
     have = {c: t for c, t in docs.dtypes}
     pick = lambda c, kind: (F.col(c) if c in have else F.lit(None)).cast(kind).alias(c)
-    return docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string").alias("text"), pick("source", "string"), pick("lang", "string"), pick("n_chars", "long"))
+    return docs.select(F.col("doc_id").cast("long"), F.col(quoted(text)).cast("string").alias("text"), pick("source", "string"), pick("lang", "string"), pick("n_chars", "long"))
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model | None:
@@ -204,18 +208,16 @@ def quality_scores(docs: DataFrame, labels: DataFrame, text: str = "text", model
     spark = prepared(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model or train(docs, labels, text))
     kept = [c for c in docs.columns if c.lower() not in ("quality_score", "kept")]
-    base = docs.select(*kept)
+    base = docs.select(*map(quoted, kept))
     at = {c: base.columns.index(c) for c in [text, *COLUMNS] if c in base.columns}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted = shared.value
-        for batch in batches:
-            n = batch.num_rows
-            if fitted is None:
-                score, cut = np.ones(n), 0.0
-            else:
-                source, lang, chars = (batch.column(at[c]).to_pylist() if c in at else [None] * n for c in COLUMNS)
-                score, cut = fitted.score(text_features(batch.column(at[text]).to_pylist()), meta_features(source, lang, chars)), fitted.cut
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array(score >= cut)], names=[*batch.schema.names, "quality_score", "kept"])
-
-    return base.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField("quality_score", T.DoubleType()), T.StructField("kept", T.BooleanType())]))
+    def judged(batch: pa.RecordBatch) -> list[pa.Array]:
+        n, fitted = batch.num_rows, shared.value
+        if fitted is None:
+            score, cut = np.ones(n), 0.0
+        else:
+            source, lang, chars = (batch.column(at[c]).to_pylist() if c in at else [None] * n for c in COLUMNS)
+            score, cut = fitted.score(text_features(batch.column(at[text]).to_pylist()), meta_features(source, lang, chars)), fitted.cut
+        return [pa.array(score), pa.array(score >= cut)]
+
+    return widened(base, judged, [T.StructField("quality_score", T.DoubleType()), T.StructField("kept", T.BooleanType())])

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stylespark.llm.common import looked_up, prepared, written
+from stylespark.llm.common import looked_up, prepared, quoted, written
 
 #: Share of good documents that all rules together may reject in a stratum, and the chance that it is exceeded anywhere.
 ALPHA, DELTA = 0.03, 0.05
@@ -84,8 +84,8 @@ def counts(text: Column) -> Column:
 
 
 def base(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
-    """doc_id, stratum and the counts of every document."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), counts(F.col(text).cast("string")).alias("c"))
+    """doc_id, stratum ("=" and its name, so that the null one, "", is its own) and the counts of every document."""
+    rows = docs.select(F.col(quoted(doc_id)).alias("doc_id"), F.coalesce(F.concat(F.lit("="), F.col(quoted(stratum)).cast("string")), F.lit("")).alias("stratum"), counts(F.col(quoted(text)).cast("string")).alias("c"))
     got = rows.select("doc_id", "stratum", "c.w.n_words", "c.word_chars", "c.n_symbols", "c.l.n_lines", "c.l.n_dup_lines", "c.w.n_repeat_words")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return got.withColumn("base_failed", failed)
@@ -136,7 +136,7 @@ def cutoffs(rows: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: flo
 def quality_rules(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """One row per document: counts, base_failed, kept, and its stratum's n_good, level and cutoffs.
 
-    Null or empty texts have no words and fail the base. A null stratum is a stratum of its own; strata without
+    Null or empty texts have no words and fail the base. A null stratum is a stratum of its own, apart from an empty one; strata without
     labels get no cutoffs. A doc_id with several labels counts as good only if all are 1. Ties with a
     cutoff are kept. Repeated rows and null ids are kept; very long texts are taken whole. An empty table gives no
     rows, and without labels the base alone decides. Further columns of docs are ignored.
@@ -149,4 +149,4 @@ def quality_rules(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
         judged = rows.join(F.broadcast(found), "stratum", "left")
     else:
         judged = looked_up(rows, "stratum", found.join(rows.groupBy("stratum").agg(F.count("*").alias("many")), "stratum"))
-    return judged.withColumn("kept", ~F.col("base_failed") & ~rejects)
+    return judged.withColumn("kept", ~F.col("base_failed") & ~rejects).withColumn("stratum", F.when(F.col("stratum") != "", F.substr("stratum", F.lit(2))))
