@@ -14,8 +14,8 @@ from stylespark.llm import jaccard, language, lines, packing, quality
 from stylespark.llm.common import prepared, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Documents whose best language has a lower score are rejected with those of no language.
-LEAST_LANGUAGE_SCORE = 0.34
+#: Documents whose best language leads the second one by less than this score says are rejected with those of no language; 0.5 is no lead.
+LEAST_LANGUAGE_SCORE = 0.55
 #: Near copies share this part of their shingles of so many words. op5_ngram_jaccard_join has values of its own.
 NEAR_SHINGLE, NEAR_PERCENT = 5, 80
 
@@ -32,18 +32,31 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
+def _numbered(docs: DataFrame, name: str) -> DataFrame:
+    """The rows of documents, written, with a number of each."""
+    return written(docs.select(F.monotonically_increasing_id().alias("_row"), *COLUMNS), name)
+
+
+def _near(rows: DataFrame, name: str) -> DataFrame:
+    """_row, n_shingles and component_id (a _row) of rows that are linked as near copies."""
+    linked = jaccard.jaccard_join(rows, "_row", shingle=NEAR_SHINGLE, percent=NEAR_PERCENT)
+    return written(linked.select(F.col("doc_id").alias("_row"), "n_shingles", "component_id"), name)
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their sites' boilerplate lines, on sites of any size; n_chars follows the text. Those left empty stay, as do null texts (n_chars null) and documents without a source.
 
-    Copies count as one page: they are left to the next stage, and make no line boilerplate.
+    Near copies count as one page, as copies do: they are left to the next stage, and make no line boilerplate.
     """
-    return lines.drop_boilerplate(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    rows = _numbered(docs, "pages")
+    groups = _near(rows, "page-groups").select("_row", F.col("component_id").alias("page"))
+    return lines.drop_boilerplate(rows, row="_row", groups=groups).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of linked ones, that of the smallest doc_id (nulls last). Rows of empty texts stay."""
-    rows = written(docs.select(F.monotonically_increasing_id().alias("_row"), *COLUMNS), "rows")
-    groups = written(jaccard.jaccard_join(rows, "_row", shingle=NEAR_SHINGLE, percent=NEAR_PERCENT).select(F.col("doc_id").alias("_row"), "n_shingles", "component_id"), "groups")
+    rows = _numbered(docs, "rows")
+    groups = _near(rows, "groups")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
     first = groups.where("n_shingles > 0").join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(order).alias("first"))
     stay = first.select("first._row").unionByName(groups.where("n_shingles = 0").select("_row"))
