@@ -1,7 +1,7 @@
 """License scans: phrases, and license templates whose optional and replaceable regions are compiled to token automata.
 
-Markup: `<<optional>>` ... `<</optional>>` may be left out as a whole, `<<var N>>` stands for 0 to N words.
-All other words are mandatory and must match exactly. A template becomes a word automaton with epsilon
+Markup: `<<optional>>` ... `<</optional>>` may be left out as a whole, `<<var N>>` stands for 0 to N words, and of
+`<<either>>` ... `<<or>>` ... `<</either>>` one stands. All other words are mandatory and must match exactly. A template becomes a word automaton with epsilon
 moves resolved; it accepts a run of words of the text that spells the template.
 
 Words: A-Z are lowered, then maximal runs of characters outside U+0000-U+002F, U+003A-U+0060 and
@@ -18,29 +18,64 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stylespark.llm.common import prepared
+from stylespark.llm.common import prepared, quoted
 
 #: The base: phrase -> label.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: label -> template: notices of several mandatory passages, and whole license texts, with their lists, names and clauses
-#: that may vary or be left out. Our own markup; further ones are a parameter.
+#: Wording that several licenses share.
+_MERCHANT = "<<optional>>the<</optional>> warranties of merchantability fitness for a particular purpose and noninfringement"
+_MIT_END = f"the software is provided as is without warranty of any kind express or implied including but not limited to {_MERCHANT} in no event shall <<var 12>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+_BULLET = "<<optional>><<either>>{0}<<or>>{1}<</either>><</optional>>"
+_BSD_HEAD = f"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met {_BULLET.format(1, 'a')} redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer {_BULLET.format(2, 'b')} redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+_BSD_NAMES = "neither the name of <<var 12>> nor the names of <<var 4>> contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+_BSD_AD = "all advertising materials mentioning features or use of this software must display the following acknowledgement this product includes software developed by <<var 12>>"
+_BSD_END = "this software is provided by <<var 12>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall <<var 12>> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+_ISC_HEAD = "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"
+_ISC_END = "the software is provided as is and <<var 6>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall <<var 6>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"
+_GRANTED = "<<optional>>this <<var 3>> is<</optional>> licensed under <<optional>>the terms of<</optional>>"
+#: GNU licenses: label -> (name between gnu and license, version). Creative Commons notices: elements, versions.
+_GNU = {"gpl-2.0": ("general public", "2"), "gpl-3.0": ("general public", "3"), "lgpl-2.1": ("lesser general public", "2 1"), "lgpl-3.0": ("lesser general public", "3"), "agpl-3.0": ("affero general public", "3")}
+_CC_ELEMENTS, _CC_VERSIONS = ("by", "by sa", "by nc", "by nd", "by nc sa", "by nc nd"), ("1 0", "2 0", "2 5", "3 0", "4 0")
+_CC_NAMES = {"by": "attribution", "sa": "sharealike", "nc": "noncommercial", "nd": "noderivatives"}
+
+
+def _gnu_header(name: str, version: str) -> str:
+    license_, which = f"gnu {name} license", f"version {version} of the license"
+    return f"is free software you can redistribute it and or modify it under the terms of the {license_} as published by the free software foundation <<either>>either {which} or at your option any later version<<or>>{which}<</either>> <<var 6>> is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the {license_} for more details <<optional>>you should have received a copy of the {license_} along with <<var 6>> if not <<var 24>><</optional>>"
+
+
+def _gnu_notice(name: str, version: str) -> str:
+    return f"{_GRANTED} the gnu {name} license <<either>>version {version}<<or>>v{version}<</either>> <<optional>>0<</optional>> <<optional>>or <<optional>>at your option<</optional>> <<optional>>any<</optional>> later <<optional>>version<</optional>><</optional>>"
+
+
+def _cc(elements: str, version: str) -> tuple[str, str]:
+    """The notice by its short name, and by its long one."""
+    head, tail = "<<optional>>this <<var 3>> is<</optional>> licensed under <<optional>><<either>>a<<or>>the<</either>><</optional>>", "<<optional>><<either>>international<<or>>unported<<or>>generic<</either>><</optional>>"
+    full = " ".join(_CC_NAMES[e] for e in elements.split())
+    return f"{head} <<optional>>creative commons<</optional>> cc {elements} {version} {tail} <<optional>>license<</optional>>", f"{head} creative commons {full} {version} {tail} license"
+
+
+#: label -> template: notices, and license texts to their last mandatory word, a label for each variant. Our own markup; further ones are a parameter.
 TEMPLATES = {
-    "apache-2.0-notice": "licensed under the apache license version 2 0 <<optional>>the license<</optional>> <<optional>>you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0<</optional>>",
-    "apache-2.0-header": "licensed under the apache license version 2 0 the license you may not use this <<var 2>> except in compliance with the license <<optional>>you may obtain a copy of the license at <<var 10>><</optional>> unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
-    "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<optional>>1<</optional>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer <<optional>>2<</optional>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution <<optional>><<optional>>3<</optional>> neither the name of <<var 12>> nor the names of <<var 4>> contributors may be used to endorse or promote products derived from this software without specific prior written permission<</optional>> this software is provided by <<var 12>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
-    "cc-by-notice": "<<optional>>this <<var 3>> is<</optional>> licensed under <<optional>>a<</optional>> <<optional>>the<</optional>> <<optional>>creative commons<</optional>> cc by <<optional>>sa<</optional>> <<optional>>nc<</optional>> <<optional>>nd<</optional>> <<optional>><<var 1>> 0<</optional>> <<optional>>international<</optional>> <<optional>>license<</optional>>",
-    "cc-by-deed": "this <<var 3>> is licensed under <<optional>>a<</optional>> <<optional>>the<</optional>> creative commons attribution <<optional>>noncommercial<</optional>> <<optional>>noderivatives<</optional>> <<optional>>sharealike<</optional>> <<var 2>> <<optional>>international<</optional>> license",
+    "0bsd": f"{_ISC_HEAD} {_ISC_END}",
+    "apache-2.0-header": "licensed under the apache license version 2 0 the license you may not use this <<either>>file<<or>>work<<or>>software<</either>> except in compliance with the license you may obtain a copy of the license at <<either>>http<<or>>https<</either>> www apache org licenses license 2 0 <<optional>>txt<</optional>> <<optional>>html<</optional>> unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+    "apache-2.0-notice": f"{_GRANTED} the apache license version 2 0",
+    "bsd-2-clause": f"{_BSD_HEAD} {_BSD_END}",
+    "bsd-3-clause": f"{_BSD_HEAD} {_BULLET.format(3, 'c')} {_BSD_NAMES} {_BSD_END}",
+    "bsd-4-clause": f"{_BSD_HEAD} {_BULLET.format(3, 'c')} {_BSD_AD} {_BULLET.format(4, 'd')} {_BSD_NAMES} {_BSD_END}",
     "copyright-line": "copyright <<optional>>c<</optional>> <<var 8>> all rights reserved",
-    "gpl-notice": "<<optional>>this <<var 3>> is<</optional>> licensed under <<optional>>the terms of<</optional>> the gnu <<optional>>lesser<</optional>> <<optional>>affero<</optional>> general public license <<optional>>version <<var 1>><</optional>> <<optional>>or later<</optional>>",
-    "gpl-header": "<<var 6>> is free software you can redistribute it and or modify it under the terms of the gnu <<optional>>lesser<</optional>> <<optional>>affero<</optional>> general public license as published by the free software foundation either version <<var 2>> of the license or <<optional>>at your option<</optional>> any later version <<var 6>> is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu <<optional>>lesser<</optional>> <<optional>>affero<</optional>> general public license for more details",
-    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and <<var 6>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall <<var 6>> be liable for any special direct indirect or consequential damages",
-    "mit": "<<optional>>copyright <<optional>>c<</optional>> <<var 12>><</optional>> permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice <<optional>>including the next paragraph<</optional>> shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall <<var 12>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
-    "mit-notice": "released under the <<optional>>terms of the<</optional>> mit license",
-    "mpl-2.0-header": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at <<var 8>>",
-    "unlicense": "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
-    "zlib": "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "isc": f"{_ISC_HEAD} provided that the above copyright notice and this permission notice appear in all copies {_ISC_END}",
+    "mit": f"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice <<optional>>including the next paragraph<</optional>> shall be included in all copies or substantial portions of the software {_MIT_END}",
+    "mit-0": f"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so {_MIT_END}",
+    "mit-notice": "<<either>>released<<or>>licensed<<or>>distributed<</either>> under the <<optional>>terms of the<</optional>> mit license",
+    "mpl-2.0-header": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at <<either>>http<<or>>https<</either>> <<optional>>www<</optional>> mozilla org mpl 2 0",
+    "unlicense": f"this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law the software is provided as is without warranty of any kind express or implied including but not limited to {_MERCHANT} in no event shall the authors be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software <<optional>>for more information please refer to <<var 6>><</optional>>",
+    "zlib": f"this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions {_BULLET.format(1, 'a')} the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required {_BULLET.format(2, 'b')} altered source versions must be plainly marked as such and must not be misrepresented as being the original software {_BULLET.format(3, 'c')} this notice may not be removed or altered from any source distribution",
+    **{f"{label}-header": _gnu_header(*which) for label, which in _GNU.items()},
+    **{f"{label}-notice": _gnu_notice(*which) for label, which in _GNU.items()},
+    **{f"cc-{e.replace(' ', '-')}-{v.replace(' ', '.')}-{kind}": t for e in _CC_ELEMENTS for v in _CC_VERSIONS for kind, t in zip(("notice", "deed"), _cc(e, v), strict=True)},
 }
-MARKUP = re.compile(r"<<(/?optional|var \d+)>>|([^\s<]+)")
+MARKUP = re.compile(r"<<(/?optional|/?either|or|var \d+)>>|([^\s<]+)")
 LOWERED = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 RESULT = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, matched_words long"
 
@@ -56,6 +91,7 @@ class Automaton:
         arcs: list[dict] = [{}]
         skips: list[set[int]] = [set()]
         opened: list[int] = []
+        choices: list[tuple[int, list[int]]] = []
         here = 0
 
         def new() -> int:
@@ -78,6 +114,19 @@ class Automaton:
                 skips[here].add(after)
                 skips[opened.pop()].add(after)
                 here = after
+            elif mark in ("either", "or"):
+                if mark == "either":
+                    choices.append((here, []))
+                else:
+                    choices[-1][1].append(here)
+                after = new()
+                skips[choices[-1][0]].add(after)
+                here = after
+            elif mark == "/either":
+                ends = [*choices.pop()[1], here]
+                here = new()
+                for e in ends:
+                    skips[e].add(here)
             else:
                 end = new()
                 for _ in range(int(mark[4:])):
@@ -87,8 +136,8 @@ class Automaton:
                     here = after
                 skips[here].add(end)
                 here = end
-        if opened:
-            raise ValueError("an optional region isn't closed")
+        if opened or choices:
+            raise ValueError("a region isn't closed")
 
         def closed(state: int) -> frozenset[int]:
             seen, todo = {state}, [state]
@@ -111,7 +160,7 @@ class Automaton:
         runs, depth = [[]], 0
         for mark, word in MARKUP.findall(template):
             if mark:
-                depth += {"optional": 1, "/optional": -1}.get(mark, 0)
+                depth += {"optional": 1, "either": 1, "/optional": -1, "/either": -1}.get(mark, 0)
                 runs.append([])
             elif not depth:
                 runs[-1].append(word.encode())
@@ -210,6 +259,6 @@ def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ph
     Repeated rows and null ids are kept; an empty table gives no rows; further columns are ignored, whatever their names.
     """
     prepared(docs.sparkSession)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.col(quoted(doc_id)).cast("long").alias("doc_id"), F.col(quoted(text)).cast("string").alias("text"))
     pick = lambda x, other: tuple(sorted((other if x is None else x).items()))
     return rows.mapInArrow(_scan(pick(phrases, PHRASES), pick(templates, TEMPLATES)), RESULT)

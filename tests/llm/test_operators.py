@@ -423,19 +423,35 @@ def test_jaccard_long_lists_by_blocks(spark, monkeypatch):
     assert got == brute_components(rows)
 
 
-def spelled(template, fill, keep):
-    """A text of the template: regions that may be left out are kept or not, each name is `fill`, as far as it may be that long."""
+def spelled(template, fill, keep, choice=0):
+    """A text of the template: regions that may be left out are kept or not, each name is `fill`, as far as it may be that long; of alternatives the first or last stands."""
     import re as _re
 
-    out, depth = [], []
-    for mark, word in licenses.MARKUP.findall(template):
+    out, depth, branch = [], [], []
+    marks = licenses.MARKUP.findall(template)
+    for at, (mark, word) in enumerate(marks):
         if mark == "optional":
             depth.append(keep)
         elif mark == "/optional":
             depth.pop()
+        elif mark == "either":
+            level, last = 0, 0
+            for m, _ in marks[at:]:
+                level += (m == "either") - (m == "/either")
+                last += m == "or" and level == 1
+                if not level:
+                    break
+            branch.append([0, last if choice else 0])
+            depth.append(branch[-1][0] == branch[-1][1])
+        elif mark == "or":
+            branch[-1][0] += 1
+            depth[-1] = branch[-1][0] == branch[-1][1]
+        elif mark == "/either":
+            branch.pop()
+            depth.pop()
         elif all(depth):
             out.append(word if word else " ".join(fill.split()[: int(_re.sub(r"\D", "", mark))]))
-    return " ".join(out)
+    return " ".join(" ".join(out).split())
 
 
 def brute_labels(text):
@@ -452,7 +468,7 @@ def brute_labels(text):
     for label, template in licenses.TEMPLATES.items():
         pattern = ""
         for mark, word in licenses.MARKUP.findall(template):
-            pattern += f"{word} " if word else "(?:" if mark == "optional" else ")?" if mark == "/optional" else rf"(?:\S+ ){{0,{mark[4:]}}}"
+            pattern += f"{word} " if word else {"optional": "(?:", "/optional": ")?", "either": "(?:", "or": "|", "/either": ")"}.get(mark) or rf"(?:\S+ ){{0,{mark[4:]}}}"
         if re.search(f" {pattern}", run):
             labels.add(label)
     return len(own), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels))
@@ -472,13 +488,38 @@ def test_licenses():
     assert (got["n_words"], got["n_base"], got["first_word"], got["last_word"], got["base_labels"]) == (11, 3, 4, 9, "cc-by,reserved")
     assert "copyright-line" in got["labels"].split(",") and s.scan(None)["labels"] == "" and s.scan("")["score"] == 0
     for label, template in licenses.TEMPLATES.items():  # whole texts, with and without what may vary
-        for fill, keep in (("Foo Bar", True), ("", True), ("Foo", False)):
-            text = spelled(template, fill, keep)
+        fixed = licenses.Automaton.mandatory(template)
+        assert sum(map(len, fixed)) >= 4
+        for fill, keep, choice in (("Foo Bar", True, 0), ("", True, 1), ("Foo", False, 1), ("", False, 0)):
+            text = spelled(template, fill, keep, choice)
             assert label in s.scan(f"before. {text.upper()}; after")["labels"].split(","), (label, text)
-            fixed = licenses.Automaton.mandatory(template)
-            assert sum(map(bool, fixed)) >= 1 and sum(map(len, fixed)) >= 4
-            word = max((w for run in fixed for w in run), key=len).decode()
-            assert label not in s.scan(text.replace(word, "otherwise"))["labels"].split(","), (label, word)
+
+
+@pytest.mark.parametrize("label", sorted(licenses.TEMPLATES))
+def test_any_changed_mandatory_word_rejects(label):
+    """Every word of the shortest text is mandatory: another word in its place, or none, and the template doesn't match."""
+    s = licenses.Scanner({}, {label: licenses.TEMPLATES[label]})
+    own = spelled(licenses.TEMPLATES[label], "", False).split()
+    assert s.scan(" ".join(own))["labels"] == label
+    for k in range(len(own)):
+        for changed in ([*own[:k], "zzz", *own[k + 1 :]], [*own[:k], *own[k + 1 :]]):
+            assert s.scan(" ".join(changed))["labels"] == "", (label, k, own[k])
+
+
+def test_variants_have_labels_of_their_own():
+    s = licenses.Scanner(licenses.PHRASES, licenses.TEMPLATES)
+    only = lambda text, kind: [x for x in s.scan(text)["labels"].split(",") if x.startswith(kind)]
+    for label in ("bsd-2-clause", "bsd-3-clause", "bsd-4-clause"):
+        assert only(spelled(licenses.TEMPLATES[label], "the owner", True), "bsd") == [label]
+    assert only("Licensed under CC BY-NC 4.0.", "cc-by-") == ["cc-by-nc-4.0-notice"]
+    assert only("This work is licensed under the GNU General Public License, version 3.", "gpl-") == ["gpl-3.0-notice"]
+    assert only("Licensed under the GNU Lesser General Public License v2.1 or later", "lgpl") == ["lgpl-2.1-notice"]
+    a = licenses.Automaton("x <<either>>a<<or>>b c<<or>><<optional>>d<</optional>> e<</either>> y")
+    for text, ok in (("x a y", True), ("x b c y", True), ("x d e y", True), ("x e y", True), ("x y", False), ("x b y", False), ("x a e y", False), ("x d y", False)):
+        assert (a.longest(text.encode().split(), 0) == len(text.split())) == ok, text
+
+
+def test_license_regions():
     a = licenses.Automaton("x <<optional>>y<</optional>> <<var 2>> z")
     for text, ok in (("x z", True), ("x y z", True), ("x q r z", True), ("x y q r z", True), ("x q r s z", False), ("y z", False)):
         assert (a.longest(text.encode().split(), 0) == len(text.split())) == ok, text
