@@ -10,9 +10,10 @@ from stylespark.functions.nfc import with_nfc
 from stylespark.functions.numbers import round_binary
 from stylespark.functions.vectors import cosine
 from stylespark.operators import accounting, assemble, deai, dedup, gate, ingest, retrieval, store, stylometry, tells
+from stylespark.operators.index import VectorIndex
 from stylespark.plans import proxies as P
 from stylespark.sources import messages
-from stylespark.runtime import settled
+from stylespark.runtime import settled, shared_path
 from stylespark.streaming.limits import limited
 
 QUERIES: dict = {}
@@ -283,6 +284,16 @@ def knn_style(spark, d):
     return retrieval.nearest(rows, "style_embedding", _seed(spark, d), K).select("id", F.round("distance", 6).alias("distance"))
 
 
+@query(f"""WITH {P.VECTORS}, q AS (SELECT * FROM p_vec WHERE id % 50 = 0), d AS (SELECT q.id AS query, v.id AS id, greatest(0, list_cosine_distance(v.s, q.s)) AS distance FROM q JOIN p_vec v USING (register))
+SELECT query, id, round(distance, 6) AS distance, place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, id) AS place FROM d) WHERE place <= {K}""")
+def knn_indexed(spark, d):
+    """The neighbours of every fiftieth row among all rows of its register, by an inverted-file index of all rows."""
+    rows = P.vectors(spark, d)
+    built = VectorIndex(spark, shared_path(spark, "index"), ("style_embedding",)).build(rows)
+    asked = rows.where("id % 50 = 0").select(F.col("id").alias("query"), "register", F.col("style_embedding").alias("vector"))
+    return built.search(asked, "style_embedding", K).select("query", "id", F.round("distance", 6).alias("distance"), F.col("place").cast("long").alias("place"))
+
+
 _FUSED = f"""{P.VECTORS}, {_SEED}, st AS (SELECT id, row_number() OVER (ORDER BY list_cosine_distance(s, v), id) AS r FROM p_vec, sd WHERE register = '{SEED_REGISTER}' QUALIFY r <= {4 * K}),
 co AS (SELECT id, row_number() OVER (ORDER BY list_cosine_distance(c, v), id) AS r FROM p_vec, sd WHERE register = '{SEED_REGISTER}' QUALIFY r <= {4 * K}),
 fu AS (SELECT id, sum(w) AS score FROM (SELECT id, CAST(2 AS DOUBLE) / (60 + r) AS w FROM st UNION ALL SELECT id, CAST(1 AS DOUBLE) / (60 + r) FROM co) GROUP BY id)"""
