@@ -14,7 +14,7 @@ from stylespark.operators.index import VectorIndex
 from stylespark.plans import proxies as P
 from stylespark.sources import messages
 from stylespark.runtime import settled, shared_path
-from stylespark.streaming.limits import limited
+from stylespark.streaming.limits import limited, limited_stream, state_store
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -646,12 +646,32 @@ def prompt_assembly(spark, d):
     return rows.select("doc_id", assemble.prompt(card, shown, facts, F.lit("say hello"), F.when(k % 9 == 0, "closer").otherwise("")).alias("prompt"))
 
 
-@query("""WITH RECURSIVE ev AS (SELECT CAST(user_id AS VARCHAR) AS key, epoch_us(CAST(ts AS TIMESTAMP)) // 1000 AS ms, CAST(event_id AS BIGINT) AS tie FROM events),
+_FOLD = """WITH RECURSIVE ev AS (SELECT CAST(user_id AS VARCHAR) AS key, epoch_us(CAST(ts AS TIMESTAMP)) // 1000 AS ms, CAST(event_id AS BIGINT) AS tie FROM events),
 ord AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ms, tie) AS i FROM ev),
 fold AS (SELECT key, ms, tie, i, ms AS since, CAST(1 AS BIGINT) AS n FROM ord WHERE i = 1
 UNION ALL SELECT o.key, o.ms, o.tie, o.i, CASE WHEN o.ms - f.since < 3600000 THEN f.since ELSE o.ms END, CASE WHEN o.ms - f.since < 3600000 THEN f.n + 1 ELSE 1 END FROM fold f JOIN ord o ON o.key = f.key AND o.i = f.i + 1)
-SELECT key, ms AS "at", tie, n > 20 AS limited FROM fold""")
+SELECT key, ms AS "at", tie, n > 20 AS limited FROM fold"""
+
+
+@query(_FOLD)
 def rate_limit(spark, d):
     """Requests of each user over 20 an hour, windows anchored at requests."""
     e = P.table(spark, d, "events").select("event_id", "user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("at"))
     return limited(e, "user_id", "at", "event_id", 3_600_000, 20)
+
+
+@query(_FOLD)
+def rate_limit_stream(spark, d):
+    """The same verdicts from a stream of files, the query being stopped and started again from its checkpoint in between."""
+    e = P.table(spark, d, "events").select("event_id", "user_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("at"))
+    place = shared_path(spark, "requests")
+    ends = e.agg(F.min("at").alias("a"), F.max("at").alias("b")).first()
+    cuts = [(ends.a or 0) + ((ends.b or 0) - (ends.a or 0)) * k // 3 for k in (1, 2)]
+    slices = [F.col("at") < cuts[0], (F.col("at") >= cuts[0]) & (F.col("at") < cuts[1]), F.col("at") >= cuts[1]]
+    with state_store(spark):
+        for slice_ in slices:
+            e.where(slice_).write.mode("append").parquet(f"{place}/in")
+            source = spark.readStream.schema(e.schema).parquet(f"{place}/in")
+            sink = limited_stream(source, "user_id", "at", "event_id", 3_600_000, 20).writeStream.format("parquet")
+            sink.option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("key string, at long, tie long, limited boolean").parquet(f"{place}/out")

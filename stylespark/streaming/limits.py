@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from stylespark.runtime import looked_up, ship
 
@@ -52,3 +55,59 @@ def limited(requests: DataFrame, key: str, at_ms: str, tie: str, window_ms: int
 
     chained = looked_up(rows, "slot", _chains(rows, window_ms)).select("key", "at", "tie", "chain")
     return chained.repartition("key", "chain").sortWithinPartitions("key", "chain", "at", "tie").mapInArrow(run, "key string, at long, tie long, limited boolean")
+
+
+class KeyWindow(StatefulProcessor):
+    """A key's window as value state, and a timer that forgets it once no request that may still come can fall into it."""
+
+    def __init__(self, window_ms: int = WINDOW_MS, most: int = MOST) -> None:
+        self.window_ms, self.most = window_ms, most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.window = handle.getValueState("window", T.StructType([T.StructField(n, T.LongType()) for n in ("start", "count")]))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        state = tuple(self.window.get()) if self.window.exists() else None
+        before = state
+        for r in sorted(rows, key=lambda r: (r.at, r.tie)):  # a micro-batch's requests of a key
+            state, over = is_limited(state, r.at, self.window_ms, self.most)
+            yield Row(key=key[0], at=r.at, tie=r.tie, limited=over)
+        if before is not None and before[0] != state[0]:
+            self.handle.deleteTimer(before[0] + self.window_ms)
+        if before is None or before[0] != state[0]:
+            self.handle.registerTimer(state[0] + self.window_ms)
+        self.window.update(state)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        # A request from here on is at the watermark or behind it, so its window would begin anew.
+        self.window.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+@contextmanager
+def state_store(spark: SparkSession):
+    """The state store that value state and timers need, for queries that are started inside."""
+    name, own = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, own)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
+def limited_stream(requests: DataFrame, key: str, at_ms: str, tie: str, window_ms: int = WINDOW_MS, most: int = MOST, delay: str = "0 seconds") -> DataFrame:
+    """key, at, tie, limited of a stream of requests: each has its verdict with the micro-batch that it comes in. Start the query inside state_store().
+
+    Requests of a micro-batch are taken in order of time; one that comes in a later micro-batch than a younger one of its key counts in the window that is open
+    then. A request that is behind the watermark, `delay` behind the youngest request of all earlier micro-batches, is late: it gets no verdict and counts in no window.
+    Null keys are the key "". State is one window a key, and only of keys with a request less than a window and the delay ago; a restart goes
+    on from the checkpoint. Where requests come in order of time, the rows equal those of limited()."""
+    ship(requests.sparkSession)
+    rows = requests.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("key"), F.col(at_ms).cast("long").alias("at"), F.col(tie).cast("long").alias("tie"))
+    timed = rows.withColumn("time", F.timestamp_millis("at").cast("timestamp")).withWatermark("time", delay)
+    return timed.groupBy("key").transformWithState(KeyWindow(window_ms, most), "key string, at long, tie long, limited boolean", "append", "eventTime")
