@@ -12,7 +12,7 @@ from stylespark.functions.vectors import cosine
 from stylespark.operators import accounting, assemble, deai, dedup, gate, ingest, retrieval, store, stylometry, tells
 from stylespark.operators.index import VectorIndex
 from stylespark.plans import proxies as P
-from stylespark.sources import messages
+from stylespark.sources import messages, untyped
 from stylespark.runtime import settled, shared_path
 from stylespark.streaming.limits import limited, limited_stream, state_store
 
@@ -46,6 +46,23 @@ def src_chat_thread(spark, d):
     return messages.chat_units(P.chat(spark, d), "me", ["@user"]).select("source_uri", "thread_id", "timestamp", "raw_text")
 
 
+_K = "(conv_id + turn) % 7"
+
+
+@query(f"""SELECT 'message-id:' || conv_id || '-' || turn AS source_uri, 'User@example.org' AS author_address, CASE WHEN {_K} = 2 THEN '' ELSE text END AS raw_text,
+CASE WHEN {_K} <> 1 THEN CAST(conv_id AS VARCHAR) END AS thread_id, CASE WHEN {_K} = 4 THEN '' ELSE '2024-01-01T00:00:00Z' END AS timestamp FROM conversations WHERE role = 'user' AND turn % 4 <> 3 AND {_K} NOT IN (3, 6)""")
+def src_untyped_mail(spark, d):
+    """Mail from JSON records with numbers, arrays and objects where strings belong, and with broken ones."""
+    return untyped.mail_records(P.untyped_mail(spark, d), "me", ["User@example.org"]).select("source_uri", "author_address", "raw_text", "thread_id", "timestamp")
+
+
+@query(f"""SELECT 'matrix-event:' || CASE WHEN {_K} = 4 THEN '' ELSE conv_id || '-' || turn END AS source_uri, CASE WHEN turn % 3 <> 2 AND {_K} NOT IN (4, 5) THEN 'c' || conv_id END AS thread_id,
+CASE WHEN {_K} = 5 THEN '' ELSE strftime(epoch_ms({P.EPOCH} + conv_id * {P.STEP} + turn * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') END AS timestamp, CASE WHEN {_K} = 2 THEN '' ELSE text END AS raw_text
+FROM conversations WHERE role = 'user' AND turn % 5 <> 4""")
+def src_untyped_chat(spark, d):
+    return untyped.chat_records(P.untyped_chat(spark, d), "me", ["@user"]).select("source_uri", "thread_id", "timestamp", "raw_text")
+
+
 # Cleaning. In the SQL below, lines are told apart by simple tests that hold for the decorated texts.
 
 _BLANK = "regexp_full_match({}, '\\s*')"

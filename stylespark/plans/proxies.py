@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stylespark.runtime import ship
@@ -81,3 +81,37 @@ def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mail(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     return c.select(F.format_string("%d-%d", "conv_id", "turn").alias("message_id"), F.when(F.pmod("turn", F.lit(4)) == 3, "INBOX").otherwise("Sent").alias("folder"), F.concat(F.lit('"A B" <'), F.initcap("role"), F.lit("@Example.org>")).alias("from"), F.lit("2024-01-01T00:00:00Z").alias("date"), F.col("conv_id").cast("string").alias("thread_id"), F.col("text").alias("body"))
+
+
+#: (conv_id + turn) modulo their number -> field -> JSON that stands there in place of a string.
+WRONG = {1: {"thread_id": "7"}, 2: {"body": '["text"]'}, 3: {"from": '{"address": "user@example.org"}'}, 4: {"date": "true", "event_id": "null"}, 5: {"origin_server_ts": '"1704067200000"', "rel_type": "1"}}
+
+
+def _json(fields: dict[str, Column]) -> Column:
+    """A JSON object; fields' strings are quoted, but for rows that have something else there."""
+    k = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(7))
+    quoted = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r"(?s)^\{.v.:(.*)\}$", 1)
+    parts = []
+    for name, value in fields.items():
+        own = value if name in ("content", "origin_server_ts", "m.relates_to") else quoted(value)
+        own = own.cast("string")
+        for n, wrong in WRONG.items():
+            own = F.when(k == n, F.lit(wrong[name])).otherwise(own) if name in wrong else own
+        parts.append(F.concat(F.lit(f'"{name}":'), own))
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+
+
+def untyped_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mail as JSON records, of which some have wrong types in a field and some, where the remainder is 6, are cut off."""
+    m = mail(spark, sf_dir).withColumn("conv_id", F.col("thread_id").cast("long")).withColumn("turn", F.substring_index("message_id", "-", -1).cast("long"))
+    record = _json({c: F.col(c) for c in ("message_id", "folder", "from", "date", "thread_id", "body")})
+    return m.select(F.when(F.pmod(F.col("conv_id") + F.col("turn"), F.lit(7)) == 6, F.left(record, F.length(record) - 1)).otherwise(record).alias("record"))
+
+
+def untyped_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    event = F.concat(F.lit("c"), F.col("conv_id").cast("string"))
+    relates = _json({"rel_type": F.when(F.pmod("turn", F.lit(3)) == 2, "m.replace").otherwise("m.thread"), "event_id": event})
+    content = _json({"msgtype": F.when(F.pmod("turn", F.lit(5)) == 4, "m.image").otherwise("m.text"), "body": F.col("text"), "m.relates_to": relates})
+    record = _json({"event_id": F.format_string("%d-%d", "conv_id", "turn"), "type": F.lit("m.room.message"), "sender": F.concat(F.lit("@"), "role"), "origin_server_ts": F.lit(EPOCH) + F.col("conv_id") * STEP + F.col("turn") * 1000, "content": content})
+    return c.select(record.alias("record"))

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stylespark.functions.text import normalize_address
+from stylespark.runtime import ship
+from stylespark.sources.files import CorpusFiles
 
 UNIT = "author_id string, author_address string, medium string, source_uri string, thread_id string, timestamp string, raw_text string"
-CORPUS_FILE = "medium string, source_uri string, timestamp string, text string"
-FILE_MEDIA = ("slack", "claude")
 ISO = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})\z"
 
 
@@ -41,8 +41,7 @@ def chat_units(events: DataFrame, author_id: str, senders: list[str]) -> DataFra
 
 
 def corpus_file(spark: SparkSession, path: str, voice_id: str, address: str | None = None) -> DataFrame:
-    """A JSON array of texts; broken JSON or a bad row fails the whole read."""
-    rows = spark.read.schema(CORPUS_FILE).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    ok = F.col("medium").isin(*FILE_MEDIA) & (F.length("source_uri") > 0) & (F.length("text") > 0) & F.col("timestamp").rlike(ISO)
-    checked = F.when(F.coalesce(ok, F.lit(False)), F.col("text")).otherwise(F.raise_error(F.concat(F.lit("bad corpus row: "), F.coalesce("source_uri", F.lit("?")))).cast("string"))
-    return rows.select(F.lit(voice_id).alias("author_id"), F.lit(address or voice_id).alias("author_address"), "medium", "source_uri", F.lit(None).cast("string").alias("thread_id"), "timestamp", checked.alias("raw_text"))
+    """Units of a JSON array of texts, or of all such files of a folder; broken JSON or a bad row fails the whole read and names its place."""
+    ship(spark).dataSource.register(CorpusFiles)
+    rows = spark.read.format(CorpusFiles.name()).load(path)
+    return rows.select(F.lit(voice_id).alias("author_id"), F.lit(address or voice_id).alias("author_address"), "medium", "source_uri", F.lit(None).cast("string").alias("thread_id"), "timestamp", F.col("text").alias("raw_text"))

@@ -56,7 +56,7 @@ def test_corpus_file(spark, tmp_path):
     assert corpus_file(spark, str(good), "v").first().raw_text == "hi"
     bad = tmp_path / "bad.json"
     bad.write_text('[{"medium": "email", "source_uri": "s", "timestamp": "2024-01-01T00:00:00Z", "text": "hi"}]')
-    with pytest.raises(Exception, match="bad corpus row"):
+    with pytest.raises(Exception, match="bad.json: row 0: medium"):
         corpus_file(spark, str(bad), "v").collect()
 
 
