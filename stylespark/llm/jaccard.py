@@ -40,8 +40,8 @@ BELOW = 64 - 22
 #: Partitions whose counters one task sums up.
 FAN = 32
 CHUNK = 1 << 14
-#: Bits of the filter of sets that are to be compared. When it fills up, sets pass that aren't needed.
-FILTER_BITS = 1 << 24
+#: Bits of the filter of sets that are to be compared: so many a set, within bounds. Beyond the upper one, 2 ** 26 sets, more sets pass that aren't needed.
+FILTER_A_SET, LEAST_FILTER, MOST_FILTER = 16, 1 << 24, 1 << 30
 #: Entries of a list that go to one task.
 LIST = 1024
 #: Equal sets that a task remembers, to list them once.
@@ -296,24 +296,35 @@ def possible(sa, pa_, sb, pb, percent: int) -> Column:
     return (F.least(sa, sb) >= need) & (F.least(sa - pa_, sb - pb) >= need)
 
 
-def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bits = np.zeros(FILTER_BITS // 32, np.uint32)
-    for batch in batches:
-        own = batch.column(0).to_numpy().view(U) >> U(40)
-        np.bitwise_or.at(bits, (own >> U(5)).astype(np.int64), (U(1) << (own & U(31))).astype(np.uint32))
-    yield batch_of(["chunk", "part", "data"], *_parts(list(chunks(bits))))
+def filter_bits(sets: int) -> int:
+    """The filter's bits for so many sets: a power of two."""
+    return min(MOST_FILTER, max(LEAST_FILTER, 1 << max(0, FILTER_A_SET * sets - 1).bit_length()))
+
+
+def _bits(size: int):
+    below = U(65 - size.bit_length())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(size // 32, np.uint32)
+        for batch in batches:
+            own = batch.column(0).to_numpy().view(U) >> below
+            np.bitwise_or.at(bits, (own >> U(5)).astype(np.int64), (U(1) << (own & U(31))).astype(np.uint32))
+        yield batch_of(["chunk", "part", "data"], *_parts(list(chunks(bits))))
+
+    return run
 
 
 def _members(shared, shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = shared.value, set()
+        below = 65 - (32 * len(bits)).bit_length()
         for batch in batches:
             ent, data = [], []
             for own in shingle_sets(batch.column(0).to_pylist(), shingle):
                 if not len(own):
                     continue
                 e = entity(own)
-                at = (e & 0xFFFFFFFFFFFFFFFF) >> 40
+                at = (e & 0xFFFFFFFFFFFFFFFF) >> below
                 if bits[at >> 5] >> np.uint32(at & 31) & np.uint32(1) and e not in seen:
                     if len(seen) < SEEN:
                         seen.add(e)
@@ -326,8 +337,9 @@ def _members(shared, shingle: int):
 
 def sets_of(texts: DataFrame, ents: DataFrame, shingle: int) -> DataFrame:
     """ent, data (its shingles) of the entities in ents, and perhaps of others; each once."""
-    bits = merged(written(ents.select("ent").mapInArrow(_bits, "chunk int, part int, data binary"), "bits"), FILTER_BITS // 32, np.bitwise_or)
-    shared = texts.sparkSession.sparkContext.broadcast(bits)  # FILTER_BITS bits
+    size = filter_bits(ents.count())  # some come twice
+    bits = merged(written(ents.select("ent").mapInArrow(_bits(size), "chunk int, part int, data binary"), "bits"), size // 32, np.bitwise_or)
+    shared = texts.sparkSession.sparkContext.broadcast(bits)  # at most MOST_FILTER bits
     return texts.select("text").mapInArrow(_members(shared, shingle), "ent long, data binary").groupBy("ent").agg(F.first("data").alias("data"))
 
 

@@ -410,6 +410,17 @@ def test_jaccard_components(spark, docs):
     assert got == brute_components(rows)
 
 
+def test_jaccard_filter_grows_with_the_sets(spark, monkeypatch):
+    """Filters of all sizes let the same links through; the size follows the number of sets."""
+    assert [jaccard.filter_bits(n) for n in (0, 1, 1 << 20, (1 << 20) + 1, 1 << 40)] == [1 << 24, 1 << 24, 1 << 24, 1 << 25, 1 << 30]
+    rows = [(k, " ".join(f"w{k // 4}x{j}" for j in range(60)) + f" tail{k}") for k in range(80)]
+    want = brute_components(rows)
+    for least in (1 << 19, 1 << 25):
+        monkeypatch.setattr(jaccard, "LEAST_FILTER", least)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == want
+
+
 def test_jaccard_long_lists_by_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "LIST", 8)
     rng = np.random.default_rng(5)
