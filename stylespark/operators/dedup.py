@@ -1,7 +1,8 @@
 """Near-duplicates of a batch: MinHash bands for candidates, exact Jaccard to confirm, components, earliest member.
 
 Equal shingle sets are one class, so exact copies make no pairs of their own: a class stands for its members, and a
-pair of classes for all pairs between theirs.
+pair of classes for all pairs between theirs. Classes are compared by a 64-bit digest of their set; their shingles are only shuffled for classes that some
+pair needs.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ SHINGLE, BANDS, ROWS, THRESHOLD = 5, 32, 4, 0.75
 PART = 4096
 #: Members of a band that one task compares with as many others.
 BLOCK = 2048
+#: Digests that are broadcast to find the sets that pairs need (8 bytes each); more are joined.
+MOST_NEEDED = 1_000_000
 
 _words = re.compile(f"[^{WS[1:-1]}]+").findall
 _draw = np.random.default_rng(12345)
@@ -75,8 +78,8 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def _bands(sets: DataFrame) -> DataFrame:
-    """item, key of the bands of two sets or more, and many, how many those are."""
-    keys = settled(sets.select("item", F.explode("bands").alias("key")), "bands")
+    """item, key of the bands of two sets or more, n, how many those are, and head, the least of them. sets: item, bands; equal sets may come more than once."""
+    keys = settled(sets.select("item", F.explode("bands").alias("key")).distinct(), "bands")
     shared = keys.groupBy("key").agg(F.count("*").alias("many"), F.count("*").alias("n"), F.min("item").alias("head")).where("many > 1")
     return settled(looked_up(keys, "key", shared).where("n is not null"), "shared-bands")
 
@@ -93,13 +96,19 @@ def _within(rows: DataFrame, apart: bool = False) -> DataFrame:
 
 
 def candidate_pairs(sets: DataFrame) -> DataFrame:
-    """(a, b): every pair of sets that share a band, a > b. sets: item, sh, bands."""
+    """(a, b): every pair of sets that share a band, a > b. sets: item, bands."""
     return _within(_bands(sets))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    left = pairs.join(sets.select(F.col("item").alias("a"), F.col("sh").alias("x")), "a")
-    both = left.join(sets.select(F.col("item").alias("b"), F.col("sh").alias("y")), "b")
+    """a, b, jaccard of the pairs that reach the threshold. sets: item, sh; equal sets may come more than once. Only sets of a pair are shuffled, each once."""
+    pairs = settled(pairs, "candidates")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("item")).distinct()
+    needed = settled(needed, "needed")
+    needed = F.broadcast(needed) if needed.limit(MOST_NEEDED + 1).count() <= MOST_NEEDED else needed
+    own = settled(sets.select("item", "sh").join(needed, "item", "left_semi").groupBy("item").agg(F.first("sh").alias("sh")), "needed-sets")
+    left = pairs.join(own.select(F.col("item").alias("a"), F.col("sh").alias("x")), "a")
+    both = left.join(own.select(F.col("item").alias("b"), F.col("sh").alias("y")), "b")
     return both.select("a", "b", similarity(F.col("x"), F.col("y")).alias("jaccard")).where(F.col("jaccard") >= threshold)
 
 
@@ -121,45 +130,43 @@ def cluster_roots(sets: DataFrame, threshold: float) -> DataFrame:
     return components(forest.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
 
-def _sets(items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Each item with its class, the least id of equal sets (its own where the set is empty); and the classes with members, shingles and bands."""
+def _sets(items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Each item with the digest of its set (null where that is empty); the classes: digest, the least id in it, how many; and the sets: item (the digest), sh, bands, a row an item."""
     full = settled(with_shingles(items), "shingles").withColumn("digest", F.when(F.size("sh") > 0, F.xxhash64("sh")))
-    sets = settled(full.where("digest is not null").groupBy("digest").agg(F.min("id").alias("item"), F.count("*").alias("many"), F.first("sh").alias("sh"), F.first("bands").alias("bands")), "sets")
-    rest = [c for c in items.columns if c != "text"]
-    own = looked_up(full.select(*rest, "digest"), "digest", sets.select("digest", "many", "item")).select(*rest, F.coalesce("item", "id").alias("item"))
-    return own, sets.select("item", "many", "sh", "bands")
+    classes = settled(full.where("digest is not null").groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("many")), "classes")
+    return full.drop("sh", "bands"), classes, full.where("digest is not null").select(F.col("digest").alias("item"), "sh", "bands")
 
 
 def duplicate_pairs(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """a, b, jaccard, links: pairs of classes, a >= b, that reach the threshold, by the least id of each. items: id, text.
 
     links is how many pairs of items a row stands for: all between two classes, or all within one (a = b, of two members or more)."""
-    _, sets = _sets(items)
-    size = sets.select("item", "many")
+    _, classes, sets = _sets(items)
     found = confirmed(candidate_pairs(sets), sets, threshold)
-    between = found.join(size.toDF("a", "x"), "a").join(size.toDF("b", "y"), "b").select("a", "b", "jaccard", (F.col("x") * F.col("y")).alias("links"))
+    between = found.join(classes.toDF("a", "least_a", "x"), "a").join(classes.toDF("b", "least_b", "y"), "b")
+    between = between.select(F.greatest("least_a", "least_b").alias("a"), F.least("least_a", "least_b").alias("b"), "jaccard", (F.col("x") * F.col("y")).alias("links"))
     n = F.col("many")
-    within = size.where("many > 1").select(F.col("item").alias("a"), F.col("item").alias("b"), F.lit(1.0).alias("jaccard"), (n * (n - 1) / 2).cast("long").alias("links"))
+    within = classes.where("many > 1").select(F.col("least").alias("a"), F.col("least").alias("b"), F.lit(1.0).alias("jaccard"), (n * (n - 1) / 2).cast("long").alias("links"))
     return between.unionByName(within)
 
 
 def duplicate_links(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """id, class_id (the least id of equal sets), links (how many other items reach the threshold with it); one row per item."""
-    own, sets = _sets(items)
-    size = sets.select("item", "many")
+    own, classes, sets = _sets(items)
     pairs = settled(confirmed(candidate_pairs(sets), sets, threshold).select("a", "b"), "pairs")
-    ends = pairs.toDF("item", "to").unionByName(pairs.select(F.col("b").alias("item"), F.col("a").alias("to")))
-    far = ends.join(size.toDF("to", "x"), "to").groupBy("item").agg(F.sum("x").alias("far"))
-    links = size.join(far, "item", "left").select("item", "many", (F.coalesce("far", F.lit(0)) + F.col("many") - 1).alias("links"))
-    return looked_up(own, "item", links).select("id", F.col("item").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    ends = pairs.toDF("digest", "to").unionByName(pairs.select(F.col("b").alias("digest"), F.col("a").alias("to")))
+    far = ends.join(classes.select(F.col("digest").alias("to"), F.col("many").alias("x")), "to").groupBy("digest").agg(F.sum("x").alias("far"))
+    links = classes.join(far, "digest", "left").select("digest", "many", "least", (F.coalesce("far", F.lit(0)) + F.col("many") - 1).alias("links"))
+    return looked_up(own, "digest", links).select("id", F.coalesce("least", "id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def near_duplicates(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """id, dedup_cluster_id, is_canonical: clusters are transitive, the earliest timestamp (then least id) names its cluster. items: id, text, timestamp."""
-    own, sets = _sets(items)
+    own, _, sets = _sets(items)
     roots = cluster_roots(sets, threshold)
-    firsts = own.groupBy("item").agg(F.min(F.struct("timestamp", "id")).alias("first"), F.count("*").alias("many"))
-    rooted = settled(firsts.join(roots.withColumnRenamed("node", "item"), "item", "left").withColumn("root", F.coalesce("root", "item")).withColumnRenamed("many", "copies"), "classes")
+    firsts = own.where("digest is not null").groupBy("digest").agg(F.min(F.struct("timestamp", "id")).alias("first"), F.count("*").alias("many"))
+    rooted = settled(firsts.join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest")).withColumnRenamed("many", "copies"), "rooted-classes")
     earliest = rooted.groupBy("root").agg(F.min("first")["id"].alias("dedup_cluster_id"), F.count("*").alias("many"))
-    named = settled(looked_up(rooted.select("item", "root", "copies"), "root", earliest).select("item", "dedup_cluster_id", F.col("copies").alias("many")), "named")
-    return looked_up(own, "item", named).select("id", "dedup_cluster_id", (F.col("id") == F.col("dedup_cluster_id")).alias("is_canonical"))
+    named = settled(looked_up(rooted.select("digest", "root", "copies"), "root", earliest).select("digest", "dedup_cluster_id", F.col("copies").alias("many")), "named")
+    found = looked_up(own, "digest", named).withColumn("dedup_cluster_id", F.coalesce("dedup_cluster_id", "id"))
+    return found.select("id", "dedup_cluster_id", (F.col("id") == F.col("dedup_cluster_id")).alias("is_canonical"))

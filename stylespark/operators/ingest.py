@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stylespark.functions import text as T
 from stylespark.functions.nfc import with_nfc
 from stylespark.operators.dedup import near_duplicates
+from stylespark.runtime import looked_up, settled
 from stylespark.sources.messages import ISO
 
 MEDIA, REGISTERS, VERSION = ("email", "matrix", "slack", "claude"), ("chat", "email", "longform"), "1"
+#: Repeated records that are broadcast to be left out; more are joined.
+MOST_LATER = 1_000_000
 RECORD = ["id", "author_id", "medium", "register", "source_uri", "thread_id", "timestamp", "text_clean", "word_count", "dedup_cluster_id", "is_canonical", "ingest_version"]
 
 
@@ -29,9 +32,13 @@ def to_records(units: DataFrame, version: str = VERSION) -> DataFrame:
 
 
 def collapse(records: DataFrame, order: str = "timestamp") -> DataFrame:
-    """Records with text, the first of each id in the given order."""
-    first = F.row_number().over(Window.partitionBy("id").orderBy(order, "source_uri"))
-    return records.where(~T.is_blank(F.col("text_clean"))).withColumn("_n", first).where("_n = 1").drop("_n")
+    """Records with text, the first of each id in the given order. Rows of repeated ids are told apart by ids and times alone; texts aren't shuffled or sorted."""
+    rows = settled(records.where(~T.is_blank(F.col("text_clean"))).withColumn("_row", F.monotonically_increasing_id()), "records")
+    place = F.struct(F.col(order).alias("order"), "source_uri", "_row")
+    firsts = rows.groupBy("id").agg(F.min(place).alias("first"), F.count("*").alias("many")).where("many > 1").select("id", "many", F.col("first._row").alias("kept"))
+    later = settled(looked_up(rows.select("id", "_row"), "id", firsts).where("_row <> kept").select("_row"), "later-records")
+    few = later.limit(MOST_LATER + 1).count() <= MOST_LATER
+    return rows.join(F.broadcast(later) if few else later, "_row", "left_anti").drop("_row")
 
 
 def ingest(units: DataFrame, version: str = VERSION, order: str = "timestamp") -> DataFrame:
