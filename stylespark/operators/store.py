@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stylespark.functions.vectors import checked
 from stylespark.operators.accounting import coverage, readiness
 from stylespark.operators.retrieval import REGISTERS
+from stylespark.runtime import release, settled
 from stylespark.sources.messages import iso_millis
 
 EXEMPLARS = "id string, author_id string, medium string, source_uri string, thread_id string, authored_at timestamp, ingested_at timestamp, text string, word_count int, dedup_cluster_id string, is_canonical boolean, ingest_version string, content_embedding array<float>, style_embedding array<float>, profile_version string, register string"
@@ -26,12 +27,58 @@ def new_rows(batch: DataFrame, stored: DataFrame, key: str = "id", order: str =
     return last_of(batch, key, order).join(stored.select(key), key, "left_anti")
 
 
+class ConcurrentWrite(RuntimeError):
+    """Another writer has changed the table, or is about to; nothing was written."""
+
+
+class Turns:
+    """Numbered writes to one table: a writer claims the number after the last one by creating its file, which only one can, and marks it as done.
+
+    A write is based on what was read after turn(); it is refused where another writer has claimed a number since, or hasn't finished its own."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        jvm = spark._jvm
+        self._path = jvm.org.apache.hadoop.fs.Path
+        self.root = self._path(path)
+        self.fs = self.root.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _names(self) -> set[str]:
+        return {f.getPath().getName() for f in self.fs.listStatus(self.root)} if self.fs.exists(self.root) else set()
+
+    def last(self) -> int:
+        """The number claimed last; 0 before the first."""
+        return max((int(n) for n in self._names() if n.isdigit()), default=0)
+
+    def turn(self) -> int:
+        """The number to claim; raises while the one before it isn't done."""
+        last = self.last()
+        if last and f"{last}.done" not in self._names():
+            raise ConcurrentWrite(f"write {last} to {self.root.getName()} isn't done; after a crash call abandon()")
+        return last + 1
+
+    def claim(self, turn: int) -> None:
+        self.fs.mkdirs(self.root)
+        if not self.fs.createNewFile(self._path(self.root, str(turn))):
+            raise ConcurrentWrite(f"write {turn} to {self.root.getName()} was claimed by another writer")
+
+    def done(self, turn: int) -> None:
+        self.fs.createNewFile(self._path(self.root, f"{turn}.done"))
+
+    def abandon(self) -> None:
+        """Let writes go on after a writer's crash; what it had written in part stays invisible only as far as Spark's commit kept it so."""
+        if last := self.last():
+            self.done(last)
+
+
 class Store:
-    """Tables below one folder. A single writer is assumed."""
+    """Tables below one folder. Of writers that work at the same time one is let through, the others fail with ConcurrentWrite before they write."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
 
+    def turns(self, table: str) -> Turns:
+        return Turns(self.spark, f"{self.path}/_turns/{table}")
+
     def migrate(self) -> None:
         """Create the tables that are missing."""
         for name, schema, by in (("exemplars", EXEMPLARS, ["register"]), ("profiles", PROFILES, []), ("activations", ACTIVATIONS, [])):
@@ -48,6 +95,8 @@ class Store:
 
     def upsert(self, records: DataFrame, embed=None, dim: int = 768, order: str = "timestamp") -> int:
         """Insert records that aren't stored; returns how many. Only canonical ones are embedded; stored rows never change."""
+        turns = self.turns("exemplars")
+        turn = turns.turn()
         fresh = new_rows(records, self.exemplars(), "id", order)
         none = F.lit(None).cast("array<float>")
         fields = ["id", "author_id", "medium", "source_uri", "thread_id", F.to_timestamp("timestamp").alias("authored_at"), F.current_timestamp().alias("ingested_at"), F.col("text_clean").alias("text"), "word_count", "dedup_cluster_id", "is_canonical", "ingest_version"]
@@ -56,7 +105,11 @@ class Store:
         own = fresh.where("is_canonical")
         rows = rows.unionByName(own.select(*fields, *vectors(none if embed is None else checked(embed(F.col("text_clean")), dim))))
         before = self.exemplars().count()
+        rows = settled(rows, "fresh")  # read and embedded before the claim, which others wait for
+        turns.claim(turn)
         rows.write.mode("append").partitionBy("register").parquet(f"{self.path}/exemplars")
+        turns.done(turn)
+        release(rows)
         return self.exemplars().count() - before
 
     def records(self) -> DataFrame:
@@ -72,14 +125,22 @@ class Store:
 
     def write_profile(self, row: DataFrame) -> None:
         """Insert inactive; a version that exists is left as it is."""
-        row.join(self.profiles().select("author_id", "register", "version"), ["author_id", "register", "version"], "left_anti").write.mode("append").parquet(f"{self.path}/profiles")
+        turns = self.turns("profiles")
+        turn = turns.turn()
+        fresh = row.join(self.profiles().select("author_id", "register", "version"), ["author_id", "register", "version"], "left_anti")
+        turns.claim(turn)
+        fresh.write.mode("append").parquet(f"{self.path}/profiles")
+        turns.done(turn)
 
     def activate(self, author: str, register: str, version: str) -> None:
         """Make a version the active one; an unknown version fails and changes nothing."""
         if not self.profile(author, register, version).limit(1).count():
             raise KeyError(f"no profile {author}/{register}/{version}")
-        seq = (self.activations().agg(F.max("seq")).first()[0] or 0) + 1
-        self.spark.createDataFrame([(author, register, version, seq)], ACTIVATIONS).write.mode("append").parquet(f"{self.path}/activations")
+        turns = self.turns("activations")
+        seq = turns.turn()
+        turns.claim(seq)
+        self.spark.createDataFrame([(author, register, version, seq)], ACTIVATIONS).coalesce(1).write.mode("append").parquet(f"{self.path}/activations")
+        turns.done(seq)
 
     def profile(self, author: str, register: str, version: str) -> DataFrame:
         """One version of a profile, active or not."""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from stylespark.operators.ingest import ingest
 from stylespark.operators.service import hashed_embedder
-from stylespark.operators.store import Store, new_rows, voices
+from stylespark.operators.store import ConcurrentWrite, Store, new_rows, voices
 from stylespark.sources.messages import UNIT, corpus_file
 
 
@@ -29,6 +29,35 @@ def test_ingest_and_upsert_twice(spark, tmp_path):
     assert store.exemplars().where("not is_canonical").first().style_embedding is None
 
 
+def test_a_second_writer_is_refused(spark, tmp_path, monkeypatch):
+    """Two writers that read the same state: one adds its rows, the other fails and adds none; so too with activations, and after a crash."""
+    from stylespark.operators import store as module
+
+    records = ingest(units(spark, [("slack", "d", "2024-01-01T00:00:00Z", "some words")]))
+    one, two = Store(spark, str(tmp_path)), Store(spark, str(tmp_path))
+    one.migrate()
+    own = module.settled
+
+    def slow(df, name):  # the second writer works between the first one's read and its claim
+        monkeypatch.setattr(module, "settled", own)
+        assert two.upsert(records) == 1
+        return own(df, name)
+
+    monkeypatch.setattr(module, "settled", slow)
+    with pytest.raises(ConcurrentWrite, match="claimed by another"):
+        one.upsert(records)
+    assert one.exemplars().count() == 1 and one.upsert(records) == 0
+    seq = one.turns("activations").turn()
+    two.turns("activations").claim(seq)  # a writer that has crashed
+    one.write_profile(spark.sql("select 'me' author_id, 'chat' register, '1' version, '{}' style_card, '{}' stylometric_vector, cast(null as array<float>) style_centroid, timestamp'2024-01-01' built_at, 3 exemplar_count"))
+    with pytest.raises(ConcurrentWrite, match="isn't done"):
+        one.activate("me", "chat", "1")
+    one.turns("activations").abandon()
+    one.activate("me", "chat", "1")
+    one.activate("me", "chat", "1")
+    assert [r.seq for r in one.activations().orderBy("seq").collect()] == [seq + 1, seq + 2]
+
+
 def test_invalid_record_names_its_source(spark):
     with pytest.raises(Exception, match="bad-uri"):
         ingest(units(spark, [("email", "bad-uri", "yesterday", "text")])).collect()
