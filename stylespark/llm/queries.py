@@ -66,9 +66,24 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.filter_audit(documents(spark, sf_dir), _labels(spark, sf_dir))
 
 
+def base_media_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of op2's rows: the payload as it is read back from the images."""
+    return op2_media_columns(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+def base_quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op3's rows all but the verdict."""
+    return op3_quality_rules(spark, sf_dir).drop("kept")
+
+
+def base_license_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op6's rows what the phrases give."""
+    return op6_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op2_media_columns, op3_quality_rules, op4_line_dedup, op5_ngram_jaccard_join, op6_license_scan, op7_quality_classifier, op8_token_files, op9_language_id, op10_piece_codec, op11_source_mixing, op12_periodic_runs, op13_filter_audit)
+    for f in (op1_best_fit_packing, op2_media_columns, op3_quality_rules, op4_line_dedup, op5_ngram_jaccard_join, op6_license_scan, op7_quality_classifier, op8_token_files, op9_language_id, op10_piece_codec, op11_source_mixing, op12_periodic_runs, op13_filter_audit, base_media_bytes, base_quality_counts, base_license_places)
 }
 
 _LINE_DEDUP = f"""
@@ -88,4 +103,31 @@ SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL WHEN k.n_dropped = 0 THEN d.
 FROM d LEFT JOIN kept k USING (rid)
 """
 
-ORACLE = {"op4_line_dedup": _LINE_DEDUP, "op11_source_mixing": mixing.SQL, "op13_filter_audit": audit.SQL}
+_MEDIA_BYTES = """
+WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents), n AS (SELECT *, octet_length(b) AS n FROM b), p AS (SELECT *, greatest(64, (n + 63) // 64 * 64) AS padded FROM n)
+SELECT doc_id, n AS n_bytes, padded AS payload_bytes, sha256(b || repeat('\\x00'::BLOB, CAST(padded - n AS BIGINT))) AS payload_sha256 FROM p
+"""
+
+_QUALITY_COUNTS = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents), w AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w FROM d),
+x AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+r AS (SELECT rid, i FROM x QUALIFY count(*) OVER (PARTITION BY rid, g) > 1),
+c AS (SELECT rid, count(DISTINCT i + k) AS n FROM r, (SELECT unnest([0, 1, 2]) AS k) GROUP BY rid),
+l AS (SELECT rid, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM d),
+f AS (SELECT doc_id, len(w) AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+  len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words FROM w JOIN l USING (rid) LEFT JOIN c USING (rid))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f
+"""
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_PLACES = ", ".join(f"list_filter(range(1, len(w) + 1), lambda i: {' AND '.join(f'w[i + {k}] = {chr(39)}{word}{chr(39)}' if k else f'w[i] = {chr(39)}{word}{chr(39)}' for k, word in enumerate(phrase.split()))}) AS p{n}" for n, phrase in enumerate(licenses.PHRASES))
+_LICENSE_PLACES = f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+p AS (SELECT doc_id, len(w) AS n_words, {_PLACES} FROM w), a AS (SELECT *, list_concat(p0, list_concat(p1, p2)) AS p FROM p)
+SELECT doc_id, n_words, len(p) AS n_base, list_min(p) - 1 AS first_word, list_max(p) - 1 AS last_word,
+array_to_string(list_sort(list_filter([{", ".join(f"CASE WHEN len(p{n}) > 0 THEN '{label}' END" for n, label in enumerate(licenses.PHRASES.values()))}], lambda x: x IS NOT NULL)), ',') AS base_labels FROM a
+"""
+
+ORACLE = {
+    "op4_line_dedup": _LINE_DEDUP, "op11_source_mixing": mixing.SQL, "op13_filter_audit": audit.SQL, "base_media_bytes": _MEDIA_BYTES, "base_quality_counts": _QUALITY_COUNTS, "base_license_places": _LICENSE_PLACES
+}

@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-@pytest.mark.parametrize("name", ["op11_source_mixing", "op13_filter_audit"])
+@pytest.mark.parametrize("name", ["op11_source_mixing", "op13_filter_audit", "base_media_bytes", "base_quality_counts", "base_license_places"])
 def test_queries_equal_their_sql(spark, oracle, name):
     got = QUERIES[name](spark, SF)
     assert Counter(map(tuple, got.collect())) == oracle(SF, ORACLE[name], ", ".join(f'"{c}"' for c in got.columns))
