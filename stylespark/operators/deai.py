@@ -140,8 +140,21 @@ def with_breaches(df: DataFrame, out: str, before: str, after: str, likeness=Non
     """df with `label:item` for each item of one text that occurs less often in another; additions are fine, equal texts lose nothing.
 
     An Arrow step: counting items is a matter of hash tables, which columns lack. likeness(before, after) is an optional column function."""
-    found = with_text(df, out, [before, after], lost, "array<string>")
-    return found if likeness is None else found.withColumn(out, F.when(F.col(before) == F.col(after), F.col(out)).otherwise(F.concat(out, _semantic(likeness(F.col(before), F.col(after))))))
+    return _likened(with_text(df, out, [before, after], lost, "array<string>"), out, before, after, likeness)
+
+
+def _likened(df: DataFrame, out: str, before: str, after: str, likeness) -> DataFrame:
+    return df if likeness is None else df.withColumn(out, F.when(F.col(before) == F.col(after), F.col(out)).otherwise(F.concat(out, _semantic(likeness(F.col(before), F.col(after))))))
+
+
+def guarded(function):
+    """A pass and its guard in one: the new text and what it lost."""
+
+    def run(text: str | None, register: str | None) -> dict:
+        new = function(text, register)
+        return {"new": new, "lost": lost(text, new)}
+
+    return run
 
 
 def deai(texts: DataFrame, strictness: str = "standard", rhythm=None, embed=None) -> DataFrame:
@@ -155,12 +168,12 @@ def deai(texts: DataFrame, strictness: str = "standard", rhythm=None, embed=None
     now = texts.withColumn("output", F.col("text")).withColumn("rolled_back", F.array().cast("array<string>"))
     for name in PASSES[strictness]:
         if name == "punctuation":
-            now = now.withColumn("_new", punctuation_pass(F.col("output"), F.col("register")))
+            now = with_breaches(now.withColumn("_new", punctuation_pass(F.col("output"), F.col("register"))), "_lost", "output", "_new", likeness)
         elif rows[name] is None:
             continue
         else:
-            now = _pass(now, "output", "_new", forgiving(rows[name]))
-        now = with_breaches(now, "_lost", "output", "_new", likeness)
+            both = with_text(now, "_both", ["output", "register"], guarded(forgiving(rows[name])), "struct<new: string, lost: array<string>>")
+            now = _likened(both.withColumns({"_new": F.col("_both.new"), "_lost": F.col("_both.lost")}).drop("_both"), "_lost", "output", "_new", likeness)
         failed = F.col("_new").isNull() & F.col("output").isNotNull() & F.col("register").isNotNull()
         bad = failed | F.coalesce(F.size("_lost") > 0, F.lit(False))
         now = now.withColumn("rolled_back", F.when(bad, F.concat("rolled_back", F.array(F.lit(name)))).otherwise(F.col("rolled_back")))

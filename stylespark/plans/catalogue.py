@@ -635,6 +635,36 @@ def deai_pipeline(spark, d):
     return got.select("doc_id", "output", "verdict", F.transform("residual", lambda h: h["id"]).alias("residual"), "breaches", "rolled_back")
 
 
+#: What the guard counts, as lists; a pass loses something where one of them has an entry less often after it.
+_KEPT = {"n": r"\d[\d.,]*\d|\d", "u": r"https?://[^\s)]+", "e": r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_.-]+", "p": r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b"}
+
+
+def _loses(before: str, after: str) -> str:
+    """SQL for whether `after` lacks something that `before` has."""
+    each = lambda t, p: f"regexp_extract_all({t}, '{p}')"
+    return "(" + " OR ".join(f"len(list_filter(list_distinct({each(before, p)}), lambda x: len(list_filter({each(before, p)}, lambda y: y = x)) > len(list_filter({each(after, p)}, lambda y: y = x)))) > 0" for p in _KEPT.values()) + ")"
+
+
+def _step(source: str, name: str, new: str) -> str:
+    """SQL for a pass: text becomes `new` (of text) unless that loses something."""
+    return f"{name}_n AS ({new.format(source=source)}), {name} AS (SELECT doc_id, register, t0, CASE WHEN {_loses('text', 'n')} THEN text ELSE n END AS text, back OR {_loses('text', 'n')} AS back FROM {name}_n)"
+
+
+_RHETORICAL = f"SELECT doc_id, register, t0, back, text, CASE WHEN t = text THEN t ELSE ltrim(regexp_replace(t, ' {{{{2,}}}}', ' ', 'g'), ' ') END AS n FROM (SELECT *, {_replaced(deai.CATEGORIES['rhetorical']).replace('{', '{{').replace('}', '}}')} AS t FROM {{source}})"
+_DASHES = f"""SELECT doc_id, register, t0, back, text, CASE WHEN register = 'chat' OR len(s) - 1 <= a THEN t ELSE array_to_string(list_slice(s, 1, a + 1), ' — ') || ', ' || array_to_string(list_slice(s, a + 2, len(s)), ', ') END AS n
+FROM (SELECT *, string_split(t, ' — ') AS s, greatest(1, CAST(floor({_W.format('t')} / CAST(100 AS DOUBLE) * CASE register WHEN 'email' THEN CAST(1 AS DOUBLE) ELSE CAST(1.5 AS DOUBLE) END + 0.5) AS INTEGER)) AS a
+FROM (SELECT *, CASE WHEN register IN ('chat', 'email') THEN regexp_replace(text, '\\*\\*([^*\\n]+)\\*\\*', '\\1', 'g') ELSE text END AS t FROM {{source}}))"""
+_LEFT = " OR ".join(f"(register IN {t[4]} AND regexp_matches(text, '{_quoted(t[2])}', 'i'))" for t in tells.TELLS)
+
+
+@query(f"""WITH {P.DIRTY}, d0 AS (SELECT doc_id, register, text AS t0, text, false AS back FROM p_dirty),
+{_step('d0', 'd1', "SELECT doc_id, register, t0, back, text, " + _replaced(deai.CATEGORIES['lexical']).replace('{', '{{').replace('}', '}}') + " AS n FROM {source}")}, {_step('d1', 'd2', _RHETORICAL)}, {_step('d2', 'd3', _DASHES)}
+SELECT doc_id, text <> t0 AS changed, CASE WHEN back OR {_LEFT} OR {_loses('t0', 'text')} THEN 'REVIEW' ELSE 'PASS' END AS verdict FROM d3""")
+def deai_verdicts(spark, d):
+    """Whether the whole repair changes a text, and its verdict."""
+    return deai.deai(P.dirty(spark, d)).select("doc_id", "changed", "verdict")
+
+
 _NL, _RULE = "chr(10)", "chr(10) || chr(10) || '---' || chr(10) || chr(10)"
 
 

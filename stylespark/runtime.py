@@ -55,9 +55,10 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def settled(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """df written to the shared folder and read back: cuts the lineage and survives lost executors."""
+    """df written to the shared folder and read back: cuts the lineage and survives lost executors. Deleted when the application ends, if not released before."""
     path = shared_path(df.sparkSession, name)
     df.write.option("compression", compression).parquet(path)
+    _file_system(df.sparkSession, path).deleteOnExit(df.sparkSession._jvm.org.apache.hadoop.fs.Path(path))
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back.settled_at = path
     return back
@@ -65,9 +66,13 @@ def settled(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
 
 def release(df: DataFrame) -> None:
     """Delete what settled() wrote for df, once nothing will read it again."""
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(df.settled_at)
-    path.getFileSystem(conf).delete(path, True)
+    files, path = _file_system(df.sparkSession, df.settled_at), df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.settled_at)
+    files.delete(path, True)
+    files.cancelDeleteOnExit(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def looked_up(rows: DataFrame, key: str, table: DataFrame, total: int | None = None, most: int | None = None) -> DataFrame:
