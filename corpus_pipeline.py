@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stylespark.llm import jaccard, language, lines, packing, quality
-from stylespark.llm.common import prepared, written
+from stylespark.llm.common import prepared, release, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Documents whose best language leads the second one by less than this score says are rejected with those of no language; 0.5 is no lead.
@@ -80,9 +80,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; what a stage has read is deleted when its own rows are written."""
     docs = prepared(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = written(docs, name)
+            if k:
+                release(before)
     return docs
