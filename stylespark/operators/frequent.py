@@ -13,6 +13,7 @@ from collections import Counter
 from collections.abc import Iterator
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,12 +40,11 @@ def cut_back(counts: Counter, keep: int) -> int:
     """Take so much from all counters that at most `keep` stay above zero; returns how much."""
     if len(counts) <= keep:
         return 0
-    least = sorted(counts.values(), reverse=True)[keep]
-    for run, n in list(counts.items()):
-        if n <= least:
-            del counts[run]
-        else:
-            counts[run] = n - least
+    values = np.fromiter(counts.values(), np.int64, len(counts))
+    least = int(np.partition(values, len(values) - keep - 1)[len(values) - keep - 1])
+    left = {run: n - least for run, n in counts.items() if n > least}
+    counts.clear()
+    counts.update(left)
     return least
 
 

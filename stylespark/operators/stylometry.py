@@ -16,6 +16,7 @@ from stylespark.functions import text as T
 from stylespark.functions.numbers import round_binary
 from stylespark.operators import frequent, summary
 from stylespark.operators.ranks import running
+from stylespark.runtime import settled
 
 # Fixed values.
 VOCABULARY, NGRAMS, NGRAM_LEAST, LOW_SEPARATION = 200, 8, 2, 0.6
@@ -101,14 +102,20 @@ def metrics_of(scores: DataFrame, keys: list[str]) -> DataFrame:
     return roc_auc(scores, keys).select(*keys, F.col("n_pos").alias("n_genuine"), F.col("n_neg").alias("n_impostor"), auc.alias("roc_auc"), (auc < LOW_SEPARATION).alias("low_separation"))
 
 
-def calibrate(docs: DataFrame, keys: list[str], top: int = VOCABULARY, counts: DataFrame | None = None) -> dict[str, DataFrame]:
-    """profile, scores and metrics of every group at once. docs: keys, doc_id, label (1 genuine, 0 impostor), and text unless counts (keys, doc_id, word, n) are given."""
+def profile_scores(docs: DataFrame, keys: list[str], top: int = VOCABULARY, counts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """profile and scores of every group at once. docs: keys, doc_id, label (1 genuine, 0 impostor), and text unless counts (keys, doc_id, word, n) are given."""
     counts = word_counts(docs, keys) if counts is None else counts
     vocabulary = frequent_words(counts, keys, top)
     freqs = relative_frequencies(docs, counts, vocabulary, keys)
     stats = word_stats(docs, freqs, vocabulary, keys)
     profile = centroids(docs.where("label = 1"), freqs, stats, keys)
-    scores = delta_scores(docs, freqs, profile, keys).join(docs.select(*keys, "doc_id", "label"), [*keys, "doc_id"])
+    return profile, delta_scores(docs, freqs, profile, keys).join(docs.select(*keys, "doc_id", "label"), [*keys, "doc_id"])
+
+
+def calibrate(docs: DataFrame, keys: list[str], top: int = VOCABULARY, counts: DataFrame | None = None) -> dict[str, DataFrame]:
+    """profile, scores and metrics of every group, from docs as profile_scores() takes them. Scores are written, as the metrics rank them at once."""
+    profile, scores = profile_scores(docs, keys, top, counts)
+    scores = settled(scores, "scores")
     return {"profile": profile, "scores": scores, "metrics": metrics_of(scores, keys)}
 
 

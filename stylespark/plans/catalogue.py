@@ -386,9 +386,9 @@ def _style(spark, d):
     return docs, counts, vocabulary, stylometry.relative_frequencies(docs, counts, vocabulary, KEYS)
 
 
-def _calibrated(spark, d) -> dict[str, DataFrame]:
+def _calibrated(spark, d) -> tuple[DataFrame, DataFrame]:
     docs, counts = _style_counts(spark, d)
-    return stylometry.calibrate(docs, KEYS, counts=counts)
+    return stylometry.profile_scores(docs, KEYS, counts=counts)
 
 
 @query(f"WITH {_STYLE} SELECT author, lang, word, CAST(total AS BIGINT) AS total, idx FROM vo")
@@ -410,11 +410,11 @@ def zscore_params(spark, d):
 
 @query(f"WITH {_STYLE} SELECT author, lang, word, round(centroid, 6) AS centroid FROM ce")
 def author_centroid(spark, d):
-    return _calibrated(spark, d)["profile"].select(*KEYS, "word", F.round("centroid", 6).alias("centroid"))
+    return _calibrated(spark, d)[0].select(*KEYS, "word", F.round("centroid", 6).alias("centroid"))
 
 
 def _scores(spark, d) -> DataFrame:
-    return settled(_calibrated(spark, d)["scores"].withColumn("score", F.round("score", 6)), "scores")
+    return settled(_calibrated(spark, d)[1].withColumn("score", F.round("score", 6)), "scores")
 
 
 @query(f"WITH {_STYLE} SELECT author, lang, doc_id, score FROM sc")
