@@ -172,3 +172,14 @@ def test_copies_lose_no_link(spark):
     assert sum(r.links for r in dedup.duplicate_pairs(items).collect()) == len(linked)
     each = Counter(k for pair in linked for k in pair)
     assert {r.id: r.links for r in dedup.duplicate_links(items).collect()} == {k: each[k] for k in sets}
+
+
+def test_meaning_guard_on_secrets_and_addresses(spark, duck, tmp_path):
+    """The guard's query equals its SQL where `42` stands in passwords and addresses, and where items are parts of longer ones."""
+    texts = ["token 5310e9c42a173 here", "bosbt.42@mail8.example.com and 42.144.35.254", "42 a", "for 142 things", "4242 things and 42", "Mary Jane Doe", "see https://other.example/42 now", "aa@b.example.com", "", None]
+    spark.createDataFrame([(13 * k + 7, t) for k, t in enumerate(texts)] + [(13 * k + 4, t) for k, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+        want = con.execute(catalogue.ORACLE["meaning_guard"]).fetchall()
+    got = [tuple(r) for r in catalogue.meaning_guard(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and sum(bool(r[1]) for r in got) == 11
