@@ -10,7 +10,8 @@ The join is a prefix-filtered index join that skips by set relations, at two lev
   compared with it first, and the size of their intersection is kept as the leader's answer. The answers of the others are derived
   from it: two sets of the list share at least common(x, leader) + common(y, leader) - size(leader) shingles, and
   at most min(common) + min(size - common). Pairs that the first proves are links, pairs that the second rules out are skipped, and pairs inside a
-  component need no answer; only what is left is compared, which completes the answer exactly.
+  component need no answer. Of what is left, sets are counted by SKETCH hash buckets: two sets share at most the sum of the lesser counts, which
+  rules out nearly all pairs of a large group of near copies that miss the threshold. Only the rest is compared, which completes the answer exactly.
 
 Equal sets are one entity (the 64-bit hash of the set), so exact copies cost nothing beyond their first pass.
 The global order is by counts of all shingles of all documents, kept in BUCKETS hashed counters of fixed
@@ -29,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stylespark.llm.common import looked_up, prepared, slices, written
+from stylespark.llm.common import looked_up, prepared, release, slices, written
 from stylespark.operators.components import stars
 
 #: Words of a shingle and threshold of the op5 query: two sets link when 100 * |intersection| >= PERCENT * |union|.
@@ -48,6 +49,8 @@ LIST = 1024
 SEEN = 300_000
 #: Pairs of a block that are formed at a time.
 GRID = 1 << 20
+#: Buckets by which a set's shingles are counted, a byte each, and pairs that are bounded by them at a time.
+SKETCH, BOUNDED = 512, 1 << 13
 
 FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
 BASE = 0x9E3779B97F4A7C15
@@ -336,8 +339,8 @@ def _members(shared, shingle: int):
 
 
 def sets_of(texts: DataFrame, ents: DataFrame, shingle: int) -> DataFrame:
-    """ent, data (its shingles) of the entities in ents, and perhaps of others; each once."""
-    size = filter_bits(ents.count())  # some come twice
+    """ent, data (its shingles) of the entities in ents, and perhaps of others; each once. The sets are made anew from the texts: only those are shuffled."""
+    size = filter_bits(ents.count())
     bits = merged(written(ents.select("ent").mapInArrow(_bits(size), "chunk int, part int, data binary"), "bits"), size // 32, np.bitwise_or)
     shared = texts.sparkSession.sparkContext.broadcast(bits)  # at most MOST_FILTER bits
     return texts.select("text").mapInArrow(_members(shared, shingle), "ent long, data binary").groupBy("ent").agg(F.first("data").alias("data"))
@@ -355,62 +358,117 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of(["u", "v", "common", "total"], batch.column(0), batch.column(1), pa.array(common, pa.int32()), pa.array(total, pa.int32()))
 
 
-def overlaps(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """The pairs (u, v) with common, their sets' intersection, and total, the sum of their sizes. The sets are made anew from the texts: only those of the pairs are shuffled."""
-    sets = sets_of(texts, pairs.select(F.explode(F.array("u", "v")).alias("ent")), shingle)
+def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) with common, their sets' intersection, and total, the sum of their sizes. sets: ent, data."""
     left = pairs.join(sets.select(F.col("ent").alias("u"), F.col("data").alias("x")), "u")
     both = left.join(sets.select(F.col("ent").alias("v"), F.col("data").alias("y")), "v").select("u", "v", "x", "y")
     return both.mapInArrow(_common, "u long, v long, common int, total int")
 
 
+def sketch(own: np.ndarray) -> bytes | None:
+    """How many of a set's hashes fall into each of SKETCH buckets; none where a byte can't hold one of the counts."""
+    counts = np.bincount((own >> U(65 - SKETCH.bit_length())).astype(np.int64), minlength=SKETCH)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
+
+
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch_of(["ent", "sketch"], batch.column(0), pa.array([sketch(np.frombuffer(v.as_buffer(), U)) for v in batch.column(1)], pa.binary()))
+
+
+def bounds(sketches: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """What the sets of these places share at most; no bound where one has no sketch. sketches: bytes or None."""
+    known = np.array([x is not None for x in sketches], bool)
+    counts = np.frombuffer(b"".join(x or bytes(SKETCH) for x in sketches), np.uint8).reshape(-1, SKETCH)
+    out = np.full(len(u), np.iinfo(np.int64).max)
+    for a in range(0, len(u), BOUNDED):
+        x, y = u[a : a + BOUNDED], v[a : a + BOUNDED]
+        out[a : a + BOUNDED][known[x] & known[y]] = np.minimum(counts[x], counts[y]).sum(1, dtype=np.int64)[known[x] & known[y]]
+    return out
+
+
 def linked(percent: int) -> Column:
     return F.lit(100) * F.col("common") >= F.lit(percent) * (F.col("total") - F.col("common"))
 
 
+def _open(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]]:
+    """Pairs of a list in different components that may link, by blocks of equal size and position: the block's entities, places of the pairs in it,
+    what they need to share, whether their leader's answers prove it, and the block's sketches, if they are given."""
+    for rows in _lists(batches, 3):
+        key, i, j, block, ent, size, pos, root, lead, lead_size, common = rows[:11]
+        start = np.flatnonzero(np.concatenate(([True], np.any([c[1:] != c[:-1] for c in (key, i, j)], axis=0))))
+        for a, b in zip(start, np.append(start[1:], len(key)), strict=True):
+            if b - a < 2:
+                continue
+            order = a + np.lexsort((pos[a:b], size[a:b]))
+            e, s, p, r, own = ent[order], size[order].astype(np.int64), pos[order].astype(np.int64), root[order], block[order]
+            head, head_size, m = lead[order], lead_size[order].astype(np.int64), common[order].astype(np.int64)
+            sketches = rows[11][order] if len(rows) > 11 else None
+            cell = np.flatnonzero(np.concatenate(([True], (s[1:] != s[:-1]) | (p[1:] != p[:-1]))))
+            ends = np.append(cell[1:], len(s))
+            cs, cp = s[cell], p[cell]
+            cross = i[a] != j[a]
+            for c in range(len(cell)):
+                far = np.searchsorted(cs, cs[c] * 100 // percent, side="right")  # larger sizes can't link
+                need = needed(cs[c], cs[c:far], percent)
+                ok = np.flatnonzero((np.minimum(cs[c] - cp[c], cs[c:far] - cp[c:far]) >= need) & (cs[c] >= need)) + c
+                for d in ok:
+                    for f in range(cell[c], ends[c], max(1, GRID // (ends[d] - cell[d]))):
+                        x = np.arange(f, min(ends[c], f + max(1, GRID // (ends[d] - cell[d]))))
+                        y = np.arange(cell[d], ends[d])
+                        hit = r[x][:, None] != r[y][None, :]
+                        if c == d:
+                            hit &= x[:, None] < y[None, :]
+                        if cross:
+                            hit &= own[x][:, None] != own[y][None, :]
+                        u, v = np.nonzero(hit)
+                        u, v = x[u], y[v]
+                        # What two sets share, bounded by what they share with the same leader (m < 0: not known).
+                        same = (head[u] == head[v]) & (m[u] >= 0) & (m[v] >= 0)
+                        least, most = np.where(same, m[u] + m[v] - head_size[u], 0), np.where(same, np.minimum(m[u], m[v]) + np.minimum(s[u] - m[u], s[v] - m[v]), s[u])
+                        enough = needed(s[u], s[v], percent)
+                        open_ = most >= enough
+                        if open_.any():
+                            yield e, u[open_], v[open_], enough[open_], (least >= enough)[open_], sketches
+
+
 def _between(percent: int):
-    """Pairs of a list in different components that may link, by blocks of equal size and position; sure: their leader's answers prove it."""
+    """The open pairs of lists that their sketches don't rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _lists(batches, 3):
-            key, i, j, block, ent, size, pos, root, lead, lead_size, common = rows
-            start = np.flatnonzero(np.concatenate(([True], np.any([c[1:] != c[:-1] for c in (key, i, j)], axis=0))))
-            for a, b in zip(start, np.append(start[1:], len(key)), strict=True):
-                if b - a < 2:
-                    continue
-                order = a + np.lexsort((pos[a:b], size[a:b]))
-                e, s, p, r, own = ent[order], size[order].astype(np.int64), pos[order].astype(np.int64), root[order], block[order]
-                head, head_size, m = lead[order], lead_size[order].astype(np.int64), common[order].astype(np.int64)
-                cell = np.flatnonzero(np.concatenate(([True], (s[1:] != s[:-1]) | (p[1:] != p[:-1]))))
-                ends = np.append(cell[1:], len(s))
-                cs, cp = s[cell], p[cell]
-                cross = i[a] != j[a]
-                for c in range(len(cell)):
-                    far = np.searchsorted(cs, cs[c] * 100 // percent, side="right")  # larger sizes can't link
-                    need = needed(cs[c], cs[c:far], percent)
-                    ok = np.flatnonzero((np.minimum(cs[c] - cp[c], cs[c:far] - cp[c:far]) >= need) & (cs[c] >= need)) + c
-                    for d in ok:
-                        for f in range(cell[c], ends[c], max(1, GRID // (ends[d] - cell[d]))):
-                            x = np.arange(f, min(ends[c], f + max(1, GRID // (ends[d] - cell[d]))))
-                            y = np.arange(cell[d], ends[d])
-                            hit = r[x][:, None] != r[y][None, :]
-                            if c == d:
-                                hit &= x[:, None] < y[None, :]
-                            if cross:
-                                hit &= own[x][:, None] != own[y][None, :]
-                            u, v = np.nonzero(hit)
-                            u, v = x[u], y[v]
-                            # What two sets share, bounded by what they share with the same leader (m < 0: not known).
-                            same = (head[u] == head[v]) & (m[u] >= 0) & (m[v] >= 0)
-                            least, most = np.where(same, m[u] + m[v] - head_size[u], 0), np.where(same, np.minimum(m[u], m[v]) + np.minimum(s[u] - m[u], s[v] - m[v]), s[u])
-                            enough = needed(s[u], s[v], percent)
-                            open_ = most >= enough
-                            if open_.any():
-                                u, v, sure = u[open_], v[open_], (least >= enough)[open_]
-                                yield batch_of(["u", "v", "sure"], np.maximum(e[u], e[v]), np.minimum(e[u], e[v]), sure)
+        for e, u, v, enough, sure, sketches in _open(batches, percent):
+            stay = sure | (bounds(sketches, u, v) >= enough)
+            u, v = e[u[stay]], e[v[stay]]
+            yield batch_of(["u", "v", "sure"], np.maximum(u, v), np.minimum(u, v), sure[stay])
+
+    return run
+
+
+def _ends(percent: int):
+    """The entities of open pairs, each once a task or a few times."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for e, u, v, *_ in _open(batches, percent):
+            new = [x for x in e[np.unique(np.concatenate((u, v)))].tolist() if x not in seen]
+            if new:
+                seen = seen if len(seen) < SEEN else set()
+                seen.update(new)
+                yield batch_of(["ent"], pa.array(new, pa.int64()))
 
     return run
 
 
+LISTED = ["ent", "size", "pos", "root", "lead", "lead_size", "common"]
+
+
+def _dealt(opened: DataFrame, columns: list[str], tasks: int) -> DataFrame:
+    """The rows of lists, dealt over tasks by pairs of their blocks. opened: key, s (blocks of the list) and the columns, ent among them."""
+    dealt = opened.withColumn("block", F.pmod(F.xxhash64("ent"), F.col("s")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
+    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", *columns)
+    return dealt.repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
 def entity_links(texts: DataFrame, first: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(u, v): each entity that is linked with others, but the smallest, and its component's smallest entity."""
     spark = texts.sparkSession
@@ -427,7 +485,8 @@ def entity_links(texts: DataFrame, first: DataFrame, shingle: int, percent: int)
     chief = looked_up(leads, "key", heads).where(F.col("h").isNotNull() & possible(F.col("size"), F.col("pos"), F.col("h.size"), F.col("h.pos"), percent) & (F.col("ent") != F.col("h.ent"))).select(F.col("ent").alias("a"), F.col("h.ent").alias("b"))
     pairs = led.where("ent <> lead").select(F.col("ent").alias("a"), F.col("lead").alias("b")).unionByName(chief)
     pairs = written(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "pairs")
-    answers = written(overlaps(pairs, texts, shingle), "answers")
+    ends = written(pairs.select(F.explode(F.array("u", "v")).alias("ent")).distinct(), "ends")
+    answers = written(overlaps(pairs, sets_of(texts, ends, shingle)), "answers")
     forest = stars(answers.where(linked(percent)).select("u", "v"))
     rooted = led.join(forest.select(F.col("u").alias("ent"), F.col("v").alias("root")), "ent", "left").withColumn("root", F.coalesce("root", "ent"))
     rooted = written(rooted, "rooted")
@@ -435,15 +494,19 @@ def entity_links(texts: DataFrame, first: DataFrame, shingle: int, percent: int)
     opened = looked_up(rooted, "key", lists).where("s is not null")
     opened = opened.withColumn("u", F.greatest("ent", "lead")).withColumn("v", F.least("ent", "lead")).join(answers.select("u", "v", "common"), ["u", "v"], "left")
     opened = opened.withColumn("common", F.when(F.col("ent") == F.col("lead"), F.col("size")).otherwise(F.coalesce("common", F.lit(-1))))
-    dealt = opened.withColumn("block", F.pmod(F.xxhash64("ent"), F.col("s")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
-    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "ent", "size", "pos", "root", "lead", "lead_size", "common")
+    opened = written(opened.select("key", "s", *LISTED), "opened")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    between = dealt.repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_between(percent), "u long, v long, sure boolean")
-    rest = written(between.groupBy("u", "v").agg(F.max("sure").alias("sure")), "pairs")
-    if not rest.limit(1).count():
+    ends = written(_dealt(opened, LISTED, tasks).mapInArrow(_ends(percent), "ent long").distinct(), "ends")
+    if not ends.limit(1).count():
         return forest
+    sets = written(sets_of(texts, ends, shingle), "sets")
+    sketched = opened.join(sets.mapInArrow(_sketched, "ent long, sketch binary"), "ent")
+    between = _dealt(sketched, [*LISTED, "sketch"], tasks).mapInArrow(_between(percent), "u long, v long, sure boolean")
+    rest = written(between.groupBy("u", "v").agg(F.max("sure").alias("sure")), "pairs")
     proven = rest.where("sure").select("u", "v")
-    more = written(proven.unionByName(overlaps(rest.where("not sure").select("u", "v"), texts, shingle).where(linked(percent)).select("u", "v")), "links")
+    more = written(proven.unionByName(overlaps(rest.where("not sure").select("u", "v"), sets).where(linked(percent)).select("u", "v")), "links")
+    release(sets)
+    release(opened)
     return stars(forest.unionByName(more)) if more.limit(1).count() else forest
 
 

@@ -434,6 +434,34 @@ def test_jaccard_long_lists_by_blocks(spark, monkeypatch):
     assert got == brute_components(rows)
 
 
+def test_jaccard_compares_few_pairs_of_near_copies_that_miss(spark, monkeypatch):
+    """Many near copies of one text, most of which reach the threshold with the text but not with each other: few pairs are compared, no link is lost."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for k in range(400):
+        w = [f"b{i}" for i in range(150)]
+        for p in rng.integers(0, 150, rng.integers(2, 7)):
+            w[p] = f"x{rng.integers(0, 10_000)}"
+        rows.append((k, " ".join(w)))
+    compared, plain = [], jaccard.overlaps
+    monkeypatch.setattr(jaccard, "overlaps", lambda pairs, *rest: compared.append(pairs.count()) or plain(pairs, *rest))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows)
+    assert sum(compared) < 10 * len(rows), compared
+
+
+def test_jaccard_bounds_hold():
+    """Sketches never bound sets below what they share; a set whose counts don't fit has none and no bound."""
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 63, n, np.uint64) * np.uint64(2)) for n in (1, 50, 600, 20_000, 200_000)]
+    sets += [np.unique(np.concatenate((s[::2], sets[1]))) for s in sets]
+    sketches = np.array([jaccard.sketch(s) for s in sets], object)
+    u, v = np.triu_indices(len(sets))
+    most = jaccard.bounds(sketches, u, v)
+    shared = np.array([len(np.intersect1d(sets[a], sets[b])) for a, b in zip(u, v, strict=True)])
+    assert (most >= shared).all() and sketches[4] is None and (most[(u == v) & (u < 4)] == [len(s) for s in sets[:4]]).all()
+
+
 def spelled(template, fill, keep, choice=0):
     """A text of the template: regions that may be left out are kept or not, each name is `fill`, as far as it may be that long; of alternatives the first or last stands."""
     import re as _re
