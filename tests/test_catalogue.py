@@ -183,3 +183,18 @@ def test_meaning_guard_on_secrets_and_addresses(spark, duck, tmp_path):
         want = con.execute(catalogue.ORACLE["meaning_guard"]).fetchall()
     got = [tuple(r) for r in catalogue.meaning_guard(spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(want) and sum(bool(r[1]) for r in got) == 11
+
+
+def test_scores_keep_only_words_of_a_profile(spark, duck, tmp_path, monkeypatch):
+    """Documents of many rare words: what the scores keep by document are words of a profile, and scores equal the SQL's."""
+    rng = np.random.default_rng(2)
+    rows = [(k, " ".join([f"w{'abcdefgh'[i]}" for i in rng.integers(0, 8, 60)] + [f"r{''.join(rng.choice(list('klmnop'), 8))}" for _ in range(400)]), ("en", "de", None)[k % 3], ("a", "b", "c", None)[k % 4]) for k in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    kept, plain = {}, catalogue.settled
+    monkeypatch.setattr(catalogue, "settled", lambda df, name: kept.setdefault(name, plain(df, name)))
+    got = catalogue.cosine_delta(spark, str(tmp_path)).collect()
+    assert kept["counts"].count() < 60 * 200
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+        want = {r[:3]: r[3] for r in con.execute(catalogue.ORACLE["cosine_delta"]).fetchall()}
+    assert {(r.author, r.lang, r.doc_id): r.score for r in got} == pytest.approx(want, abs=2e-6) and want
