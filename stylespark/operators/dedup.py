@@ -1,8 +1,8 @@
 """Near-duplicates of a batch: MinHash bands for candidates, exact Jaccard to confirm, components, earliest member.
 
 Equal shingle sets are one class, so exact copies make no pairs of their own: a class stands for its members, and a
-pair of classes for all pairs between theirs. Classes are compared by a 64-bit digest of their set; their shingles are only shuffled for classes that some
-pair needs.
+pair of classes for all pairs between theirs. Classes are compared by a 64-bit digest of their set; shingles are never kept for all items: those of classes
+that some pair needs are made anew from the texts.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from stylespark.functions.text import WS
 from stylespark.operators.components import components
-from stylespark.runtime import looked_up, settled, ship
+from stylespark.runtime import looked_up, release, settled, ship
 
 # Fixed values.
 SHINGLE, BANDS, ROWS, THRESHOLD = 5, 32, 4, 0.75
@@ -53,22 +53,25 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return (least ^ least >> np.uint64(29)).reshape(BANDS, ROWS).sum(1, dtype=np.uint64).view(np.int64)
 
 
-def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for a in range(0, batch.num_rows, 100):
-            part = batch.slice(a, 100)
-            sets = [shingle_hashes(t) for t in part.column(0).to_pylist()]
-            keys = [band_keys(s) if len(s) else [] for s in sets]
-            kind = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(sets, kind), pa.array(keys, kind)], names=[*part.schema.names[1:], "sh", "bands"])
+def _hashed(bands: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 100):
+                part = batch.slice(a, 100)
+                sets = [shingle_hashes(t) for t in part.column(0).to_pylist()]
+                keys = [[band_keys(s) if len(s) else [] for s in sets]] if bands else []
+                kind = pa.list_(pa.int64())
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *[pa.array(x, kind) for x in (sets, *keys)]], names=[*part.schema.names[1:], "sh", "bands"][: len(part.columns) + len(keys)])
 
+    return run
 
-def with_shingles(items: DataFrame) -> DataFrame:
-    """items (text and others) with sh and bands in place of text."""
+
+def with_shingles(items: DataFrame, bands: bool = True) -> DataFrame:
+    """items (text and others) with sh and bands, unless they aren't wanted, in place of text."""
     ship(items.sparkSession)
     rest = [c for c in items.columns if c != "text"]
-    kinds = T.StructType([*[items.schema[c] for c in rest], T.StructField("sh", T.ArrayType(T.LongType())), T.StructField("bands", T.ArrayType(T.LongType()))])
-    return items.select(F.lower("text").alias("text"), *rest).mapInArrow(_hashed, kinds)
+    kinds = T.StructType([*[items.schema[c] for c in rest], *[T.StructField(c, T.ArrayType(T.LongType())) for c in ("sh", "bands")[: 1 + bands]]])
+    return items.select(F.lower("text").alias("text"), *rest).mapInArrow(_hashed(bands), kinds)
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -81,7 +84,9 @@ def _bands(sets: DataFrame) -> DataFrame:
     """item, key of the bands of two sets or more, n, how many those are, and head, the least of them. sets: item, bands; equal sets may come more than once."""
     keys = settled(sets.select("item", F.explode("bands").alias("key")).distinct(), "bands")
     shared = keys.groupBy("key").agg(F.count("*").alias("many"), F.count("*").alias("n"), F.min("item").alias("head")).where("many > 1")
-    return settled(looked_up(keys, "key", shared).where("n is not null"), "shared-bands")
+    live = settled(looked_up(keys, "key", shared).where("n is not null"), "shared-bands")
+    release(keys)
+    return live
 
 
 def _within(rows: DataFrame, apart: bool = False) -> DataFrame:
@@ -109,15 +114,18 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     own = settled(sets.select("item", "sh").join(needed, "item", "left_semi").groupBy("item").agg(F.first("sh").alias("sh")), "needed-sets")
     left = pairs.join(own.select(F.col("item").alias("a"), F.col("sh").alias("x")), "a")
     both = left.join(own.select(F.col("item").alias("b"), F.col("sh").alias("y")), "b")
-    return both.select("a", "b", similarity(F.col("x"), F.col("y")).alias("jaccard")).where(F.col("jaccard") >= threshold)
+    found = settled(both.select("a", "b", similarity(F.col("x"), F.col("y")).alias("jaccard")).where(F.col("jaccard") >= threshold), "confirmed")
+    release(own)
+    release(pairs)
+    return found
 
 
-def cluster_roots(sets: DataFrame, threshold: float) -> DataFrame:
-    """node, root: components of the sets that are linked, as if every pair that shares a band had been compared.
+def cluster_roots(banded: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """node, root: components of the sets that are linked, as if every pair that shares a band had been compared. banded: item, bands; sets: item, sh.
 
     Each set is first compared with the least one of its bands, which links most of a group of near copies. A pair
     inside one component changes nothing, so what remains are the pairs of a band in different components."""
-    live = _bands(sets)
+    live = _bands(banded)
     led = live.where("item <> head").select(F.col("item").alias("a"), F.col("head").alias("b")).distinct()
     forest = components(confirmed(led, sets, threshold).select("a", "b"))
     rooted = live.join(forest.withColumnRenamed("node", "item"), "item", "left").select("key", "item", "n", F.coalesce("root", "item").alias("root"))
@@ -130,19 +138,21 @@ def cluster_roots(sets: DataFrame, threshold: float) -> DataFrame:
     return components(forest.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
 
-def _sets(items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Each item with the digest of its set (null where that is empty); the classes: digest, the least id in it, how many; and the sets: item (the digest), sh, bands, a row an item."""
-    full = settled(with_shingles(items), "shingles").withColumn("digest", F.when(F.size("sh") > 0, F.xxhash64("sh")))
+def _sets(items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Each item with the digest of its set (null where that is empty); the classes: digest, the least id in it, how many; and item (the digest) with bands, and with sh, made when it is read: a row an item."""
+    digest = F.when(F.size("sh") > 0, F.xxhash64("sh"))
+    full = settled(with_shingles(items).withColumn("digest", digest).drop("sh"), "digests")
     classes = settled(full.where("digest is not null").groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("many")), "classes")
-    return full.drop("sh", "bands"), classes, full.where("digest is not null").select(F.col("digest").alias("item"), "sh", "bands")
+    sets = with_shingles(items.select("text"), bands=False).select(digest.alias("item"), "sh").where("item is not null")
+    return full.drop("bands"), classes, full.where("digest is not null").select(F.col("digest").alias("item"), "bands"), sets
 
 
 def duplicate_pairs(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """a, b, jaccard, links: pairs of classes, a >= b, that reach the threshold, by the least id of each. items: id, text.
 
     links is how many pairs of items a row stands for: all between two classes, or all within one (a = b, of two members or more)."""
-    _, classes, sets = _sets(items)
-    found = confirmed(candidate_pairs(sets), sets, threshold)
+    _, classes, banded, sets = _sets(items)
+    found = confirmed(candidate_pairs(banded), sets, threshold)
     between = found.join(classes.toDF("a", "least_a", "x"), "a").join(classes.toDF("b", "least_b", "y"), "b")
     between = between.select(F.greatest("least_a", "least_b").alias("a"), F.least("least_a", "least_b").alias("b"), "jaccard", (F.col("x") * F.col("y")).alias("links"))
     n = F.col("many")
@@ -152,8 +162,8 @@ def duplicate_pairs(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame
 
 def duplicate_links(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """id, class_id (the least id of equal sets), links (how many other items reach the threshold with it); one row per item."""
-    own, classes, sets = _sets(items)
-    pairs = settled(confirmed(candidate_pairs(sets), sets, threshold).select("a", "b"), "pairs")
+    own, classes, banded, sets = _sets(items)
+    pairs = confirmed(candidate_pairs(banded), sets, threshold).select("a", "b")
     ends = pairs.toDF("digest", "to").unionByName(pairs.select(F.col("b").alias("digest"), F.col("a").alias("to")))
     far = ends.join(classes.select(F.col("digest").alias("to"), F.col("many").alias("x")), "to").groupBy("digest").agg(F.sum("x").alias("far"))
     links = classes.join(far, "digest", "left").select("digest", "many", "least", (F.coalesce("far", F.lit(0)) + F.col("many") - 1).alias("links"))
@@ -162,8 +172,8 @@ def duplicate_links(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame
 
 def near_duplicates(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """id, dedup_cluster_id, is_canonical: clusters are transitive, the earliest timestamp (then least id) names its cluster. items: id, text, timestamp."""
-    own, _, sets = _sets(items)
-    roots = cluster_roots(sets, threshold)
+    own, _, banded, sets = _sets(items)
+    roots = cluster_roots(banded, sets, threshold)
     firsts = own.where("digest is not null").groupBy("digest").agg(F.min(F.struct("timestamp", "id")).alias("first"), F.count("*").alias("many"))
     rooted = settled(firsts.join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest")).withColumnRenamed("many", "copies"), "rooted-classes")
     earliest = rooted.groupBy("root").agg(F.min("first")["id"].alias("dedup_cluster_id"), F.count("*").alias("many"))

@@ -198,3 +198,13 @@ def test_scores_keep_only_words_of_a_profile(spark, duck, tmp_path, monkeypatch)
         con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
         want = {r[:3]: r[3] for r in con.execute(catalogue.ORACLE["cosine_delta"]).fetchall()}
     assert {(r.author, r.lang, r.doc_id): r.score for r in got} == pytest.approx(want, abs=2e-6) and want
+
+
+def test_clusters_keep_no_shingles_of_single_texts(spark, monkeypatch):
+    """Of texts that share nothing, digests and bands are kept, never their shingles."""
+    rows = [(k, " ".join(f"t{k}w{i}" for i in range(300)), f"{k:012d}") for k in range(30)] + [(40, "a b c d e f g", "0"), (41, "a b c d e f g", "1")]
+    kept, plain = {}, dedup.settled
+    monkeypatch.setattr(dedup, "settled", lambda df, name: kept.setdefault(name, df.columns) and plain(df, name))
+    got = {r.id: r.dedup_cluster_id for r in dedup.near_duplicates(spark.createDataFrame(rows, "id long, text string, timestamp string")).collect()}
+    assert got == {r[0]: 40 if r[0] == 41 else r[0] for r in rows}
+    assert [name for name, columns in kept.items() if "sh" in columns] == ["needed-sets"]
