@@ -18,7 +18,7 @@ RECORD = ["id", "author_id", "medium", "register", "source_uri", "thread_id", "t
 
 
 def to_records(units: DataFrame, version: str = VERSION) -> DataFrame:
-    """One record per unit, each a cluster of its own as yet. An invalid record fails the batch and names its source_uri."""
+    """One record per unit, without its raw text, each a cluster of its own as yet. An invalid record fails the batch and names its source_uri."""
     own = units.withColumn("text_clean", T.strip_code(T.strip_for(F.col("medium"), F.col("raw_text"))))
     cleaned = with_nfc(own, "text_clean").withColumn("text_clean", T.drop_controls(F.col("text_clean")))
     named = cleaned.withColumn("id", T.stable_id(*[F.col(c) for c in ("author_id", "medium", "source_uri", "text_clean")])).withColumn("word_count", T.count_words(F.col("text_clean")))
@@ -28,7 +28,7 @@ def to_records(units: DataFrame, version: str = VERSION) -> DataFrame:
     for f in [*filled[1:], F.col("medium").isin(*MEDIA), F.col("register").isin(*REGISTERS), F.col("timestamp").rlike(ISO), F.col("word_count") >= 0]:
         ok = ok & f
     checked = F.when(F.coalesce(ok, F.lit(False)), F.col("id")).otherwise(F.raise_error(F.concat(F.lit("invalid record: "), F.coalesce("source_uri", F.lit("?")))).cast("string"))
-    return full.withColumn("id", checked)
+    return full.withColumn("id", checked).drop("raw_text")
 
 
 def collapse(records: DataFrame, order: str = "timestamp") -> DataFrame:

@@ -208,3 +208,67 @@ def test_clusters_keep_no_shingles_of_single_texts(spark, monkeypatch):
     got = {r.id: r.dedup_cluster_id for r in dedup.near_duplicates(spark.createDataFrame(rows, "id long, text string, timestamp string")).collect()}
     assert got == {r[0]: 40 if r[0] == 41 else r[0] for r in rows}
     assert [name for name, columns in kept.items() if "sh" in columns] == ["needed-sets"]
+
+
+def test_texts_with_a_common_ending_write_no_pairs(spark, monkeypatch):
+    """400 short texts of one ending share bands but miss the threshold: their 79,800 pairs are ruled out before anything is written."""
+    ending = " ".join(f"e{i}" for i in range(20))
+    rows = [(k, f"{' '.join(f't{k}w{i}' for i in range(6))} {ending}", f"{k:012d}") for k in range(400)]
+    rows += [(500, f"a b c d e f g {ending} h i j k l", "0"), (501, f"z b c d e f g {ending} h i j k l", "1")]
+    written, plain = {"candidates": 0, "confirmed": 0}, dedup.settled
+
+    def counted(df, name):
+        out = plain(df, name)
+        if name in written:
+            written[name] += out.count()
+        return out
+
+    monkeypatch.setattr(dedup, "settled", counted)
+    got = {r.id: r.dedup_cluster_id for r in dedup.near_duplicates(spark.createDataFrame(rows, "id long, text string, timestamp string")).collect()}
+    assert got == {r[0]: 500 if r[0] == 501 else r[0] for r in rows} and written["candidates"] < 500 and written["confirmed"] > 0
+
+
+def test_sketches_rule_out_no_link():
+    """Sets at all distances around the threshold, of all sizes, with counters that are full."""
+    rng = np.random.default_rng(4)
+    for size in (1, 2, 5, 40, 400, 5000):
+        for _ in range(40):
+            x = np.unique(rng.integers(-(1 << 62), 1 << 62, size))
+            y = np.unique(np.concatenate([rng.choice(x, max(1, int(len(x) * rng.uniform(0.6, 1))), replace=False), rng.integers(-(1 << 62), 1 << 62, int(size * rng.uniform(0, 0.3)))]))
+            links = len(np.intersect1d(x, y)) >= 0.75 * len(np.union1d(x, y))
+            may = dedup.may_link(*(np.frombuffer(dedup.sketch(s), np.uint8)[None] for s in (x, y)), np.array([len(x)]), np.array([len(y)]), 0.75)[0]
+            assert may or not links
+    same, more = np.arange(0, 300 * 256, 256), np.arange(0, 390 * 256, 256)
+    marks = [np.frombuffer(dedup.sketch(s), np.uint8)[None] for s in (same, more)]
+    assert (marks[0] == 255).all() and dedup.may_link(*marks, np.array([300]), np.array([390]), 0.75)[0]
+
+
+def test_ingest_writes_each_text_once(spark, monkeypatch):
+    """What ingest writes holds clean texts, in one place, and no raw ones; the texts of documents aren't shuffled."""
+    from stylespark.operators import ingest
+
+    kept, plain = {}, ingest.settled
+    monkeypatch.setattr(ingest, "settled", lambda df, name: kept.setdefault(name, df) and plain(df, name))
+    assert catalogue.ingest_pipeline(spark, SF).count()
+    assert [name for name, df in kept.items() if {"raw_text", "text_clean"} & set(df.columns)] == ["records"] and "raw_text" not in kept["records"].columns
+    assert "Exchange" not in kept["records"]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_written_results_leave_no_shuffle_files(spark):
+    """The shuffle of a result goes once it is written; the session's setting is what it was."""
+    import time
+
+    from stylespark.runtime import CLEANUP, release, settled
+
+    def files():
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {found.apply(k).getName() for k in range(found.size()) if found.apply(k).getName().startswith("shuffle_")}
+
+    before = files()
+    out = settled(spark.range(1000).repartition(3, "id"), "shuffled")
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.2)
+    assert not files() - before and out.count() == 1000 and spark.conf.get(CLEANUP) == "false"
+    release(out)
