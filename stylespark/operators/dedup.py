@@ -32,7 +32,7 @@ PART = 4096
 BLOCK = 2048
 #: Counters of a sketch, of a byte each; a set with a counter that doesn't fit has FULL in all of them.
 COUNTERS, FULL = 256, 255
-#: Digests that are broadcast to find the sets that pairs need (8 bytes each); more are joined.
+#: Hashes of ids that are broadcast to find the texts of the sets that pairs need (8 bytes each); more are joined.
 MOST_NEEDED = 1_000_000
 
 _words = re.compile(f"[^{WS[1:-1]}]+").findall
@@ -206,57 +206,57 @@ def alike(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     return left.join(classes.select(F.col("digest").alias("b"), F.col("size").alias("y_size"), F.col("sketch").alias("y")), "b").mapInArrow(_alike(threshold), PAIR)
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """a, b, jaccard of the pairs that reach the threshold. sets: item, sh; equal sets may come more than once. Only sets of a pair are shuffled, each once."""
+def confirmed(pairs: DataFrame, items: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """a, b, jaccard of the pairs that reach the threshold. items: id, text; classes: digest, least. Only the texts of sets of a pair are read for their shingles, one a set, and only these are shuffled."""
     pairs = settled(pairs, "candidates")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("item")).distinct()
-    needed = settled(needed, "needed")
-    needed = F.broadcast(needed) if needed.limit(MOST_NEEDED + 1).count() <= MOST_NEEDED else needed
-    own = settled(sets.select("item", "sh").join(needed, "item", "left_semi").groupBy("item").agg(F.first("sh").alias("sh")), "needed-sets")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
+    needed = settled(classes.join(ends, "digest", "left_semi").select(F.xxhash64("least").alias("at")), "needed")
+    few = needed.limit(MOST_NEEDED + 1).count() <= MOST_NEEDED
+    texts = items.select("text", F.xxhash64("id").alias("at")).join(F.broadcast(needed) if few else needed, "at", "left_semi").select("text")
+    own = settled(with_shingles(texts, bands=False).select(F.xxhash64("sh").alias("item"), "sh"), "needed-sets")
     left = pairs.join(own.select(F.col("item").alias("a"), F.col("sh").alias("x")), "a")
     both = left.join(own.select(F.col("item").alias("b"), F.col("sh").alias("y")), "b")
-    found = settled(both.select("a", "b", similarity(F.col("x"), F.col("y")).alias("jaccard")).where(F.col("jaccard") >= threshold), "confirmed")
-    release(own)
-    release(pairs)
+    found = settled(both.select("a", "b", similarity(F.col("x"), F.col("y")).alias("jaccard")).where(F.col("jaccard") >= threshold).distinct(), "confirmed")
+    for made in (own, needed, pairs):
+        release(made)
     return found
 
 
-def cluster_roots(banded: DataFrame, classes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """node, root: components of the sets that are linked, as if every pair that shares a band had been compared. banded: item, size, bands; classes: digest, size, sketch; sets: item, sh.
+def cluster_roots(banded: DataFrame, classes: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+    """node, root: components of the sets that are linked, as if every pair that shares a band had been compared. banded: item, size, bands; classes: digest, least, size, sketch; items: id, text.
 
     Each set is first compared with the least one of its bands, which links most of a group of near copies. A pair
     inside one component changes nothing, so what remains are the pairs of a band in different components."""
     live = _bands(banded, threshold)
     led = live.where((F.col("item") != F.col("head")) & _sizes_fit(F.col("size"), F.col("head_size"), threshold)).select(F.col("item").alias("a"), F.col("head").alias("b")).distinct()
-    forest = components(confirmed(alike(led, classes, threshold), sets, threshold).select("a", "b"))
+    forest = components(confirmed(alike(led, classes, threshold), items, classes, threshold).select("a", "b"))
     rooted = live.join(forest.withColumnRenamed("node", "item"), "item", "left").select("key", "item", "size", "own", "n", F.coalesce("root", "item").alias("root"))
     rooted = settled(rooted, "rooted")
     release(live)
     mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("many")).where("lo <> hi").select("key", "many", F.lit(True).alias("mixed"))
     rest = looked_up(rooted, "key", mixed).where("mixed")
-    more = settled(confirmed(_within(rest, classes, threshold), sets, threshold).select("a", "b"), "links")
+    more = settled(confirmed(_within(rest, classes, threshold), items, classes, threshold).select("a", "b"), "links")
     release(rooted)
     if not more.limit(1).count():
         return forest
     return components(forest.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
 
-def _sets(items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Each item with the digest of its set (null where that is empty); the classes: digest, the least id in it, how many, size and sketch of the set; and item (the digest) with size and bands, and with sh, made when it is read: a row an item."""
+def _sets(items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Each item with the digest of its set (null where that is empty); the classes: digest, the least id in it, how many, size and sketch of the set; and item (the digest) with size and bands, a row an item."""
     digest = F.when(F.size("sh") > 0, F.xxhash64("sh"))
     full = settled(with_shingles(items).withColumn("digest", digest).withColumn("size", F.size("sh").cast("long")).drop("sh"), "digests")
     some = full.where("digest is not null")
     classes = settled(some.groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("many"), F.first("size").alias("size"), F.first("sketch").alias("sketch")), "classes")
-    sets = with_shingles(items.select("text"), bands=False).select(digest.alias("item"), "sh").where("item is not null")
-    return full.drop("bands", "sketch", "size"), classes, some.select(F.col("digest").alias("item"), "size", "bands"), sets
+    return full.drop("bands", "sketch", "size"), classes, some.select(F.col("digest").alias("item"), "size", "bands")
 
 
 def duplicate_pairs(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """a, b, jaccard, links: pairs of classes, a >= b, that reach the threshold, by the least id of each. items: id, text.
 
     links is how many pairs of items a row stands for: all between two classes, or all within one (a = b, of two members or more)."""
-    _, classes, banded, sets = _sets(items)
-    found = confirmed(candidate_pairs(banded, classes, threshold), sets, threshold)
+    _, classes, banded = _sets(items)
+    found = confirmed(candidate_pairs(banded, classes, threshold), items, classes, threshold)
     small = classes.select("digest", "least", "many")
     between = found.join(small.toDF("a", "least_a", "x"), "a").join(small.toDF("b", "least_b", "y"), "b")
     between = between.select(F.greatest("least_a", "least_b").alias("a"), F.least("least_a", "least_b").alias("b"), "jaccard", (F.col("x") * F.col("y")).alias("links"))
@@ -267,8 +267,8 @@ def duplicate_pairs(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame
 
 def duplicate_links(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """id, class_id (the least id of equal sets), links (how many other items reach the threshold with it); one row per item."""
-    own, classes, banded, sets = _sets(items)
-    pairs = confirmed(candidate_pairs(banded, classes, threshold), sets, threshold).select("a", "b")
+    own, classes, banded = _sets(items)
+    pairs = confirmed(candidate_pairs(banded, classes, threshold), items, classes, threshold).select("a", "b")
     ends = pairs.toDF("digest", "to").unionByName(pairs.select(F.col("b").alias("digest"), F.col("a").alias("to")))
     far = ends.join(classes.select(F.col("digest").alias("to"), F.col("many").alias("x")), "to").groupBy("digest").agg(F.sum("x").alias("far"))
     links = classes.join(far, "digest", "left").select("digest", "many", "least", (F.coalesce("far", F.lit(0)) + F.col("many") - 1).alias("links"))
@@ -277,8 +277,8 @@ def duplicate_links(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame
 
 def near_duplicates(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """id, dedup_cluster_id, is_canonical: clusters are transitive, the earliest timestamp (then least id) names its cluster. items: id, text, timestamp."""
-    own, classes, banded, sets = _sets(items)
-    roots = cluster_roots(banded, classes, sets, threshold)
+    own, classes, banded = _sets(items)
+    roots = cluster_roots(banded, classes, items, threshold)
     firsts = own.where("digest is not null").groupBy("digest").agg(F.min(F.struct("timestamp", "id")).alias("first"), F.count("*").alias("many"))
     rooted = settled(firsts.join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest")).withColumnRenamed("many", "copies"), "rooted-classes")
     earliest = rooted.groupBy("root").agg(F.min("first")["id"].alias("dedup_cluster_id"), F.count("*").alias("many"))
