@@ -164,3 +164,12 @@ def test_small_names(spark):
     texts = ["Do not shout", "never mind", "nonstop", "avoids", "keep on", "please STOP"]
     assert [one(spark, t, T.has_negative_directive) for t in texts] == [True, True, False, False, False, True]
     assert one(spark, "```json\n{}\n```", T.strip_json_fence) == "{}" and one(spark, " x ", T.strip_json_fence) == "x"
+
+
+def test_words_at_edges(spark):
+    """White space of any kind at either end, or alone, makes no words."""
+    texts = ["", " ", "\n\u3000", "a", " a", "a ", "\ufeffa\u00a0", " a  b\tc\n", "a\x0bb", "\u200b", "é ü", None]
+    blank = set("\t\n\x0b\x0c\r \u00a0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff") | {chr(c) for c in range(0x2000, 0x200B)}
+    want = {t: None if t is None else len("".join(" " if c in blank else c for c in t).split(" ")) - "".join(" " if c in blank else c for c in t).split(" ").count("") for t in texts}
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r.t: r.n for r in rows.select("t", T.count_words(F.col("t")).alias("n")).collect()} == want
